@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readprism.llm import mixture, url_filter
+from readprism.llm import mixture, neardup, url_filter
 from readprism.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=3, percent=85, bands=16))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "n_links")
+
+
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -23,6 +30,7 @@ def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_odd_sketch_neardup": op3_odd_sketch_neardup,
         "op6_url_vocabulary": op6_url_vocabulary,
         "op9_weighted_mix": op9_weighted_mix,
     }

@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import mixture, neardup, url_filter
+from readprism.llm import archive, mixture, neardup, url_filter
 from readprism.llm.shared import table
 
+OP1_SQL = """
+with p as (select page_id, sha1(coalesce(html, '')) as payload_digest, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes from pages),
+m as (select *, max(page_id) over (partition by payload_digest) as top from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from m"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), "url", F.col("html").alias("payload"))
+    return archive.archive_round_trip(pages).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=3, percent=85, bands=16))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
@@ -30,6 +43,7 @@ def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_arc_to_warc": op1_arc_to_warc,
         "op3_odd_sketch_neardup": op3_odd_sketch_neardup,
         "op6_url_vocabulary": op6_url_vocabulary,
         "op9_weighted_mix": op9_weighted_mix,
@@ -38,6 +52,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_arc_to_warc": OP1_SQL,
         "op6_url_vocabulary": url_filter.oracle_sql(),
         "op9_weighted_mix": mixture.oracle_sql(),
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, mixture, neardup, url_filter
+from readprism.llm import archive, mixture, neardup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -41,12 +41,18 @@ def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(docs, quality=docs["quality"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = surrogates.pseudonymize(table(spark, sf_dir, "documents"))
+    return changed.select("doc_id", F.size("entities").alias("n_entities"), "entities", "text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
         "op3_odd_sketch_neardup": op3_odd_sketch_neardup,
         "op6_url_vocabulary": op6_url_vocabulary,
         "op9_weighted_mix": op9_weighted_mix,
+        "op10_surrogates": op10_surrogates,
     }
 
 

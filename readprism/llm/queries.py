@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, mixture, neardup, surrogates, url_filter
+from readprism.llm import archive, decontaminate, mixture, neardup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -32,6 +32,10 @@ def op3_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "n_links")
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
         "op3_odd_sketch_neardup": op3_odd_sketch_neardup,
+        "op4_spaced_seeds": op4_spaced_seeds,
         "op6_url_vocabulary": op6_url_vocabulary,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_surrogates": op10_surrogates,

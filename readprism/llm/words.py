@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[:128] = [not chr(c).isalnum() for c in range(128)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -46,9 +49,9 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _piece_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece_hashes(data: np.ndarray, breaks: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes) of the words in ``data``; no word spans a position in ``breaks``."""
-    word = ~_SPACE[data]
+    word = ~space[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -72,20 +75,40 @@ def _piece_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.
 def word_hashes(column: pa.Array, *, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all rows, bounds): row i's words are ``hashes[bounds[i]:bounds[i + 1]]``."""
     data, offsets = string_bytes(column)
+    return _hashes(data, offsets, _SPACE, LOWER if lower else None)
+
+
+def plain_word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``word_hashes`` for words without punctuation, in Unicode lower case.
+
+    What separates: ASCII other than letters and digits, and the punctuation and
+    spaces of U+0080-U+00BF, U+2000-U+206F and U+3000-U+303F.
+    """
+    data, offsets = string_bytes(pc.utf8_lower(column.cast(pa.large_string())))
+    data = data.copy()
+    for lead, second, width in ((0xC2, None, 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80, 0x80), 3)):
+        at = np.flatnonzero(data == lead)
+        if second:
+            at = at[(data[np.minimum(at + 1, len(data) - 1)] >= second[0]) & (data[np.minimum(at + 1, len(data) - 1)] <= second[1])]
+        for j in range(width):
+            data[at + j] = 0x20
+    return _hashes(data, offsets, _PUNCTUATION, None)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, change: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = int(offsets[0]), int(offsets[-1])
     starts, hashes, at = [], [], lo
     while at < hi:
         cut = min(hi, at + PIECE)
-        while cut < hi and not _SPACE[data[cut]] and not _SPACE[data[cut - 1]]:
+        while cut < hi and not space[data[cut]] and not space[data[cut - 1]]:
             # Move on to the next white space or row start, whichever is first.
-            window = data[cut : cut + 4096]
-            gap = np.flatnonzero(_SPACE[window])
+            gap = np.flatnonzero(space[data[cut : cut + 4096]])
             row = int(offsets[np.searchsorted(offsets, cut)])
-            cut = min(cut + (int(gap[0]) if len(gap) else len(window)), row if row > at else hi, hi)
+            cut = min(cut + (int(gap[0]) if len(gap) else 4096), row, hi)
             if cut == row or len(gap):
                 break
         piece = data[at:cut]
-        s, h = _piece_hashes(LOWER[piece] if lower else piece, offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, cut)] - at)
+        s, h = _piece_hashes(piece if change is None else change[piece], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, cut)] - at, space)
         starts.append(s + at)
         hashes.append(h)
         at = cut

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, decontaminate, mixture, neardup, surrogates, url_filter
+from readprism.llm import archive, decontaminate, mixture, neardup, substring_dedup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -40,6 +40,11 @@ def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op8_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixture.label_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixture.mix(docs, quality=docs["quality"]).select("doc_id", "size", "source_size", "target", "taken")
@@ -56,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op3_odd_sketch_neardup": op3_odd_sketch_neardup,
         "op4_spaced_seeds": op4_spaced_seeds,
         "op6_url_vocabulary": op6_url_vocabulary,
+        "op8_block_anchors": op8_block_anchors,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_surrogates": op10_surrogates,
     }

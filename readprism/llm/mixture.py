@@ -74,6 +74,7 @@ def mix(
     docs: DataFrame,
     *,
     quality: Column | None = None,
+    labels: DataFrame | None = None,
     weights: tuple[float, ...] = WEIGHTS,
     budget: float = BUDGET,
     max_epochs: float = MAX_EPOCHS,
@@ -82,14 +83,18 @@ def mix(
 ) -> DataFrame:
     """(doc_id, text_hash, source, size, source_size, target, epochs, taken) for every document.
 
-    ``quality`` is an expression over ``docs``. Texts are read once; the small
-    table of sizes and keys is written to the shared folder and used from there.
+    ``quality`` is an expression over ``docs``; ``labels`` (doc_id, quality) may
+    give it instead. Texts are read once and never shuffled: sizes and keys are
+    taken from them first, and that small table is joined, written to the shared
+    folder and used from there.
     """
-    quality = F.lit(1.0) if quality is None else quality
-    q = F.greatest(F.coalesce(quality.cast("double"), F.lit(1.0)), F.lit(1e-6))
-    text_hash = F.xxhash64("text")
+    quality = F.lit(None) if quality is None else quality
     u = _uniform(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), seed=seed)
-    keyed = materialize(docs.select("doc_id", text_hash.alias("text_hash"), "source", word_count(F.col("text")).alias("size"), (-F.log(u) / q).alias("key")), "mixture")
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size"), u.alias("u"), quality.cast("double").alias("quality"))
+    if labels is not None:
+        narrow = label_quality(narrow.drop("quality"), labels)
+    q = F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-6))
+    keyed = materialize(narrow.select("doc_id", "text_hash", "source", "size", (-F.log("u") / q).alias("key")), "mixture")
     return _taken(keyed, weights, budget, max_epochs, bins)
 
 

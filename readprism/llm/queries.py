@@ -46,8 +46,8 @@ def op8_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixture.label_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixture.mix(docs, quality=docs["quality"]).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixture.mix(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, decontaminate, mixture, neardup, substring_dedup, surrogates, url_filter
+from readprism.llm import archive, decontaminate, mixture, neardup, ordinal, substring_dedup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -26,6 +26,12 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive_round_trip(pages).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.train(docs, ordinal.graded(table(spark, sf_dir, "labels")))
+    return ordinal.score(docs, model, "doc_id").withColumn("kept", F.col("tail") >= ordinal.THRESHOLD)
+
+
 def op3_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=3, percent=85, bands=16))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
@@ -58,6 +64,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
+        "op2_ordinal_quality": op2_ordinal_quality,
         "op3_odd_sketch_neardup": op3_odd_sketch_neardup,
         "op4_spaced_seeds": op4_spaced_seeds,
         "op6_url_vocabulary": op6_url_vocabulary,

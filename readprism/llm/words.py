@@ -49,8 +49,12 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _piece_hashes(data: np.ndarray, breaks: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the words in ``data``; no word spans a position in ``breaks``."""
+def _piece_hashes(data: np.ndarray, breaks: np.ndarray, space: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words in ``data``; no word spans a position in ``breaks``.
+
+    With ``prefixes``, hashes has a column for the word and one for each prefix
+    of so many bytes; of a word no longer than that, the column has the word again.
+    """
     word = ~space[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -60,7 +64,7 @@ def _piece_hashes(data: np.ndarray, breaks: np.ndarray, space: np.ndarray) -> tu
     last[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
-        return starts, np.zeros(0, np.uint64)
+        return starts, np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
     sizes = ends - starts
     at = np.flatnonzero(word)
     place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -68,8 +72,16 @@ def _piece_hashes(data: np.ndarray, breaks: np.ndarray, space: np.ndarray) -> tu
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     values = _BYTE[data[at]] * powers[place]
-    sums = np.add.reduceat(values, np.cumsum(sizes) - sizes)
-    return starts, mix(sums + sizes.astype(np.uint64) * _STEPS[63])
+    first = np.cumsum(sizes) - sizes
+    whole = mix(np.add.reduceat(values, first) + sizes.astype(np.uint64) * _STEPS[63])
+    if not prefixes:
+        return starts, whole
+    out = np.repeat(whole[:, None], 1 + len(prefixes), axis=1)
+    ahead = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+    for i, n in enumerate(prefixes):
+        long = np.flatnonzero(sizes > n)
+        out[long, 1 + i] = mix(ahead[first[long] + n] - ahead[first[long]] + np.full(1, n, np.uint64) * _STEPS[62])
+    return starts, out
 
 
 def word_hashes(column: pa.Array, *, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +90,7 @@ def word_hashes(column: pa.Array, *, lower: bool) -> tuple[np.ndarray, np.ndarra
     return _hashes(data, offsets, _SPACE, LOWER if lower else None)
 
 
-def plain_word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def plain_word_hashes(column: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Like ``word_hashes`` for words without punctuation, in Unicode lower case.
 
     What separates: ASCII other than letters and digits, and the punctuation and
@@ -92,10 +104,10 @@ def plain_word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             at = at[(data[np.minimum(at + 1, len(data) - 1)] >= second[0]) & (data[np.minimum(at + 1, len(data) - 1)] <= second[1])]
         for j in range(width):
             data[at + j] = 0x20
-    return _hashes(data, offsets, _PUNCTUATION, None)
+    return _hashes(data, offsets, _PUNCTUATION, None, prefixes)
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, change: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, change: np.ndarray | None, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = int(offsets[0]), int(offsets[-1])
     starts, hashes, at = [], [], lo
     while at < hi:
@@ -108,12 +120,13 @@ def _hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, change: np
             if cut == row or len(gap):
                 break
         piece = data[at:cut]
-        s, h = _piece_hashes(piece if change is None else change[piece], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, cut)] - at, space)
+        s, h = _piece_hashes(piece if change is None else change[piece], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, cut)] - at, space, prefixes)
         starts.append(s + at)
         hashes.append(h)
         at = cut
     all_starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(all_starts, offsets)
+    none = np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
+    return (np.concatenate(hashes) if hashes else none), np.searchsorted(all_starts, offsets)
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, k: int, *, short: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, decontaminate, mixture, neardup, ordinal, substring_dedup, surrogates, url_filter
+from readprism.llm import archive, decontaminate, main_text, mixture, neardup, ordinal, substring_dedup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -42,6 +42,10 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op2_ordinal_quality": op2_ordinal_quality,
         "op3_odd_sketch_neardup": op3_odd_sketch_neardup,
         "op4_spaced_seeds": op4_spaced_seeds,
+        "op5_main_text": op5_main_text,
         "op6_url_vocabulary": op6_url_vocabulary,
         "op8_block_anchors": op8_block_anchors,
         "op9_weighted_mix": op9_weighted_mix,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, decontaminate, main_text, mixture, neardup, ordinal, substring_dedup, surrogates, url_filter
+from readprism.llm import archive, decontaminate, main_text, mixture, neardup, ordinal, rp_forest, substring_dedup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -50,6 +50,11 @@ def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op7_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return rp_forest.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op8_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -73,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op4_spaced_seeds": op4_spaced_seeds,
         "op5_main_text": op5_main_text,
         "op6_url_vocabulary": op6_url_vocabulary,
+        "op7_rp_forest": op7_rp_forest,
         "op8_block_anchors": op8_block_anchors,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_surrogates": op10_surrogates,

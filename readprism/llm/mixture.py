@@ -10,12 +10,15 @@ document of a source is cut at the word where its budget ends.
 
 All of it is DataFrame expressions. The order within a source is found without
 sorting a source in one task: keys fall into ``bins`` bins, sums by bin give the
-bin in which the budget ends, and only that bin's rows are sorted.
+bin in which the budget ends, and only that bin's rows are sorted, to find the
+document where it ends. Every row is then decided by comparing its key with that
+document's.
 
 Defined results: a null text has size 0; documents of size 0 take 0 words; a
-null source is a source of its own, ordered last; repeated rows are separate
-documents, ordered among themselves by their position-free tie key (id, hash of
-the text); with identical rows the sums are the same whichever goes first. A
+null source is a source of its own, ordered last; equal keys are ordered by id
+(null first) and hash of the text; rows that repeat in both are separate
+documents that are treated alike, so where the budget ends among them each gives
+the same number of words. A
 null quality counts as 1 and a quality of 0 or less as ``1e-6``. An empty table
 gives an empty result. Only the named columns are read.
 """
@@ -64,65 +67,84 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, bu
     all_rows = Window.partitionBy()
     left = F.sum("source_size").over(all_rows) * float(budget) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     level = ranked.withColumn("level", left / F.sum("weight").over(after))
-    free = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(all_rows)
-    return level.withColumn("free", free).select(
-        "source", "source_size", F.least("cap", F.coalesce(F.col("free") * F.col("weight"), F.col("cap"))).alias("target")
-    )
-
-
-def mix(
-    docs: DataFrame,
-    *,
-    quality: Column | None = None,
-    labels: DataFrame | None = None,
-    weights: tuple[float, ...] = WEIGHTS,
-    budget: float = BUDGET,
-    max_epochs: float = MAX_EPOCHS,
-    seed: int = 7,
-    bins: int = BINS,
-) -> DataFrame:
-    """(doc_id, text_hash, source, size, source_size, target, epochs, taken) for every document.
+    return level.withColumn("top", F.max("level").over(all_rows)).select("source", "source_size", F.least("cap", F.col("top") * F.col("weight")).alias("target"))
 
-    ``quality`` is an expression over ``docs``; ``labels`` (doc_id, quality) may
-    give it instead. Texts are read once and never shuffled: sizes and keys are
-    taken from them first, and that small table is joined, written to the shared
-    folder and used from there.
-    """
-    quality = F.lit(None) if quality is None else quality
+
+def keyed_sizes(docs: DataFrame, quality: Column, seed: int) -> list[Column]:
+    """Columns text_hash, size and key of rows (doc_id, text) with a quality weight."""
     u = _uniform(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), seed=seed)
-    narrow = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size"), u.alias("u"), quality.cast("double").alias("quality"))
-    if labels is not None:
-        narrow = label_quality(narrow.drop("quality"), labels)
-    q = F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-6))
-    keyed = materialize(narrow.select("doc_id", "text_hash", "source", "size", (-F.log("u") / q).alias("key")), "mixture")
-    return _taken(keyed, weights, budget, max_epochs, bins)
+    q = F.greatest(F.coalesce(quality.cast("double"), F.lit(1.0)), F.lit(1e-6))
+    return [F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"), (-F.log(u) / q).alias("key")]
 
 
-def _taken(keyed: DataFrame, weights: tuple[float, ...], budget: float, max_epochs: float, bins: int) -> DataFrame:
-    targets = source_targets(keyed, weights=weights, budget=budget, max_epochs=max_epochs)
+def sampling_plan(keyed: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, bins: int = BINS) -> DataFrame:
+    """One row for each source: source_size, target, epochs, rest, and the document where the rest ends.
+
+    ``cut`` is that document's (key, doc_id, text_hash) and ``part`` the words it
+    still gives; rows that repeat in all three are cut alike. ``keyed`` has
+    source, size, key, doc_id and text_hash.
+    """
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    plan = targets.withColumn("epochs", epochs).withColumn("rest", rest)
+    plan = source_targets(keyed, weights=weights, budget=budget, max_epochs=max_epochs).withColumn("epochs", epochs).withColumn("rest", rest)
     # exp(-key) is uniform for quality 1; the bin grows with the key and is finite for every key.
     binned = keyed.withColumn("bin", F.floor((1.0 - F.exp(-F.col("key"))) * bins))
     sums = binned.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    in_source = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(in_source), F.lit(0))).join(
-        plan.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest"), F.col("source").eqNullSafe(F.col("s"))
-    )
-    cut = materialize(cuts.drop("s"), "mixture-bins")
-    ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest"))
-    whole = cut.where(~ends).select(F.col("source").alias("s"), F.col("bin").alias("b"), "source_size", "target", "epochs", (F.col("before") < F.col("rest")).alias("all"))
-    last = cut.where(ends).select(F.col("source").alias("s"), F.col("bin").alias("b"), "source_size", "target", "epochs", (F.col("rest") - F.col("before")).alias("room"))
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))
-    full = binned.join(whole, same).select("doc_id", "text_hash", "source", "size", "source_size", "target", "epochs", F.when(F.col("all"), F.col("size")).otherwise(F.lit(0)).alias("part"))
-    by_key = Window.partitionBy("source").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.col("room") - F.coalesce(F.sum("size").over(by_key), F.lit(0))
-    edge = binned.join(last, same).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), room)))
-    return full.unionByName(edge.select(*full.columns)).select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "epochs",
-        (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"),
-    )
+    before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = plan.select(F.col("source").alias("s"), "rest")
+    ends = sums.withColumn("before", before).join(wanted, F.col("source").eqNullSafe(F.col("s"))).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") >= F.col("rest")))
+    last = ends.select("s", F.col("bin").alias("b"), (F.col("rest") - F.col("before")).alias("room"))
+    edge = binned.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    alike = edge.groupBy("source", "key", "doc_id", "text_hash", "room").agg(F.sum("size").alias("sizes"), F.count(F.lit(1)).alias("copies"))
+    running = F.coalesce(F.sum("sizes").over(Window.partitionBy("source").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.col("room") - F.col("running")
+    cut = alike.withColumn("running", running).where((room > 0) & (F.col("sizes") >= room)).select(F.col("source").alias("s"), F.struct("key", "doc_id", "text_hash").alias("cut"), F.floor(room / F.col("copies")).cast("long").alias("part"))
+    return materialize(plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "sampling-plan")
+
+
+def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with source_size, target, epochs and taken, by the plan of their source.
+
+    The plan has a row for each source, so Spark broadcasts it; with very many
+    sources it is a shuffled join.
+    """
+    own = plan.select(F.col("source").alias("__source"), "source_size", "target", "epochs", "rest", "cut", "part")
+    at = F.struct("key", "doc_id", "text_hash")
+    part = F.when(F.col("rest") <= 0, 0).when(F.col("cut").isNull() | (at < F.col("cut")), F.col("size")).when(at == F.col("cut"), F.col("part")).otherwise(0)
+    # A null id can't be compared within the struct: such rows come first among equal keys.
+    part = F.when((F.col("rest") > 0) & F.col("cut").isNotNull() & (F.col("key") != F.col("cut.key")), F.when(F.col("key") < F.col("cut.key"), F.col("size")).otherwise(0)).otherwise(part)
+    joined = rows.join(own, rows["source"].eqNullSafe(F.col("__source")))
+    return joined.withColumn("taken", (F.col("epochs") * F.col("size") + F.coalesce(part, F.lit(0))).cast("long")).drop("__source", "rest", "cut", "part")
+
+
+def mix(docs: DataFrame, *, quality: Column | None = None, labels: DataFrame | None = None, seed: int = 7, **limits) -> DataFrame:
+    """(doc_id, text_hash, source, size, source_size, target, epochs, taken) for every document.
+
+    ``quality`` is an expression over ``docs``; ``labels`` (doc_id, quality) may
+    give it instead. Texts are read once and never shuffled: sizes and keys are
+    taken from them first, and that small table is joined, written to the shared
+    folder and used from there. ``limits`` go to ``sampling_plan``.
+    """
+    if labels is None:
+        narrow = docs.select("doc_id", "source", *keyed_sizes(docs, F.lit(1.0) if quality is None else quality, seed))
+    else:
+        weighed = label_quality(docs.select("doc_id", "source", *keyed_sizes(docs, F.lit(1.0), seed)), labels)
+        narrow = weighed.withColumn("key", F.col("key") / F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-6))).drop("quality")
+    keyed = materialize(narrow, "mixture")
+    return taken(keyed, sampling_plan(keyed, **limits)).drop("key")
+
+
+def mixed_documents(docs: DataFrame, *, seed: int = 7, **limits) -> DataFrame:
+    """The documents that the mix takes, with their columns, ``epochs`` and ``taken``; quality is ``text_quality``.
+
+    Two scans of the texts and no shuffle of them: the first makes the plan, the
+    second applies it row by row.
+    """
+    columns = keyed_sizes(docs, text_quality(F.col("text")), seed)
+    keyed = materialize(docs.select("doc_id", "source", *columns), "mixture")
+    full = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"), *columns)
+    chosen = taken(full, sampling_plan(keyed, **limits)).where(F.col("taken") > 0)
+    return chosen.select("__row.*", "epochs", "taken")
 
 
 def label_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,8 +174,8 @@ s0 as (select source, cast(sum(size) as double) as source_size, row_number() ove
 s1 as (select *, case place % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end as weight, 2.0 * source_size as cap from s0),
 s2 as (select *, (sum(source_size) over () * 1.5 - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
          / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from s1),
-s3 as (select *, min(case when cap > level * weight then level end) over () as free from s2),
-s4 as (select source, source_size, least(cap, coalesce(free * weight, cap)) as target from s3),
+s3 as (select *, max(level) over () as top from s2),
+s4 as (select source, source_size, least(cap, top * weight) as target from s3),
 s5 as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from s4),
 s6 as (select *, cast(round(target - epochs * source_size) as bigint) as rest from s5),
 k as (select d.*, s6.source_size, s6.target, s6.epochs, s6.rest,

@@ -19,8 +19,9 @@ Candidates are not all pairs of a bucket. First every member is held against two
 members of its bucket (the least, and the least by a hash that differs between
 bands), and confirmed links are joined to components. Only buckets that still
 hold several components go on: in them, every pair of different components of
-which one is not the bucket's main component is compared by sketch, in blocks of
-``BLOCK`` rows, so no bucket has to fit in one task. Pairs within a component
+which one is not the bucket's main component is compared in cells of two blocks
+of ``BLOCK`` rows, by sketch and then by full set. No bucket has to fit in one
+task, and a cell returns no more links than it has rows. Pairs within a component
 need no further link: no component is lost by leaving them out.
 
 Defined results: text is lower-cased for A-Z only. No words (or a null text):
@@ -174,72 +175,97 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
 
 
 def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """Each bucket's members against its least member and its least by a hash that differs between bands."""
-    heads = buckets.groupBy("key").agg(F.min("node").alias("first"), F.min_by("node", F.xxhash64("node", "key")).alias("second"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Each bucket's members against that of the least document id and the least by a hash that differs between bands."""
+    heads = buckets.groupBy("key").agg(F.min_by("node", F.struct("lead", "node")).alias("first"), F.min_by("node", F.xxhash64("node", "key")).alias("second"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = buckets.join(heads, "key")
     pairs = met.select("node", F.explode(F.array("first", "second")).alias("head")).where("node != head")
     return pairs.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
 
 
-def _rest_pairs(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs of different components that share a bucket and whose sketches pass.
+def _rest_links(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    """Confirmed links between different components that share a bucket, a spanning part of them.
 
     A bucket's main component is that of its least root. Rows of it have one home
     block; all other rows (strays) have a home block too and meet every block.
+    A cell is a block of homes and a block of strays, so its size is bounded. In
+    a cell, pairs are held against each other once (in the first band they
+    share), by sketch and then by full set, until the cell knows them connected.
     """
-    rooted = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     stats = rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count(F.lit(1)).alias("n")).where("main != other")
     split = rooted.join(stats, "key").withColumn("stray", F.col("root") != F.col("main"))
     strays = split.where("stray").groupBy("key").agg(F.count(F.lit(1)).alias("n_stray"))
-    placed = (
+    placed = materialize(
         split.join(strays, "key")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("chunks", F.ceil(F.col("n_stray") / BLOCK).cast("int"))
         .withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+        .select("key", "band", "node", "root", "stray", "blocks", "chunks", "home", "chunk"),
+        "placed",
     )
-    cells = placed.select("key", "node", "root", "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("cell_chunk"), F.lit(False).alias("moved")).select("key", "node", "root", F.col("home").alias("cell_home"), "cell_chunk", "moved")
-    moves = placed.where("stray").select("key", "node", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell_home"), F.col("chunk").alias("cell_chunk"), F.lit(True).alias("moved"))
-    met = cells.unionByName(moves).join(nodes.select("node", "sketch"), "node")
-    cell = met.withColumn("cell", F.xxhash64("key", "cell_home", "cell_chunk")).select("cell", "node", "root", "moved", "sketch")
+    columns = ("key", "band", "node", "root", "cell_home", "cell_chunk", "moved")
+    homes = placed.withColumn("cell_home", F.col("home")).withColumn("cell_chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("moved", F.lit(False))
+    moves = placed.where("stray").withColumn("cell_home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell_chunk", F.col("chunk")).withColumn("moved", F.lit(True))
+    cells = homes.select(*columns).unionByName(moves.select(*columns)).select(F.xxhash64("key", "cell_home", "cell_chunk").alias("cell"), "band", "node", "root", "moved")
+    facts = nodes.join(placed.select("node").distinct(), "node").select("node", "sketch", "bands", F.col("least.doc_id").alias("doc_id"), F.col("least.row_key").alias("row_key"))
+    full = facts.join(_sets_of(facts, docs, p), "node").select("node", "sketch", "bands", "shingles")
     limit, width = distance_limit(p), p.bits // 64
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            cells, node, root = (np.asarray(t.column("cell")), np.array(t.column("node").to_pylist(), object), np.array(t.column("root").to_pylist(), object))
-            moved = np.asarray(t.column("moved"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, width)
-            edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
-            us, vs = [], []
-            for a, b in zip(edges[:-1], edges[1:]):
-                home, stray = a + np.flatnonzero(~moved[a:b]), a + np.flatnonzero(moved[a:b])
-                for s in stray:
-                    hit = home[np.bitwise_count(sketch[home] ^ sketch[s]).sum(axis=1) <= limit]
-                    hit = hit[root[hit] != root[s]]
-                    us += [min(node[s], x) for x in node[hit]]
-                    vs += [max(node[s], x) for x in node[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids = np.asarray(batch.column("cell"))
-            last = int(np.searchsorted(ids, ids[-1]))
-            if last:
-                yield from flush([*held, batch.slice(0, last)])
-                held = [batch.slice(last)]
-            elif held and held[0].column("cell")[0].as_py() != ids[0]:
-                yield from flush(held)
-                held = [batch]
-            else:
-                held.append(batch)
-        if held:
-            yield from flush(held)
-
-    return cell.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u binary, v binary").distinct()
+        for rows in _runs(batches, "cell"):
+            band, moved = rows.column("band")[0].as_py(), np.asarray(rows.column("moved"))
+            node, root = rows.column("node").to_pylist(), rows.column("root").to_pylist()
+            _, label = np.unique(np.array(root, object), return_inverse=True)
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, width)
+            bands = rows.column("bands").combine_chunks().values.to_numpy().reshape(len(node), -1)[:, :band]
+            sets: dict[int, np.ndarray] = {}
+
+            def shingles(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = np.sort(rows.column("shingles")[i].values.to_numpy())
+                return sets[i]
+
+            links = []
+            home = np.flatnonzero(~moved)
+            for s in np.flatnonzero(moved):
+                near = home[(label[home] != label[s]) & (np.bitwise_count(sketch[home] ^ sketch[s]).sum(axis=1) <= limit)]
+                if band and len(near):
+                    near = near[~(bands[near] == bands[s]).any(axis=1)]
+                for h in near:
+                    if label[h] == label[s]:
+                        continue
+                    a, b = shingles(s), shingles(h)
+                    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                    if 100 * shared >= p.percent * (len(a) + len(b) - shared):
+                        links.append((node[s], node[h]))
+                        label[label == label[h]] = label[s]
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.binary()), pa.array([max(x) for x in links], pa.binary())], ["u", "v"])
+
+    dealt = cells.join(full, "node").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(compare, "u binary, v binary").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of ``key``, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ids = np.asarray(batch.column(key))
+        edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
+        for a, b in zip(edges, np.append(edges[1:], len(ids)) if len(ids) else []):
+            if held and held[0].column(key)[0].as_py() != ids[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    """(node, shingles) of the nodes in ``wanted`` (node, doc_id, row_key)."""
+    sets = full_sets(docs, p)
+    ids = wanted.select("node", F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"))
+    return sets.join(ids, sets["doc_id"].eqNullSafe(ids["of_id"]) & (sets["row_key"] == ids["of_key"])).select("node", "shingles").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
@@ -254,24 +280,19 @@ def near_duplicates(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
         signed.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")),
         "nodes",
     )
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    lead = F.coalesce("least.doc_id", F.lit((1 << 63) - 1)).alias("lead")
+    keyed = nodes.select("node", lead, F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     stars = materialize(_close(_star_pairs(buckets), nodes, p), "pairs")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = ids.join(nodes.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.row_key").alias("row_key")), "node")
-        sets = full_sets(docs, p)
-        same = wanted["doc_id"].eqNullSafe(sets["doc_id"]) & (wanted["row_key"] == sets["row_key"])
-        found = sets.join(wanted, same).select("node", "shingles").dropDuplicates(["node"])
-        return materialize(_confirmed(pairs, found, p), "links")
-
-    links = confirm(stars)
+    ends = stars.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = ends.join(nodes.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.row_key").alias("row_key")), "node")
+    links = materialize(_confirmed(stars, _sets_of(wanted, docs, p), p), "links")
     roots = components(links)
-    rest = materialize(_rest_pairs(buckets, roots, nodes, p).join(stars, ["u", "v"], "left_anti"), "pairs")
+    rest = materialize(_rest_links(buckets, roots, nodes, docs, p), "links")
     if not rest.isEmpty():
-        links = links.unionByName(confirm(rest))
+        links = links.unionByName(rest)
         roots = components(links)
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = signed.select("doc_id", "row_key", "n_shingles", "node").join(roots.join(degree, "node", "full"), "node", "left").withColumn("root", F.coalesce("root", "node"))

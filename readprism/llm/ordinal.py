@@ -180,26 +180,32 @@ def train(docs: DataFrame, ratings: DataFrame, *, sample: int = SAMPLE, n_grades
     return fit(np.concatenate(lists) if lists else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), rows["grade"].to_numpy().astype(np.int64), n_grades=n_grades)
 
 
-def score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """(columns..., expected_grade double, tail double): ``tail`` is the probability of the top grade."""
+def _scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """Columns c0, c1, ... for ``columns``, then expected_grade and tail, so no name can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in columns]
+    names = [f"c{i}" for i in range(len(columns))]
+    text = names[columns.index("text")] if "text" in columns else "text"
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in W.slices(batches, "text"):
-            slots, bounds, n_words = features(batch.column("text"))
+        for batch in W.slices(batches, text):
+            slots, bounds, n_words = features(batch.column(text))
             sums = np.concatenate([[0.0], np.cumsum(model.weights[slots])])
             tails = np.where((n_words > 0)[:, None], model.tails(sums[bounds[1:]] - sums[bounds[:-1]]), 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(tails.sum(axis=1)), pa.array(np.ascontiguousarray(tails[:, -1]))], [*[f.name for f in fields], "expected_grade", "tail"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(tails.sum(axis=1)), pa.array(np.ascontiguousarray(tails[:, -1]))], [*names, "expected_grade", "tail"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    chosen = docs.select(*[f.name for f in fields], *([] if "text" in columns else ["text"]))
+    chosen = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], *([] if "text" in columns else ["text"]))
+    ddl = ", ".join(f"`{n}` {chosen.schema[n].dataType.simpleString()}" for n in names)
     return chosen.mapInArrow(rate, f"{ddl}, expected_grade double, tail double")
 
 
+def score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
+    """(columns..., expected_grade double, tail double): ``tail`` is the probability of the top grade."""
+    return _scored(docs, model, list(columns)).toDF(*columns, "expected_grade", "tail")
+
+
 def select_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose probability of the top grade is at least ``threshold``."""
     model = train(docs, graded(labels), sample=sample)
-    kept = score(docs, model, *docs.columns)
-    return kept.where(F.col("tail") >= threshold).select(*docs.columns)
+    kept = _scored(docs, model, docs.columns).where(F.col("tail") >= threshold)
+    return kept.drop("expected_grade", "tail").toDF(*docs.columns)

@@ -47,8 +47,9 @@ from readprism.llm.shared import materialize
 _U = np.uint64
 WINDOW, BLOCK = 13, 7
 BUCKET_BYTES = 16 << 20
+BUCKETS_A_TASK = 8
 _PACKED = "bucket int, docs array<long>, rows array<int>, counts array<int>, entries binary"
-_REPLY = "doc_id long, row int, bucket int, bits binary"
+_REPLY = "doc_id long, row int, replies array<struct<bucket:int,bits:binary>>"
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -79,31 +80,44 @@ def _pack(hashes: np.ndarray, entries: np.ndarray, bounds: np.ndarray, docs: pa.
 def _answers(packed: DataFrame, buckets: int, dtype: str, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Bring each bucket's rows together, judge its entries (entries, doc ids) and send bitmaps back by document."""
 
-    def answer(rows: list[tuple]) -> pa.RecordBatch:
-        bucket = rows[0][0]
+    def answer(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         docs, keys, counts = (np.concatenate([r[j] for r in rows]) for j in (1, 2, 3))
         entries = np.concatenate([np.frombuffer(r[4], dtype) for r in rows])
         hit = judge(entries, np.repeat(docs, counts))
         starts = np.cumsum(counts) - counts
         some = np.flatnonzero(np.add.reduceat(hit.astype(np.int64), starts))
-        bits = [np.packbits(hit[a : a + n]).tobytes() for a, n in zip(starts[some], counts[some])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(docs[some]), pa.array(keys[some]), pa.array(np.full(len(some), bucket, np.int32)), pa.array(bits, pa.binary())], ["doc_id", "row", "bucket", "bits"]
-        )
+        return docs[some], keys[some], np.full(len(some), rows[0][0], np.int32), [np.packbits(hit[a : a + n]).tobytes() for a, n in zip(starts[some], counts[some])]
+
+    def by_doc(found: list[tuple]) -> pa.RecordBatch:
+        docs, keys, bucket = (np.concatenate([f[j] for f in found]) for j in range(3))
+        bits = np.array([b for f in found for b in f[3]] or [b""], object)[: len(docs)]
+        order = np.lexsort((keys, docs))
+        docs, keys = docs[order], keys[order]
+        run = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])])) if len(docs) else np.zeros(0, np.int64)
+        pairs = pa.StructArray.from_arrays([pa.array(bucket[order]), pa.array(bits[order], pa.binary())], ["bucket", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(docs[run]), pa.array(keys[run]), W.list_array(pairs, np.append(run, len(docs)))], ["doc_id", "row", "replies"])
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        found: list[tuple] = []
         for batch in batches:
             for i in range(len(batch)):
                 row = (batch.column("bucket")[i].as_py(), *(batch.column(c)[i].values.to_numpy() for c in ("docs", "rows", "counts")), batch.column("entries")[i].as_py())
                 if held and held[0][0] != row[0]:
-                    yield answer(held)
+                    found.append(answer(held))
                     held = []
+                    if len(found) == BUCKETS_A_TASK:
+                        yield by_doc(found)
+                        found = []
                 held.append(row)
         if held:
-            yield answer(held)
+            found.append(answer(held))
+        if found:
+            yield by_doc(found)
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket, _REPLY)
+    # A task works through a few buckets, one after the other, and answers each document once.
+    tasks = max(-(-buckets // BUCKETS_A_TASK), min(buckets, packed.sparkSession.sparkContext.defaultParallelism))
+    return packed.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(by_bucket, _REPLY)
 
 
 def _judge_probes(entries: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -188,7 +202,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield _pack(values, entries, bounds, batch.column("doc_id"), batch.column("row"), buckets)
 
     probes = _answers(base.where("doc_id is not null").mapInArrow(probe, _PACKED), buckets, "uint32", _judge_probes)
-    by_doc = probes.groupBy("doc_id", "row").agg(F.collect_list(F.struct("bucket", "bits")).alias("probes"))
+    by_doc = probes.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("replies")).alias("probes"))
     asked = base.join(materialize(by_doc, "probes"), ["doc_id", "row"], "left")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +213,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 yield _pack(values, values, bounds, some.column("doc_id"), some.column("row"), buckets)
 
     windows = _answers(asked.mapInArrow(extend, _PACKED), buckets, "uint64", _judge_windows)
-    window_replies = windows.groupBy("doc_id", "row").agg(F.collect_list(F.struct("bucket", "bits")).alias("windows"))
+    window_replies = windows.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("replies")).alias("windows"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):

@@ -41,6 +41,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe math noframes noscript object script select style svg template textarea title xmp".split())
 NEVER = frozenset("aside button dialog fieldset footer form head header menu nav".split())
+UNCLOSED = frozenset("head header menu nav".split())
 MARKS = frozenset(("article", "main"))
 BLOCKS = frozenset("article blockquote body caption center dd div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header footer nav aside li main ol p pre section table tbody td tfoot th thead tr ul".split())
 HINTS = frozenset(
@@ -56,7 +57,11 @@ OUTSIDE = -1.0
 
 @dataclass
 class Token:
-    """A text run or a tag. ``kind``: text, open, close. ``place``: plain, dropped, marked, outside."""
+    """A text run or a tag. ``kind``: text, open, close.
+
+    ``place``: plain, dropped (no content), marked (in marked content), aside
+    (no content, but within the mark) or outside (of the page's mark).
+    """
 
     kind: str
     name: str
@@ -152,27 +157,29 @@ def tokens(page: str) -> list[Token]:
     marked = False
     for kind, name, text in _pieces(page):
         dropped, in_mark = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        place = ("aside" if in_mark else "dropped") if dropped else "marked" if in_mark else "plain"
         if kind == "text":
             if not text.strip():
-                out.append(Token("text", "", text, "dropped" if dropped else "marked" if in_mark else "plain"))
+                out.append(Token("text", "", text, place))
                 continue
             names = [s[0] for s in stack[-12:]]
             block = next((x for x in reversed(names) if x in BLOCKS), "body")
-            out.append(Token("text", "", text, "dropped" if dropped else "marked" if in_mark else "plain", f"{block}{' a' if 'a' in names else ''}", len(text.split())))
+            out.append(Token("text", "", text, place, f"{block}{' a' if 'a' in names else ''}", len(text.split())))
         elif kind == "open":
             if name in MARKS or name == "body":
                 # An unclosed menu or header does not swallow the content.
-                while stack and stack[-1][1] and stack[-1][0] in NEVER:
-                    stack.pop()
+                open_ = next((i for i, s in enumerate(stack) if s[1]), len(stack))
+                if open_ < len(stack) and stack[open_][0] in UNCLOSED:
+                    del stack[open_:]
                 dropped, in_mark = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Token("open", name, place="marked" if in_mark and not dropped else "plain"))
+            out.append(Token("open", name, place=place))
             if name not in VOID and name not in RAW and not (text.endswith("/>") and name not in BLOCKS):
                 lost = dropped or _dropped(name, text, in_mark)
                 is_mark = name in MARKS and not lost
                 marked |= is_mark
                 stack.append((name, lost, in_mark or is_mark))
         else:
-            out.append(Token("close", name, place="marked" if in_mark and not dropped else "plain"))
+            out.append(Token("close", name, place=place))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -196,6 +203,8 @@ class Scores:
     tag_default: float = -0.5
 
     def of(self, t: Token) -> float:
+        if t.place == "aside":
+            return 0.0  # neither content nor its end
         if t.kind != "text":
             score = self.tag.get(t.name, self.tag_default)
             return max(score, -0.05) if t.place == "marked" else score

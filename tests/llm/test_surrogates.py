@@ -1,0 +1,76 @@
+"""Surrogates: detection, format, coreference, distinctness."""
+
+import itertools
+import re
+
+import pytest
+
+from readprism.llm import surrogates as S
+
+FOUND = [
+    ("mail und.34@mail7.example.com now", "email", "und.34@mail7.example.com"), ("+1 (017) 555-7713", "phone", "+1 (017) 555-7713"), ("call 020-555-1234.", "phone", "020-555-1234"),
+    ("ip 97.51.17.173, x", "ip", "97.51.17.173"), ("9807915762804490$$$", "card", "9807915762804490"), ("4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("TOKEN = \"9233A8ECF7\"!!", "secret", "9233A8ECF7"),
+    ("DE89 3704 0044 0532 0130 00 end", "iban", "DE89 3704 0044 0532 0130 00"), ("ssn 078-05-1120", "ssn", "078-05-1120"), ("Mr. John Smith said", "name", "John Smith"),
+    ("г-жа Анна Иванова", "name", "Анна Иванова"), ("PASSWORD: 'hunter22'", "secret", "hunter22"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), FOUND)
+def test_found_and_shaped(text, kind, value):
+    new, entities = S.replace(text)
+    assert [e["type"] for e in entities] == [kind]
+    e = entities[0]
+    assert text[e["start"] : e["end"]] == value and value not in new
+    if kind not in ("ip",):
+        shape = lambda x: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", x))
+        if kind == "name":
+            assert [w[0].isupper() for w in e["surrogate"].split()] == [True, True]
+        elif kind != "secret":
+            assert shape(e["surrogate"]) == shape(value)
+        assert kind == "name" or len(e["surrogate"]) == len(value)
+    assert S.replace(text)[0] == new and S.replace(text, b"other key")[0] != new
+
+
+@pytest.mark.parametrize("text", ["version 1.2.3 on 2024-01-02 10:20:30", "12345 and 1,234,567.89", "The Of And. Is.", "", "x" * 100, "a@b", "300.1.1.1", "page 12-34"])
+def test_clean_text_stays(text):
+    assert S.replace(text) == (text, [])
+
+
+def test_one_to_one():
+    for n in (1, 2, 3):
+        values = ["".join(v) for v in itertools.product("0123456789", repeat=n)]
+        moved = [S.permute_text(b"k", "t", v) for v in values]
+        assert sorted(moved) == values and all(a != b for a, b in zip(values, moved))
+    names = [n for group in S.GIVEN.values() for n in group]
+    assert len({S._name(b"k", n) for n in names}) == len(set(names))
+    ips = [f"10.0.{i}.{j}" for i in range(20) for j in range(20)]
+    assert len({S._ip(b"k", i) for i in ips}) == len(ips)
+    cards = [f"41111111111{i:05d}" for i in range(800)]
+    new = [S._card(b"k", c) for c in cards]
+    assert len(set(new)) == 800 and [S.luhn(c) for c in cards] == [S.luhn(c) for c in new]
+
+
+def test_same_entity_same_surrogate():
+    assert S._email(b"k", "Ann.B@Mail.Example.com").lower() == S._email(b"k", "ann.b@mail.example.com")
+    assert re.sub(r"\D", "", S._phone(b"k", "+1 (017) 555-7713")) == re.sub(r"\D", "", S._phone(b"k", "+1 017-555-7713"))
+    anna = S._name_word(b"k", "Anna")
+    assert ("latin", "f") == S._LISTED[anna.lower()][0] and S._LISTED[S._name_word(b"k", "Иван").lower()][0] == ("cyrillic", "m")
+    text = "Mrs. Anna Kowalska met Anna Kowalska"
+    names = [e["surrogate"] for e in S.replace(text)[1]]
+    assert len(names) == 2 and names[0] == names[1]
+    out = int("".join(str(int(c, 36)) for c in (lambda x: x[4:] + x[:4])(S._iban(b"k", "DE89 3704 0044 0532 0130 00").replace(" ", ""))))
+    assert out % 97 == 1
+
+
+def test_tables(spark):
+    rows = [(i, t, 0) for i, (t, *_) in enumerate(FOUND)] + [(50, None, 0), (51, "", 0), (None, FOUND[0][0], 0), (0, FOUND[0][0], 0), (52, "a " * 200_000 + "97.51.17.173", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, entities int").drop("entities")
+    got = S.pseudonymize(df)
+    assert got.columns == ["doc_id", "text", "entities"] and got.count() == len(rows)
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[50].text is None and by[51].text == "" and by[52].entities[0].start == 400_000 and "97.51.17.173" not in by[52].text
+    assert S.collisions(got).count() == 0
+    many = spark.range(3000).selectExpr("id as doc_id", "concat('x 555-', lpad(id, 3, '0'), '-1234 and user', id, '@m', id % 7, '.org') as text")
+    assert S.collisions(S.pseudonymize(many)).count() == 0
+    assert S.pseudonymize(df.where("false")).count() == 0

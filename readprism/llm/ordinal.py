@@ -155,9 +155,14 @@ def fit(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray, *, n_grades:
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from labels (doc_id, quality 0/1, toxic 0/1): 2 for good and not toxic, 1 with one fault, 0 with both."""
-    grade = F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")
-    return labels.select("doc_id", grade.alias("grade")).where("doc_id is not null and grade between 0 and 2").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    """(doc_id, grade) from labels (doc_id, quality 0/1, toxic 0/1): 0 toxic, 1 poor, 2 good.
+
+    With the worst fault at the bottom, several faults only push a document
+    further down, as one latent score needs it.
+    """
+    toxic, quality = F.col("toxic").cast("int"), F.col("quality").cast("int")
+    grade = F.when(toxic == 1, 0).when((toxic == 0) & quality.isin(0, 1), 1 + quality)
+    return labels.select("doc_id", grade.alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, sample: int = SAMPLE, n_grades: int = GRADES) -> Model:

@@ -39,11 +39,11 @@ def test_held_out(spark, tables):
     model = O.train(docs, O.graded(labels))
     assert model.thresholds[0] < model.thresholds[1]
     got = {r.doc_id: r for r in O.score(docs, model, "doc_id").collect()}
-    truth = {i: q + 1 - x for i, _, q, x in rows}
+    truth = {i: 0 if x else 1 + q for i, _, q, x in rows}
     held = [i for i in truth if i >= 1000]
     kept = {i for i in held if got[i].tail >= 0.5}
     good = {i for i in held if truth[i] == 2}
-    assert len(good - kept) <= 0.03 * len(good) and len(kept - good) <= 0.05 * len(held)
+    assert len(good - kept) <= 0.03 * len(good) and len(kept - good) <= 0.03 * len(held)
     assert all(0 <= got[i].tail <= got[i].expected_grade <= 2 for i in held)
     assert [got[i].expected_grade for i in (5000, 5001, 5002)] == [0, 0, 0]
 

@@ -44,7 +44,7 @@ _U = np.uint64
 SEEDS = ("11101100101111", "1101001110111", "11111111")
 SHORTEST = 8
 CONTEXT = 96
-FILTER_BITS = 24
+FILTER_BITS = 27
 
 
 @dataclass(frozen=True)

@@ -137,18 +137,19 @@ def signatures(docs: DataFrame, p: NearDup) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text").mapInArrow(sign, SIGNATURE)
 
 
-def full_sets(docs: DataFrame, p: NearDup) -> DataFrame:
-    """(doc_id, row_key, shingles): the whole set of every document that has one."""
+def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    """(node, shingles): the whole sets of the nodes in ``wanted`` (node, doc_id, row_key), from the texts of those rows."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             hashes, bounds = W.word_hashes(batch.column("text"), lower=True)
             values, bounds = W.distinct(*W.windows(hashes, bounds, p.shingle, short=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), W.list_array(pa.array(values.view(np.int64)), bounds)], ["doc_id", "row_key", "shingles"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("node"), W.list_array(pa.array(values.view(np.int64)), bounds)], ["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text").mapInArrow(expand, "doc_id long, row_key long, shingles array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    ids = wanted.select("node", F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"))
+    chosen = rows.join(ids, rows["doc_id"].eqNullSafe(ids["of_id"]) & (rows["row_key"] == ids["of_key"])).select("node", "text")
+    return chosen.mapInArrow(expand, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
@@ -261,13 +262,6 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """(node, shingles) of the nodes in ``wanted`` (node, doc_id, row_key)."""
-    sets = full_sets(docs, p)
-    ids = wanted.select("node", F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"))
-    return sets.join(ids, sets["doc_id"].eqNullSafe(ids["of_id"]) & (sets["row_key"] == ids["of_key"])).select("node", "shingles").dropDuplicates(["node"])
-
-
 def near_duplicates(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
     """(doc_id, row_key, n_shingles, component_id, n_links): one row per document.
 

@@ -48,6 +48,7 @@ from readprism.llm.shared import materialize
 
 _U = np.uint64
 BLOCK = 512
+WORD_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -137,6 +138,20 @@ def signatures(docs: DataFrame, p: NearDup) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text").mapInArrow(sign, SIGNATURE)
 
 
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (doc_id, row_key, ...) whose bit is set in a bitmap of the wanted ones: all of those, and few others.
+
+    The bitmap has at most ``2**WORD_BITS`` words of 64 bits, whatever the number of
+    rows, and so may be broadcast. It only keeps texts out of a shuffle.
+    """
+    word = F.shiftrightunsigned(F.col("__spot"), 64 - WORD_BITS)
+    bit = F.expr("shiftleft(1L, cast(__spot & 63 as int))")
+    spots = wanted.select(F.xxhash64("doc_id", "row_key").alias("__spot"))
+    bitmap = spots.select(word.alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    placed = rows.withColumn("__spot", F.xxhash64("doc_id", "row_key")).withColumn("__word", word).withColumn("__bit", bit)
+    return placed.join(F.broadcast(bitmap), "__word").where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select(*rows.columns)
+
+
 def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """(node, shingles): the whole sets of the nodes in ``wanted`` (node, doc_id, row_key), from the texts of those rows."""
 
@@ -146,7 +161,7 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
             values, bounds = W.distinct(*W.windows(hashes, bounds, p.shingle, short=True))
             yield pa.RecordBatch.from_arrays([batch.column("node"), W.list_array(pa.array(values.view(np.int64)), bounds)], ["node", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    rows = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text"), wanted)
     ids = wanted.select("node", F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"))
     chosen = rows.join(ids, rows["doc_id"].eqNullSafe(ids["of_id"]) & (rows["row_key"] == ids["of_key"])).select("node", "text")
     return chosen.mapInArrow(expand, "node binary, shingles array<long>").dropDuplicates(["node"])

@@ -18,6 +18,32 @@ select page_id, payload_bytes, payload_digest,
        case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
 from m"""
 
+OP3_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+n as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                      else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as shingles from w),
+s as (select doc_id, len(shingles) as size, unnest(shingles) as shingle from n),
+p as (
+  select a.doc_id as u, b.doc_id as v from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by 1, 2 having 100 * count(*) >= 85 * (any_value(a.size) + any_value(b.size) - count(*))),
+e as (select u, v from p union all select v, u from p),
+c as (select doc_id, doc_id as root from n union select e.v, c.root from c join e on e.u = c.doc_id where c.root < e.v)
+select n.doc_id, cast(len(any_value(shingles)) as bigint) as n_shingles, min(root) as component_id, n.doc_id = min(root) as kept
+from n join c on n.doc_id = c.doc_id group by n.doc_id"""
+
+OP8_SQL = r"""
+with n as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+k as (
+  select doc_id, unnest(range(1, len(w) - 11)) as spot, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) as key from n),
+f as (select key, min(doc_id) as least from k group by key),
+r as (select k.doc_id, k.spot from k join f on k.key = f.key where f.least < k.doc_id),
+g as (select distinct doc_id, spot + j as pos from r, range(0, 13) as t(j)),
+u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from n)
+select n.doc_id, count(u.pos) as n_words, count(g.pos) as n_removed, sha256(coalesce(string_agg(u.word, ' ' order by u.pos) filter (where g.pos is null), '')) as kept_sha256
+from n left join u on n.doc_id = u.doc_id left join g on u.doc_id = g.doc_id and u.pos = g.pos group by n.doc_id"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,7 +61,7 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=3, percent=85, bands=16))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +114,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_arc_to_warc": OP1_SQL,
+        "op3_odd_sketch_neardup": OP3_SQL,
+        "op8_block_anchors": OP8_SQL,
         "op6_url_vocabulary": url_filter.oracle_sql(),
         "op9_weighted_mix": mixture.oracle_sql(),
     }

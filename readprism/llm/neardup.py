@@ -277,13 +277,8 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def near_duplicates(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
-    """(doc_id, row_key, n_shingles, component_id, n_links): one row per document.
-
-    ``row_key`` is a hash of the text; ``n_links`` counts the confirmed links of
-    the document's class to other classes (a spanning part of all links).
-    """
-    p = p or NearDup()
+def _rooted(docs: DataFrame, p: NearDup) -> DataFrame:
+    """(doc_id, row_key, n_shingles, node, root, n_links): one row per document; ``root`` is its component's least node, null for an empty set."""
     signed = materialize(signatures(docs, p), "signatures")
     nodes = materialize(
         signed.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")),
@@ -305,7 +300,16 @@ def near_duplicates(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
         roots = components(links)
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = signed.select("doc_id", "row_key", "n_shingles", "node").join(roots.join(degree, "node", "full"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = materialize(labelled, "labelled")
+    return materialize(labelled, "labelled")
+
+
+def near_duplicates(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
+    """(doc_id, row_key, n_shingles, component_id, n_links): one row per document.
+
+    ``row_key`` is a hash of the text; ``n_links`` counts the confirmed links of
+    the document's class to other classes (a spanning part of all links).
+    """
+    grouped = _rooted(docs, p or NearDup())
     ids = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(ids, "root", "left").select(
         "doc_id", "row_key", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -318,9 +322,9 @@ def deduplicate(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
 
     Documents without words are kept, one of each (id, text).
     """
-    found = near_duplicates(docs, p)
-    group = F.when(F.col("n_shingles") > 0, F.struct(F.col("component_id").alias("a"), F.lit(None).cast("long").alias("b"))).otherwise(F.struct(F.col("doc_id").alias("a"), F.col("row_key").alias("b")))
-    kept = found.groupBy((F.col("n_shingles") > 0).alias("full"), group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
+    found = _rooted(docs, p or NearDup())
+    alone = F.when(F.col("root").isNull(), F.struct("doc_id", "row_key"))
+    kept = found.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
     keep = kept.select(F.col("least.doc_id").alias("keep_id"), F.col("least.row_key").alias("keep_key")).distinct()
     keyed = docs.withColumn("__row_key", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(keep["keep_id"]) & (keyed["__row_key"] == keep["keep_key"])

@@ -76,6 +76,16 @@ def test_deduplicate(spark, rows):
     assert sum(not sets(t, 5) for _, t in found) == len({(k, t) for k, t in rows if not sets(t, 5)})
 
 
+def test_deduplicate_by_component_not_by_id(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(14)]
+    rows = [(None, t) for t in texts[:8]] + [(None, texts[0]), (None, texts[1] + " more")] + [(7, t) for t in texts[8:12]] + [(7, texts[8]), (9, texts[12]), (None, texts[12] + " more"), (None, texts[13]), (7, texts[13] + " more")]
+    kept = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    base = {t.removesuffix(" more") for _, t in kept}
+    assert len(kept) == 14 and base == set(texts)
+    assert {k for k, t in kept if t.removesuffix(" more") in texts[12:]} == {9, 7} and sum(k is None for k, _ in kept) == 8
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(df).count() == 0 and N.deduplicate(df).count() == 0

@@ -6,7 +6,9 @@ positive and tags negative; the contiguous stretch of tokens with the largest su
 in a link or not) and a tag score comes from labelled pages: those that mark
 their content with ``<article>`` or ``<main>`` say for every word and tag whether
 it is inside. Scores are smoothed log odds, clipped so that words of ordinary
-blocks stay positive and tags negative.
+blocks stay positive (only links in lists may score negative) and tags negative.
+Words that are no content by their markup say nothing about their block, except
+for links in lists, which menus are made of.
 
 Text that is no content by its markup never scores positive and is left out of
 the result even inside the region: scripts, styles, forms, menus, headers and
@@ -53,6 +55,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 OUTSIDE = -1.0
+WORD_FLOOR = 0.5
+LIST_LINKS = frozenset(("li a", "ul a", "ol a", "dl a", "dt a", "dd a"))
 
 
 @dataclass
@@ -211,7 +215,7 @@ class Scores:
         if t.place in ("dropped", "outside"):
             return OUTSIDE * t.words
         score = self.word.get(t.context, self.word_default)
-        return t.words * (max(score, 0.5) if t.place == "marked" else score)
+        return t.words * (max(score, WORD_FLOOR) if t.place == "marked" else score)
 
 
 def counts(page: str) -> Counter:
@@ -223,7 +227,7 @@ def counts(page: str) -> Counter:
         return found
     for t in toks:
         if t.kind == "text":
-            if t.words:
+            if t.words and (t.place in ("marked", "outside") or t.context in LIST_LINKS):
                 found["w " + t.context, t.place == "marked"] += t.words
         else:
             if t.name in MARKS:
@@ -250,7 +254,7 @@ def fit(pages: DataFrame) -> Scores:
     for r in rows:
         odds = math.log((r.inside + 1) / (r.outside + 1))
         if r.key.startswith("w "):
-            scores.word[r.key[2:]] = min(max(odds / 2, -1.0), 2.0)
+            scores.word[r.key[2:]] = min(max(odds / 2, -1.0 if r.key[2:] in LIST_LINKS else WORD_FLOOR), 2.0)
         else:
             scores.tag[r.key[2:]] = min(max(odds / 2, -2.0), -0.05)
     return scores

@@ -63,3 +63,16 @@ def test_scores_are_learned(spark):
     df = spark.createDataFrame([(CASES[0][0],), (CASES[1][0],), (None,), ("no marks",)], "html string")
     scores = M.fit(df)
     assert scores.word["p"] > 0 > scores.word["li a"] and scores.tag["p"] > scores.tag["nav"] and all(v < 0 for v in scores.tag.values())
+
+
+def learned(spark, pages):
+    return M.fit(spark.createDataFrame([(h,) for h in pages], "html string"))
+
+
+def test_unmarked_pages_with_learned_scores(spark):
+    adverts = [page(f'{NAV}<div class="ad">Buy these now please</div><article><h1>Head</h1><p>Some text {i}</p></article>') for i in range(50)]
+    for scores in (learned(spark, adverts), learned(spark, [h for h, _ in CASES])):
+        assert scores.word["li a"] < 0 and all(v > 0 for c, v in scores.word.items() if c != "li a")
+        for i in (2, 11):
+            assert M.extract(CASES[i][0], scores) == CASES[i][1]
+        assert M.extract(page(f"{NAV}<div>{'word ' * 30}<br>{'more ' * 30}</div><div class='ad'>Buy</div>{FOOT}"), scores) == ("word " * 30 + "more " * 30).strip()

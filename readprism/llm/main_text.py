@@ -13,7 +13,8 @@ for links in lists, which menus are made of.
 Text that is no content by its markup never scores positive and is left out of
 the result even inside the region: scripts, styles, forms, menus, headers and
 footers of the page, asides, hidden elements, and containers whose class, id or
-role says advert, notice, sidebar, comments and the like. On a page that marks
+role says advert, notice, sidebar, comments and the like. Such elements score
+nothing, so they do not end the region either. On a page that marks
 its content, words outside the mark score negative.
 
 Result: character references decoded, white space in a block made one space,
@@ -179,6 +180,8 @@ def tokens(page: str) -> list[Token]:
             out.append(Token("open", name, place=place))
             if name not in VOID and name not in RAW and not (text.endswith("/>") and name not in BLOCKS):
                 lost = dropped or _dropped(name, text, in_mark)
+                if lost and not in_mark:
+                    out[-1].place = "dropped"
                 is_mark = name in MARKS and not lost
                 marked |= is_mark
                 stack.append((name, lost, in_mark or is_mark))
@@ -207,12 +210,12 @@ class Scores:
     tag_default: float = -0.5
 
     def of(self, t: Token) -> float:
-        if t.place == "aside":
+        if t.place in ("aside", "dropped"):
             return 0.0  # neither content nor its end
         if t.kind != "text":
             score = self.tag.get(t.name, self.tag_default)
             return max(score, -0.05) if t.place == "marked" else score
-        if t.place in ("dropped", "outside"):
+        if t.place == "outside":
             return OUTSIDE * t.words
         score = self.word.get(t.context, self.word_default)
         return t.words * (max(score, WORD_FLOOR) if t.place == "marked" else score)

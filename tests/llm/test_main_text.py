@@ -76,3 +76,10 @@ def test_unmarked_pages_with_learned_scores(spark):
         for i in (2, 11):
             assert M.extract(CASES[i][0], scores) == CASES[i][1]
         assert M.extract(page(f"{NAV}<div>{'word ' * 30}<br>{'more ' * 30}</div><div class='ad'>Buy</div>{FOOT}"), scores) == ("word " * 30 + "more " * 30).strip()
+
+
+def test_dropped_elements_do_not_split_unmarked_pages():
+    first, last, links = "one " * 200, "last " * 20, "<li><a href='/x'>see this one</a></li>" * 40
+    for box in (f'<div class="related">{"other " * 800}</div>', f"<aside><ul>{links}</ul></aside>", f"<form>{'field ' * 500}</form>", f'<div id="newsletter"><ul>{links}</ul></div>'):
+        html = page(f"{NAV}<div><p>{first}</p>{box}<p>{last}</p></div>{FOOT}")
+        assert M.extract(html, SCORES) == (first + last).strip()

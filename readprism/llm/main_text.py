@@ -55,6 +55,7 @@ HINTS = frozenset(
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile("[\"'>]")
 OUTSIDE = -1.0
 WORD_FLOOR = 0.5
 LIST_LINKS = frozenset(("li a", "ul a", "ol a", "dl a", "dt a", "dd a"))
@@ -83,17 +84,16 @@ def _tag_end(page: str, at: int) -> int:
         return len(page)
     inner = page[at:end]
     if inner.count('"') % 2 or inner.count("'") % 2:
-        quote, i = "", at
-        limit = min(len(page), at + 65536)
-        while i < limit:
-            c = page[i]
-            if quote:
-                quote = "" if c == quote else quote
-            elif c in "\"'" and page[i - 1] in "= \t\n\r":
-                quote = c
-            elif c == ">":
+        stop = _TAG_STOP.search(page, at)
+        while stop:
+            i = stop.start()
+            if page[i] == ">":
                 return i + 1
-            i += 1
+            if page[i - 1] in "= \t\n\r":
+                i = page.find(page[i], i + 1)
+                if i < 0:
+                    break  # the quote never closes
+            stop = _TAG_STOP.search(page, i + 1)
     return end + 1
 
 

@@ -83,3 +83,11 @@ def test_dropped_elements_do_not_split_unmarked_pages():
     for box in (f'<div class="related">{"other " * 800}</div>', f"<aside><ul>{links}</ul></aside>", f"<form>{'field ' * 500}</form>", f'<div id="newsletter"><ul>{links}</ul></div>'):
         html = page(f"{NAV}<div><p>{first}</p>{box}<p>{last}</p></div>{FOOT}")
         assert M.extract(html, SCORES) == (first + last).strip()
+
+
+@pytest.mark.parametrize("size", [10, 70_000, 400_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attributes(quote, size):
+    state = "<b>leak</b> a>b " * (size // 16 + 1)
+    assert M.extract(page(f"<article><p data-state={quote}{state}{quote}>text</p><p>end</p></article>"), SCORES) == "text end"
+    assert M.extract(f"<article><p>text</p><p title={quote}never closed>{'end ' * size}", SCORES) == "text " + ("end " * size).strip()

@@ -4,14 +4,17 @@ A mask of ones and zeros (``SEEDS``) is laid over the words of a text at every
 position; the hash of the words under its ones, with the mask's number, is a
 seed there. Seeds of benchmark items and of documents are joined by equality. A
 copy in which single words are replaced still has seeds in common wherever the
-replaced words lie under zeros.
+replaced words lie under zeros. The masks miss nothing: every stretch of at least
+``SHORTEST`` equal words, three quarters of its words or more, has a seed of one of
+them, wherever its other words are.
 
 Around each hit, on its diagonal (position in the document minus position in the
-item), the words themselves are compared: the best-scoring stretch, ``match`` for
-equal and ``mismatch`` for different words, is the overlap. A document is
-contaminated by an item if an overlap has at least ``min_words`` equal words (or
-``min_share`` of a shorter item) and at least ``min_identity`` of its words are
-equal.
+item), the words themselves are compared. A document is contaminated by an item if a
+stretch has at least ``min_words`` equal words (or ``min_share`` of a shorter item)
+and at least ``min_identity`` of its words are equal. The best-scoring stretch,
+``match`` for equal and ``mismatch`` for different words, is the overlap; if it is
+too short or too different, the stretch with the most equal words among those of
+``min_identity`` is.
 
 At scale: a document's seeds are first held against a bitmap of fixed size built
 from the benchmark's seeds, in the task that reads the text, and only what
@@ -21,8 +24,7 @@ size. Texts are never shuffled.
 
 Words are lower-cased runs without white space and punctuation
 (``words.plain_word_hashes``). Defined results: null and empty texts or items have no seeds. Items
-shorter than the longest mask get seeds by the masks that fit (the shortest is
-one word per one); items of fewer than ``SHORTEST`` words can't be found. Rows
+shorter than the longest mask get seeds by the masks that fit; items of fewer than ``SHORTEST`` words can't be found. Rows
 with a null id take part and keep the null. Repeated rows are reported as one
 (doc_id, item_id). Empty tables give empty results.
 """
@@ -41,10 +43,12 @@ from readprism.llm import words as W
 from readprism.llm.shared import materialize
 
 _U = np.uint64
-SEEDS = ("11101100101111", "1101001110111", "11111111")
+SEEDS = ("111111", "1111011", "11101011", "11010111", "11111001", "100111011", "1100100111", "1110001011", "1101101001", "1010100111")
+SPAN = max(map(len, SEEDS))
 SHORTEST = 8
 CONTEXT = 96
 FILTER_BITS = 27
+SHIFTS = (0, FILTER_BITS)
 
 
 @dataclass(frozen=True)
@@ -58,9 +62,15 @@ class Overlap:
     mismatch: int = -2
 
 
-def seeds(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seed values, positions of their first words) of all rows; windows don't span rows."""
+def _spots(values: np.ndarray, shift: int) -> np.ndarray:
+    """The bits of seeds in the bitmap; each seed has one for each of ``SHIFTS``."""
+    return (values << _U(shift)) >> _U(64 - FILTER_BITS)
+
+
+def seeds(hashes: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(seed values, positions of their first words) of all rows, or those that pass the bitmap; windows don't span rows."""
     ends = np.repeat(bounds[1:], np.diff(bounds))
+    parts = [hashes * W._STEPS[j] for j in range(SPAN)]
     values, places = [], []
     for number, mask in enumerate(SEEDS):
         n = len(hashes) - len(mask) + 1
@@ -69,9 +79,15 @@ def seeds(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         sums = np.full(n, number + 1, np.uint64) * W._STEPS[61]
         for j, bit in enumerate(mask):
             if bit == "1":
-                sums += hashes[j : j + n] * W._STEPS[j]
+                sums += parts[j][j : j + n]
         at = np.flatnonzero(np.arange(n) + len(mask) <= ends[:n])
-        values.append(W.mix(sums[at]))
+        found = W.mix(sums[at])
+        if bitmap is not None:
+            for shift in SHIFTS:
+                spot = _spots(found, shift)
+                keep = np.flatnonzero((bitmap[(spot >> _U(3)).astype(np.int64)] >> (spot & _U(7)).astype(np.uint8)) & 1)
+                found, at = found[keep], at[keep]
+        values.append(found)
         places.append(at)
     if not values:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -104,8 +120,10 @@ def seed_filter(items: DataFrame) -> np.ndarray:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            found = np.asarray(batch.column("seed")).view(np.uint64) >> _U(64 - FILTER_BITS)
-            np.bitwise_or.at(bits, (found >> _U(3)).astype(np.int64), (_U(1) << (found & _U(7))).astype(np.uint8))
+            values = np.asarray(batch.column("seed")).view(np.uint64)
+            for shift in SHIFTS:
+                found = _spots(values, shift)
+                np.bitwise_or.at(bits, (found >> _U(3)).astype(np.int64), (_U(1) << (found & _U(7))).astype(np.uint8))
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bits[used].astype(np.int16))], ["at", "bits"])
 
@@ -128,10 +146,8 @@ def document_regions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         bits = shared.value
         for batch in W.slices(batches, "text"):
             hashes, bounds = W.plain_word_hashes(batch.column("text"))
-            values, places = seeds(hashes, bounds)
-            top = values >> _U(64 - FILTER_BITS)
-            keep = np.flatnonzero((bits[(top >> _U(3)).astype(np.int64)] >> (top & _U(7)).astype(np.uint8)) & 1)
-            order = keep[np.argsort(places[keep], kind="stable")]
+            values, places = seeds(hashes, bounds, bits)
+            order = np.argsort(places, kind="stable")
             values, places = values[order], places[order]
             if not len(places):
                 continue
@@ -141,7 +157,7 @@ def document_regions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             last = np.append(first[1:], len(places)) - 1
             row = rows[first]
             start = np.maximum(places[first] - CONTEXT, bounds[row])
-            end = np.minimum(places[last] + CONTEXT + len(SEEDS[0]), bounds[row + 1])
+            end = np.minimum(places[last] + CONTEXT + SPAN, bounds[row + 1])
             sizes = end - start
             edges = np.concatenate([[0], np.cumsum(sizes)])
             at = np.arange(edges[-1]) - np.repeat(edges[:-1], sizes) + np.repeat(start, sizes)
@@ -172,6 +188,26 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, rule: Overlap
     return lo + start, end - start, int(same[start:end].sum())
 
 
+def widest_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, rule: Overlap) -> tuple[int, int, int]:
+    """As ``best_overlap``, of the stretch with the most equal words (of those the shortest) among all of ``min_identity``."""
+    lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+    if lo >= hi:
+        return lo, 0, 0
+    equal = np.concatenate([[0], np.cumsum(item[lo:hi] == doc[lo + diagonal : hi + diagonal])])
+    excess = np.round(equal - rule.min_identity * np.arange(len(equal)), 9)
+    first = np.searchsorted(-np.minimum.accumulate(excess), -excess)  # the longest stretch before each end
+    ends = np.arange(len(equal))
+    starts = np.minimum(np.searchsorted(equal, equal[first], side="right") - 1, ends)
+    end = int(np.argmax((equal - equal[starts]) * len(equal) - (ends - starts)))
+    start = int(starts[end])
+    return lo + start, end - start, int(equal[end] - equal[start])
+
+
+def counts_as_overlap(n: int, equal: int, item_words: int, rule: Overlap) -> bool:
+    enough = equal >= rule.min_words or equal >= max(SHORTEST, rule.min_share * item_words)
+    return bool(enough and equal >= rule.min_identity * n)
+
+
 def contaminations(docs: DataFrame, items: DataFrame, rule: Overlap | None = None) -> DataFrame:
     """(doc_id, row_key, item_id, doc_start, item_start, n_words, n_equal, item_words): each document's best overlap with each item.
 
@@ -195,8 +231,9 @@ def contaminations(docs: DataFrame, items: DataFrame, rule: Overlap | None = Non
                 doc, one = (batch.column(c)[i].values.to_numpy() for c in ("words", "item"))
                 diagonal, start = batch.column("diagonal")[i].as_py(), batch.column("start")[i].as_py()
                 at, n, equal = best_overlap(doc, one, diagonal, rule)
-                enough = equal >= rule.min_words or equal >= max(SHORTEST, rule.min_share * len(one))
-                if enough and equal >= rule.min_identity * n:
+                if not counts_as_overlap(n, equal, len(one), rule):
+                    at, n, equal = widest_overlap(doc, one, diagonal, rule)
+                if counts_as_overlap(n, equal, len(one), rule):
                     out.append((i, at + diagonal + start, at, n, equal, len(one)))
             rows = pa.array([o[0] for o in out], pa.int64())
             ints = [pa.array([o[j] for o in out], pa.int32()) for j in range(1, 6)]

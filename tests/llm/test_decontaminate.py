@@ -1,5 +1,6 @@
 """Spaced seeds: exact, substituted and partial leaks, and clean documents."""
 
+import itertools
 import random
 
 import numpy as np
@@ -61,3 +62,37 @@ def test_best_overlap_is_maximal():
         at, n, equal = D.best_overlap(doc, item, shift, D.Overlap())
         scores = [0] + [sum(1 if doc[k + shift] == item[k] else -2 for k in range(i, j)) for i in range(12) for j in range(i + 1, 13) if i + shift >= 0 and j + shift <= 20]
         assert equal - 2 * (n - equal) == max(scores)
+
+
+def test_no_accepted_pattern_lacks_a_seed():
+    for n in range(D.SHORTEST, 17):
+        for gaps in itertools.combinations(range(1, n - 1), min(n // 4, n - D.SHORTEST)):
+            item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            doc = item.copy()
+            doc[list(gaps)] += np.uint64(7)
+            one, two = (dict(zip(*map(np.ndarray.tolist, D.seeds(x, np.array([0, n]))))) for x in (item, doc))
+            assert any(two.get(v) == at for v, at in one.items()), (n, gaps)
+
+
+def test_widest_overlap_is_maximal():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        doc, item = (rng.random(20) < 0.25).astype(int), np.zeros(12, int)
+        shift = int(rng.integers(-8, 16))
+        at, n, equal = D.widest_overlap(doc, item, shift, D.Overlap())
+        same = {i: doc[i + shift] == item[i] for i in range(12) if 0 <= i + shift < 20}
+        every = [(0, 0)] + [(sum(same[k] for k in range(i, j)), i - j) for i in same for j in range(i + 1, 13) if j - 1 in same and 4 * sum(same[k] for k in range(i, j)) >= 3 * (j - i)]
+        assert (equal, -n) == max(every) and equal == sum(same[k] for k in range(at, at + n))
+
+
+def test_short_and_evenly_substituted_copies(spark):
+    rng = random.Random(6)
+    items = [text(rng, n) for n in (15, 20, 40, 60, 10, 12)]
+    places = [(2, 12), (4, 9, 14, 19), range(3, 40, 4), range(3, 60, 4), (2, 7), (2, 5, 8)]
+    rows = []
+    for i, (item, gaps) in enumerate(zip(items, places)):
+        copy = [f"changed{k}" if k in gaps else w for k, w in enumerate(item)]
+        rows.append((i, " ".join(text(rng, 30) + copy + text(rng, 30))))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminations(docs, bench).collect()} == {(i, i) for i in range(6)}
+    assert D.decontaminate(docs, bench).count() == 0

@@ -1,4 +1,7 @@
-"""Read relations derived from the driver's tables: the same SQL in Spark and DuckDB."""
+"""Read relations derived from the driver's tables: the same SQL in Spark and DuckDB.
+
+DuckDB's long reads have qualities for 256,000 letters at most; Spark's have one for each letter.
+"""
 
 from __future__ import annotations
 
@@ -26,17 +29,17 @@ select rid, seq, substr(q, 1, length(seq)) as qual from (
   from lineitem) t"""
 
 
-def _long(flag: str) -> str:
+def _long(flag: str, times: str) -> str:
     return f"""
 select rid, seq, substr(q, 1, length(seq)) as qual from (
   select concat('d', cast(doc_id as varchar(20))) as rid, upper(regexp_replace(text, '[^ACGTNacgtn]', ''{flag})) as seq,
-    repeat({_letters('doc_id', _QUALITY)}, 8000) as q
+    repeat({_letters('doc_id', _QUALITY)}, {times}) as q
   from documents) t where length(seq) > 0"""
 
 
 #: Long reads from ``documents``: the letters of each text that are bases.
-LONG = _long("")
-LONG_DUCKDB = _long(", 'g'")
+LONG = _long("", "cast(ceil(length(seq) / 32) as int)")
+LONG_DUCKDB = _long(", 'g'", "8000")
 
 
 def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:

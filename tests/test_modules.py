@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
 from readprism.operators import adapters, composition, kmers, lengths, quality, sequences
+from readprism.plans import relations
 from tests import brute
 
 A0, A3 = B.ADAPTERS[0], B.ADAPTERS[3]
@@ -139,3 +140,10 @@ def test_partitioning_does_not_matter(ready):
     for parts in (1, 7):
         other = ready.repartition(parts)
         assert sorted(map(tuple, kmers.kmer_counts(other).collect())) == sorted(map(tuple, kmers.kmer_counts(ready).collect()))
+
+
+def test_long_reads_have_a_quality_for_each_letter(spark, tmp_path):
+    sizes = {1: 1, 2: 32, 3: 33, 4: 300_001}
+    spark.createDataFrame([(k, "acgt x" * (n // 4) + "a" * (n % 4)) for k, n in sizes.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = relations.long_reads(spark, str(tmp_path)).select("rid", F.length("seq"), F.length("qual")).collect()
+    assert {tuple(r) for r in got} == {(f"d{k}", n, n) for k, n in sizes.items()}

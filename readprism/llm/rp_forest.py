@@ -46,6 +46,9 @@ from readprism.llm.shared import materialize
 
 SAMPLE = 20000
 
+#: Vectors that a task holds of a cell; larger cells are cut into blocks, and queries go to each.
+CELL = 16384
+
 
 @dataclass(frozen=True)
 class Search:
@@ -184,6 +187,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def blocks(forest: Forest, total: int) -> list[np.ndarray]:
+    """The number of blocks of each tree's leaves: ``total`` vectors, spread as the sample, come to ``CELL`` a block at most."""
+    return [np.maximum(1, np.ceil(np.asarray(t.share) * total / CELL)).astype(np.int64) for t in forest.trees]
+
+
 def fit(known: DataFrame, p: Search) -> Forest | None:
     """Fit the forest on a bounded sample of distinct vectors."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -219,53 +227,65 @@ def nearest(vectors: DataFrame, queries: Column, p: Search | None = None) -> Dat
     schema = "query_id long, rank int, vec_id long, score double"
     if forest is None:
         return vectors.sparkSession.createDataFrame([], schema)
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)
+    shared = vectors.sparkSession.sparkContext.broadcast((forest, blocks(forest, known.count())))
     searched = known.select("c1", "c2", "vector").join(asked.select("c1", "c2").distinct(), ["c1", "c2"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
+        forest, parts = shared.value
         for batch in batches:
             points = forest.lift(_matrix(batch.column("vector")))
+            salt = np.asarray(batch.column("c2")).view(np.uint64) >> np.uint64(1)
             for i, tree in enumerate(forest.trees):
+                leaf = tree.leaves(points)
+                part = salt.astype(np.int64) % parts[i][leaf]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(points), i, np.int32)), pa.array(tree.leaves(points).astype(np.int32)), pa.array(np.zeros(len(points), bool)), *[batch.column(c) for c in ("c1", "c2", "vector")]],
-                    ["tree", "leaf", "asks", "c1", "c2", "vector"],
+                    [pa.array(np.full(len(points), i, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.zeros(len(points), bool)), *[batch.column(c) for c in ("c1", "c2", "vector")]],
+                    ["tree", "leaf", "part", "asks", "c1", "c2", "vector"],
                 )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
+        forest, parts = shared.value
         for batch in batches:
             points = forest.lift_query(_matrix(batch.column("vector")))
-            for at in range(0, len(points), 256):
-                cells = [(j, *cell) for j in range(at, min(at + 256, len(points))) for cell in forest.probes(points[j], forest.share)]
-                row = pa.array([c[0] for c in cells])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c[1] for c in cells], pa.int32()), pa.array([c[2] for c in cells], pa.int32()), pa.array(np.ones(len(cells), bool)), *[batch.column(c).take(row) for c in ("c1", "c2", "vector")]],
-                    ["tree", "leaf", "asks", "c1", "c2", "vector"],
-                )
+            held: list[tuple] = []
+            for j in range(len(points)):
+                held += [(j, *cell, part) for cell in forest.probes(points[j], forest.share) for part in range(parts[cell[0]][cell[1]])]
+                if len(held) > 32768 or j == len(points) - 1:
+                    cells, held = np.array(held, np.int32).reshape(-1, 4), []
+                    row = pa.array(cells[:, 0])
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array(cells[:, c]) for c in (1, 2, 3)], pa.array(np.ones(len(cells), bool)), *[batch.column(c).take(row) for c in ("c1", "c2", "vector")]],
+                        ["tree", "leaf", "part", "asks", "c1", "c2", "vector"],
+                    )
 
     item = known.schema["vector"].dataType.simpleString()
-    cell_schema = f"tree int, leaf int, asks boolean, c1 long, c2 long, vector {item}"
+    cell_schema = f"tree int, leaf int, part int, asks boolean, c1 long, c2 long, vector {item}"
     cells = known.select("c1", "c2", "vector").mapInArrow(index, cell_schema).unionByName(searched.mapInArrow(probe, cell_schema))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
-            asks = np.asarray(rows.column("asks"))
-            vectors = _matrix(rows.column("vector").combine_chunks())
-            c1, c2 = np.asarray(rows.column("c1")), np.asarray(rows.column("c2"))
-            own, who = np.flatnonzero(~asks), np.flatnonzero(asks)
-            if not len(own):
+        cell, held, own = None, [], None
+        for now, asks, rows in _runs(batches):
+            if now != cell:
+                cell, held, own = now, [], None
+            if not asks:
+                held.append(rows)
+                continue
+            if not held:
                 continue
-            n = min(p.k + 1, len(own))
-            for at in range(0, len(who), 512):
-                q = who[at : at + 512]
-                near = vectors[q] @ vectors[own].T
-                top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                x, y = np.repeat(q, n), own[top.ravel()]
-                exact = (vectors[x] * vectors[y]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (c1[x], c2[x], c1[y], c2[y], exact)], ["q1", "q2", "c1", "c2", "score"])
-
-    dealt = cells.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf")
+            if own is None:
+                table = pa.Table.from_batches(held)
+                own = _matrix(table.column("vector").combine_chunks()), np.asarray(table.column("c1")), np.asarray(table.column("c2"))
+            vectors, c1, c2 = own
+            n = min(p.k + 1, len(vectors))
+            for at in range(0, len(rows), 512):
+                some = rows.slice(at, 512)
+                q, q1, q2 = _matrix(some.column("vector")), np.asarray(some.column("c1")), np.asarray(some.column("c2"))
+                top = np.argpartition(-(q @ vectors.T), n - 1, axis=1)[:, :n]
+                x, y = np.repeat(np.arange(len(q)), n), top.ravel()
+                exact = (q[x] * vectors[y]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (q1[x], q2[x], c1[y], c2[y], exact)], ["q1", "q2", "c1", "c2", "score"])
+
+    dealt = cells.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "asks")
     pairs = dealt.mapInArrow(rerank, "q1 long, q2 long, c1 long, c2 long, score double").groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score"))
     # Of equal scores the class of the smaller id is the nearer one.
     best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "c1", "c2"))).where(F.col("n") <= p.k + 1)
@@ -276,18 +296,12 @@ def nearest(vectors: DataFrame, queries: Column, p: Search | None = None) -> Dat
     return each.withColumn("rank", place).where(F.col("rank") <= p.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each cell, from batches sorted by (tree, leaf)."""
-    held: list[pa.RecordBatch] = []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """((tree, leaf, part), asks, rows): pieces of batches sorted by cell, a cell's vectors before its queries."""
     for batch in batches:
         if not len(batch):
             continue
-        cell = np.asarray(batch.column("tree")).astype(np.int64) << 32 | np.asarray(batch.column("leaf"))
-        edges = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("tree", "leaf", "part", "asks")])
+        edges = np.append(np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])), len(batch))
         for a, b in zip(edges[:-1], edges[1:]):
-            if held and (held[0].column("tree")[0].as_py(), held[0].column("leaf")[0].as_py()) != (cell[a] >> 32, cell[a] & 0xFFFFFFFF):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+            yield tuple(keys[:3, a].tolist()), bool(keys[3, a]), batch.slice(a, b - a)

@@ -160,3 +160,19 @@ def test_few_neighbours(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0).collect())
     assert got == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (0, 3, 3, -1.0), (20, 1, 0, 1.0), (20, 2, 1, 0.5), (20, 3, 3, -1.0)]
     assert rp_forest.nearest(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)))] + [(400 + i, [1.0] * 8) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>").repartition(3)
+    found, sizes = [], []
+    dealt = rp_forest.blocks
+    for cell in (1 << 20, 4):
+        monkeypatch.setattr(rp_forest, "CELL", cell)
+        monkeypatch.setattr(rp_forest, "blocks", lambda f, n: (sizes.append((f, n, dealt(f, n))), dealt(f, n))[1])
+        found.append(sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0).collect()))
+    assert found[0] == found[1] and len(found[0]) > 400
+    (_, _, one), (forest, n, many) = sizes
+    assert all((x == 1).all() for x in one) and any((x > 1).any() for x in many)
+    assert all((t.share * n / x <= 4 + 1e-9).all() for t, x in zip(forest.trees, many))

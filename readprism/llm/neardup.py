@@ -13,23 +13,31 @@ cost one node. Each class has ``samples`` MinHash values. They serve twice:
   below ``threshold - margin`` are dropped; the margin is over five standard
   errors, so a link is not lost to it.
 
-What is left is confirmed exactly, on the full sets.
-
-Candidates are not all pairs of a bucket. First every member is held against two
-members of its bucket (the least, and the least by a hash that differs between
-bands), and confirmed links are joined to components. Only buckets that still
-hold several components go on: in them, every pair of different components of
-which one is not the bucket's main component is compared in cells of two blocks
-of ``BLOCK`` rows, by sketch and then by full set. No bucket has to fit in one
-task, and a cell returns no more links than it has rows. Pairs within a component
-need no further link: no component is lost by leaving them out.
+What is left is confirmed exactly, on the full sets, in cells of one text and up
+to ``MEMBERS`` others that are held against it.
+
+Candidates are not all pairs of a bucket. First every member is held against its
+bucket's head (the least class number), of its heads first against the one with
+the nearest sketch; then against the others, if that left them in different
+components. Only buckets that still hold several components go on: in them, every
+pair of different components of which one is not the bucket's main component is
+compared by size and sketch, in cells of two blocks of ``BLOCK`` rows. Rows with a
+partner that passes come together once more, with their texts, and a cell
+confirms pairs until it knows its rows to be connected. No bucket has to fit in
+one task, and no step returns more rows than it has. Pairs within a component
+need no further link: no component is lost by leaving them out. A bucket of n
+classes in n components makes (n / BLOCK)^2 cells of sketches; texts go only
+where sketches are alike.
+
+Joins read written tables or plain exchanges on both sides, so that Spark may
+split the rows of a very common key over several tasks.
 
 Defined results: text is lower-cased for A-Z only. No words (or a null text):
 size 0, linked with nothing. Fewer words than a shingle has: the whole sequence
 is the only shingle. Rows with a null id take part; a component's id is its
 least non-null id. Repeated rows are in one component. Empty tables give empty
-results; further columns are ignored by ``near_duplicates`` and kept by
-``deduplicate``.
+results; further columns, whatever their names, are ignored by
+``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -39,15 +47,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readprism.llm import words as W
 from readprism.llm.components import components
-from readprism.llm.shared import materialize
+from readprism.llm.shared import Scratch, apart, materialize
 
 _U = np.uint64
 BLOCK = 512
+MEMBERS = 512
 WORD_BITS = 20
 
 
@@ -138,128 +147,201 @@ def signatures(docs: DataFrame, p: NearDup) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text").mapInArrow(sign, SIGNATURE)
 
 
-def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows (doc_id, row_key, ...) whose bit is set in a bitmap of the wanted ones: all of those, and few others.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id_key, row_key, text): both keys are never null, so that joins on them are plain."""
+    return docs.select(_id_key(F.col("doc_id").cast("long")).alias("id_key"), F.xxhash64("text").alias("row_key"), "text")
+
+
+def _id_key(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id, doc_id.isNull())
+
+
+def _marking(wanted: DataFrame) -> tuple[DataFrame, Column]:
+    """A bitmap of the keys (id_key, row_key) of ``wanted``, and the column to join it by.
 
     The bitmap has at most ``2**WORD_BITS`` words of 64 bits, whatever the number of
-    rows, and so may be broadcast. It only keeps texts out of a shuffle.
+    rows, and so may be broadcast. It only keeps texts out of a shuffle: all wanted
+    rows and a few others pass, and exact joins follow.
     """
-    word = F.shiftrightunsigned(F.col("__spot"), 64 - WORD_BITS)
-    bit = F.expr("shiftleft(1L, cast(__spot & 63 as int))")
-    spots = wanted.select(F.xxhash64("doc_id", "row_key").alias("__spot"))
-    bitmap = spots.select(word.alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
-    placed = rows.withColumn("__spot", F.xxhash64("doc_id", "row_key")).withColumn("__word", word).withColumn("__bit", bit)
-    return placed.join(F.broadcast(bitmap), "__word").where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select(*rows.columns)
+    spot = F.xxhash64("id_key", "row_key")
+    word, bit = F.shiftrightunsigned(spot, 64 - WORD_BITS), F.expr("shiftleft(1L, cast(xxhash64(id_key, row_key) & 63 as int))")
+    return wanted.select(word.alias("mark_word"), bit.alias("bit")).groupBy("mark_word").agg(F.bit_or("bit").alias("mark_bits")), word
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """(node, shingles): the whole sets of the nodes in ``wanted`` (node, doc_id, row_key), from the texts of those rows."""
+def _marked(rows: DataFrame, wanted: DataFrame, *, others: bool = False) -> DataFrame:
+    """The rows that the bitmap of ``wanted`` lets pass, or the others."""
+    bitmap, word = _marking(wanted)
+    bit = F.expr("shiftleft(1L, cast(xxhash64(id_key, row_key) & 63 as int))")
+    hit = F.coalesce(F.col("mark_bits").bitwiseAND(bit) != 0, F.lit(False))
+    placed = rows.withColumn("mark_word", word).join(F.broadcast(bitmap), "mark_word", "left")
+    return placed.where(~hit if others else hit).select(*rows.columns)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id_key, row_key, text) of wanted documents and a few others; rows that repeat are one."""
+    return _marked(_keyed(docs), wanted).groupBy("id_key", "row_key").agg(F.first("text").alias("text"))
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text"):
-            hashes, bounds = W.word_hashes(batch.column("text"), lower=True)
-            values, bounds = W.distinct(*W.windows(hashes, bounds, p.shingle, short=True))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), W.list_array(pa.array(values.view(np.int64)), bounds)], ["node", "shingles"])
 
-    rows = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text"), wanted)
-    ids = wanted.select("node", F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"))
-    chosen = rows.join(ids, rows["doc_id"].eqNullSafe(ids["of_id"]) & (rows["row_key"] == ids["of_key"])).select("node", "text")
-    return chosen.mapInArrow(expand, "node binary, shingles array<long>").dropDuplicates(["node"])
+def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sets (ascending) reach the threshold."""
+    shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+    return 100 * shared >= percent * (len(one) + len(two) - shared)
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
-    """The distinct pairs (u, v) whose odd sketches pass."""
-    sketches = nodes.select("node", "sketch")
-    both = pairs.distinct().join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sketch_u")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("sketch_v")), "v")
-    limit, width = distance_limit(p), p.bits // 8
+    """(u, v, z) of the distinct pairs (u, v) whose sizes and odd sketches pass; z is the population count."""
+    facts = nodes.select("id", "size", "sketch")
+    one, two = (facts.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
+    both = pairs.distinct().join(one, "u").join(two, "v").where(100 * F.least("size_u", "size_v") >= p.percent * F.greatest("size_u", "size_v"))
+    limit, width = distance_limit(p), p.bits // 64
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, width // 8) for c in ("sketch_u", "sketch_v"))
-            keep = pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= limit)
-            yield batch.select(["u", "v"]).filter(keep)
-
-    return both.select("u", "v", "sketch_u", "sketch_v").mapInArrow(near, "u binary, v binary")
+            a, b = (_sketches(batch.column(c), width) for c in ("sketch_u", "sketch_v"))
+            z = np.bitwise_count(a ^ b).sum(axis=1)
+            keep = np.flatnonzero(z <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(keep)), batch.column("v").take(pa.array(keep)), pa.array(z[keep].astype(np.int32))], ["u", "v", "z"])
 
+    return both.select("u", "v", "sketch_u", "sketch_v").mapInArrow(near, "u long, v long, z int")
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "uv")
-    shared = F.size(F.array_intersect("set_u", "set_v")).cast("long")
-    union = F.size("set_u") + F.size("set_v") - shared
-    return pairs.join(one, "u").join(two, "v").where(100 * shared >= p.percent * union).select("u", "v")
 
+def _sketches(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
 
-def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """Each bucket's members against that of the least document id and the least by a hash that differs between bands."""
-    heads = buckets.groupBy("key").agg(F.min_by("node", F.struct("lead", "node")).alias("first"), F.min_by("node", F.xxhash64("node", "key")).alias("second"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = buckets.join(heads, "key")
-    pairs = met.select("node", F.explode(F.array("first", "second")).alias("head")).where("node != head")
-    return pairs.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
 
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDup, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the threshold.
 
-def _rest_links(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    A cell has the text of v and those of up to about ``MEMBERS`` others; texts
+    travel twice, once to meet their pairs and once to their cells.
+    """
+    degree = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    members = pairs.join(degree.withColumnRenamed("v", "w"), apart(F.col("v")) == apart(F.col("w"))).select(F.col("u").alias("id"), "v", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("asks"))
+    heads = degree.select(F.col("v").alias("id"), "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"))
+    where = nodes.select("id", _id_key(F.col("least.doc_id")).alias("id_key"), F.col("least.row_key").alias("row_key"))
+    wanted = scratch.write(members.unionByName(heads).join(where, "id"), "wanted")
+    cells = _texts(docs, wanted).join(wanted, ["id_key", "row_key"]).select(F.xxhash64("v", "block").alias("cell"), "v", "block", "asks", "id", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head = None, np.zeros(0, np.uint64)
+        for batch in W.slices(batches, "text"):
+            values, bounds = W.distinct(*W.windows(*W.word_hashes(batch.column("text"), lower=True), p.shingle, short=True))
+            ids, vs, asks = (batch.column(c).to_pylist() for c in ("id", "v", "asks"))
+            found: list[tuple[int, int]] = []
+            for i in range(len(batch)):
+                own = values[bounds[i] : bounds[i + 1]]
+                if not asks[i]:
+                    at, head = vs[i], own
+                elif at == vs[i] and _linked(own, head, p.percent):
+                    found.append((ids[i], at))
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], ["u", "v"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "v", "block", "asks").mapInArrow(verify, "u long, v long")
+
+
+def _between(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs (u, v, z) of different components."""
+    if roots is None:
+        return pairs
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv")
+    return pairs.join(one, "u", "left").join(two, "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "z")
+
+
+def _joined(pairs: DataFrame, roots: DataFrame | None, nodes: DataFrame, docs: DataFrame, p: NearDup, scratch: Scratch) -> DataFrame | None:
+    """Components (node, root) after confirming ``pairs`` (u, v, z): first each u's nearest v, then all that are still apart."""
+    for last in (False, True):
+        pairs, seen = scratch.measured(_between(pairs, roots), "pairs")
+        if not seen.n:
+            break
+        now = pairs if last else scratch.write(pairs.groupBy("u").agg(F.min_by("v", F.struct("z", "v")).alias("v")), "nearest")
+        links, seen = scratch.measured(_confirmed(now, nodes, docs, p, scratch), "links")
+        pairs = pairs.join(now, ["u", "v"], "left_anti")
+        if seen.n:
+            roots = _more(links, roots, scratch)
+    return roots
+
+
+def _more(links: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Components after more links; the known ones are stars, so few rounds join them with the new links."""
+    return components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), scratch)
+
+
+def _rest_links(buckets: DataFrame, roots: DataFrame | None, nodes: DataFrame, docs: DataFrame, p: NearDup, scratch: Scratch) -> DataFrame:
     """Confirmed links between different components that share a bucket, a spanning part of them.
 
-    A bucket's main component is that of its least root. Rows of it have one home
-    block; all other rows (strays) have a home block too and meet every block.
-    A cell is a block of homes and a block of strays, so its size is bounded. In
-    a cell, pairs are held against each other once (in the first band they
-    share), by sketch and then by full set, until the cell knows them connected.
+    A bucket's main component is that of its head. Rows of it have one home
+    block; all other rows (strays) have a home block too and meet every block. A
+    cell is a block of homes and a block of strays, so its size is bounded. Cells
+    of sketches say which of their rows have a partner at all; cells of those
+    rows, with their texts, hold the pairs against each other by full sets until
+    the cell knows them connected. A pair is compared in the first band it shares.
     """
-    rooted = buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    stats = rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count(F.lit(1)).alias("n")).where("main != other")
-    split = rooted.join(stats, "key").withColumn("stray", F.col("root") != F.col("main"))
-    strays = split.where("stray").groupBy("key").agg(F.count(F.lit(1)).alias("n_stray"))
-    placed = materialize(
-        split.join(strays, "key")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("chunks", F.ceil(F.col("n_stray") / BLOCK).cast("int"))
-        .withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
-        .select("key", "band", "node", "root", "stray", "blocks", "chunks", "home", "chunk"),
-        "placed",
-    )
-    columns = ("key", "band", "node", "root", "cell_home", "cell_chunk", "moved")
-    homes = placed.withColumn("cell_home", F.col("home")).withColumn("cell_chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("moved", F.lit(False))
-    moves = placed.where("stray").withColumn("cell_home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell_chunk", F.col("chunk")).withColumn("moved", F.lit(True))
-    cells = homes.select(*columns).unionByName(moves.select(*columns)).select(F.xxhash64("key", "cell_home", "cell_chunk").alias("cell"), "band", "node", "root", "moved")
-    facts = nodes.join(placed.select("node").distinct(), "node").select("node", "sketch", "bands", F.col("least.doc_id").alias("doc_id"), F.col("least.row_key").alias("row_key"))
-    full = facts.join(_sets_of(facts, docs, p), "node").select("node", "sketch", "bands", "shingles")
+    known = nodes.select("id", F.col("id").alias("root")).where("false") if roots is None else roots.select(F.col("node").alias("id"), "root")
+    heads = known.select(F.col("id").alias("head"), F.col("root").alias("main"))
+    rooted = buckets.join(known, "id", "left").join(heads, "head", "left").select("key", "id", F.coalesce("root", "id").alias("root"), F.coalesce("main", "head").alias("main"))
+    rooted = scratch.write(rooted.withColumn("stray", F.col("root") != F.col("main")), "rooted")
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int"), F.ceil(F.count_if("stray") / BLOCK).cast("int")
+    mixed = rooted.groupBy("key").agg(blocks[0].alias("blocks"), blocks[1].alias("chunks")).where("chunks > 0").withColumnRenamed("key", "mixed")
+    placed = rooted.join(mixed, apart(F.col("key")) == apart(F.col("mixed")))
+    home, chunk = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")
+    homes = placed.select("key", "id", "root", F.lit(False).alias("moved"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    moves = placed.where("stray").select("key", "id", "root", F.lit(True).alias("moved"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("home"), chunk.alias("chunk"))
+    cells = homes.unionByName(moves).select(F.xxhash64("key", "home", "chunk").alias("cell"), "key", "id", "root", "moved")
     limit, width = distance_limit(p), p.bits // 64
 
+    def candidates(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+        """(root labels, flags of strays, for each stray its possible partners, the nearest first) of a cell."""
+        size, moved, key = np.asarray(rows.column("size")), np.asarray(rows.column("moved")), rows.column("key")[0].as_py()
+        label = np.unique(np.asarray(rows.column("root")), return_inverse=True)[1]
+        sketch = _sketches(rows.column("sketch"), width)
+        bands = rows.column("bands").combine_chunks().values.to_numpy().reshape(len(rows), -1)
+        bands = bands[:, : int(np.flatnonzero(bands[0] == key)[0])]
+        home = np.flatnonzero(~moved)
+
+        def partners() -> Iterator[tuple[int, np.ndarray]]:
+            for s in np.flatnonzero(moved):
+                near = home[(label[home] != label[s]) & (100 * np.minimum(size[home], size[s]) >= p.percent * np.maximum(size[home], size[s]))]
+                z = np.bitwise_count(sketch[near] ^ sketch[s]).sum(axis=1)
+                near = near[np.argsort(z, kind="stable")[: int((z <= limit).sum())]]
+                if len(near):
+                    yield s, near[~(bands[near] == bands[s]).any(axis=1)]
+
+        return label, moved, partners()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "cell"):
+            label, _, found = candidates(rows)
+            used = np.zeros(len(label), bool)
+            for s, near in found:
+                used[near] = True
+                used[s] |= len(near) > 0
+            yield from rows.select(["cell", "key", "id", "root", "moved"]).take(pa.array(np.flatnonzero(used))).to_batches()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "cell"):
-            band, moved = rows.column("band")[0].as_py(), np.asarray(rows.column("moved"))
-            node, root = rows.column("node").to_pylist(), rows.column("root").to_pylist()
-            _, label = np.unique(np.array(root, object), return_inverse=True)
-            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, width)
-            bands = rows.column("bands").combine_chunks().values.to_numpy().reshape(len(node), -1)[:, :band]
-            sets: dict[int, np.ndarray] = {}
-
-            def shingles(i: int) -> np.ndarray:
-                if i not in sets:
-                    sets[i] = np.sort(rows.column("shingles")[i].values.to_numpy())
-                return sets[i]
-
-            links = []
-            home = np.flatnonzero(~moved)
-            for s in np.flatnonzero(moved):
-                near = home[(label[home] != label[s]) & (np.bitwise_count(sketch[home] ^ sketch[s]).sum(axis=1) <= limit)]
-                if band and len(near):
-                    near = near[~(bands[near] == bands[s]).any(axis=1)]
+            ids, (label, _, found) = np.asarray(rows.column("id")), candidates(rows)
+            sets: list[np.ndarray] = []
+            for part in rows.select(["text"]).to_batches():
+                for piece in W.slices(iter([part]), "text"):
+                    values, bounds = W.distinct(*W.windows(*W.word_hashes(piece.column("text"), lower=True), p.shingle, short=True))
+                    sets += [values[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+            links: list[tuple[int, int]] = []
+            for s, near in found:
                 for h in near:
-                    if label[h] == label[s]:
-                        continue
-                    a, b = shingles(s), shingles(h)
-                    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                    if 100 * shared >= p.percent * (len(a) + len(b) - shared):
-                        links.append((node[s], node[h]))
+                    if label[h] != label[s] and _linked(sets[s], sets[h], p.percent):
+                        links.append((max(ids[s], ids[h]), min(ids[s], ids[h])))
                         label[label == label[h]] = label[s]
-            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.binary()), pa.array([max(x) for x in links], pa.binary())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([link[j] for link in links], pa.int64()) for j in (0, 1)], ["u", "v"])
 
-    dealt = cells.join(full, "node").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(compare, "u binary, v binary").distinct()
+    facts = nodes.select("id", "size", "sketch", "bands")
+    first = cells.join(facts, "id").repartition("cell").sortWithinPartitions("cell").mapInArrow(find, "cell long, key long, id long, root long, moved boolean")
+    used, seen = scratch.measured(first, "cells")
+    if not seen.n:
+        return nodes.select(F.col("id").alias("u"), F.col("id").alias("v")).where("false")
+    where = nodes.select("id", _id_key(F.col("least.doc_id")).alias("id_key"), F.col("least.row_key").alias("row_key"))
+    wanted = scratch.write(used.select("id").distinct().join(where, "id"), "wanted")
+    texts = _texts(docs, wanted).join(wanted, ["id_key", "row_key"]).select("id", "text")
+    return used.join(facts, "id").join(texts, "id").repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(compare, "u long, v long").distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -278,54 +360,56 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _rooted(docs: DataFrame, p: NearDup) -> DataFrame:
-    """(doc_id, row_key, n_shingles, node, root, n_links): one row per document; ``root`` is its component's least node, null for an empty set."""
-    signed = materialize(signatures(docs, p), "signatures")
-    nodes = materialize(
-        signed.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")),
-        "nodes",
+    """(doc_id, row_key, n_shingles, root): one row per document; ``root`` numbers its component, null for an empty set."""
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.write(signatures(docs, p), "signatures")
+    classes = signed.where("node is not null").groupBy("node").agg(
+        F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")
     )
-    lead = F.coalesce("least.doc_id", F.lit((1 << 63) - 1)).alias("lead")
-    keyed = nodes.select("node", lead, F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = materialize(keyed.join(shared, "key"), "buckets")
-    stars = materialize(_close(_star_pairs(buckets), nodes, p), "pairs")
-
-    ends = stars.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = ends.join(nodes.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.row_key").alias("row_key")), "node")
-    links = materialize(_confirmed(stars, _sets_of(wanted, docs, p), p), "links")
-    roots = components(links)
-    rest = materialize(_rest_links(buckets, roots, nodes, docs, p), "links")
-    if not rest.isEmpty():
-        links = links.unionByName(rest)
-        roots = components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labelled = signed.select("doc_id", "row_key", "n_shingles", "node").join(roots.join(degree, "node", "full"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return materialize(labelled, "labelled")
+    # The numbers hold for this table, as it is written once and read from then on.
+    nodes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of"), "head")
+    buckets, seen = scratch.measured(keyed.join(heads, apart(F.col("key")) == apart(F.col("of"))).drop("of"), "buckets")
+    roots = None
+    if seen.n:
+        stars = _close(buckets.where("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")), nodes, p)
+        roots = _joined(stars, roots, nodes, docs, p, scratch)
+        links, seen = scratch.measured(_rest_links(buckets, roots, nodes, docs, p, scratch), "links")
+        roots = _more(links, roots, scratch) if seen.n else roots
+    numbered = signed.select("doc_id", "row_key", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left")
+    if roots is not None:
+        numbered = numbered.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    else:
+        numbered = numbered.withColumnRenamed("id", "root")
+    found = materialize(numbered.select("doc_id", "row_key", "n_shingles", "root"), "components")
+    scratch.drop()
+    return found
 
 
 def near_duplicates(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
-    """(doc_id, row_key, n_shingles, component_id, n_links): one row per document.
-
-    ``row_key`` is a hash of the text; ``n_links`` counts the confirmed links of
-    the document's class to other classes (a spanning part of all links).
-    """
+    """(doc_id, row_key, n_shingles, component_id): one row per document; ``row_key`` is a hash of the text."""
     grouped = _rooted(docs, p or NearDup())
-    ids = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(ids, "root", "left").select(
-        "doc_id", "row_key", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    ids = materialize(grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    return grouped.join(ids, "root", "left").select("doc_id", "row_key", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
     """``docs`` with one document of each component: that of the least id (null last), ties by a hash of the text.
 
-    Documents without words are kept, one of each (id, text).
+    Documents without words are kept, one of each (id, text). Of rows that repeat
+    in id and text, the one of the least hash of all its columns stays. Only
+    documents that go or repeat (and few others, by a bitmap of bounded size) are
+    shuffled; all others pass the scan untouched.
     """
-    found = _rooted(docs, p or NearDup())
-    alone = F.when(F.col("root").isNull(), F.struct("doc_id", "row_key"))
-    kept = found.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
-    keep = kept.select(F.col("least.doc_id").alias("keep_id"), F.col("least.row_key").alias("keep_key")).distinct()
-    keyed = docs.withColumn("__row_key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(keep["keep_id"]) & (keyed["__row_key"] == keep["keep_key"])
-    return keyed.join(keep, same).dropDuplicates(["doc_id", "__row_key"]).select(*docs.columns)
+    found = _rooted(docs, p or NearDup()).select("doc_id", "row_key", "root", _id_key(F.col("doc_id")).alias("id_key"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "id_key"))
+    keep = materialize(found.where("root is not null").groupBy("root").agg(least.alias("least")).select("least.id_key", "least.row_key"), "keep")
+    copies = found.groupBy("id_key", "row_key").agg(F.count(F.lit(1)).alias("n"), F.first("root").alias("root"))
+    touched = materialize(
+        copies.join(keep.withColumn("kept", F.lit(True)), ["id_key", "row_key"], "left").select("id_key", "row_key", "n", (F.col("root").isNotNull() & F.col("kept").isNull()).alias("goes")).where("goes or n > 1"), "touched"
+    )
+    rows = docs.select(_id_key(F.col("doc_id").cast("long")).alias("id_key"), F.xxhash64("text").alias("row_key"), F.struct("*").alias("row"))
+    untouched = _marked(rows, touched, others=True).select("row")
+    some = _marked(rows, touched).groupBy("id_key", "row_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return untouched.unionByName(some.join(touched.where("goes"), ["id_key", "row_key"], "left_anti").select("row")).select("row.*")

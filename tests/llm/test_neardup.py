@@ -8,6 +8,7 @@ import pytest
 
 from readprism.llm import neardup as N
 from readprism.llm.components import components
+from readprism.llm.shared import Scratch, materialize
 
 
 def sets(text, k):
@@ -61,15 +62,17 @@ def rows():
 @pytest.mark.parametrize("p", [N.NearDup(), N.NearDup(shingle=3, percent=85, bands=16)])
 def test_against_all_pairs(spark, rows, p, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "MEMBERS", 8)
     df = spark.createDataFrame([(k, t, 0, 0) for k, t in rows], "doc_id long, text string, node int, key int").repartition(5)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df, p).collect()), key=str)
     assert got == sorted(brute(rows, p), key=str)
 
 
 def test_deduplicate(spark, rows):
-    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, kept int")
-    kept = N.deduplicate(df)
-    assert kept.columns == df.columns
+    names = ["keep_id", "keep_key", "row", "id_key", "row_key", "root", "goes", "mark_word", "mark_bits", "node", "id", "key", "size", "sketch", "bands", "__row_key"]
+    df = spark.createDataFrame([(k, t, *range(len(names))) for k, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = materialize(N.deduplicate(df), "kept")
+    assert kept.columns == df.columns and kept.schema == df.schema and kept.select(*names).distinct().count() == 1
     found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     components_ = {c for k, n, c in brute(rows, N.NearDup()) if n}
     assert sorted({k for k, t in found if sets(t, 5)}) == sorted(components_)
@@ -104,6 +107,6 @@ def test_sketch_estimates():
 
 
 def test_components(spark):
-    edges = [(b"b", b"a"), (b"c", b"b"), (b"d", b"c"), (b"z", b"y"), (b"x", b"x")] + [(b"h", b"%d" % i) for i in range(50)]
-    got = {bytes(r.node): bytes(r.root) for r in components(spark.createDataFrame(edges, "u binary, v binary")).collect()}
-    assert all(got[n] == b"a" for n in (b"b", b"c", b"d")) and got[b"z"] == b"y" and got[b"h"] == b"0" and b"x" not in got
+    edges = [(2, 1), (3, 2), (4, 3), (26, 25), (24, 24)] + [(8, i) for i in range(100, 150)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
+    assert all(got[n] == 1 for n in (2, 3, 4)) and got[26] == 25 and all(got[i] == 8 for i in range(100, 150)) and not {24, 8, 1} & set(got)

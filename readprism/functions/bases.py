@@ -56,17 +56,6 @@ def n_percent(seq: Column, n: Column) -> Column:
     return F.least(F.floor(percent_rounded(count_of(seq, "N"), n)), F.lit(100)).cast("int")
 
 
-def quality_sum(qual: Column, offset: int) -> Column:
-    """Sum of qualities, each at least 0 and not capped."""
-    scores = F.transform(F.split(qual, ""), lambda c: F.greatest(F.ascii(c) - offset, F.lit(0)))
-    return F.aggregate(scores, F.lit(0).cast("long"), lambda s, q: s + q)
-
-
-def mean_quality(qual: Column, n: Column, offset: int) -> Column:
-    """Mean quality of a read in integers, halves up, at most ``MAX_Q``."""
-    return F.least(F.floor((quality_sum(qual, offset) + _div(n, 2)) / n), F.lit(MAX_Q)).cast("int")
-
-
 def length_bin(n: Column) -> Column:
     return F.least(F.length(n.cast("string")) - 1, F.lit(len(LENGTH_LABELS) - 1))
 

@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
+from readprism.operators import tallies as T
 
 
-def _starts(number: int, adapter: str) -> Column:
-    """For every position of a read: struct(position, adapter, end) where ``adapter`` starts, else null."""
-    size = len(adapter)
-    hit = lambda p: F.struct(p.alias("position"), F.lit(number).alias("adapter"), (p + size).alias("end"))
-    last = F.greatest(F.col("n") - (size - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda p: F.when(F.substr("seq", p, F.lit(size)) == adapter, hit(p)))
+def adapter_counts(reads: DataFrame) -> DataFrame:
+    return T.tallies(reads, kinds=["adapter", "length"])
 
 
-def adapter_hits(reads: DataFrame) -> DataFrame:
-    """(position, adapter): starts of adapters, leftmost first and without overlaps.
-
-    Reads without any adapter are dropped by one regular expression first.
-    """
-    some = reads.where(F.col("seq").rlike("|".join(B.ADAPTERS)))
-    starts = F.filter(F.flatten(F.array(*[_starts(i, a) for i, a in enumerate(B.ADAPTERS)])), lambda h: h.isNotNull())
-    empty = F.array().cast("array<struct<position:int,adapter:int,end:int>>")
-    last_end = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
-    kept = F.aggregate(F.array_sort(starts), empty, lambda acc, h: F.when(h["position"] >= last_end(acc), F.concat(acc, F.array(h))).otherwise(acc))
-    return some.select(F.explode(kept).alias("h")).select("h.position", "h.adapter")
-
-
-def adapter_by_position(reads: DataFrame) -> DataFrame:
-    """(position, a0..a4): percent of reads in which the adapter starts there; a row for each position."""
-    totals = reads.agg(F.count(F.lit(1)).alias("total"), F.max("n").alias("longest"))
-    counts = adapter_hits(reads).groupBy("position").agg(*[F.count_if(F.col("adapter") == i).alias(f"c{i}") for i in range(len(B.ADAPTERS))])
+def adapter_by_position(table: DataFrame) -> DataFrame:
+    """(position, a0..a4): percent of reads in which the adapter starts there; a row for each position. From tallies."""
+    totals = T.of_kind(table, "length").agg(F.sum("cnt").alias("total"), F.max("a").alias("longest"))
+    count = lambda i: F.sum(F.when(F.col("b") == i, F.col("cnt")).otherwise(F.lit(0).cast("long"))).alias(f"c{i}")
+    counts = T.of_kind(table, "adapter").groupBy(F.col("a").alias("position")).agg(*[count(i) for i in range(len(B.ADAPTERS))])
     positions = totals.where("longest is not null").select("total", F.explode(F.sequence(F.lit(1), F.col("longest"))).alias("position"))
     share = lambda i: (F.coalesce(f"c{i}", F.lit(0)) * F.lit(100.0) / F.col("total")).alias(f"a{i}")
     return positions.join(counts, "position", "left").select("position", *[share(i) for i in range(len(B.ADAPTERS))])

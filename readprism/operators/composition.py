@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
+from readprism.operators import tallies as T
 
 
 def basic_stats(reads: DataFrame) -> DataFrame:
@@ -19,14 +20,13 @@ def basic_stats(reads: DataFrame) -> DataFrame:
 
 
 def position_counts(reads: DataFrame, offset: int) -> DataFrame:
-    """(base, b, q, cnt): bases and qualities at each 1-based position.
-
-    It is the one place where reads are exploded into positions; the partial
-    aggregate leaves a few rows for each position before the shuffle.
-    """
-    at = reads.select("seq", "qual", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("base"))
-    quality = F.least(F.greatest(F.ascii(F.substr("qual", F.col("base"), F.lit(1))) - offset, F.lit(0)), F.lit(B.MAX_Q))
-    return at.select("base", F.substr("seq", F.col("base"), F.lit(1)).alias("b"), quality.alias("q")).groupBy("base", "b", "q").agg(F.count(F.lit(1)).alias("cnt"))
+    """(base, b, q, cnt): bases and qualities at each 1-based position; ``*`` stands for other letters."""
+    return positions_of(T.tallies(reads, offset, ["position"]))
+
+
+def positions_of(table: DataFrame) -> DataFrame:
+    """Position counts from tallies."""
+    return T.of_kind(table, "position").select(F.col("a").alias("base"), F.substr(F.lit(T.LETTERS), F.col("b") + 1, F.lit(1)).alias("b"), F.col("c").alias("q"), "cnt")
 
 
 def base_counts(positions: DataFrame) -> DataFrame:

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 7
-BINS = 10
+from readprism.operators import tallies as T
+
 TOP = 50
 WARN, FAIL = 3.0, 5.0
 
 
 def kmer_counts(reads: DataFrame) -> DataFrame:
     """(kmer, bin, cnt): every window of seven bases of A, C, G and T, by tenth of the read."""
-    windows = reads.where(F.col("n") >= K).select("seq", "n", F.explode(F.sequence(F.lit(1), F.col("n") - (K - 1))).alias("p"))
-    kmer = windows.select(F.substr("seq", F.col("p"), F.lit(K)).alias("kmer"), F.least(F.expr(f"p * {BINS} div n"), F.lit(BINS - 1)).cast("int").alias("bin"))
-    counts = kmer.groupBy("kmer", "bin").agg(F.count(F.lit(1)).alias("cnt"))
-    # Windows with other letters are few after aggregation, so the test runs once for each distinct one.
-    return counts.where(F.col("kmer").rlike(f"^[ACGT]{{{K}}}$"))
+    return kmers_of(T.tallies(reads, kinds=["kmer"]))
+
+
+def kmers_of(table: DataFrame) -> DataFrame:
+    """Word counts from tallies: at most 4^7 * 10 rows."""
+    base = lambda j: F.substr(F.lit("ACGT"), F.shiftright("a", 2 * j).bitwiseAND(F.lit(3)) + 1, F.lit(1))
+    return T.of_kind(table, "kmer").select(F.concat(*[base(j) for j in reversed(range(T.K))]).alias("kmer"), F.col("b").alias("bin"), "cnt")
 
 
 def kmer_enrichment(counts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
+from readprism.operators import tallies as T
 
 
 def length_dist(reads: DataFrame) -> DataFrame:
@@ -13,6 +14,11 @@ def length_dist(reads: DataFrame) -> DataFrame:
     return reads.groupBy(F.col("n").alias("length")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def lengths_of(table: DataFrame) -> DataFrame:
+    """(length, cnt) from tallies."""
+    return T.of_kind(table, "length").select(F.col("a").alias("length"), "cnt")
+
+
 def length_bins(reads: DataFrame) -> DataFrame:
     """(bin, label, cnt) for all eight bins, empty ones too."""
     counts = reads.select(B.length_bin(F.col("n")).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"))

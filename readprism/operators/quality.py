@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
+from readprism.operators import tallies as T
 
 SNIFFED_READS = 50_000
 QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "p10": 0.1, "p90": 0.9}
@@ -29,14 +30,20 @@ def per_base_quality(positions: DataFrame) -> DataFrame:
     return ranked.groupBy("base").agg(mean.alias("mean"), *[nearest_rank(s, "q", "running", "total").cast("int").alias(name) for name, s in QUANTILES.items()])
 
 
-def per_seq_quality(reads: DataFrame, offset: int) -> DataFrame:
-    """(mean_q, cnt): reads by rounded mean quality."""
-    return reads.select(B.mean_quality(F.col("qual"), F.col("n"), offset).alias("mean_q")).groupBy("mean_q").agg(F.count(F.lit(1)).alias("cnt"))
+def mean_quality_counts(reads: DataFrame, offset: int) -> DataFrame:
+    return T.tallies(reads, offset, ["quality"])
 
 
-def quality_flags(reads: DataFrame, offset: int) -> DataFrame:
-    """One row: reads, and those of a mean quality below 20."""
-    return reads.select(B.mean_quality(F.col("qual"), F.col("n"), offset).alias("q")).agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("q") < B.LOW_QUALITY).alias("low"))
+def per_seq_quality(table: DataFrame) -> DataFrame:
+    """(mean_q, cnt): reads by rounded mean quality, from tallies."""
+    return T.of_kind(table, "quality").select(F.col("a").alias("mean_q"), "cnt")
+
+
+def quality_flags(table: DataFrame) -> DataFrame:
+    """One row: reads, and those of a mean quality below 20, from tallies."""
+    zero = F.lit(0).cast("long")
+    low = F.sum(F.when(F.col("mean_q") < B.LOW_QUALITY, F.col("cnt")).otherwise(zero))
+    return per_seq_quality(table).agg(F.coalesce(F.sum("cnt"), zero).alias("reads"), F.coalesce(low, zero).alias("low"))
 
 
 def phred_offset(reads: DataFrame) -> DataFrame:

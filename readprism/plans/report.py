@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row
 
 from readprism.functions import bases as B
-from readprism.operators import adapters, composition, kmers, lengths, quality, sequences, verdicts
+from readprism.operators import adapters, composition, kmers, lengths, quality, sequences, tallies, verdicts
+
+#: Tables that others are made from.
+TALLIES, SEQUENCES = "tallies", "sequences"
 
 #: Module keys in report order, by mode.
 MODULES = {
@@ -39,27 +42,41 @@ class Context:
 def module_tables(reads: DataFrame, context: Context) -> dict[str, DataFrame]:
     """The lazy module tables of a run over prepared reads.
 
-    Per-position modules share one aggregate of positions, the two sequence
-    modules one count of sequences. Modules of the other mode are not planned.
+    All histograms come from one pass (``tallies``), the two sequence modules from
+    one count of sequences. Both are cached, and ``release`` gives that up.
+    Modules of the other mode are not planned.
     """
-    offset = context.offset
-    tables = {"basic_stats": composition.basic_stats(reads), "per_seq_quality": quality.per_seq_quality(reads, offset), "per_seq_gc": composition.per_seq_gc(reads)}
+    short = context.mode == "short"
+    counted = tallies.tallies(reads, context.offset, tallies.KINDS if short else ["quality"]).cache()
+    tables = {TALLIES: counted, "basic_stats": composition.basic_stats(reads), "per_seq_quality": quality.per_seq_quality(counted), "per_seq_gc": composition.per_seq_gc(reads)}
     if context.mode == "long":
         return tables | {
             "length_bins": lengths.length_bins(reads), "length_summary": lengths.length_summary(reads), "per_seq_n": composition.per_seq_n(reads),
             "n_flags": composition.n_flags(reads), "adapter_any": adapters.adapter_any(reads),
         }
-    positions = composition.position_counts(reads, offset).cache()
+    positions, words = composition.positions_of(counted), kmers.kmers_of(counted)
     counts = sequences.sequence_counts(reads).cache()
-    words = kmers.kmer_counts(reads).cache()
     return tables | {
+        SEQUENCES: counts,
         "per_base_quality": quality.per_base_quality(positions), "per_base_content": composition.per_base_content(positions), "per_base_n": composition.per_base_n(positions),
-        "quality_flags": quality.quality_flags(reads, offset), "length_dist": lengths.length_dist(reads),
+        "quality_flags": quality.quality_flags(counted), "length_dist": lengths.lengths_of(counted),
         "duplication_levels": sequences.duplication_levels(counts), "overrepresented": sequences.overrepresented(counts), "frequent": sequences.overrepresented(counts, least_percent=0.05),
-        "adapter_by_position": adapters.adapter_by_position(reads), "kmer_content": kmers.enriched_kmers(words), "kmer_enrichment": kmers.kmer_enrichment(words),
+        "adapter_by_position": adapters.adapter_by_position(counted), "kmer_content": kmers.enriched_kmers(words), "kmer_enrichment": kmers.kmer_enrichment(words),
     }
 
 
+def release(tables: Mapping[str, DataFrame]) -> None:
+    """Give up what ``module_tables`` has cached."""
+    for name in {TALLIES, SEQUENCES} & set(tables):
+        tables[name].unpersist()
+
+
+def statuses(tables: dict[str, DataFrame], mode: str) -> dict[str, str]:
+    """Each module's verdict: about ten rows."""
+    found = verdicts.short_verdicts(tables) if mode == "short" else verdicts.long_verdicts(tables)
+    return {r["module"]: r["status"] for r in found.collect()}
+
+
 @dataclass
 class Report:
     """Collected results: rows by table (each bounded by read length or by fixed bins) and a status by module."""
@@ -81,14 +98,14 @@ def run(reads: DataFrame, context: Context) -> Report:
     if ready.isEmpty():
         raise ValueError("input file is empty")
     tables = module_tables(ready, context)
-    if context.mode == "short":
-        statuses = verdicts.short_verdicts(tables)
-    else:
-        statuses = verdicts.long_verdicts(tables)
-    shown = {k: t for k, t in tables.items() if k not in ("frequent", "kmer_enrichment", "quality_flags", "n_flags")}
-    rows = {k: sorted(t.collect(), key=lambda r, k=k: tuple(r[c] for c in _ORDER.get(k, ()))) for k, t in shown.items()}
+    shown = {k: t for k, t in tables.items() if k not in (TALLIES, SEQUENCES, "frequent", "kmer_enrichment", "quality_flags", "n_flags")}
+    try:
+        verdict = statuses(tables, context.mode)
+        rows = {k: sorted(t.collect(), key=lambda r, k=k: tuple(r[c] for c in _ORDER.get(k, ()))) for k, t in shown.items()}
+    finally:
+        release(tables)
     if "overrepresented" in rows:
         rows["overrepresented"].sort(key=lambda r: (-r["cnt"], r["sequence"]))
     if "kmer_content" in rows:
         rows["kmer_content"].sort(key=lambda r: (-r["obs_exp"], r["kmer"]))
-    return Report(context, rows, {r["module"]: r["status"] for r in statuses.collect()})
+    return Report(context, rows, verdict)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
-from readprism.operators import adapters, composition, kmers, lengths, quality, sequences, verdicts
+from readprism.operators import adapters, composition, kmers, lengths, quality, sequences
 from readprism.plans import relations
-from readprism.plans.report import Context, module_tables, run
+from readprism.plans.report import Context, module_tables, release, run, statuses
 from readprism.sinks import text_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,10 @@ def _counted(module: Callable[[DataFrame], DataFrame]) -> Query:
 def _status(mode: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = module_tables((_short if mode == "short" else _long)(spark, sf_dir), Context("reads", "reads", mode))
-        return verdicts.short_verdicts(tables) if mode == "short" else verdicts.long_verdicts(tables)
+        try:
+            return spark.createDataFrame(list(statuses(tables, mode).items()), "module string, status string")
+        finally:
+            release(tables)
 
     return query
 
@@ -61,9 +64,9 @@ def queries() -> dict[str, Query]:
         "per_base_quality": _positions(quality.per_base_quality),
         "per_base_content": _positions(composition.per_base_content),
         "per_base_n": _positions(composition.per_base_n),
-        "per_seq_quality": _on(_short, lambda r: quality.per_seq_quality(r, OFFSET)),
-        "per_seq_quality_long": _on(_long, lambda r: quality.per_seq_quality(r, OFFSET)),
-        "quality_flags": _on(_short, lambda r: quality.quality_flags(r, OFFSET)),
+        "per_seq_quality": _on(_short, lambda r: quality.per_seq_quality(quality.mean_quality_counts(r, OFFSET))),
+        "per_seq_quality_long": _on(_long, lambda r: quality.per_seq_quality(quality.mean_quality_counts(r, OFFSET))),
+        "quality_flags": _on(_short, lambda r: quality.quality_flags(quality.mean_quality_counts(r, OFFSET))),
         "per_seq_gc": _on(_short, composition.per_seq_gc),
         "per_seq_gc_long": _on(_long, composition.per_seq_gc),
         "per_seq_n_long": _on(_long, composition.per_seq_n),
@@ -75,7 +78,7 @@ def queries() -> dict[str, Query]:
         "duplication_levels": _counted(sequences.duplication_levels),
         "overrepresented": _counted(sequences.overrepresented),
         "source_classify": _counted(sequences.source_classes),
-        "adapter_by_position": _on(_short, adapters.adapter_by_position),
+        "adapter_by_position": _on(_short, lambda r: adapters.adapter_by_position(adapters.adapter_counts(r))),
         "adapter_any_long": _on(_long, adapters.adapter_any),
         "kmer_counts": _on(_short, kmers.kmer_counts),
         "kmer_enriched": _on(_short, lambda r: kmers.enriched_kmers(kmers.kmer_counts(r))),

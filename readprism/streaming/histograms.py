@@ -28,7 +28,7 @@ def partial_counts(reads: DataFrame, offset: int) -> DataFrame:
 
     tables = [
         as_state("position", composition.position_counts(reads, offset), "base", F.concat_ws("|", "b", F.col("q").cast("string"))),
-        as_state("per_seq_quality", quality.per_seq_quality(reads, offset), "mean_q"),
+        as_state("per_seq_quality", quality.per_seq_quality(quality.mean_quality_counts(reads, offset)), "mean_q"),
         as_state("per_seq_gc", composition.per_seq_gc(reads), "gc"),
         as_state("per_seq_n", composition.per_seq_n(reads), "n_percent"),
         as_state("length_dist", lengths.length_dist(reads), "length"),

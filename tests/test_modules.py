@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
 from readprism.operators import adapters, composition, kmers, lengths, quality, sequences
+from readprism.operators import tallies as T
 from readprism.plans import relations
 from tests import brute
 
@@ -50,8 +51,8 @@ def test_basic(ready, reads):
 def test_by_read(ready, reads):
     assert as_dict(composition.per_seq_gc(ready), "gc", "cnt") == Counter(brute.percent(s, "GC") for s, _ in reads)
     assert as_dict(composition.per_seq_n(ready), "n_percent", "cnt") == Counter(brute.percent(s, "N") for s, _ in reads)
-    assert as_dict(quality.per_seq_quality(ready, 33), "mean_q", "cnt") == Counter(brute.mean_q(q) for _, q in reads)
-    low = quality.quality_flags(ready, 33).first()
+    assert as_dict(quality.per_seq_quality(quality.mean_quality_counts(ready, 33)), "mean_q", "cnt") == Counter(brute.mean_q(q) for _, q in reads)
+    low = quality.quality_flags(quality.mean_quality_counts(ready, 33)).first()
     assert (low["reads"], low["low"]) == (len(reads), sum(brute.mean_q(q) < 20 for _, q in reads))
     flags = composition.n_flags(ready).first()
     shares = [brute.percent(s, "N") for s, _ in reads]
@@ -90,7 +91,7 @@ def test_sequences(ready, reads):
 
 def test_adapters(ready, reads):
     hits = Counter(h for s, _ in reads for h in brute.adapter_starts(s))
-    got = {(r.position, i): r[f"a{i}"] for r in adapters.adapter_by_position(ready).collect() for i in range(5)}
+    got = {(r.position, i): r[f"a{i}"] for r in adapters.adapter_by_position(adapters.adapter_counts(ready)).collect() for i in range(5)}
     assert len(got) == 1250 * 5
     assert {k: v for k, v in got.items() if v} == {k: c * 100.0 / len(reads) for k, c in hits.items()}
     any_ = adapters.adapter_any(ready).first()
@@ -142,6 +143,33 @@ def test_partitioning_does_not_matter(ready):
         assert sorted(map(tuple, kmers.kmer_counts(other).collect())) == sorted(map(tuple, kmers.kmer_counts(ready).collect()))
 
 
+def test_tallies_in_small_pieces(ready, monkeypatch):
+    batches = ready.select("seq", "qual").toArrow().to_batches()
+
+    def folded():
+        total = Counter()
+        parts = list(T.fold(batches, 33, T.KINDS))
+        for part in parts:
+            for row in part.to_pylist():
+                total[tuple(row[k] for k in ("kind", "a", "b", "c"))] += row["cnt"]
+        return total, len(parts)
+
+    whole, n = folded()
+    monkeypatch.setattr(T, "PIECE", 50)
+    monkeypatch.setattr(T, "HELD", 20)
+    again, more = folded()
+    assert again == whole == {(r.kind, r.a, r.b, r.c): r.cnt for r in T.tallies(ready).collect()} and more > n
+
+
+def test_short_and_null_qualities(spark):
+    rows = [("ACGT", "II"), ("AC", None), ("RY", "")]
+    ready = B.prepared(spark.createDataFrame(rows, "seq string, qual string"))
+    assert sorted(((r.base, r.b, r.q, r.cnt) for r in composition.position_counts(ready, 33).collect())) == sorted([(1, "A", 40, 1), (2, "C", 40, 1), (3, "G", 0, 1), (4, "T", 0, 1), (1, "A", 0, 1), (2, "C", 0, 1), (1, "*", 0, 1), (2, "*", 0, 1)])
+    assert as_dict(quality.per_seq_quality(quality.mean_quality_counts(ready, 33)), "mean_q", "cnt") == {20: 1, None: 1, 0: 1}
+    none = ready.where("false")
+    assert not T.tallies(none).count() and tuple(quality.quality_flags(quality.mean_quality_counts(none, 33)).first()) == (0, 0) and not adapters.adapter_by_position(adapters.adapter_counts(none)).count()
+
+
 def test_long_reads_have_a_quality_for_each_letter(spark, tmp_path):
     sizes = {1: 1, 2: 32, 3: 33, 4: 300_001}
     spark.createDataFrame([(k, "acgt x" * (n // 4) + "a" * (n % 4)) for k, n in sizes.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

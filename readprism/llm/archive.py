@@ -9,8 +9,8 @@ block, says which version's header lines follow:
   Location Offset Filename Archive-length``
 
 The converter parses those lines, cuts blocks by their declared lengths, and
-makes a WARC record for each: record id (a UUID of the record's own bytes and
-header), date (ISO 8601 from 14 digits), type (``response`` for an HTTP block,
+makes a WARC record for each: record id (a UUID of the record's header, payload
+and place in its file), date (ISO 8601 from 14 digits), type (``response`` for an HTTP block,
 ``resource`` for any other), block and payload digests. Records whose payload
 another record already carries become ``revisit`` records: they keep the HTTP
 header, refer to that record, and leave the payload out.
@@ -22,7 +22,8 @@ that Spark reaches will do, commits are atomic and lost tasks run again.
 Defined results: a null payload is empty. A null id stays null (the id header is
 left out); ids need not be unique: with equal ids and payloads, the row that comes
 last in the archive is the response. White space in a url is percent-encoded; a null url is ``-``. Empty
-tables give empty archives and results. A truncated or malformed header raises
+tables give empty archives and results; further columns are ignored. Payloads are
+read and written whole, a file at a time. A truncated or malformed header raises
 ``ValueError`` with the file's name and the offset.
 """
 
@@ -216,9 +217,9 @@ def _sha1(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def record_id(url: str, date: str, key: int | None, digest: bytes) -> str:
-    """A URN that depends on the capture alone, so that converting again gives the same."""
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {date} {key} {digest.hex()}')}>"
+def record_id(url: str, date: str, key: int | None, digest: bytes, place: str) -> str:
+    """A URN of the capture and its place (file and offset) in the archive: converting again gives the same, repeated captures differ."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {date} {key} {digest.hex()} {place}')}>"
 
 
 def warc_record(row: dict) -> str:
@@ -229,14 +230,14 @@ def warc_record(row: dict) -> str:
     kind = "revisit" if refers else "response" if head else "resource"
     block = head if refers else head + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(row['url'], row['date'], row['id'], row['digest'])}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(row['url'], row['date'], row['id'], row['digest'], row['place'])}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {row['url']}", f"WARC-IP-Address: {row['ip']}", f"WARC-Block-Digest: {_sha1(hashlib.sha1(block).digest())}", f"WARC-Payload-Digest: {_sha1(row['digest'])}",
         f"Content-Type: {'application/http; msgtype=response' if head else row['mime']}", f"Content-Length: {len(block)}",
     ]
     if row["id"] is not None:
         lines.append(f"{ID_HEADER}: {row['id']}")
     if refers:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(row['refer_url'], row['refer_date'], row['refer_id'], row['digest'])}", f"WARC-Refers-To-Target-URI: {row['refer_url']}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(row['refer_url'], row['refer_date'], row['refer_id'], row['digest'], row['refer_place'])}", f"WARC-Refers-To-Target-URI: {row['refer_url']}"]
         if row["refer_id"] is not None:
             lines.append(f"{REFERS_HEADER}: {row['refer_id']}")
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block
@@ -275,7 +276,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, file_reco
                 rows = batch.slice(at, 256).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in rows], pa.binary())], ["record"])
 
-    columns = ("id", "url", "date", "mime", "ip", "head", "payload", "digest", "refer_id", "refer_url", "refer_date")
+    columns = ("id", "url", "date", "mime", "ip", "head", "payload", "digest", "place", "refer_id", "refer_url", "refer_date", "refer_place")
     records = marked.select(*columns).mapInArrow(build, "record binary").select(F.col("record").cast("string"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(warc_path)
 

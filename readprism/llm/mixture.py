@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readprism.llm.shared import materialize
+from readprism.llm.shared import free_name, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -108,13 +108,13 @@ def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     The plan has a row for each source, so Spark broadcasts it; with very many
     sources it is a shuffled join.
     """
-    own = plan.select(F.col("source").alias("__source"), "source_size", "target", "epochs", "rest", "cut", "part")
+    own = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", "rest", "cut", "part")
     at = F.struct("key", "doc_id", "text_hash")
     part = F.when(F.col("rest") <= 0, 0).when(F.col("cut").isNull() | (at < F.col("cut")), F.col("size")).when(at == F.col("cut"), F.col("part")).otherwise(0)
     # A null id can't be compared within the struct: such rows come first among equal keys.
     part = F.when((F.col("rest") > 0) & F.col("cut").isNotNull() & (F.col("key") != F.col("cut.key")), F.when(F.col("key") < F.col("cut.key"), F.col("size")).otherwise(0)).otherwise(part)
-    joined = rows.join(own, rows["source"].eqNullSafe(F.col("__source")))
-    return joined.withColumn("taken", (F.col("epochs") * F.col("size") + F.coalesce(part, F.lit(0))).cast("long")).drop("__source", "rest", "cut", "part")
+    joined = rows.join(own, rows["source"].eqNullSafe(F.col("plan_source")))
+    return joined.withColumn("taken", (F.col("epochs") * F.col("size") + F.coalesce(part, F.lit(0))).cast("long")).drop("plan_source", "rest", "cut", "part")
 
 
 def mix(docs: DataFrame, *, quality: Column | None = None, labels: DataFrame | None = None, seed: int = 7, **limits) -> DataFrame:
@@ -137,14 +137,15 @@ def mix(docs: DataFrame, *, quality: Column | None = None, labels: DataFrame | N
 def mixed_documents(docs: DataFrame, *, seed: int = 7, **limits) -> DataFrame:
     """The documents that the mix takes, with their columns, ``epochs`` and ``taken``; quality is ``text_quality``.
 
-    Two scans of the texts and no shuffle of them: the first makes the plan, the
+    If documents have a column ``epochs`` or ``taken``, it stays and the new one is
+    named with ``_`` after it (``shared.free_name``). Two scans of the texts and no shuffle of them: the first makes the plan, the
     second applies it row by row.
     """
     columns = keyed_sizes(docs, text_quality(F.col("text")), seed)
     keyed = materialize(docs.select("doc_id", "source", *columns), "mixture")
-    full = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"), *columns)
+    full = docs.select("doc_id", "source", "text", F.struct("*").alias("row"), *columns)
     chosen = taken(full, sampling_plan(keyed, **limits)).where(F.col("taken") > 0)
-    return chosen.select("__row.*", "epochs", "taken")
+    return chosen.select("row.*", *[F.col(f"`{name}`").alias(free_name(name, docs.columns)) for name in ("epochs", "taken")])
 
 
 def label_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ of symbols, capitals, digits, distinct words and repeated neighbours, and the
 binned number of words.
 
 The model is fitted on a bounded sample of labelled documents (``sample``, those
-of the least hash of their id), on the driver, from features extracted by Spark.
+of the least hash of their id, among ids that documents have), on the driver, from features extracted by Spark.
 Scoring is one pass over all texts; nothing is shuffled.
 
 Defined results: documents without words (null or empty texts too) have grade 0
@@ -20,7 +20,8 @@ with certainty. Labels with a null grade, or of documents that don't exist, are
 not used; a document with several labels counts with its worst. With no labels,
 or labels of one grade only, there is nothing to tell apart: every document with
 words gets that grade (the top grade without labels). Repeated rows are scored
-one by one. Further columns are kept by ``select_quality`` and ignored elsewhere.
+one by one. Further columns, whatever their names, are kept by ``select_quality`` and
+ignored elsewhere. Texts are read whole, of any length.
 """
 
 from __future__ import annotations
@@ -166,13 +167,17 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, sample: int = SAMPLE, n_grades: int = GRADES) -> Model:
-    """Fit on at most ``sample`` rated documents.
+    """Fit on at most ``sample`` rated ids, of those that documents have.
 
-    Their ids are a table of at most that many rows, so broadcasting them is
-    bounded; only their feature slots come to the driver.
+    They are a table of at most that many rows, so broadcasting them is bounded;
+    only feature slots come to the driver. An id that several rows have gives the
+    text of the least hash.
     """
-    ids = ratings.select(F.col("doc_id").alias("rated_id"), "grade").orderBy(F.xxhash64("rated_id"), "rated_id").limit(sample)
-    rated = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("rated_id")).select("grade", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    known = ratings.select(F.col("doc_id").cast("long").alias("id"), "grade").join(texts.select("id"), "id", "left_semi")
+    ids = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    rated = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.first("grade").alias("grade"), one).select("grade", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):

@@ -92,7 +92,8 @@ def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = surrogates.pseudonymize(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    changed = surrogates.pseudonymize(docs, key=surrogates.checked_key(docs, surrogates.session_key(spark)))
     return changed.select("doc_id", F.size("entities").alias("n_entities"), "entities", "text")
 
 

@@ -53,6 +53,14 @@ def apart(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(1).cast("long"))
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or with as many ``_`` after it as no column has (names differ in more than letter case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,10 @@ surrogates, and the same entity gets the same surrogate in every document,
 without any table of entities. Values that would break a type's rules (a listed
 name from an unlisted one, another Luhn verdict) are walked past: the
 permutation is applied again until a permitted value comes, which stays one to
-one. ``collisions`` audits that on the entities found.
+one. ``checked_key`` holds that against all entities of a corpus before it is
+changed, and goes on to a derived key if any two would collide or one would get
+several surrogates. The key is a required argument; ``session_key`` takes it
+from the session's settings.
 
 Types: ``secret`` (assigned tokens, keys, passwords), ``email``, ``iban``, ``ip``,
 ``card``, ``ssn``, ``phone``, ``name``. Formats: separators, letter case,
@@ -18,33 +21,40 @@ letter within vowels and consonants of their script and keep their last letter.
 
 Defined results: null and empty texts stay as they are; a text without entities
 is returned unchanged; texts are searched whole. Rows are independent, so
-repeats, null ids and further columns don't matter. An empty table stays empty.
+repeats, null ids and further columns, whatever their names, don't matter. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = b"readprism surrogates, replace in production"
+from readprism.llm.shared import free_name
+
+KEY_SETTING = "spark.readprism.surrogateKey"
 ROUNDS = 8
 
 GIVEN = {
     ("latin", "f"): "Alice Anna Carmen Charlotte Claire Elena Elisabeth Emma Frieda Hannah Ingrid Isabel Julia Katharina Laura Linda Lucia Margaret Maria Mary Nina Olivia Patricia Sarah Sofia Susan Ursula".split(),
     ("latin", "m"): "Alexander Andreas Antonio Carlos Charles Daniel David Edward Francisco George Hans Henry Jacques James John Joseph Juan Karl Louis Manuel Michael Miguel Paul Peter Pierre Robert Thomas William".split(),
     ("cyrillic", "f"): "Анна Вера Галина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
+    ("greek", "f"): "Άννα Ελένη Κατερίνα Μαρία Σοφία".split(),
+    ("greek", "m"): "Γιώργος Δημήτρης Κώστας Νίκος Παύλος".split(),
     ("cyrillic", "m"): "Александр Андрей Борис Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
 TITLES = {
-    "f": "Mrs Ms Miss Madam Madame Mme Frau Señora Sra г-жа госпожа".split(),
-    "m": "Mr Sir Monsieur Herr Señor г-н господин".split(),
+    "f": "Mrs Ms Miss Madam Madame Mme Frau Señora Sra г-жа госпожа κυρία".split(),
+    "m": "Mr Sir Monsieur Herr Señor г-н господин κύριος".split(),
     "": "Dr Prof".split(),
 }
 _ALPHABETS = {
@@ -143,6 +153,9 @@ def _refill(model: str, digits: str) -> str:
 
 
 def _secret(key: bytes, text: str) -> str:
+    issuer = _ISSUER.match(text)
+    if issuer:
+        return issuer[0] + _secret(key, text[issuer.end() :]) if issuer.end() < len(text) else text
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         moved = permute_text(key, "hex", text.lower(), lambda c: "0123456789abcdef")
         return moved.upper() if text.upper() == text and text.lower() != text else moved
@@ -175,6 +188,11 @@ def _ip(key: bytes, text: str) -> str:
     def step(octets: str) -> str:
         return ".".join(map(str, permute(key, "ip", [int(o) for o in octets.split(".")], [256] * 4)))
 
+    if ":" in text:
+        groups = [int(g, 16) for g in ipaddress.IPv6Address(text).exploded.split(":")]
+        moved = permute(key, f"ipv6|{groups[0]}", groups[1:], [65536] * 7)
+        out = ipaddress.IPv6Address(":".join(f"{g:x}" for g in [groups[0], *moved])).compressed
+        return out.upper() if text.upper() == text and text.lower() != text else out
     plain = ".".join(str(int(o)) for o in text.split("."))
     return walk(step, plain, fits if fits(plain) else lambda x: not fits(x))
 
@@ -246,12 +264,15 @@ MAKERS: dict[str, Callable[[bytes, str], str]] = {"secret": _secret, "email": _e
 
 # --- detection ---------------------------------------------------------------
 
-_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ", "a-zß-öø-ÿа-яёα-ωά-ώ"
 _NAME_WORD = f"[{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?"
 _SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|secret[_-]?key)\s*[=:]\s*(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([A-Za-z0-9_+/=-]{16,}))")
 _EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{4,39}(?![\w:]|\.\d)")
+_ISSUER = re.compile(r"AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{16,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9_-])")
 _CARD = re.compile(r"(?<![\w+.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w|[.-]\d)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{9,14})(?!\w|[.-]\d)")
@@ -261,6 +282,15 @@ _GIVEN = re.compile(rf"(?<!\w)(?:{'|'.join(n for names in GIVEN.values() for n i
 _HINT = re.compile(r"[0-9@]")
 
 
+def _is_ipv6(text: str) -> bool:
+    """Whether it is an address with at least two groups of digits (``::1`` and the like are no one's)."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return len([g for g in text.split(":") if g]) > 2
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) of entities, in order and without overlaps; the type that comes first wins."""
     spans: list[tuple[int, int, str]] = []
@@ -275,11 +305,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if any(w in low for w in ("token", "secret", "passw", "pwd", "key")):
         add(_SECRET, "secret")
+    if any(x in text for x in ("AKIA", "gh", "xox", "sk-", "eyJ")):
+        add(_ISSUED, "secret")
     if _HINT.search(text):
         if "@" in text:
             add(_EMAIL, "email")
         add(_IBAN, "iban", lambda x: 15 <= len(x.replace(" ", "")) <= 34)
         add(_IP, "ip")
+        if "::" in text or text.count(":") > 6:
+            add(_IPV6, "ip", _is_ipv6)
         add(_CARD, "card", lambda x: 13 <= len(re.sub(r"\D", "", x)) <= 19)
         add(_SSN, "ssn")
         add(_PHONE, "phone", lambda x: 7 <= len(re.sub(r"\D", "", x)) <= 15)
@@ -288,24 +322,30 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans)
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
+def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
     """The text with surrogates, and what was replaced: type, span in the original, keyed tag of the entity, surrogate."""
     out, entities, at = [], [], 0
     for a, b, kind in find(text):
         surrogate = MAKERS[kind](key, text[a:b])
-        tag = hmac.new(key, f"{kind}|{identity(kind, text[a:b])}".encode(), hashlib.sha256).hexdigest()[:32]
-        entities.append({"type": kind, "start": a, "end": b, "tag": tag, "surrogate": surrogate})
+        entities.append({"type": kind, "start": a, "end": b, "tag": tag_of(key, kind, text[a:b]), "surrogate": surrogate})
         out += [text[at:a], surrogate]
         at = b
     return "".join([*out, text[at:]]), entities
 
 
+def tag_of(key: bytes, kind: str, value: str) -> str:
+    """A keyed tag of an entity: equal for mentions of the same one."""
+    return hmac.new(key, f"{kind}|{identity(kind, value)}".encode(), hashlib.sha256).hexdigest()[:32]
+
+
 def identity(kind: str, value: str) -> str:
     """What makes two mentions the same entity: letter case and separators don't."""
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", value)
     if kind == "phone":
         return re.sub(r"[^\d+]", "", value)
+    if kind == "ip" and ":" in value:
+        return ipaddress.IPv6Address(value).exploded
     if kind == "ip":
         return ".".join(str(int(o)) for o in value.split("."))
     return value.replace(" ", "").upper() if kind == "iban" else value if kind == "secret" else value.lower()
@@ -314,7 +354,7 @@ def identity(kind: str, value: str) -> str:
 ENTITIES = "array<struct<type:string,start:int,end:int,tag:string,surrogate:string>>"
 
 
-def surrogates(text: Column, key: bytes = KEY) -> Column:
+def surrogates(text: Column, key: bytes) -> Column:
     """struct(text, entities); the text is null where nothing was replaced, so unchanged texts don't travel back."""
 
     @F.pandas_udf(f"text string, entities {ENTITIES}")
@@ -326,17 +366,52 @@ def surrogates(text: Column, key: bytes = KEY) -> Column:
     return change(text)
 
 
-def pseudonymize(docs: DataFrame, *, key: bytes = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and a column ``entities`` (hidden name if taken: the last column).
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the setting ``KEY_SETTING`` has; without it, a random one that is set for the rest of the session."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found.encode()
+
+
+def pseudonymize(docs: DataFrame, *, key: bytes) -> DataFrame:
+    """``docs`` with surrogates in ``text`` and a last column ``entities`` (``shared.free_name`` if that name is taken).
 
     One projection; nothing is shuffled.
     """
-    found = docs.withColumn("__found", surrogates(F.col("text"), key))
-    columns = [F.coalesce("__found.text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns, F.col("__found.entities").alias("entities"))
+    packed = docs.select(F.struct("*").alias("row"), surrogates(F.col("text"), key).alias("found"))
+    columns = [F.coalesce("found.text", "row.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return packed.select(*columns, F.col("found.entities").alias(free_name("entities", docs.columns)))
+
 
+def collisions(docs: DataFrame, key: bytes) -> DataFrame:
+    """(type, what, tag, n): surrogates that stand for several entities, and entities with several surrogates, over all of ``docs``.
+
+    Mentions are compared by what makes them the same entity (``identity``), in
+    the original and in the surrogate. Each task passes on what is distinct in
+    its batches, as keyed tags, so an entity that very many documents name is a
+    few rows.
+    """
 
-def collisions(found: DataFrame) -> DataFrame:
-    """Surrogates that stand for several entities: (type, surrogate, n); empty unless something is wrong."""
-    each = found.select(F.explode("entities").alias("e")).select("e.type", "e.tag", F.lower(F.regexp_replace("e.surrogate", r"[\s().-]", "")).alias("surrogate"))
-    return each.distinct().groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = set()
+            for text in batch.column("text"):
+                if text.is_valid:
+                    seen |= {(e["type"], e["tag"], tag_of(key, e["type"], e["surrogate"])) for e in replace(text.as_py(), key)[1]}
+            rows = sorted(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(3)], ["type", "entity", "surrogate"])
+
+    each = docs.select("text").mapInArrow(pairs, "type string, entity string, surrogate string").distinct()
+    sides = each.select("type", F.explode(F.array(F.struct(F.lit("surrogate").alias("what"), F.col("surrogate").alias("tag")), F.struct(F.lit("entity").alias("what"), F.col("entity").alias("tag")))).alias("s"))
+    return sides.groupBy("type", "s.what", "s.tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def checked_key(docs: DataFrame, key: bytes, *, tries: int = 8) -> bytes:
+    """``key``, or the first of a row of keys derived from it, under which ``docs`` have no collisions."""
+    for i in range(tries):
+        tried = key if i == 0 else hmac.new(key, str(i).encode(), hashlib.sha256).digest()
+        if collisions(docs, tried).isEmpty():
+            return tried
+    raise ValueError(f"surrogates collide under {tries} keys")

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from readprism.llm import archive as A
 
@@ -40,9 +41,17 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "u", BIG)] * 4, "id long, url string, payload string")
     got = A.archive_round_trip(df).collect()
     assert sorted(r.record_type for r in got) == ["response", "revisit", "revisit", "revisit"]
+    assert len({r.record_id for r in got}) == 4 and {r.refers_to_record for r in got if r.refers_to_record} == {r.record_id for r in got if r.record_type == "response"}
     assert A.archive_round_trip(df.where("id < 0")).count() == 0
 
 
+def test_very_long_payload_and_clashing_columns(spark):
+    big = "<p>" + "é" * 3_000_000
+    df = spark.createDataFrame([(1, "u", big, "x"), (2, "u", big, "y")], "id long, url string, payload string, place string").withColumn("digest", F.lit(1)).withColumn("refer_id", F.lit(2))
+    got = {r.id: r for r in A.archive_round_trip(df, version=2).collect()}
+    assert got[1].record_type == "revisit" and got[1].refers_to == 2 and got[2].payload_bytes == got[1].payload_bytes == 6_000_003
+
+
 def test_foreign_arc():
     v1 = b"filedesc://x.arc 0.0.0.0 19970101000000 text/plain 76\n1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n" + b" " * 0
     body = b"1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n"
@@ -50,7 +59,7 @@ def test_foreign_arc():
     one = b"http://a/ 1.2.3.4 19970102030405 text/html 5\nhello\n" + b"dns:b 0.0.0.0 19970102030405 text/dns 3\na\nb\n"
     got = list(A.arc_records(A.inflate(gzip.compress(v1) + gzip.compress(one))))
     assert [(r.url, r.block, r.date) for r in got] == [("http://a/", b"hello", "19970102030405"), ("dns:b", b"a\nb", "19970102030405")]
-    row = {"id": None, "url": "dns:b", "date": got[1].date, "mime": "text/dns", "ip": "0.0.0.0", "head": b"", "payload": b"a\nb", "digest": hashlib.sha1(b"a\nb").digest(), "refer_url": None}
+    row = {"id": None, "url": "dns:b", "date": got[1].date, "mime": "text/dns", "ip": "0.0.0.0", "head": b"", "payload": b"a\nb", "place": "x:1", "digest": hashlib.sha1(b"a\nb").digest(), "refer_url": None}
     (head, block), = A.warc_records(A.warc_record(row) + b"\r\n\r\n")
     assert b"WARC-Type: resource" in head and b"WARC-Date: 1997-01-02T03:04:05Z" in head and block == b"a\nb"
 

@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from readprism.llm import ordinal as O
+from readprism.llm.shared import materialize
 
 GOOD, BAD, WORSE = ("calm clear plain kind fair".split(), "nasty vile".split(), "$$$ ### %%%".split())
 
@@ -57,6 +60,23 @@ def test_selection_keeps_columns_and_repeats(spark, tables):
     assert kept.where("text is null or trim(text) = ''").count() == 0
 
 
+def test_clashing_columns_and_long_texts(spark, tables):
+    _, docs, labels = tables
+    more = docs.withColumns({c: F.lit(1) for c in ("grade", "rated_id", "id", "slots", "tail", "expected_grade", "c0", "c1")})
+    kept = materialize(O.select_quality(more, labels.withColumn("text", F.lit("x"))), "kept")
+    assert kept.columns == more.columns and 0 < kept.count() < docs.count()
+    model = O.train(docs, O.graded(labels))
+    long = spark.createDataFrame([(1, "good words " * 400_000)], "doc_id long, text string")
+    assert 0 <= O.score(long, model, "doc_id").first().tail <= 1
+
+
+def test_labels_of_missing_documents_take_no_place(tables):
+    _, docs, labels = tables
+    missing = labels.select((F.col("doc_id") + 10**9).alias("doc_id"), "quality", "toxic")
+    one, two = (O.train(docs, O.graded(x), sample=40) for x in (labels, labels.unionByName(missing)))
+    assert np.allclose(one.thresholds, two.thresholds)
+
+
 def test_same_result_again(tables):
     _, docs, labels = tables
     one, two = (O.train(docs.repartition(n), O.graded(labels)) for n in (2, 5))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readprism.llm import mixture, rp_forest, substring_dedup, url_filter
+from readprism.llm.shared import materialize
 
 # --- urls ----------------------------------------------------------------------
 
@@ -82,8 +83,10 @@ def test_quality_prefers(spark):
     got = mixture.mix(df, labels=labels, budget=0.5).collect()
     share = sum(r.taken for r in got if r.doc_id % 2) / sum(r.taken for r in got)
     assert 0.65 < share < 0.9 and sum(r.taken for r in got) == 10_000
-    full = mixture.mixed_documents(df.withColumn("taken", F.lit("x")).drop("taken"))
-    assert full.agg(F.sum("taken")).first()[0] == 30_000
+    clash = df.withColumns({c: F.lit("x") for c in ("taken", "epochs", "row", "key", "size", "target", "rest", "cut", "part", "s", "text_hash", "plan_source")})
+    full = materialize(mixture.mixed_documents(clash), "mixed")
+    assert full.columns == [*clash.columns, "epochs_", "taken_"] and full.agg(F.sum("taken_")).first()[0] == 30_000
+    assert full.select(*clash.columns[3:]).distinct().collect() == [("x",) * 12]
 
 
 # --- substrings ----------------------------------------------------------------

@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's documents. All but the last return
 the columns of ``documents``.
+
+Defined results: documents with a null or empty text, or without words, are
+rejected by the classifier, so later stages see none. Null ids and sources are
+values of their own. Of rows that repeat in id and text one stays; of near
+duplicates the one of the least id (null last), ties by a hash of the text.
+Further columns, whatever their names, pass all stages; if documents have a
+column ``epochs`` or ``taken``, the mix's own is named with ``_`` after it. Texts
+of any length are read whole. Empty documents give an empty mix; without labels
+all documents with words are good, and an empty benchmark removes none.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readprism.llm import decontaminate, mixture, neardup, ordinal, surrogates
-from readprism.llm.shared import materialize, table
+from readprism.llm.shared import free_name, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +39,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data; ``n_chars`` follows the new text."""
-    changed = surrogates.pseudonymize(docs).drop("entities")
+    """All documents, with surrogates for personal data under the session's key; ``n_chars`` follows the new text."""
+    key = surrogates.checked_key(docs, surrogates.session_key(spark))
+    changed = surrogates.pseudonymize(docs, key=key).drop(free_name("entities", docs.columns))
     return changed.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else changed
 
 

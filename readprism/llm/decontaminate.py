@@ -8,25 +8,30 @@ replaced words lie under zeros. The masks miss nothing: every stretch of at leas
 ``SHORTEST`` equal words, three quarters of its words or more, has a seed of one of
 them, wherever its other words are.
 
-Around each hit, on its diagonal (position in the document minus position in the
-item), the words themselves are compared. A document is contaminated by an item if a
-stretch has at least ``min_words`` equal words (or ``min_share`` of a shorter item)
-and at least ``min_identity`` of its words are equal. The best-scoring stretch,
-``match`` for equal and ``mismatch`` for different words, is the overlap; if it is
-too short or too different, the stretch with the most equal words among those of
-``min_identity`` is.
+Items of fewer than ``SHORTEST`` words have one seed, their whole sequence: those
+of ``FEW`` words or more are found wherever they stand whole and unchanged, shorter
+ones where they are a whole document.
+
+Around hits, within the length of the longest item, the words themselves are
+compared, on every diagonal (position in the document minus position in the item)
+with enough equal words. A document is contaminated by an item if a stretch has at
+least ``min_words`` equal words (or ``min_share`` of a shorter item) and at least
+``min_identity`` of its words are equal. The best-scoring stretch, ``match`` for equal
+and ``mismatch`` for different words, is the overlap; if it is too short or too
+different, the stretch with the most equal words among those of ``min_identity`` is.
 
 At scale: a document's seeds are first held against a bitmap of fixed size built
 from the benchmark's seeds, in the task that reads the text, and only what
 passes leaves that task, as regions of word hashes around it. The bitmap only
 saves work; the join of seeds is a join of two tables, whatever the benchmark's
-size. Texts are never shuffled.
+size. It makes a row for each region and item that share seeds, however often they
+do; words join those pairs afterwards. Texts are never shuffled.
 
 Words are lower-cased runs without white space and punctuation
-(``words.plain_word_hashes``). Defined results: null and empty texts or items have no seeds. Items
-shorter than the longest mask get seeds by the masks that fit; items of fewer than ``SHORTEST`` words can't be found. Rows
+(``words.plain_word_hashes``). Defined results: null and empty texts or items have no seeds. Rows
 with a null id take part and keep the null. Repeated rows are reported as one
-(doc_id, item_id). Empty tables give empty results.
+(doc_id, item_id). Empty tables give empty results. Further columns, whatever their
+names, are kept by ``decontaminate`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ _U = np.uint64
 SEEDS = ("111111", "1111011", "11101011", "11010111", "11111001", "100111011", "1100100111", "1110001011", "1101101001", "1010100111")
 SPAN = max(map(len, SEEDS))
 SHORTEST = 8
-CONTEXT = 96
+FEW = 5
 FILTER_BITS = 27
 SHIFTS = (0, FILTER_BITS)
 
@@ -67,51 +72,58 @@ def _spots(values: np.ndarray, shift: int) -> np.ndarray:
     return (values << _U(shift)) >> _U(64 - FILTER_BITS)
 
 
-def seeds(hashes: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(seed values, positions of their first words) of all rows, or those that pass the bitmap; windows don't span rows."""
+def _places(hashes: np.ndarray, bounds: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed values, positions) of one mask at every position where it fits into its row."""
+    n = len(hashes) - len(mask) + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sums = np.full(n, number, np.uint64) * W._STEPS[61]
+    for j, bit in enumerate(mask):
+        if bit == "1":
+            sums += hashes[j : j + n] * W._STEPS[j]
     ends = np.repeat(bounds[1:], np.diff(bounds))
-    parts = [hashes * W._STEPS[j] for j in range(SPAN)]
+    at = np.flatnonzero(np.arange(n) + len(mask) <= ends[:n])
+    return W.mix(sums[at]), at
+
+
+def seeds(hashes: np.ndarray, bounds: np.ndarray, whole: tuple[int, ...], *, items: bool = False, bitmap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(seed values, positions of their first words) of all rows, or those that pass the bitmap; windows don't span rows.
+
+    ``whole`` has the lengths of short items. Of ``items``, short ones have only
+    their whole sequence and others only the masks' seeds.
+    """
+    size = np.repeat(np.diff(bounds), np.diff(bounds))
     values, places = [], []
-    for number, mask in enumerate(SEEDS):
-        n = len(hashes) - len(mask) + 1
-        if n <= 0:
-            continue
-        sums = np.full(n, number + 1, np.uint64) * W._STEPS[61]
-        for j, bit in enumerate(mask):
-            if bit == "1":
-                sums += parts[j][j : j + n]
-        at = np.flatnonzero(np.arange(n) + len(mask) <= ends[:n])
-        found = W.mix(sums[at])
-        if bitmap is not None:
-            for shift in SHIFTS:
-                spot = _spots(found, shift)
-                keep = np.flatnonzero((bitmap[(spot >> _U(3)).astype(np.int64)] >> (spot & _U(7)).astype(np.uint8)) & 1)
-                found, at = found[keep], at[keep]
+    for number, mask in [*((i + 1, mask) for i, mask in enumerate(SEEDS)), *((100 + w, "1" * w) for w in whole)]:
+        found, at = _places(hashes, bounds, mask, number)
+        if number > 100 and (items or len(mask) < FEW):
+            keep = size[at] == len(mask)
+        else:
+            keep = size[at] >= (SHORTEST if items else 0)
+        found, at = found[keep], at[keep]
+        for shift in SHIFTS if bitmap is not None else ():
+            spot = _spots(found, shift)
+            keep = np.flatnonzero((bitmap[(spot >> _U(3)).astype(np.int64)] >> (spot & _U(7)).astype(np.uint8)) & 1)
+            found, at = found[keep], at[keep]
         values.append(found)
         places.append(at)
-    if not values:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(values), np.concatenate(places)
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, row_key, words, seeds array<struct<seed, at>>) of each benchmark item."""
+    """(item_id, words, seeds array<long>) of each benchmark item with words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             hashes, bounds = W.plain_word_hashes(batch.column("text"))
-            values, places = seeds(hashes, bounds)
-            order = np.argsort(places, kind="stable")
-            values, places = values[order], places[order]
-            edges = np.searchsorted(places, bounds)
-            local = places - np.repeat(bounds[:-1], np.diff(edges))
-            pairs = pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array(local.astype(np.int32))], ["seed", "at"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), batch.column("row_key"), W.list_array(pa.array(hashes.view(np.int64)), bounds), W.list_array(pairs, edges)], ["item_id", "row_key", "words", "seeds"]
-            )
+            values, places = seeds(hashes, bounds, tuple(range(1, SHORTEST)), items=True)
+            rows = np.searchsorted(bounds, places, side="right") - 1
+            order = np.argsort(rows, kind="stable")
+            found, edges = W.distinct(values[order], np.searchsorted(rows[order], np.arange(len(bounds))))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), W.list_array(pa.array(hashes.view(np.int64)), bounds), W.list_array(pa.array(found.view(np.int64)), edges)], ["item_id", "words", "seeds"])
 
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("row_key"), "text")
-    return rows.mapInArrow(cut, "item_id long, row_key long, words array<long>, seeds array<struct<seed:long,at:int>>")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.mapInArrow(cut, "item_id long, words array<long>, seeds array<long>").where(F.size("words") > 0)
 
 
 def seed_filter(items: DataFrame) -> np.ndarray:
@@ -127,18 +139,18 @@ def seed_filter(items: DataFrame) -> np.ndarray:
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bits[used].astype(np.int16))], ["at", "bits"])
 
-    used = items.select(F.explode("seeds.seed").alias("seed")).mapInArrow(fold, "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    used = items.select(F.explode("seeds").alias("seed")).mapInArrow(fold, "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     bits[used["at"].to_numpy(np.int64)] = used["bits"].to_numpy(np.uint8)
     return bits
 
 
-def document_regions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Regions of documents around seeds that pass the bitmap.
+def document_regions(docs: DataFrame, bitmap: np.ndarray, context: int, whole: tuple[int, ...]) -> DataFrame:
+    """Regions of documents around seeds that pass the bitmap: (doc_id, row_key, start int, n_doc int, words array<long>, seeds array<long>).
 
-    (doc_id, row_key, start int, words array<long>, seeds array<struct<seed, at>>):
-    ``start`` is the word position of the region in its document and ``at`` is
-    within the region. Hits less than ``CONTEXT`` words apart share a region.
+    ``start`` is the word position of the region in its document of ``n_doc``
+    words. A region reaches ``context`` words beyond its hits; hits less than twice
+    that apart share one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -146,33 +158,32 @@ def document_regions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         bits = shared.value
         for batch in W.slices(batches, "text"):
             hashes, bounds = W.plain_word_hashes(batch.column("text"))
-            values, places = seeds(hashes, bounds, bits)
+            values, places = seeds(hashes, bounds, whole, bitmap=bits)
             order = np.argsort(places, kind="stable")
             values, places = values[order], places[order]
             if not len(places):
                 continue
             rows = np.searchsorted(bounds, places, side="right") - 1
-            new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (np.diff(places) > CONTEXT)])
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (np.diff(places) > 2 * context)])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(places)) - 1
             row = rows[first]
-            start = np.maximum(places[first] - CONTEXT, bounds[row])
-            end = np.minimum(places[last] + CONTEXT + SPAN, bounds[row + 1])
+            start = np.maximum(places[first] - context, bounds[row])
+            end = np.minimum(places[last] + context + SPAN, bounds[row + 1])
             sizes = end - start
             edges = np.concatenate([[0], np.cumsum(sizes)])
             at = np.arange(edges[-1]) - np.repeat(edges[:-1], sizes) + np.repeat(start, sizes)
-            inside = places - np.repeat(start, last - first + 1)
-            pairs = pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array(inside.astype(np.int32))], ["seed", "at"])
+            found, seed_edges = W.distinct(values, np.append(first, len(places)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(row)), batch.column("row_key").take(pa.array(row)), pa.array((start - bounds[row]).astype(np.int32)),
-                    W.list_array(pa.array(hashes[at].view(np.int64)), edges), W.list_array(pairs, np.append(first, len(places))),
+                    batch.column("doc_id").take(pa.array(row)), batch.column("row_key").take(pa.array(row)), pa.array((start - bounds[row]).astype(np.int32)), pa.array(np.diff(bounds)[row].astype(np.int32)),
+                    W.list_array(pa.array(hashes[at].view(np.int64)), edges), W.list_array(pa.array(found.view(np.int64)), seed_edges),
                 ],
-                ["doc_id", "row_key", "start", "words", "seeds"],
+                ["doc_id", "row_key", "start", "n_doc", "words", "seeds"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    return rows.mapInArrow(cut, "doc_id long, row_key long, start int, words array<long>, seeds array<struct<seed:long,at:int>>")
+    return rows.mapInArrow(cut, "doc_id long, row_key long, start int, n_doc int, words array<long>, seeds array<long>")
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, rule: Overlap) -> tuple[int, int, int]:
@@ -204,8 +215,43 @@ def widest_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, rule: Overl
 
 
 def counts_as_overlap(n: int, equal: int, item_words: int, rule: Overlap) -> bool:
-    enough = equal >= rule.min_words or equal >= max(SHORTEST, rule.min_share * item_words)
-    return bool(enough and equal >= rule.min_identity * n)
+    if item_words < SHORTEST:
+        return equal == n == item_words
+    return equal >= needed(item_words, rule) and equal >= rule.min_identity * n
+
+
+def needed(item_words: int, rule: Overlap) -> float:
+    """The least number of equal words of an overlap."""
+    return item_words if item_words < SHORTEST else min(rule.min_words, max(SHORTEST, rule.min_share * item_words))
+
+
+def diagonals(doc: np.ndarray, item: np.ndarray, least: float) -> np.ndarray:
+    """The diagonals with at least so many equal words, by counting them over all pairs of equal words, some at a time."""
+    order = np.argsort(item, kind="stable")
+    lo, hi = (np.searchsorted(item[order], doc, side=side) for side in ("left", "right"))
+    counts = np.zeros(len(doc) + len(item), np.int64)
+    ahead = np.concatenate([[0], np.cumsum(hi - lo)])
+    at = 0
+    while at < len(doc):
+        to = max(at + 1, int(np.searchsorted(ahead, ahead[at] + (1 << 20), side="right")) - 1)
+        n = (hi - lo)[at:to]
+        place = np.repeat(np.arange(at, to), n)
+        other = order[np.arange(len(place)) - np.repeat(ahead[at:to] - ahead[at], n) + np.repeat(lo[at:to], n)]
+        counts += np.bincount(place - other + len(item), minlength=len(counts))
+        at = to
+    return np.flatnonzero(counts >= least) - len(item)
+
+
+def overlap(doc: np.ndarray, item: np.ndarray, rule: Overlap) -> tuple[int, int, int, int] | None:
+    """(start in the document, start in the item, length, equal words) of the overlap with the most equal words; of those the shortest and first."""
+    best = None
+    for diagonal in diagonals(doc, item, needed(len(item), rule)).tolist():
+        at, n, equal = best_overlap(doc, item, diagonal, rule)
+        if not counts_as_overlap(n, equal, len(item), rule):
+            at, n, equal = widest_overlap(doc, item, diagonal, rule)
+        if counts_as_overlap(n, equal, len(item), rule):
+            best = max(best or (-1,), (equal, -n, -(at + diagonal), -at))
+    return best and (-best[2], -best[3], -best[1], best[0])
 
 
 def contaminations(docs: DataFrame, items: DataFrame, rule: Overlap | None = None) -> DataFrame:
@@ -214,32 +260,28 @@ def contaminations(docs: DataFrame, items: DataFrame, rule: Overlap | None = Non
     Only overlaps that count are returned. Positions are in words.
     """
     rule = rule or Overlap()
-    tests = materialize(item_seeds(items), "test-seeds")
-    regions = materialize(document_regions(docs, seed_filter(tests)), "regions")
-    test = tests.select("item_id", F.col("row_key").alias("item_key"), F.explode("seeds").alias("s")).select("item_id", "item_key", "s.seed", F.col("s.at").alias("item_at"))
-    train = regions.select("doc_id", "row_key", "start", F.explode("seeds").alias("s")).select("doc_id", "row_key", "start", "s.seed", F.col("s.at").alias("doc_at"))
-    hits = train.join(test, "seed").select("doc_id", "row_key", "start", "item_id", "item_key", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
-    region = regions.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), F.col("start").alias("s"), "words").dropDuplicates(["d", "k", "s"])
-    item = tests.select(F.col("item_id").alias("i"), F.col("row_key").alias("ik"), F.col("words").alias("item")).dropDuplicates(["i", "ik"])
-    placed = hits.join(region, hits["doc_id"].eqNullSafe(F.col("d")) & (hits["row_key"] == F.col("k")) & (hits["start"] == F.col("s")))
-    full = placed.join(item, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("ik")))
+    tests = materialize(item_seeds(items).withColumn("item", F.monotonically_increasing_id()), "test-seeds")
+    sizes = F.size("words")
+    longest, short = tests.agg(F.max(sizes), F.sort_array(F.collect_set(F.when(sizes < SHORTEST, sizes)))).first()
+    found = document_regions(docs, seed_filter(tests), longest or 0, tuple(short))
+    regions = materialize(found.withColumn("region", F.monotonically_increasing_id()), "regions")
+    pairs = regions.select("region", F.explode("seeds").alias("seed")).join(tests.select("item", F.explode("seeds").alias("seed")), "seed").select("region", "item").distinct()
+    full = pairs.join(regions.drop("seeds"), "region").join(tests.select("item", "item_id", F.col("words").alias("item_words")), "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
+            starts, totals = (batch.column(c).to_pylist() for c in ("start", "n_doc"))
             for i in range(len(batch)):
-                doc, one = (batch.column(c)[i].values.to_numpy() for c in ("words", "item"))
-                diagonal, start = batch.column("diagonal")[i].as_py(), batch.column("start")[i].as_py()
-                at, n, equal = best_overlap(doc, one, diagonal, rule)
-                if not counts_as_overlap(n, equal, len(one), rule):
-                    at, n, equal = widest_overlap(doc, one, diagonal, rule)
-                if counts_as_overlap(n, equal, len(one), rule):
-                    out.append((i, at + diagonal + start, at, n, equal, len(one)))
+                doc, item = (batch.column(c)[i].values.to_numpy() for c in ("words", "item_words"))
+                best = overlap(doc, item, rule) if len(item) >= FEW or totals[i] == len(item) else None
+                if best:
+                    out.append((i, best[0] + starts[i], *best[1:], len(item)))
             rows = pa.array([o[0] for o in out], pa.int64())
             ints = [pa.array([o[j] for o in out], pa.int32()) for j in range(1, 6)]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("doc_id", "row_key", "item_id")] + ints, ["doc_id", "row_key", "item_id", "doc_start", "item_start", "n_words", "n_equal", "item_words"])
 
-    found = full.select("doc_id", "row_key", "item_id", "start", "diagonal", "words", "item").mapInArrow(verify, "doc_id long, row_key long, item_id long, doc_start int, item_start int, n_words int, n_equal int, item_words int")
+    found = full.select("doc_id", "row_key", "item_id", "start", "n_doc", "words", "item_words").mapInArrow(verify, "doc_id long, row_key long, item_id long, doc_start int, item_start int, n_words int, n_equal int, item_words int")
     best = F.max_by(F.struct("doc_start", "item_start", "n_words", "n_equal", "item_words"), F.struct("n_equal", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))).alias("best")
     return found.groupBy("doc_id", "row_key", "item_id").agg(best).select("doc_id", "row_key", "item_id", "best.*")
 
@@ -247,6 +289,6 @@ def contaminations(docs: DataFrame, items: DataFrame, rule: Overlap | None = Non
 def decontaminate(docs: DataFrame, items: DataFrame, rule: Overlap | None = None) -> DataFrame:
     """``docs`` without the contaminated ones. Only ids of those are shuffled or, if few, broadcast."""
     bad = materialize(contaminations(docs, items, rule).select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct(), "contaminated")
-    keyed = docs.withColumn("__row_key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(bad["bad_id"]) & (keyed["__row_key"] == bad["bad_key"])
-    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("bad_key"))
+    return rows.join(bad, same, "left_anti").select("row.*")

@@ -7,15 +7,18 @@ in a link or not) and a tag score comes from labelled pages: those that mark
 their content with ``<article>`` or ``<main>`` say for every word and tag whether
 it is inside. Scores are smoothed log odds, clipped so that words of ordinary
 blocks stay positive (only links in lists may score negative) and tags negative.
+On pages with such a mark, being inside or outside of it is part of a word's and
+a tag's context, with scores learned like all others. The fit reads a bounded
+sample, at most ``SAMPLE`` distinct marked pages, those of the least hash.
 Words that are no content by their markup say nothing about their block, except
 for links in lists, which menus are made of.
 
 Text that is no content by its markup never scores positive and is left out of
 the result even inside the region: scripts, styles, forms, menus, headers and
-footers of the page, asides, hidden elements, and containers whose class, id or
-role says advert, notice, sidebar, comments and the like. Such elements score
-nothing, so they do not end the region either. On a page that marks
-its content, words outside the mark score negative.
+footers of the page, asides, hidden elements, and containers of which a class or
+id has one of ``HINTS`` and beside it only such words, ``LAYOUT`` words or numbers
+(``related-posts``, but not ``related-work``), or whose role says so. Such
+elements score nothing, so they do not end the region either.
 
 Result: character references decoded, white space in a block made one space,
 blocks joined by one space in page order. Nothing else is dropped or capped.
@@ -52,11 +55,18 @@ HINTS = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related search share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+LAYOUT = frozenset(
+    "area article bar block body bottom box button col column container content div element entry field fixed floating form global group head heading inline inner item items "
+    "layer left link links list main module outer overlay page panel post posts primary right row secondary section site slot small sticky strip tab text title top unit wrap wrapper zone".split()
+)
+COMMENTS = frozenset(("comment", "comments"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TAG_STOP = re.compile("[\"'>]")
-OUTSIDE = -1.0
+SAMPLE = 4096
+#: Score of a word and of a tag that was never seen, on unmarked pages, inside and outside of a mark.
+DEFAULTS = {"": (0.5, -0.5), "in ": (0.5, -0.05), "out ": (-1.0, -0.5)}
 WORD_FLOOR = 0.5
 LIST_LINKS = frozenset(("li a", "ul a", "ol a", "dl a", "dt a", "dd a"))
 
@@ -149,16 +159,17 @@ def _dropped(name: str, attributes: str, in_mark: bool) -> bool:
         return True
     if found.get("role") in ROLES:
         return True
+    named = [[x for x in re.split(r"[^a-z0-9]+", one) if x] for one in f"{found.get('class', '')} {found.get('id', '')}".split()]
     if name in MARKS:
-        return False
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    return bool(words & HINTS) or (not in_mark and "header" in words)
+        return any(set(words) & COMMENTS and set(words) <= COMMENTS | LAYOUT for words in named)
+    hints = HINTS if in_mark else HINTS | {"header"}
+    return any(set(words) & hints and all(x in hints or x in LAYOUT or x.isdigit() for x in words) for words in named)
 
 
 def tokens(page: str) -> list[Token]:
     """Tokens of a page with their places."""
     out: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, within a mark
+    stack: list[tuple[str, bool, bool, str, bool]] = []  # name, dropped, within a mark, nearest block, within a link
     marked = False
     for kind, name, text in _pieces(page):
         dropped, in_mark = (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -167,9 +178,8 @@ def tokens(page: str) -> list[Token]:
             if not text.strip():
                 out.append(Token("text", "", text, place))
                 continue
-            names = [s[0] for s in stack[-12:]]
-            block = next((x for x in reversed(names) if x in BLOCKS), "body")
-            out.append(Token("text", "", text, place, f"{block}{' a' if 'a' in names else ''}", len(text.split())))
+            block, link = stack[-1][3:] if stack else ("body", False)
+            out.append(Token("text", "", text, place, f"{block}{' a' if link else ''}", len(text.split())))
         elif kind == "open":
             if name in MARKS or name == "body":
                 # An unclosed menu or header does not swallow the content.
@@ -184,7 +194,8 @@ def tokens(page: str) -> list[Token]:
                     out[-1].place = "dropped"
                 is_mark = name in MARKS and not lost
                 marked |= is_mark
-                stack.append((name, lost, in_mark or is_mark))
+                block, link = stack[-1][3:] if stack else ("body", False)
+                stack.append((name, lost, in_mark or is_mark, name if name in BLOCKS else block, link or name == "a"))
         else:
             out.append(Token("close", name, place=place))
             for i in range(len(stack) - 1, -1, -1):
@@ -195,71 +206,81 @@ def tokens(page: str) -> list[Token]:
                     break  # a stray end tag does not close the content
     if marked:
         for t in out:
-            if t.kind == "text" and t.place == "plain":
+            if t.place == "plain":
                 t.place = "outside"
     return out
 
 
+#: How a token's place shows in its context.
+_SIDE = {"plain": "", "marked": "in ", "outside": "out "}
+
+
 @dataclass
 class Scores:
-    """Score of a word by context and of a tag by name; what isn't listed gets the default."""
+    """Score of a word by context and of a tag by name, both with their side of a mark; ``DEFAULTS`` for what isn't listed."""
 
     word: dict[str, float] = field(default_factory=dict)
     tag: dict[str, float] = field(default_factory=dict)
-    word_default: float = 0.5
-    tag_default: float = -0.5
 
     def of(self, t: Token) -> float:
         if t.place in ("aside", "dropped"):
             return 0.0  # neither content nor its end
+        side = _SIDE[t.place]
         if t.kind != "text":
-            score = self.tag.get(t.name, self.tag_default)
-            return max(score, -0.05) if t.place == "marked" else score
-        if t.place == "outside":
-            return OUTSIDE * t.words
-        score = self.word.get(t.context, self.word_default)
-        return t.words * (max(score, WORD_FLOOR) if t.place == "marked" else score)
+            return self.tag.get(side + t.name, DEFAULTS[side][1])
+        return t.words * self.word.get(side + t.context, DEFAULTS[side][0])
 
 
 def counts(page: str) -> Counter:
-    """Of a page that marks its content: words by (context, inside) and tags by (name, inside)."""
+    """Of a page that marks its content: words by (context, inside) and tags by (name, inside), with and without their side of the mark."""
     found: Counter = Counter()
     toks = tokens(page)
-    depth = 0
     if not any(t.place == "marked" and t.words for t in toks):
         return found
     for t in toks:
+        inside, side = t.place == "marked", _SIDE.get(t.place)
         if t.kind == "text":
-            if t.words and (t.place in ("marked", "outside") or t.context in LIST_LINKS):
-                found["w " + t.context, t.place == "marked"] += t.words
+            if t.words and (side or t.context in LIST_LINKS):
+                found["w " + t.context, inside] += t.words
+                if side:
+                    found[f"w {side}{t.context}", inside] += t.words
         else:
-            if t.name in MARKS:
-                depth = max(0, depth + (1 if t.kind == "open" else -1))
             name = t.name if t.name in INLINE | BLOCKS | NEVER | RAW | VOID else "other"
-            found["t " + name, depth > 0] += 1
+            found["t " + name, t.place in ("marked", "aside")] += 1
+            if side:
+                found[f"t {side}{name}", inside] += 1
     return found
 
 
-def fit(pages: DataFrame) -> Scores:
-    """Scores from all pages that mark their content; each task counts its own, a few hundred sums meet on the driver."""
+def labelled(pages: DataFrame, sample: int) -> DataFrame:
+    """(html): at most ``sample`` distinct pages that may mark their content, those of the least hash. Only hashes are sorted."""
+    some = pages.where(F.col("html").rlike("(?i)<(article|main)")).select("html", F.xxhash64("html").alias("h"))
+    last = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return some.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("html").alias("html")).select("html")
+
+
+def fit(pages: DataFrame, *, sample: int = SAMPLE) -> Scores:
+    """Scores from labelled pages; each task counts its own, a few hundred sums meet on the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for page in batch.column("html"):
-                if page.is_valid:
-                    total.update(counts(page.as_py()))
+                total.update(counts(page.as_py()))
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], ["key", "inside", "n"])
 
-    rows = pages.select("html").mapInArrow(count, "key string, inside boolean, n long").groupBy("key").agg(F.sum(F.expr("if(inside, n, 0)")).alias("inside"), F.sum(F.expr("if(inside, 0, n)")).alias("outside")).collect()
+    rows = labelled(pages, sample).mapInArrow(count, "key string, inside boolean, n long").groupBy("key").agg(F.sum(F.expr("if(inside, n, 0)")).alias("inside"), F.sum(F.expr("if(inside, 0, n)")).alias("outside")).collect()
     scores = Scores()
     for r in rows:
-        odds = math.log((r.inside + 1) / (r.outside + 1))
-        if r.key.startswith("w "):
-            scores.word[r.key[2:]] = min(max(odds / 2, -1.0 if r.key[2:] in LIST_LINKS else WORD_FLOOR), 2.0)
+        kind, name = r.key[:2], r.key[2:]
+        odds = math.log((r.inside + 1) / (r.outside + 1)) / 2
+        if kind == "t ":
+            scores.tag[name] = min(max(odds, -2.0), -0.05)
+        elif name.startswith("out "):
+            scores.word[name] = min(max(odds, -2.0), -WORD_FLOOR)
         else:
-            scores.tag[r.key[2:]] = min(max(odds / 2, -2.0), -0.05)
+            scores.word[name] = min(max(odds, -1.0 if name in LIST_LINKS else WORD_FLOOR), 2.0)
     return scores
 
 

@@ -91,3 +91,48 @@ def test_long_attributes(quote, size):
     state = "<b>leak</b> a>b " * (size // 16 + 1)
     assert M.extract(page(f"<article><p data-state={quote}{state}{quote}>text</p><p>end</p></article>"), SCORES) == "text end"
     assert M.extract(f"<article><p>text</p><p title={quote}never closed>{'end ' * size}", SCORES) == "text " + ("end " * size).strip()
+
+
+def test_scores_decide_on_marked_pages(spark):
+    html = page(f"{NAV}<p>{'before ' * 3}</p><article><p>{'inside ' * 9}</p></article>{FOOT}")
+    scores = learned(spark, [html] * 3 + [page(f"<p>a b</p><article><p>c {i}</p></article>") for i in range(20)])
+    assert scores.word["in p"] > 0 > scores.word["out p"] and M.extract(html, scores) == ("inside " * 9).strip()
+    assert M.extract(html.replace("article", "div"), scores) == ("before " * 3 + "inside " * 9).strip()
+    scores.word["out p"], scores.word["in p"] = 5.0, -5.0
+    assert M.extract(html, scores) == ""  # words outside of a mark are never returned
+
+
+def test_the_fit_is_bounded_and_distinct(spark):
+    df = spark.createDataFrame([(f"<article>{i % 30}</article>",) for i in range(300)] + [("none",), (None,)], "html string")
+    assert M.labelled(df, 8).count() == 8 and M.labelled(df, 99).count() == 30 and M.labelled(df.where("html is null"), 9).count() == 0
+
+
+def test_classes_by_all_their_words():
+    def inside(attribute):
+        return M.extract(page(f"<article><p>start</p><div {attribute}><p>middle</p></div><p>end</p></article>"), SCORES)
+
+    for kept in ("class=related-work", "id=search-results", "class='notice-of-intent'", "class=ad-hoc", "class=promotional"):
+        assert inside(kept) == "start middle end", kept
+    for gone in ("class=related-posts", "id=cookie-notice", "class='box ad-slot-3'", "class=newsletter", "id=comments", "role=navigation"):
+        assert inside(gone) == "start end", gone
+    assert M.extract(page("<article><p>text</p><article class=comment><p>me too</p></article></article>"), SCORES) == "text"
+
+
+def test_deep_link():
+    deep = "<li><a href='/x'>" + "<span>" * 50 + "menu" + "</span>" * 50 + "</a></li>"
+    assert [t.context for t in M.tokens(f"<ul>{deep}</ul>") if t.words] == ["li a"]
+
+
+def test_against_all_stretches():
+    """The text of a page is that of the best of all stretches of its tokens, the first and longest of equals."""
+    rng = random.Random(9)
+    bits = ["<p>", "</p>", "<div>", "</div>", "<li><a>", "</a></li>", "word ", "two words ", "<b>", "</b>", "<br>", "<article>", "</article>", "<div class=ad>x</div>", "&amp;"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(150)]
+    scores = M.Scores({"p": 2.0, "li a": -1.0, "div": 0.5, "in p": 1.5, "out p": -1.0}, {"p": -0.25, "div": -0.5, "in div": -0.25, "li": -0.5})
+    for html in pages:
+        toks = M.tokens(html)
+        values = [scores.of(t) for t in toks]
+        sums = {(i, j): round(sum(values[i:j]), 9) for i in range(len(toks)) for j in range(i + 1, len(toks) + 1)}
+        top = max(sums.values(), default=0)
+        words = {"".join(t.text if t.kind == "text" else "" if t.name in M.INLINE else " " for t in toks[a:b] if t.kind != "text" or t.place in ("plain", "marked")) for (a, b), v in sums.items() if v == top} if top > 0 else {""}
+        assert M.extract(html, scores) in {" ".join(w.replace("&amp;", "&").split()) for w in words}, html

@@ -8,16 +8,19 @@ distinct vectors (those of the least hash); the forest is sent to all tasks and
 its size is bounded by ``sample``, whatever the number of vectors.
 
 *Index*: every distinct vector goes to one leaf of each tree, as rows of a cell
-(tree, leaf). *Search*: one priority queue over the nodes of all trees serves a
-query: nodes come in the order of the least margin by which the query lies on
-their side, until the leaves taken hold a given share of all vectors, by the
-sample's estimate. That share is calibrated, not guessed: on the sample, with
-brute force over it, it is the least that finds ``recall`` of the nearest ``k``.
-(Neighbours are nearer, and easier to find, among more vectors, so the sample
-errs on the safe side.) Trees get finer while that makes the share a matter of
-many leaves. Queries are rows of the cells they take. *Rerank*: cells are dealt out,
-and in each the exact inner products in double precision of its queries and its
-vectors give the nearest of the cell, whose union is ranked.
+(tree, leaf, part); leaves are counted on all vectors, and those of more than
+``CELL`` are cut into parts. *Search*: one priority queue over the nodes of all
+trees serves a query: nodes come in the order of the least margin by which the
+query lies on their side, until the leaves taken hold a given share of all
+vectors, and those of some one tree at least ``k + 1`` vectors, or all there are.
+That share is calibrated, not guessed: for at most ``tests`` vectors of the
+sample, the exact nearest among all vectors are found in one pass, and the share
+is the least that finds ``recall`` of them. It falls as vectors become more, where
+data are clustered. Queries are rows of the cells they take. *Rerank*: cells are
+dealt out, and in each the exact inner products in double precision of its queries
+and its vectors give the nearest of the cell; each task merges those of its cells,
+and their union is ranked. Equal scores are told apart by the smallest id, in
+cells as in the union.
 
 Equal vectors are one class, indexed once, with their ``k + 1`` smallest ids: no
 result needs more of them, so a vector that a third of all rows share costs no
@@ -49,13 +52,17 @@ SAMPLE = 20000
 #: Vectors that a task holds of a cell; larger cells are cut into blocks, and queries go to each.
 CELL = 16384
 
+#: Nearest vectors that a task holds before it merges them.
+HELD = 1 << 20
+PAIRS = 1 << 16
+
 
 @dataclass(frozen=True)
 class Search:
     """Parameters of index and search."""
 
     k: int = 20
-    trees: int = 16
+    trees: int = 4
     recall: float = 0.95
     tests: int = 200
     sample: int = SAMPLE
@@ -129,13 +136,13 @@ class Forest:
         scale = self.norm / np.linalg.norm(vectors, axis=1, keepdims=True)
         return np.concatenate([vectors * scale, np.zeros((len(vectors), 1))], axis=1)
 
-    def probes(self, point: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """Cells (tree, leaf) to look into, by one queue over all trees."""
+    def probes(self, point: np.ndarray, share: float, least: float = 0) -> list[tuple[int, int]]:
+        """Cells (tree, leaf) to look into, by one queue over all trees, for a share of all vectors and at least so much of them in one tree."""
         margins = [t.directions @ point - t.cuts for t in self.trees]
         queue = [(-np.inf, i, t.root) for i, t in enumerate(self.trees)]
         heapq.heapify(queue)
-        found, held = [], 0.0
-        while queue and held < share:
+        found, held, by_tree = [], 0.0, [0.0] * len(self.trees)
+        while queue and (held < share or max(by_tree) < least):
             cost, i, node = heapq.heappop(queue)
             tree, margin = self.trees[i], margins[i]
             while node >= 0:
@@ -144,25 +151,30 @@ class Forest:
                 node = int(tree.children[node, int(side)])
             found.append((i, -node - 1))
             held += tree.share[-node - 1]
+            by_tree[i] += tree.share[-node - 1]
         return found
 
-    def needed(self, vectors: np.ndarray, tests: np.ndarray, p: Search) -> float:
-        """The share of vectors to look at for ``p.recall`` of the nearest ``p.k``, over test queries among ``vectors``."""
-        if len(vectors) <= p.k + 1:
-            return float(len(self.trees))
-        points, queries = self.lift(vectors), self.lift_query(vectors[tests])
-        leaf = np.stack([t.leaves(points) for t in self.trees])
+    def needed(self, queries: np.ndarray, near: list[np.ndarray], recall: float) -> float:
+        """The share of vectors to look at for ``recall`` of all nearest vectors; ``near`` has the leaves of those of each query, a row each."""
         first = []
-        for q, own in enumerate(tests):
-            scores = vectors @ vectors[own]
-            scores[own] = -np.inf
-            near = np.argpartition(-scores, p.k - 1)[: p.k]
+        for query, leaf in zip(self.lift_query(queries), near):
             when, held = np.full([len(self.trees), max(len(t.share) for t in self.trees)], np.inf), 0.0
-            for i, j in self.probes(queries[q], np.inf):
+            for i, j in self.probes(query, np.inf):
                 held += self.trees[i].share[j]
                 when[i, j] = held
-            first.append(np.take_along_axis(when, leaf[:, near], axis=1).min(axis=0))
-        return float(np.quantile(np.concatenate(first), p.recall, method="higher"))
+            first.append(np.take_along_axis(when, leaf.T, axis=1).min(axis=0))
+        found = np.concatenate(first) if first else np.zeros(0)
+        return float(np.quantile(found, recall, method="higher")) if len(found) else float(len(self.trees))
+
+
+def near_within(vectors: np.ndarray, tests: np.ndarray, k: int) -> list[np.ndarray]:
+    """The numbers of the ``k`` nearest to each of the test vectors among all, without itself."""
+    out = []
+    for own in tests:
+        scores = vectors @ vectors[own]
+        scores[own] = -np.inf
+        out.append(np.argsort(-scores, kind="stable")[: min(k, len(vectors) - 1)])
+    return out
 
 
 def usable(vector: Column) -> Column:
@@ -187,29 +199,112 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def blocks(forest: Forest, total: int) -> list[np.ndarray]:
-    """The number of blocks of each tree's leaves: ``total`` vectors, spread as the sample, come to ``CELL`` a block at most."""
-    return [np.maximum(1, np.ceil(np.asarray(t.share) * total / CELL)).astype(np.int64) for t in forest.trees]
-
-
-def fit(known: DataFrame, p: Search) -> Forest | None:
-    """Fit the forest on a bounded sample of distinct vectors."""
+def fit(known: DataFrame, p: Search) -> tuple[Forest, list[np.ndarray]] | None:
+    """The forest, fitted on a bounded sample and calibrated on all vectors, and the number of parts of each tree's leaves."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     total, largest = known.agg(F.count(F.lit(1)), F.max(norm)).first()
     if not total:
         return None
-    rows = known.select("vector", F.xxhash64("vector", F.lit(p.seed)).alias("h")).orderBy("h").limit(p.sample).select("vector").toArrow()
+    rows = known.select("vector", "c1", "c2", F.xxhash64("vector", F.lit(p.seed)).alias("h")).orderBy("h", "c1", "c2").limit(p.sample).drop("h").toArrow()
     sample = _matrix(rows["vector"].combine_chunks())
     forest = Forest([], float(largest) * (1 + 1e-12))
     points, tests = forest.lift(sample), np.random.default_rng(p.seed).permutation(len(sample))[: p.tests]
-    leaves = 64
+    near, leaves = near_within(sample, tests, p.k), 16
     while True:
         in_leaf = max(4, -(-len(sample) // leaves))
         forest.trees = [grow(points, in_leaf, np.random.default_rng([p.seed, i])) for i in range(p.trees)]
-        forest.share = forest.needed(sample, tests, p)
+        where = np.stack([t.leaves(points) for t in forest.trees], axis=1)
+        forest.share = forest.needed(sample[tests], [where[n] for n in near], p.recall)
         if forest.share * leaves > 16 or in_leaf <= 16:
-            return forest
+            break
         leaves *= 4
+    if total == len(sample):
+        counts = [np.bincount(where[:, i], minlength=len(t.share)) for i, t in enumerate(forest.trees)]
+    else:
+        asked = [sample[tests], np.asarray(rows["c1"])[tests], np.asarray(rows["c2"])[tests]]
+        counts, near = _measured(known, forest, asked, p)
+    for tree, n in zip(forest.trees, counts):
+        tree.share = n / total
+    if total > len(sample):
+        forest.share = forest.needed(asked[0], near, p.recall)
+    return forest, [np.maximum(1, -(-n // CELL)).astype(np.int64) for n in counts]
+
+
+def _measured(known: DataFrame, forest: Forest, asked: list[np.ndarray], p: Search) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(vectors in each leaf of each tree, leaves of the nearest to each test vector), over all vectors.
+
+    The driver gets a number for each leaf and ``k`` rows for each test.
+    """
+    shared = known.sparkSession.sparkContext.broadcast((forest, asked))
+    row = "q int, score double, c1 long, c2 long, leaves array<int>"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared.value[0]
+        for batch in batches:
+            points = forest.lift(_matrix(batch.column("vector")))
+            for i, tree in enumerate(forest.trees):
+                n = np.bincount(tree.leaves(points), minlength=len(tree.share))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n.astype(np.int64))], ["tree", "leaf", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, (queries, q1, q2) = shared.value
+        for batch in batches:
+            vectors, c1, c2 = _matrix(batch.column("vector")), np.asarray(batch.column("c1")), np.asarray(batch.column("c2"))
+            scores = queries @ vectors.T
+            scores[(q1[:, None] == c1[None, :]) & (q2[:, None] == c2[None, :])] = -np.inf
+            n = min(p.k, len(vectors))
+            top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+            x, y = np.repeat(np.arange(len(queries)), n), top.ravel()
+            x, y = x[np.isfinite(scores[x, y])], y[np.isfinite(scores[x, y])]
+            points = forest.lift(vectors[y])
+            leaves = np.stack([t.leaves(points) for t in forest.trees], axis=1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(y) + 1) * leaves.shape[1]).astype(np.int32)), pa.array(leaves.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(scores[x, y]), pa.array(c1[y]), pa.array(c2[y]), lists], ["q", "score", "c1", "c2", "leaves"])
+
+    counts = [np.zeros(len(t.share), np.int64) for t in forest.trees]
+    for r in known.select("vector").mapInArrow(count, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
+        counts[r.tree][r.leaf] = r.n
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c1", "c2"))
+    top = known.select("vector", "c1", "c2").mapInArrow(best, row).withColumn("place", place).where(F.col("place") <= p.k).select("q", "leaves").toPandas()
+    return counts, [np.array(top["leaves"][top["q"] == q].tolist(), np.int64).reshape(-1, len(forest.trees)) for q in range(len(asked[0]))]
+
+
+def _top(scores: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
+    """The places of the ``n`` largest scores, equal ones by the least ids."""
+    if len(scores) > n:
+        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - n)[len(scores) - n])
+    else:
+        some = np.arange(len(scores))
+    return some[np.lexsort((second[some], first[some], -scores[some]))[:n]]
+
+
+class _Nearest:
+    """The nearest classes of each query of a task, over all of its cells."""
+
+    def __init__(self, n: int):
+        self.n, self.parts, self.size = n, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        """q1, q2, c1, c2 and score of pairs."""
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def merge(self) -> None:
+        q1, q2, c1, c2, score = (np.concatenate([x[j] for x in self.parts]) for j in range(5))
+        order = np.lexsort((c2, c1, -score, q2, q1))
+        q1, q2, c1, c2, score = (x[order] for x in (q1, q2, c1, c2, score))
+        new = np.ones(len(q1), bool)
+        new[1:] = (q1[1:] != q1[:-1]) | (q2[1:] != q2[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        q1, q2, c1, c2, score = (x[new] for x in (q1, q2, c1, c2, score))
+        start = np.flatnonzero(np.concatenate([[True], (q1[1:] != q1[:-1]) | (q2[1:] != q2[:-1])])) if len(q1) else np.zeros(0, np.int64)
+        rank = np.arange(len(q1)) - np.repeat(start, np.diff(np.append(start, len(q1))))
+        keep = rank < self.n
+        self.parts, self.size = [tuple(x[keep] for x in (q1, q2, c1, c2, score))], int(keep.sum())
+
+    def rows(self) -> pa.RecordBatch:
+        self.merge()
+        (columns,), self.parts, self.size = self.parts, [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q1", "q2", "c1", "c2", "score"])
 
 
 def nearest(vectors: DataFrame, queries: Column, p: Search | None = None) -> DataFrame:
@@ -223,11 +318,13 @@ def nearest(vectors: DataFrame, queries: Column, p: Search | None = None) -> Dat
     good = good.join(F.broadcast(modal.select("n")), F.size("vector") == F.col("n"), "left_semi")
     known = materialize(classes(good, p), "classes")
     asked = materialize(good.where(queries).distinct().join(known.select("c1", "c2", F.col("vector").alias("v")), F.col("vector") == F.col("v")).select(F.col("vec_id").alias("query_id"), "c1", "c2"), "queries")
-    forest = fit(known, p)
+    fitted = fit(known, p)
     schema = "query_id long, rank int, vec_id long, score double"
-    if forest is None:
+    if fitted is None:
         return vectors.sparkSession.createDataFrame([], schema)
-    shared = vectors.sparkSession.sparkContext.broadcast((forest, blocks(forest, known.count())))
+    total = known.count()
+    shared = vectors.sparkSession.sparkContext.broadcast(fitted)
+    least = min(p.k + 1, total) / total * (1 - 1e-9)
     searched = known.select("c1", "c2", "vector").join(asked.select("c1", "c2").distinct(), ["c1", "c2"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +346,7 @@ def nearest(vectors: DataFrame, queries: Column, p: Search | None = None) -> Dat
             points = forest.lift_query(_matrix(batch.column("vector")))
             held: list[tuple] = []
             for j in range(len(points)):
-                held += [(j, *cell, part) for cell in forest.probes(points[j], forest.share) for part in range(parts[cell[0]][cell[1]])]
+                held += [(j, *cell, part) for cell in forest.probes(points[j], forest.share, least) for part in range(parts[cell[0]][cell[1]])]
                 if len(held) > 32768 or j == len(points) - 1:
                     cells, held = np.array(held, np.int32).reshape(-1, 4), []
                     row = pa.array(cells[:, 0])
@@ -263,7 +360,7 @@ def nearest(vectors: DataFrame, queries: Column, p: Search | None = None) -> Dat
     cells = known.select("c1", "c2", "vector").mapInArrow(index, cell_schema).unionByName(searched.mapInArrow(probe, cell_schema))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, own = None, [], None
+        cell, held, own, found = None, [], None, _Nearest(p.k + 1)
         for now, asks, rows in _runs(batches):
             if now != cell:
                 cell, held, own = now, [], None
@@ -276,14 +373,26 @@ def nearest(vectors: DataFrame, queries: Column, p: Search | None = None) -> Dat
                 table = pa.Table.from_batches(held)
                 own = _matrix(table.column("vector").combine_chunks()), np.asarray(table.column("c1")), np.asarray(table.column("c2"))
             vectors, c1, c2 = own
-            n = min(p.k + 1, len(vectors))
-            for at in range(0, len(rows), 512):
-                some = rows.slice(at, 512)
+            for at in range(0, len(rows), 128):
+                some = rows.slice(at, 128)
                 q, q1, q2 = _matrix(some.column("vector")), np.asarray(some.column("c1")), np.asarray(some.column("c2"))
-                top = np.argpartition(-(q @ vectors.T), n - 1, axis=1)[:, :n]
-                x, y = np.repeat(np.arange(len(q)), n), top.ravel()
-                exact = (q[x] * vectors[y]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (q1[x], q2[x], c1[y], c2[y], exact)], ["q1", "q2", "c1", "c2", "score"])
+                rough = q @ vectors.T
+                # Those within rounding of the last place are computed again, each product in the same order.
+                n = min(p.k + 1, len(vectors))
+                edge = np.partition(rough, len(vectors) - n, axis=1)[:, len(vectors) - n]
+                slack = 1e-12 * np.abs(q).sum(axis=1) * np.abs(vectors).max()
+                x, y = np.nonzero(rough >= (edge - slack)[:, None])
+                exact = np.concatenate([(q[x[i : i + PAIRS]] * vectors[y[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(x), PAIRS)])
+                bounds = np.searchsorted(x, np.arange(len(q) + 1))
+                keep = np.concatenate([a + _top(exact[a:b], c1[y[a:b]], c2[y[a:b]], n) for a, b in zip(bounds[:-1], bounds[1:])])
+                x, y, exact = x[keep], y[keep], exact[keep]
+                found.add(q1[x], q2[x], c1[y], c2[y], exact)
+            if found.size > HELD:
+                found.merge()
+                if found.size > HELD // 2:
+                    yield found.rows()
+        if found.size:
+            yield found.rows()
 
     dealt = cells.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "asks")
     pairs = dealt.mapInArrow(rerank, "q1 long, q2 long, c1 long, c2 long, score double").groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score"))

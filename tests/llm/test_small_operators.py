@@ -170,12 +170,55 @@ def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)))] + [(400 + i, [1.0] * 8) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, vector array<float>").repartition(3)
     found, sizes = [], []
-    dealt = rp_forest.blocks
+    fit = rp_forest.fit
     for cell in (1 << 20, 4):
         monkeypatch.setattr(rp_forest, "CELL", cell)
-        monkeypatch.setattr(rp_forest, "blocks", lambda f, n: (sizes.append((f, n, dealt(f, n))), dealt(f, n))[1])
+        monkeypatch.setattr(rp_forest, "fit", lambda known, p: sizes.append(fit(known, p)) or sizes[-1])
         found.append(sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0).collect()))
     assert found[0] == found[1] and len(found[0]) > 400
-    (_, _, one), (forest, n, many) = sizes
+    (_, one), (forest, many) = sizes
     assert all((x == 1).all() for x in one) and any((x > 1).any() for x in many)
-    assert all((t.share * n / x <= 4 + 1e-9).all() for t, x in zip(forest.trees, many))
+    assert all((t.share * 401 / x <= 4 + 1e-9).all() for t, x in zip(forest.trees, many))
+
+
+@pytest.mark.parametrize(("n", "dim"), [(22, 2), (22, 12), (25, 2), (60, 12), (2000, 12)])
+def test_neighbours_are_complete(spark, n, dim):
+    rng = np.random.default_rng(n + dim)
+    vectors = rng.standard_normal((n, dim))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vector array<double>")
+    got = {}
+    for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 20):
+        scores = vectors @ vectors[q]
+        exact = set([i for i in np.argsort(-scores, kind="stable") if i != q][:20])
+        assert len(got[q]) == min(20, n - 1)
+        hits += len(got[q] & exact)
+    assert hits >= 0.9 * sum(map(len, got.values()))
+
+
+def test_ties_by_the_smallest_id(spark):
+    axes = [[float(j == i % 30) for j in range(30)] for i in range(30)]
+    rows = [(i, axes[i % 30] if i < 60 else [2.0 * x for x in axes[i % 30]]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(5)
+    got = {}
+    for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0, rp_forest.Search(recall=1.0)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, mine in got.items():
+        own = np.array(rows[q][1])
+        exact = sorted((-float(own @ np.array(v)), i) for i, v in rows if i != q)[:20]
+        assert [(m[1], m[2]) for m in sorted(mine)] == [(i, -s) for s, i in exact]
+
+
+def test_calibration_on_all_vectors(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 8)) * 4
+    vectors = centres[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 8)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vector array<double>").repartition(4)
+    hits = 0
+    for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0, rp_forest.Search(sample=400, tests=80)).collect():
+        scores = vectors @ vectors[r.query_id]
+        scores[r.query_id] = -np.inf
+        hits += r.score >= np.sort(scores)[-20] - 1e-9
+    assert hits >= 0.9 * 150 * 20

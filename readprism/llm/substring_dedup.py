@@ -21,10 +21,15 @@ probe met a block of another document.
 3. *Cut*: texts meet the answers by document and lose the covered words.
 
 Buckets are a few rows of packed arrays, not a row for each position, and there
-are so many of them that each holds the positions of ``BUCKET_BYTES`` of text. A
-passage that very many documents share puts as many entries into the buckets of
-its own windows, where sorted runs are reduced to a minimum and a maximum: no
-pairs are made, so hot passages cost no more than other text.
+are so many of them that each holds the positions of ``BUCKET_BYTES`` of text.
+
+Hot passages: a sample of at most about ``SAMPLE_BYTES`` of text tells which hashes
+occur ``HOT`` times or more in it, so their number is bounded. Those don't go to
+buckets: one pass reduces each of them, in every task and then over all, to the
+least and the greatest document id, and that bounded table is sent to all tasks,
+which judge hot positions themselves. The sample only chooses the path; results
+are the same for any choice. A hash that is not hot is rare enough (about 1 of
+2,000 documents or fewer) that its bucket stays small.
 
 Defined results: words are runs of bytes outside 0x20 and 0x09-0x0D, unchanged.
 Null and empty texts have no words. Rows with a null id remove nothing and lose
@@ -35,6 +40,7 @@ empty results. Equality of windows is equality of 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +53,9 @@ from readprism.llm.shared import materialize
 _U = np.uint64
 WINDOW, BLOCK = 13, 7
 BUCKET_BYTES = 16 << 20
-BUCKETS_A_TASK = 8
+BUCKETS_A_TASK = 4
+SAMPLE_BYTES = 64 << 20
+HOT = 16
 _PACKED = "bucket int, docs array<long>, rows array<int>, counts array<int>, entries binary"
 _REPLY = "doc_id long, row int, replies array<struct<bucket:int,bits:binary>>"
 
@@ -166,23 +174,115 @@ def _windows_near(hits: np.ndarray, n_words: int) -> np.ndarray:
     return np.flatnonzero(sums[WINDOW - BLOCK + 1 : WINDOW - BLOCK + 1 + n] > sums[:n])
 
 
-def _candidates(batch: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(hashes of candidate windows, bounds by row, their starts by row) of a batch with replies of the probe step."""
+def _none() -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
+@dataclass
+class Facts:
+    """Of hot hashes (ascending): blocks with the least id of a reference block and the greatest id of a probe, windows with the least id."""
+
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    block_least: np.ndarray = field(default_factory=_none)
+    block_most: np.ndarray = field(default_factory=_none)
+    windows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    window_least: np.ndarray = field(default_factory=_none)
+
+
+def _place(hashes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flags of hot hashes, their places in ``hot``)."""
+    if not len(hot) or not len(hashes):
+        return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+    return hot[at] == hashes, at
+
+
+def _rolling(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word bounds, block hashes and bounds, window hashes and bounds) of a batch's texts."""
     hashes, bounds = W.word_hashes(batch.column("text"), lower=False)
-    blocks, block_bounds = W.windows(hashes, bounds, BLOCK, short=False)
-    full, full_bounds = W.windows(hashes, bounds, WINDOW, short=False)
+    return bounds, *W.windows(hashes, bounds, BLOCK, short=False), *W.windows(hashes, bounds, WINDOW, short=False)
+
+
+def _block_starts(bounds: np.ndarray) -> np.ndarray:
+    """Flags of the rolling positions where a reference block starts."""
+    return (np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))) % BLOCK == 0
+
+
+def _hot_hashes(base: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block hashes, window hashes) that occur often in a sample of bounded size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text"):
+            _, blocks, _, full, _ = _rolling(batch)
+            for kind, values in ((0, blocks), (1, full)):
+                found, n = np.unique(values, return_counts=True)
+                found, n = found[n > 1], n[n > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], ["kind", "hash", "n"])
+
+    sample = base.select("text").where("doc_id is not null")
+    if total > SAMPLE_BYTES:
+        sample = sample.sample(SAMPLE_BYTES / total, 1)
+    often = sample.repartition(8).mapInArrow(count, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).select("kind", "hash").toPandas()
+    return tuple(np.sort(often["hash"][often["kind"] == kind].to_numpy(np.int64).view(np.uint64)) for kind in (0, 1))
+
+
+def _hot_facts(base: DataFrame, total: int) -> Facts:
+    blocks, full = _hot_hashes(base, total)
+    if not len(blocks) and not len(full):
+        return Facts()
+    shared = base.sparkSession.sparkContext.broadcast((blocks, full))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.iinfo(np.int64).max
+        least, most = [np.full(len(hot), none) for hot in shared.value], [np.full(len(hot), -none - 1) for hot in shared.value]
+        for batch in W.slices(batches, "text"):
+            _, blocks, block_bounds, full, full_bounds = _rolling(batch)
+            docs = np.asarray(batch.column("doc_id"))
+            for kind, values, bounds in ((0, blocks, block_bounds), (1, full, full_bounds)):
+                hot, at = _place(values, shared.value[kind])
+                owner = np.repeat(docs, np.diff(bounds))
+                np.maximum.at(most[kind], at[hot], owner[hot])
+                given = hot & _block_starts(bounds) if kind == 0 else hot
+                np.minimum.at(least[kind], at[given], owner[given])
+        for kind in (0, 1):
+            seen = np.flatnonzero(most[kind] > -none - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), kind, np.int32)), pa.array(shared.value[kind][seen].view(np.int64)), pa.array(least[kind][seen]), pa.array(most[kind][seen])], ["kind", "hash", "least", "most"])
+
+    rows = base.where("doc_id is not null").select("doc_id", "text").mapInArrow(reduce, "kind int, hash long, least long, most long")
+    rows = rows.groupBy("kind", "hash").agg(F.min("least").alias("least"), F.max("most").alias("most")).toPandas()
+    rows["hash"] = rows["hash"].to_numpy(np.int64).view(np.uint64)
+    one, two = (rows[rows["kind"] == kind].sort_values("hash") for kind in (0, 1))
+    return Facts(one["hash"].to_numpy(), one["least"].to_numpy(), one["most"].to_numpy(), two["hash"].to_numpy(), two["least"].to_numpy())
+
+
+def _candidates(batch: pa.RecordBatch, buckets: int, facts: Facts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(hashes of candidate windows, bounds by row, their starts by row) of a batch with replies of the probe step."""
+    bounds, blocks, block_bounds, full, full_bounds = _rolling(batch)
+    docs = batch.column("doc_id").to_pylist()
+    hot, at = _place(blocks, facts.blocks)
+    begins = _block_starts(block_bounds)
     found, starts = [], []
     for i in range(len(batch)):
-        replies = batch.column("probes")[i].as_py()
+        replies, own = batch.column("probes")[i].as_py(), slice(block_bounds[i], block_bounds[i + 1])
         near = np.zeros(0, np.int64)
-        if replies:
-            hits = _unpack(blocks[block_bounds[i] : block_bounds[i + 1]], replies, buckets)
+        if docs[i] is not None and (replies or hot[own].any()):
+            hits = np.zeros(block_bounds[i + 1] - block_bounds[i], bool)
+            hits[~hot[own]] = _unpack(blocks[own][~hot[own]], replies, buckets)
+            some = at[own][hot[own]]
+            if len(some):
+                hits[hot[own]] = (facts.block_least[some] < docs[i]) | (begins[own][hot[own]] & (facts.block_most[some] > docs[i]))
             near = _windows_near(hits, int(bounds[i + 1] - bounds[i]))
         starts.append(near)
         found.append(full[full_bounds[i] + near])
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum([len(s) for s in starts])]).astype(np.int64), starts
 
 
+def _rest(hashes: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of hashes that are not hot, those hashes, bounds by row)."""
+    rest = np.flatnonzero(~_place(hashes, hot)[0])
+    return rest, hashes[rest], np.searchsorted(rest, bounds)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, removed array<struct<first, last>>, kept text): one row per document.
 
@@ -192,13 +292,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row"), "text")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total // BUCKET_BYTES) + 1
+    shared = base.sparkSession.sparkContext.broadcast(_hot_facts(base, total))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             hashes, bounds = W.word_hashes(batch.column("text"), lower=False)
             values, bounds = W.windows(hashes, bounds, BLOCK, short=False)
-            at = np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))
-            entries = (values & _U(0xFFFFFFFE)).astype(np.uint32) | (at % BLOCK == 0).astype(np.uint32)
+            begins = _block_starts(bounds)
+            rest, values, bounds = _rest(values, bounds, shared.value.blocks)
+            entries = (values & _U(0xFFFFFFFE)).astype(np.uint32) | begins[rest].astype(np.uint32)
             yield _pack(values, entries, bounds, batch.column("doc_id"), batch.column("row"), buckets)
 
     probes = _answers(base.where("doc_id is not null").mapInArrow(probe, _PACKED), buckets, "uint32", _judge_probes)
@@ -207,27 +309,34 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
-            some = batch.filter(batch.column("probes").is_valid())
+            some = batch if len(shared.value.blocks) else batch.filter(batch.column("probes").is_valid())
             if len(some):
-                values, bounds, _ = _candidates(some, buckets)
+                values, bounds, _ = _candidates(some, buckets, shared.value)
+                _, values, bounds = _rest(values, bounds, shared.value.windows)
                 yield _pack(values, values, bounds, some.column("doc_id"), some.column("row"), buckets)
 
     windows = _answers(asked.mapInArrow(extend, _PACKED), buckets, "uint64", _judge_windows)
     window_replies = windows.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("replies")).alias("windows"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts = shared.value
         for batch in W.slices(batches, "text"):
-            touched = np.asarray(batch.column("windows").is_valid())
+            touched = np.asarray(batch.column("windows").is_valid()) | bool(len(facts.windows))
             some = batch.filter(pa.array(touched))
-            values, bounds, starts = _candidates(some, buckets)
-            replies, place = some.column("windows"), 0
+            values, bounds, starts = _candidates(some, buckets, facts)
+            hot, at = _place(values, facts.windows)
+            replies, ids, place = some.column("windows"), some.column("doc_id").to_pylist(), 0
             out = []
             for i, text in enumerate(batch.column("text")):
                 words = text.as_py().encode().split() if text.is_valid else []
                 runs: list[dict] = []
                 n = len(words)
                 if touched[i]:
-                    hit = _unpack(values[bounds[place] : bounds[place + 1]], replies[place].as_py(), buckets)
+                    own = slice(bounds[place], bounds[place + 1])
+                    hit = np.zeros(len(starts[place]), bool)
+                    hit[~hot[own]] = _unpack(values[own][~hot[own]], replies[place].as_py(), buckets)
+                    if hot[own].any():
+                        hit[hot[own]] = facts.window_least[at[own][hot[own]]] < ids[place]
                     marks = np.zeros(n + 1, np.int64)
                     np.add.at(marks, starts[place][hit], 1)
                     np.add.at(marks, starts[place][hit] + WINDOW, -1)

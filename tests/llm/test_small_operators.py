@@ -109,8 +109,9 @@ def cut(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [1 << 24, 3000])
-def test_substrings(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "hot"), [(1 << 24, 16), (3000, 4), (3000, 10**9)])
+def test_substrings(spark, monkeypatch, bucket, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket)
     rng = random.Random(6)
     passages = [[f"p{k}_{i}" for i in range(n)] for k, n in enumerate((12, 13, 14, 20, 60))]
@@ -133,6 +134,20 @@ def test_substrings(spark, monkeypatch, bucket):
     assert substring_dedup.repeated_spans(df.where("false")).count() == 0
 
 
+def test_a_passage_in_every_document_does_not_fill_a_bucket(spark, monkeypatch):
+    rng = random.Random(4)
+    hot = " ".join(f"h{i}" for i in range(40))
+    rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(20)) + " " + hot) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes, packed = {}, substring_dedup._answers
+    for least in (16, 10**9):
+        monkeypatch.setattr(substring_dedup, "HOT", least)
+        monkeypatch.setattr(substring_dedup, "_answers", lambda rows, *a: sizes.setdefault(least, []).append(rows.agg(F.sum(F.length("entries"))).first()[0]) or packed(rows, *a))
+        got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.repeated_spans(df).collect())
+        assert got == [(i, 60, 40 if i else 0) for i in range(600)]
+    assert sizes[16][0] < sizes[10**9][0] / 2 and (sizes[16][1] or 0) < sizes[10**9][1] / 6
+
+
 # --- neighbours ----------------------------------------------------------------
 
 

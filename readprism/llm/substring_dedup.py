@@ -27,7 +27,8 @@ Hot passages: a sample of at most about ``SAMPLE_BYTES`` of text tells which has
 occur ``HOT`` times or more in it, so their number is bounded. Those don't go to
 buckets: one pass reduces each of them, in every task and then over all, to the
 least and the greatest document id, and that bounded table is sent to all tasks,
-which judge hot positions themselves. The sample only chooses the path; results
+which judge hot positions themselves and flag documents with hits in further
+buckets without entries. The sample only chooses the path; results
 are the same for any choice. A hash that is not hot is rare enough (about 1 of
 2,000 documents or fewer) that its bucket stays small.
 
@@ -54,8 +55,8 @@ _U = np.uint64
 WINDOW, BLOCK = 13, 7
 BUCKET_BYTES = 16 << 20
 BUCKETS_A_TASK = 4
-SAMPLE_BYTES = 64 << 20
-HOT = 16
+SAMPLE_BYTES = 32 << 20
+HOT = 8
 _PACKED = "bucket int, docs array<long>, rows array<int>, counts array<int>, entries binary"
 _REPLY = "doc_id long, row int, replies array<struct<bucket:int,bits:binary>>"
 
@@ -85,11 +86,25 @@ def _pack(hashes: np.ndarray, entries: np.ndarray, bounds: np.ndarray, docs: pa.
     )
 
 
+def _flagged(rows: np.ndarray, batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """Documents with hot hits, as a row of one of as many further buckets, which answer without entries."""
+    rows = np.unique(rows)
+    docs, keys = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "row"))
+    bucket = buckets + int(_bucket_of(W.mix(np.asarray(keys)[:1].astype(np.uint64)), buckets)[0])
+    edges = np.array([0, len(rows)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), W.list_array(docs, edges), W.list_array(keys, edges), W.list_array(pa.array(np.zeros(len(rows), np.int32)), edges), pa.array([b""], pa.binary())],
+        ["bucket", "docs", "rows", "counts", "entries"],
+    )
+
+
 def _answers(packed: DataFrame, buckets: int, dtype: str, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Bring each bucket's rows together, judge its entries (entries, doc ids) and send bitmaps back by document."""
 
     def answer(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         docs, keys, counts = (np.concatenate([r[j] for r in rows]) for j in (1, 2, 3))
+        if rows[0][0] >= buckets:
+            return docs, keys, np.full(len(docs), rows[0][0], np.int32), [b""] * len(docs)
         entries = np.concatenate([np.frombuffer(r[4], dtype) for r in rows])
         hit = judge(entries, np.repeat(docs, counts))
         starts = np.cumsum(counts) - counts
@@ -124,7 +139,7 @@ def _answers(packed: DataFrame, buckets: int, dtype: str, judge: Callable[[np.nd
             yield by_doc(found)
 
     # A task works through a few buckets, one after the other, and answers each document once.
-    tasks = max(-(-buckets // BUCKETS_A_TASK), min(buckets, packed.sparkSession.sparkContext.defaultParallelism))
+    tasks = max(-(-2 * buckets // BUCKETS_A_TASK), min(2 * buckets, packed.sparkSession.sparkContext.defaultParallelism))
     return packed.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(by_bucket, _REPLY)
 
 
@@ -160,6 +175,8 @@ def _unpack(hashes: np.ndarray, replies: list[dict] | None, buckets: int) -> np.
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets < 4 * len(hashes) else None
         for r in replies:
+            if r["bucket"] >= buckets:
+                continue
             own = order[edges[r["bucket"]] : edges[r["bucket"] + 1]] if edges is not None else np.flatnonzero(bucket == r["bucket"])
             out[own] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(own)).astype(bool)
     return out
@@ -265,7 +282,7 @@ def _candidates(batch: pa.RecordBatch, buckets: int, facts: Facts) -> tuple[np.n
     for i in range(len(batch)):
         replies, own = batch.column("probes")[i].as_py(), slice(block_bounds[i], block_bounds[i + 1])
         near = np.zeros(0, np.int64)
-        if docs[i] is not None and (replies or hot[own].any()):
+        if replies:
             hits = np.zeros(block_bounds[i + 1] - block_bounds[i], bool)
             hits[~hot[own]] = _unpack(blocks[own][~hot[own]], replies, buckets)
             some = at[own][hot[own]]
@@ -298,8 +315,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for batch in W.slices(batches, "text"):
             hashes, bounds = W.word_hashes(batch.column("text"), lower=False)
             values, bounds = W.windows(hashes, bounds, BLOCK, short=False)
-            begins = _block_starts(bounds)
-            rest, values, bounds = _rest(values, bounds, shared.value.blocks)
+            begins, facts = _block_starts(bounds), shared.value
+            hot, at = _place(values, facts.blocks)
+            if hot.any():
+                row = np.repeat(np.arange(len(batch)), np.diff(bounds))[hot]
+                own, at = np.asarray(batch.column("doc_id"))[row], at[hot]
+                hit = (facts.block_least[at] < own) | (begins[hot] & (facts.block_most[at] > own))
+                if hit.any():
+                    yield _flagged(row[hit], batch, buckets)
+            rest, values, bounds = _rest(values, bounds, facts.blocks)
             entries = (values & _U(0xFFFFFFFE)).astype(np.uint32) | begins[rest].astype(np.uint32)
             yield _pack(values, entries, bounds, batch.column("doc_id"), batch.column("row"), buckets)
 
@@ -309,9 +333,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
-            some = batch if len(shared.value.blocks) else batch.filter(batch.column("probes").is_valid())
+            some, facts = batch.filter(batch.column("probes").is_valid()), shared.value
             if len(some):
-                values, bounds, _ = _candidates(some, buckets, shared.value)
+                values, bounds, _ = _candidates(some, buckets, facts)
+                hot, at = _place(values, facts.windows)
+                if hot.any():
+                    row = np.repeat(np.arange(len(some)), np.diff(bounds))[hot]
+                    hit = facts.window_least[at[hot]] < np.asarray(some.column("doc_id"))[row]
+                    if hit.any():
+                        yield _flagged(row[hit], some, buckets)
                 _, values, bounds = _rest(values, bounds, shared.value.windows)
                 yield _pack(values, values, bounds, some.column("doc_id"), some.column("row"), buckets)
 
@@ -321,7 +351,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         facts = shared.value
         for batch in W.slices(batches, "text"):
-            touched = np.asarray(batch.column("windows").is_valid()) | bool(len(facts.windows))
+            touched = np.asarray(batch.column("windows").is_valid())
             some = batch.filter(pa.array(touched))
             values, bounds, starts = _candidates(some, buckets, facts)
             hot, at = _place(values, facts.windows)

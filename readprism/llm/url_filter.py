@@ -14,13 +14,15 @@ than the id and the url are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Built-in vocabulary; load_vocabulary reads a larger one.
 STRICT_TERMS = ("adult", "casino", "escort", "hentai", "malware", "phishing", "porn", "porno", "sex", "warez", "xxx")
 SOFT_TERMS = (
     "ads", "bet", "bets", "betting", "bonus", "buy", "cheap", "click", "coupon", "deal", "deals", "download", "farm",
@@ -82,6 +84,24 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict terms, soft terms) from a text file of lines ``strict TERM`` or ``soft TERM``.
+
+    Terms are lower-cased (A-Z); a term of both kinds is strict. Empty lines and
+    lines that start with ``#`` are skipped, any other line raises ``ValueError``.
+    A vocabulary is a list that people keep, so it is read whole on the driver.
+    """
+    kinds: dict[str, set[str]] = {"strict": set(), "soft": set()}
+    for row in spark.read.text(path).collect():
+        parts = row.value.split(maxsplit=1)
+        if not parts or parts[0].startswith("#"):
+            continue
+        if len(parts) < 2 or parts[0] not in kinds:
+            raise ValueError(f"{path}: no vocabulary line: {row.value!r}")
+        kinds[parts[0]].add(re.sub("[A-Z]", lambda m: m[0].lower(), parts[1].strip()))
+    return tuple(sorted(kinds["strict"])), tuple(sorted(kinds["soft"] - kinds["strict"]))
+
+
 def vocabulary_hits(url: Column, strict: Sequence[str], soft: Sequence[str]) -> Column:
     """Count distinct strict and soft terms in each url: struct(strict int, soft int)."""
     terms = [(t, "strict") for t in strict] + [(t, "soft") for t in soft if t not in set(strict)]

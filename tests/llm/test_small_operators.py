@@ -89,6 +89,19 @@ def test_quality_prefers(spark):
     assert full.select(*clash.columns[3:]).distinct().collect() == [("x",) * 12]
 
 
+def test_loaded_vocabulary_and_long_urls(spark, tmp_path):
+    (tmp_path / "terms.txt").write_text("# terms\nstrict Bad-Word\nsoft one\n\nsoft two\nsoft bad-word\n")
+    strict, soft = url_filter.load_vocabulary(spark, str(tmp_path / "terms.txt"))
+    assert (strict, soft) == (("bad-word",), ("one", "two"))
+    urls = ["http://a/x/bad-word/", "http://a/xbad-word", "http://a/one/one", "http://a/one-two", "http://a/" + "x" * 1_000_000 + "/BAD-WORD", None, "no scheme one two"]
+    df = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(df, rules=(), strict=strict, soft=soft).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "block"}
+    (tmp_path / "wrong.txt").write_text("mild x\n")
+    with pytest.raises(ValueError):
+        url_filter.load_vocabulary(spark, str(tmp_path / "wrong.txt"))
+
+
 # --- substrings ----------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from readprism.llm import shared
@@ -26,3 +27,29 @@ def test_stages(spark):
         ids = now
     assert docs.where("taken <= 0 or taken is null").count() == 0 and len(ids) > 50
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "mix"]
+
+
+def run_all(spark, docs, sf_dir):
+    for name, stage in P.STAGES:
+        docs = shared.materialize(stage(spark, docs, sf_dir), name)
+    return docs
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    docs = shared.table(spark, SF, "documents")
+    names = ("entities", "taken", "epochs", "grade", "rated_id", "keep_id", "bad_id", "row", "root", "found")
+    odd = docs.limit(1).withColumn("text", F.explode(F.array(F.lit(None).cast("string"), F.lit(""), F.lit(" \n")))).withColumn("doc_id", F.lit(10**6).cast("long"))
+    nameless = docs.orderBy("doc_id").limit(30).withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string"))
+    more = docs.unionByName(docs).unionByName(odd).unionByName(nameless).withColumns({c: F.lit("own") for c in names})
+    plain, got = run_all(spark, docs, SF), run_all(spark, more, SF)
+    assert got.columns == [*more.columns, "epochs_", "taken_"]
+    assert got.select(*names).distinct().collect() == [("own",) * len(names)]
+    assert got.groupBy("doc_id", "text").count().where("count > 1").isEmpty() and got.where("doc_id is null or doc_id = 1000000").isEmpty()
+    kept = P.near_duplicates(spark, P.quality(spark, more, SF), SF)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in P.near_duplicates(spark, P.quality(spark, docs, SF), SF).select("doc_id").collect()}
+    assert {r.doc_id for r in plain.select("doc_id").collect()} and not got.isEmpty()
+
+
+def test_no_documents(spark):
+    docs = shared.table(spark, SF, "documents")
+    assert run_all(spark, docs.where("false"), SF).columns == [*docs.columns, "epochs", "taken"]

@@ -114,6 +114,22 @@ def test_verdict_edges(spark):
             assert statuses(verdicts.short_verdicts(tables(**{table: sql.format(value)})))[module] == status, (module, value)
 
 
+def test_long_verdict_edges(spark):
+    def tables(**over):
+        base = {"per_seq_quality": "select 30 as mean_q, 100L as cnt", "n_flags": "select 100L as reads, 0L as gt20, 0L as gt10", "adapter_any": "select 0d a0, 0d a1, 0d a2, 0d a3, 0d a4"}
+        return {k: spark.sql(v) for k, v in (base | over).items()}
+
+    edges = [
+        ("per_seq_quality", "per_seq_quality", "select {} as mean_q, 51L as cnt union all select 40, 50L", [(10, "PASS"), (9, "WARN"), (7, "WARN"), (6, "FAIL")]),
+        ("per_seq_n", "n_flags", "select 100L as reads, 0L as gt20, {}L as gt10", [(5, "PASS"), (6, "WARN")]),
+        ("per_seq_n", "n_flags", "select 100L as reads, {}L as gt20, 100L as gt10", [(5, "WARN"), (6, "FAIL")]),
+        ("adapter_content", "adapter_any", "select 0d a0, {}d a1, 0d a2, 0d a3, 0d a4", [(5, "PASS"), (6, "WARN"), (10, "WARN"), (11, "FAIL")]),
+    ]
+    for module, table, sql, cases in edges:
+        for value, status in cases:
+            assert statuses(verdicts.long_verdicts(tables(**{table: sql.format(value)})))[module] == status, (module, value)
+
+
 def test_streaming_state(spark, tmp_path):
     reads = spark.createDataFrame([(s, q) for _, s, q in ROWS], "seq string, qual string")
     reads.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -38,9 +38,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -254,7 +255,8 @@ def counts(page: str) -> Counter:
 
 def labelled(pages: DataFrame, sample: int) -> DataFrame:
     """(html): at most ``sample`` distinct pages that may mark their content, those of the least hash. Only hashes are sorted."""
-    some = pages.where(F.col("html").rlike("(?i)<(article|main)")).select("html", F.xxhash64("html").alias("h"))
+    marks = [F.contains("html", F.lit(f"<{name}")) for mark in sorted(MARKS) for name in (mark, mark.upper())]
+    some = pages.where(reduce(Column.__or__, marks)).select("html", F.xxhash64("html").alias("h"))
     last = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     return some.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("html").alias("html")).select("html")
 

@@ -58,7 +58,8 @@ BUCKETS_A_TASK = 4
 SAMPLE_BYTES = 32 << 20
 HOT = 8
 _PACKED = "bucket int, docs array<long>, rows array<int>, counts array<int>, entries binary"
-_REPLY = "doc_id long, row int, replies array<struct<bucket:int,bits:binary>>"
+_REPLY = "place int, docs array<long>, rows array<int>, buckets array<int>, sizes array<int>, bits binary"
+_DOCUMENT = "doc_id long, row int, replies array<struct<bucket:int,bits:binary>>"
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -98,8 +99,41 @@ def _flagged(rows: np.ndarray, batch: pa.RecordBatch, buckets: int) -> pa.Record
     )
 
 
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Flags of the rows of sorted columns that differ from the row before."""
+    flags = np.ones(len(columns[0]), bool)
+    flags[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return flags
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows, as tuples, of each value of the first column, from batches sorted by it."""
+    held: list[tuple] = []
+    for batch in batches:
+        for i in range(len(batch)):
+            first, *rest = (column[i] for column in batch.columns)
+            row = (first.as_py(), *(x.values.to_numpy() if isinstance(x, pa.ListScalar) else x.as_py() for x in rest))
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _dealt(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows in order of ``key``, which is below ``n``; a task has a few of its values."""
+    tasks = max(-(-n // BUCKETS_A_TASK), min(n, rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartitionById(tasks, F.col(key) % tasks).sortWithinPartitions(key)
+
+
 def _answers(packed: DataFrame, buckets: int, dtype: str, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Bring each bucket's rows together, judge its entries (entries, doc ids) and send bitmaps back by document."""
+    """Bring each bucket's rows together, judge its entries (entries, doc ids) and send bitmaps back: a row for each document with hits.
+
+    Bitmaps travel packed, a row for each place (a share of the documents) and a
+    few buckets, and meet by document at their place. Documents that repeat in
+    id and text get one answer.
+    """
 
     def answer(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         docs, keys, counts = (np.concatenate([r[j] for r in rows]) for j in (1, 2, 3))
@@ -111,36 +145,38 @@ def _answers(packed: DataFrame, buckets: int, dtype: str, judge: Callable[[np.nd
         some = np.flatnonzero(np.add.reduceat(hit.astype(np.int64), starts))
         return docs[some], keys[some], np.full(len(some), rows[0][0], np.int32), [np.packbits(hit[a : a + n]).tobytes() for a, n in zip(starts[some], counts[some])]
 
-    def by_doc(found: list[tuple]) -> pa.RecordBatch:
+    def by_place(found: list[tuple]) -> pa.RecordBatch:
         docs, keys, bucket = (np.concatenate([f[j] for f in found]) for j in range(3))
-        bits = np.array([b for f in found for b in f[3]] or [b""], object)[: len(docs)]
-        order = np.lexsort((keys, docs))
-        docs, keys = docs[order], keys[order]
-        run = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])])) if len(docs) else np.zeros(0, np.int64)
-        pairs = pa.StructArray.from_arrays([pa.array(bucket[order]), pa.array(bits[order], pa.binary())], ["bucket", "bits"])
-        return pa.RecordBatch.from_arrays([pa.array(docs[run]), pa.array(keys[run]), W.list_array(pairs, np.append(run, len(docs)))], ["doc_id", "row", "replies"])
+        bits = [b for f in found for b in f[3]]
+        place = _bucket_of(W.mix(docs.astype(np.uint64) ^ W.mix(keys.astype(np.uint64))), buckets)
+        order = np.lexsort((bucket, keys, docs, place))
+        order = order[_new(docs[order], keys[order], bucket[order])]
+        edges = np.append(np.flatnonzero(_new(place[order])), len(order))
+        lists = [W.list_array(pa.array(column[order]), edges) for column in (docs, keys, bucket, np.array([len(b) for b in bits], np.int32))]
+        blobs = [b"".join(bits[i] for i in order[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(place[order][edges[:-1]].astype(np.int32)), *lists, pa.array(blobs, pa.binary())], ["place", "docs", "rows", "buckets", "sizes", "bits"])
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         found: list[tuple] = []
-        for batch in batches:
-            for i in range(len(batch)):
-                row = (batch.column("bucket")[i].as_py(), *(batch.column(c)[i].values.to_numpy() for c in ("docs", "rows", "counts")), batch.column("entries")[i].as_py())
-                if held and held[0][0] != row[0]:
-                    found.append(answer(held))
-                    held = []
-                    if len(found) == BUCKETS_A_TASK:
-                        yield by_doc(found)
-                        found = []
-                held.append(row)
-        if held:
-            found.append(answer(held))
+        for rows in _groups(batches):
+            found.append(answer(rows))
+            if len(found) == BUCKETS_A_TASK:
+                yield by_place(found)
+                found = []
         if found:
-            yield by_doc(found)
+            yield by_place(found)
+
+    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            docs, keys, bucket, sizes = (np.concatenate([r[j] for r in rows]) for j in range(1, 5))
+            bits = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes, dtype=np.int64))), pa.py_buffer(b"".join(r[5] for r in rows))])
+            order = np.lexsort((bucket, keys, docs))
+            docs, keys = docs[order], keys[order]
+            edges = np.append(np.flatnonzero(_new(docs, keys)), len(docs))
+            pairs = pa.StructArray.from_arrays([pa.array(bucket[order]), bits.take(pa.array(order)).cast(pa.binary())], ["bucket", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[edges[:-1]]), pa.array(keys[edges[:-1]]), W.list_array(pairs, edges)], ["doc_id", "row", "replies"])
 
-    # A task works through a few buckets, one after the other, and answers each document once.
-    tasks = max(-(-2 * buckets // BUCKETS_A_TASK), min(2 * buckets, packed.sparkSession.sparkContext.defaultParallelism))
-    return packed.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(by_bucket, _REPLY)
+    return _dealt(_dealt(packed, "bucket", 2 * buckets).mapInArrow(by_bucket, _REPLY), "place", buckets).mapInArrow(by_document, _DOCUMENT)
 
 
 def _judge_probes(entries: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -327,9 +363,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             entries = (values & _U(0xFFFFFFFE)).astype(np.uint32) | begins[rest].astype(np.uint32)
             yield _pack(values, entries, bounds, batch.column("doc_id"), batch.column("row"), buckets)
 
-    probes = _answers(base.where("doc_id is not null").mapInArrow(probe, _PACKED), buckets, "uint32", _judge_probes)
-    by_doc = probes.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("replies")).alias("probes"))
-    asked = base.join(materialize(by_doc, "probes"), ["doc_id", "row"], "left")
+    probes = _answers(base.where("doc_id is not null").mapInArrow(probe, _PACKED), buckets, "uint32", _judge_probes).withColumnRenamed("replies", "probes")
+    asked = base.join(materialize(probes, "probes"), ["doc_id", "row"], "left")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
@@ -345,8 +380,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 _, values, bounds = _rest(values, bounds, shared.value.windows)
                 yield _pack(values, values, bounds, some.column("doc_id"), some.column("row"), buckets)
 
-    windows = _answers(asked.mapInArrow(extend, _PACKED), buckets, "uint64", _judge_windows)
-    window_replies = windows.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("replies")).alias("windows"))
+    windows = _answers(asked.mapInArrow(extend, _PACKED), buckets, "uint64", _judge_windows).withColumnRenamed("replies", "windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         facts = shared.value
@@ -384,5 +418,5 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "removed", "kept"],
             )
 
-    final = asked.join(window_replies, ["doc_id", "row"], "left")
+    final = asked.join(windows, ["doc_id", "row"], "left")
     return final.select("doc_id", "text", "probes", "windows").mapInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string")

@@ -31,6 +31,7 @@ import hmac
 import ipaddress
 import re
 import secrets
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -299,8 +300,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             group = m.lastindex or 0
             a, b = m.span(group)
-            if fits(m[group]) and not any(a < y and x < b for x, y, _ in spans):
-                spans.append((a, b, kind))
+            at = bisect(spans, (a, b))
+            if fits(m[group]) and (at == 0 or spans[at - 1][1] <= a) and (at == len(spans) or b <= spans[at][0]):
+                spans.insert(at, (a, b, kind))
 
     low = text.lower()
     if any(w in low for w in ("token", "secret", "passw", "pwd", "key")):
@@ -319,7 +321,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         add(_PHONE, "phone", lambda x: 7 <= len(re.sub(r"\D", "", x)) <= 15)
     add(_TITLED, "name")
     add(_GIVEN, "name")
-    return sorted(spans)
+    return spans
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[dict]]:

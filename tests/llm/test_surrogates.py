@@ -98,3 +98,9 @@ def test_more_kinds():
         assert [e["type"] for e in found] == [kind] and new != text and new.startswith(keeps) and S.replace(text, b"k")[0] == new, text
     for text in ("at 12:30:45 sharp", "std::vector<int>", "a::b", "ratio 1:2:3"):
         assert not S.find(text)
+
+
+def test_a_text_with_very_many_entities():
+    text = " ".join(f"u{i}@m.org 10.{i % 250}.1.{i % 199} 020-555-{i % 10000:04d}" for i in range(20_000))
+    found = S.find(text)
+    assert len(found) == 60_000 and [k for *_, k in found[:3]] == ["email", "ip", "phone"] and all(x[1] <= y[0] for x, y in zip(found, found[1:]))

@@ -28,8 +28,8 @@ TRIM = 150
 
 
 def prepared(reads: DataFrame) -> DataFrame:
-    """Non-empty reads as (seq in upper case, qual, n) and ``read_idx`` where there is one."""
-    order = ["read_idx"] if "read_idx" in reads.columns else []
+    """Non-empty reads as (seq in upper case, qual, n); of numbered reads also ``read_idx`` and ``written``, the bases as they stand."""
+    order = ["read_idx", F.col("seq").alias("written")] if "read_idx" in reads.columns else []
     return reads.where(F.length("seq") > 0).select(*order, F.upper("seq").alias("seq"), "qual", F.length("seq").alias("n"))
 
 

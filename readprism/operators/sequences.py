@@ -30,12 +30,24 @@ def duplication_levels(counts: DataFrame) -> DataFrame:
     return full.select("level", "reads", F.when(total > 0, F.col("reads").cast("double") / total.cast("double")).otherwise(F.lit(0.0)).alias("relative"))
 
 
-def overrepresented(counts: DataFrame, *, least_percent: float = REPORTED_PERCENT) -> DataFrame:
-    """(sequence, cnt, percent, source) of sequences of at least 0.1 percent of reads: at most a thousand rows."""
+def overrepresented(counts: DataFrame, reads: DataFrame | None = None, *, least_percent: float = REPORTED_PERCENT) -> DataFrame:
+    """(sequence, cnt, percent, source) of sequences of at least 0.1 percent of reads: at most a thousand rows.
+
+    With numbered ``reads`` a sequence is shown as its first read has it, otherwise
+    in upper case. The few sequences are broadcast to find those reads; counting
+    itself carries only numbers.
+    """
     total = counts.agg(F.sum("cnt").alias("total"))
     share = F.col("cnt") * F.lit(100.0) / F.col("total")
-    shown = F.substr("seq", F.lit(1), F.lit(B.TRIM))
-    return counts.crossJoin(F.broadcast(total)).where(share >= least_percent).select(shown.alias("sequence"), "cnt", share.alias("percent"), B.likely_source(shown).alias("source"))
+    folded = F.substr("seq", F.lit(1), F.lit(B.TRIM))
+    found = counts.crossJoin(F.broadcast(total)).where(share >= least_percent)
+    shown = folded
+    if reads is not None and {"read_idx", "written"} <= set(reads.columns):
+        numbered = reads.select(F.col("read_idx").alias("first_idx"), "seq", "written")
+        firsts = numbered.join(F.broadcast(found.select("first_idx", "seq")), ["first_idx", "seq"]).groupBy("seq").agg(F.min("written").alias("written"))
+        found = found.join(F.broadcast(firsts), "seq", "left")
+        shown = F.coalesce(F.substr("written", F.lit(1), F.lit(B.TRIM)), folded)
+    return found.select(shown.alias("sequence"), "cnt", share.alias("percent"), B.likely_source(folded).alias("source"))
 
 
 def source_classes(counts: DataFrame) -> DataFrame:

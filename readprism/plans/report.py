@@ -60,7 +60,7 @@ def module_tables(reads: DataFrame, context: Context) -> dict[str, DataFrame]:
         SEQUENCES: counts,
         "per_base_quality": quality.per_base_quality(positions), "per_base_content": composition.per_base_content(positions), "per_base_n": composition.per_base_n(positions),
         "quality_flags": quality.quality_flags(counted), "length_dist": lengths.lengths_of(counted),
-        "duplication_levels": sequences.duplication_levels(counts), "overrepresented": sequences.overrepresented(counts), "frequent": sequences.overrepresented(counts, least_percent=0.05),
+        "duplication_levels": sequences.duplication_levels(counts), "overrepresented": sequences.overrepresented(counts, reads), "frequent": sequences.overrepresented(counts, least_percent=0.05),
         "adapter_by_position": adapters.adapter_by_position(counted), "kmer_content": kmers.enriched_kmers(words), "kmer_enrichment": kmers.kmer_enrichment(words),
     }
 

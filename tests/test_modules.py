@@ -86,9 +86,22 @@ def test_sequences(ready, reads):
     over = {r.sequence: (r.cnt, r.percent, r.source) for r in sequences.overrepresented(table).collect()}
     assert over["A" * 20][2] == "Poly-A" and over["A" * 19][2] == "No Hit" and over[A3][2] == "Adapter"
     assert {s: v[0] for s, v in over.items() if len(s) < 150} == {s: c for s, c in counts.items() if 1000 * c >= len(reads) and len(s) < 150}
+    first = {}
+    for s, _ in reads:
+        first.setdefault(s.upper(), s)
+    shown = {r.sequence: (r.cnt, r.percent, r.source) for r in sequences.overrepresented(table, ready).collect()}
+    assert shown == {(first[s] if len(s) < 150 else first["ACGTN" * 250][:150]): v for s, v in over.items()}
+    assert "acgtnacgtn" in shown and "ACGTNACGTN" not in shown
     assert len(sequences.frequent_sequences_sketch(ready, k=3).collect()) == 3
 
 
+def test_repeated_and_null_read_numbers(spark):
+    rows = [(0, "acgt"), (0, "ACGT"), (0, "Acgtt"), (None, "ggg"), (None, "GGG")]
+    ready = B.prepared(spark.createDataFrame([(*r, "I" * len(r[1])) for r in rows], "read_idx long, seq string, qual string"))
+    shown = {r.sequence: r.cnt for r in sequences.overrepresented(sequences.sequence_counts(ready), ready).collect()}
+    assert shown == {"ACGT": 2, "Acgtt": 1, "GGG": 2}
+
+
 def test_adapters(ready, reads):
     hits = Counter(h for s, _ in reads for h in brute.adapter_starts(s))
     got = {(r.position, i): r[f"a{i}"] for r in adapters.adapter_by_position(adapters.adapter_counts(ready)).collect() for i in range(5)}

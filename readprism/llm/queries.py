@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, decontaminate, main_text, mixture, neardup, ordinal, rp_forest, substring_dedup, surrogates, url_filter
+from readprism.llm import archive, bpe_automaton, decontaminate, main_text, mixture, neardup, ordinal, rp_forest, substring_dedup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -44,9 +44,16 @@ u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from n)
 select n.doc_id, count(u.pos) as n_words, count(g.pos) as n_removed, sha256(coalesce(string_agg(u.word, ' ' order by u.pos) filter (where g.pos is null), '')) as kept_sha256
 from n left join u on n.doc_id = u.doc_id left join g on u.doc_id = g.doc_id and u.pos = g.pos group by n.doc_id"""
 
+#: The folder of the public tokenizers' files; ``spark.readprism.tokenizers`` names another.
+TOKENIZERS = "/opt/tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get('spark.readprism.tokenizers', TOKENIZERS)}/{name}"
+
+
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), "url", F.col("html").alias("payload"))
     return archive.archive_round_trip(pages).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -97,6 +104,16 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("doc_id", F.size("entities").alias("n_entities"), "entities", "text")
 
 
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automaton = bpe_automaton.load(tokenizer_path(spark, "byte_bpe_50k.json"))
+    encoded = bpe_automaton.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), automaton).drop("text")
+    decoded = bpe_automaton.decode(encoded, automaton)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
@@ -109,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op8_block_anchors": op8_block_anchors,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_surrogates": op10_surrogates,
+        "op12_bpe_automaton": op12_bpe_automaton,
     }
 
 

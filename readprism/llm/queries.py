@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, bpe_automaton, decontaminate, main_text, mixture, neardup, ordinal, rp_forest, substring_dedup, surrogates, url_filter
+from readprism.llm import archive, bpe_automaton, collocations, decontaminate, main_text, mixture, neardup, ordinal, rp_forest, substring_dedup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -44,6 +44,25 @@ u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from n)
 select n.doc_id, count(u.pos) as n_words, count(g.pos) as n_removed, sha256(coalesce(string_agg(u.word, ' ' order by u.pos) filter (where g.pos is null), '')) as kept_sha256
 from n left join u on n.doc_id = u.doc_id left join g on u.doc_id = g.doc_id and u.pos = g.pos group by n.doc_id"""
 
+OP13_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+t as (select lang, sum(len(w)) as n from w group by lang),
+g as (select lang, w, unnest(range(1, 6)) as m from w),
+h as (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase from g where len(w) >= m),
+f as (select lang, m, phrase, count(*) as a from h group by all having count(*) >= 100),
+c as (select lang, m, phrase, a, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from f where m > 1),
+s as (
+  select c.lang, c.phrase, c.m, c.a, c.k, x.a as l, y.a as r, t.n, 1000 * c.a::hugeint * t.n::hugeint // (x.a::hugeint * y.a::hugeint) as score
+  from c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1:], ' ') join t on t.lang = c.lang),
+b as (select *, row_number() over (partition by lang, phrase order by score, k) as low from s),
+d as (select b.* from b where low = 1 and not exists (
+  select 1 from f o where o.lang = b.lang and o.m > b.m and 100 * o.a >= 100 * b.a and contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from d)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from r where rank <= 2000"""
+
 #: The folder of the public tokenizers' files; ``spark.readprism.tokenizers`` names another.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -114,6 +133,10 @@ def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
@@ -127,6 +150,7 @@ def queries() -> dict[str, Query]:
         "op9_weighted_mix": op9_weighted_mix,
         "op10_surrogates": op10_surrogates,
         "op12_bpe_automaton": op12_bpe_automaton,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -137,4 +161,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_block_anchors": OP8_SQL,
         "op6_url_vocabulary": url_filter.oracle_sql(),
         "op9_weighted_mix": mixture.oracle_sql(),
+        "op13_collocations": OP13_SQL,
     }

@@ -129,6 +129,20 @@ def _hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, change: np
     return (np.concatenate(hashes) if hashes else none), np.searchsorted(all_starts, offsets)
 
 
+def split_hashes(data: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one text, whose bytes in ``space`` separate them."""
+    return _hashes(data, np.array([0, len(data)]), space, None)[0]
+
+
+def hash_windows(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Hashes of the ``k`` values from each on; ``seed`` and ``k`` tell kinds of windows apart."""
+    count = max(len(hashes) - k + 1, 0)
+    sums = np.full(count, np.uint64(seed) ^ _STEPS[32 + k])
+    for j in range(k):
+        sums += hashes[j : count + j] * _STEPS[j]
+    return mix(sums)
+
+
 def windows(hashes: np.ndarray, bounds: np.ndarray, k: int, *, short: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds) of each row's windows of ``k`` words; ``short``: a row of 1 to k-1 words is one window."""
     n = len(hashes)

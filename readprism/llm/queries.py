@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprism.llm import archive, bpe_automaton, collocations, decontaminate, main_text, mixture, neardup, ordinal, rp_forest, substring_dedup, surrogates, url_filter
+from readprism.llm import archive, bpe_automaton, collocations, decontaminate, main_text, mixture, neardup, ordinal, prefix_trie, rp_forest, substring_dedup, surrogates, url_filter
 from readprism.llm.shared import table
 
 OP1_SQL = """
@@ -44,6 +44,34 @@ u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from n)
 select n.doc_id, count(u.pos) as n_words, count(g.pos) as n_removed, sha256(coalesce(string_agg(u.word, ' ' order by u.pos) filter (where g.pos is null), '')) as kept_sha256
 from n left join u on n.doc_id = u.doc_id left join g on u.doc_id = g.doc_id and u.pos = g.pos group by n.doc_id"""
 
+OP11_SQL = r"""
+with o as (
+  select conv_id, turn, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) as dg, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as w
+  from conversations where conv_id is not null),
+c as (select conv_id, list({dg: dg, w: w} order by turn nulls first, dg) as t from o group by conv_id),
+b as (
+  select conv_id, list_concat([4294967295::bigint], flatten(list_transform(range(1, length(conv_id::varchar) + 1),
+         lambda i: list_transform(range(0, 8), lambda j: (ascii(substr(conv_id::varchar, i::int, 1)) >> j::int) & 1)))::bigint[]) as bits from c),
+h as (select conv_id, xor(list_reduce(bits, lambda x, y: xor(x >> 1, ((xor(x, y) & 1) * 3988292384::bigint))), 4294967295::bigint) % 4 as h from b),
+r as (
+  select c.conv_id, list_concat(coalesce(a.t[1:h.h], []), c.t[h.h + 1:]) as t
+  from c join h using (conv_id) left join c a on a.conv_id = c.conv_id - c.conv_id % 20),
+d as (select conv_id, t, len(t) as n, unnest(range(0, len(t) + 1)) as depth from r),
+p as (select conv_id, n, depth, md5(array_to_string(list_transform(t[1:depth], lambda x: x.dg), ',')) as pre, case when depth = 0 then 0 else t[depth].w end as w from d),
+m as (
+  select depth, pre, min(conv_id) as conv_id, count(*) as n_convs, any_value(w) as w,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '')) as ends_sha256 from p group by depth, pre),
+u as (
+  select m.*, q.conv_id as parent_conv_id, q.pre as parent_pre
+  from m left join p on p.conv_id = m.conv_id and p.depth = m.depth - 1 left join m q on q.depth = p.depth and q.pre = p.pre),
+k as (select depth - 1 as depth, parent_pre as pre, count(*) as n_children from u where depth > 0 group by all),
+v as (select u.*, coalesce(k.n_children, 0) as n_children from u left join k using (depth, pre)),
+s as (
+  select p.depth, p.pre, sum((v.n_convs - 1) * v.w) as saved_tokens, count(*) filter (where v.n_children = 0) as n_leaves
+  from v join p on p.conv_id = v.conv_id and p.depth <= v.depth group by p.depth, p.pre)
+select v.conv_id, cast(v.depth as bigint) as depth, v.parent_conv_id, v.n_convs, v.n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, v.ends_sha256
+from v join s using (depth, pre)"""
+
 OP13_SQL = r"""
 with p as (
   select coalesce(lang, 'und') as lang,
@@ -123,6 +151,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("doc_id", F.size("entities").alias("n_entities"), "entities", "text")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     automaton = bpe_automaton.load(tokenizer_path(spark, "byte_bpe_50k.json"))
     encoded = bpe_automaton.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), automaton).drop("text")
@@ -149,6 +181,7 @@ def queries() -> dict[str, Query]:
         "op8_block_anchors": op8_block_anchors,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_surrogates": op10_surrogates,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_bpe_automaton": op12_bpe_automaton,
         "op13_collocations": op13_collocations,
     }
@@ -161,5 +194,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_block_anchors": OP8_SQL,
         "op6_url_vocabulary": url_filter.oracle_sql(),
         "op9_weighted_mix": mixture.oracle_sql(),
+        "op11_prefix_trie": OP11_SQL,
         "op13_collocations": OP13_SQL,
     }

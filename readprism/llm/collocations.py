@@ -45,6 +45,8 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 SHARD = 8 << 20
+#: Bytes of a shard whose cells are counted at once.
+COUNTED = 2 << 20
 #: Phrases of the corpus for each cell, and cells of a group.
 LOAD, CELLS = 8, 1 << 21
 UNKNOWN = "und"
@@ -64,11 +66,11 @@ def plain_text(text: bytes) -> bytes:
     return text
 
 
-def _parts(text: bytes) -> Iterator[bytes]:
-    """A plain text in parts of about a shard, cut where pieces meet."""
+def _parts(text: bytes, size: int) -> Iterator[bytes]:
+    """A plain text in parts of about ``size`` bytes, cut where pieces meet."""
     at = 0
-    while len(text) - at > SHARD:
-        cut = text.find(b"\n", at + SHARD)
+    while len(text) - at > size:
+        cut = text.find(b"\n", at + size)
         if cut < 0:
             break
         yield text[at:cut]
@@ -92,7 +94,7 @@ def shards(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
             for lang, a, b in zip(batch.column("lang").to_pylist(), offsets[:-1], offsets[1:]):
-                for part in _parts(plain_text(data[a:b].tobytes())):
+                for part in _parts(plain_text(data[a:b].tobytes()), SHARD):
                     if not part.strip(b" \n"):
                         continue
                     held.setdefault(UNKNOWN if lang is None else lang, []).append(part)
@@ -146,6 +148,19 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.astype(np.int64) + 1) - 1, counts
 
 
+def _packed_cells(phrases: Phrases, groups: int, most: int) -> Iterator[tuple[int, bytes]]:
+    """(group, packed cells) of all phrases of a text."""
+    seen = []
+    for n in range(1, LONGEST + 1):
+        hashes, whole = phrases.of(n)
+        seen.append(_cells(hashes[whole], groups))
+    cells, counts = np.unique(np.concatenate(seen), return_counts=True)
+    edges = np.searchsorted(cells, np.arange(groups + 1, dtype=np.uint64) * np.uint64(CELLS))
+    for g, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if a < b:
+            yield g, _pack(cells[a:b] - np.uint64(g * CELLS), np.minimum(counts[a:b], most))
+
+
 def sketch_rows(texts: DataFrame, groups: int, least: int) -> DataFrame:
     """(shard, grp, packed): the cells that phrases of each shard fall into, with counts, by group of cells."""
     most = min(least, 255)
@@ -153,15 +168,10 @@ def sketch_rows(texts: DataFrame, groups: int, least: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SHARD):
             for shard, lang, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "text"))):
-                phrases, seen = Phrases(lang, text.encode()), []
-                for n in range(1, LONGEST + 1):
-                    hashes, whole = phrases.of(n)
-                    seen.append(_cells(hashes[whole], groups))
-                cells, counts = np.unique(np.concatenate(seen), return_counts=True)
-                edges = np.searchsorted(cells, np.arange(groups + 1, dtype=np.uint64) * np.uint64(CELLS))
-                own = [(g, _pack(cells[a:b] - np.uint64(g * CELLS), np.minimum(counts[a:b], most))) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own), pa.int64()), pa.array([g for g, _ in own], pa.int64()), pa.array([p for _, p in own], pa.binary())], ["shard", "grp", "packed"])
+                for part in _parts(text.encode(), COUNTED):
+                    own = list(_packed_cells(Phrases(lang, part), groups, most))
+                    columns = [pa.array([shard] * len(own), pa.int64()), pa.array([g for g, _ in own], pa.int64()), pa.array([p for _, p in own], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "grp", "packed"])
 
     return texts.select("shard", "lang", "text").mapInArrow(rows, "shard long, grp long, packed binary")
 

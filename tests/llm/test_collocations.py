@@ -43,12 +43,11 @@ def test_plain_text():
         assert C.plain_text(text.encode()).decode() == expected
 
 
-def test_parts_are_cut_between_pieces(monkeypatch):
-    monkeypatch.setattr(C, "SHARD", 40)
+def test_parts_are_cut_between_pieces():
     rng = random.Random(4)
     for _ in range(200):
         text = C.plain_text("".join(rng.choice("ab  .") for _ in range(rng.randint(0, 400))).encode())
-        parts = list(C._parts(text))
+        parts = list(C._parts(text, 40))
         pieces = lambda t: [p.split() for p in t.split(b"\n") if p.split()]
         assert [p for t in parts for p in pieces(t)] == pieces(text)
         assert all(t.count(b" ") - t.count(b"\n") - 1 == len(t.replace(b"\n", b" ").split()) for t in parts if t.strip(b" \n"))

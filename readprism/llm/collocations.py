@@ -10,8 +10,9 @@ is guarded by delimiters on both sides. Then
 2. a cell whose sum reaches ``least`` is an upper bound that does; each shard gets
    back those of its own cells;
 3. a shard's phrases with such a cell, as have all phrases within them, are
-   compiled into an Aho-Corasick automaton with their guards, and the shard is scanned
-   for overlapping matches. Counts are summed over shards; the exact threshold follows.
+   compiled into Aho-Corasick automata of bounded size with their guards, and the shard is
+   scanned for overlapping matches. Counts go back to the groups of cells, packed, and are
+   summed over shards there; the exact threshold follows.
 
 A phrase within a frequent phrase is at least as frequent, and hot cells are the
 same for all shards, so every phrase of ``least`` occurrences is counted in every
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,8 @@ TOP = 2000
 SHARD = 8 << 20
 #: Bytes of a shard whose cells are counted at once.
 COUNTED = 2 << 20
+#: Letters of the phrases in one automaton.
+COMPILED = 1 << 20
 #: Phrases of the corpus for each cell, and cells of a group.
 LOAD, CELLS = 8, 1 << 21
 UNKNOWN = "und"
@@ -196,9 +200,9 @@ def hot_cells(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("grp").applyInArrow(of_group, "shard long, hot binary").where(F.length("hot") > 0)
 
 
-def _patterns(phrases: Phrases, text: bytes, groups: int, hot: np.ndarray) -> Iterator[str]:
-    """The shard's phrases whose cells are hot, with those of all phrases within them; each between two spaces."""
-    before = None
+def _patterns(phrases: Phrases, text: bytes, groups: int, hot: np.ndarray) -> dict[str, int]:
+    """The shard's phrases whose cells are hot, with those of all phrases within them; each between two spaces, with its group."""
+    found, before = {}, None
     for n in range(1, LONGEST + 1):
         hashes, fine = phrases.of(n)
         if before is not None:
@@ -206,36 +210,61 @@ def _patterns(phrases: Phrases, text: bytes, groups: int, hot: np.ndarray) -> It
         at = np.flatnonzero(fine)
         cells = _cells(hashes[at], groups).astype(np.int64)
         place = np.minimum(np.searchsorted(hot, cells), len(hot) - 1)
-        at = at[hot[place] == cells]
+        kept = hot[place] == cells
+        at, cells = at[kept], cells[kept]
         before = np.zeros(len(hashes), bool)
         before[at] = True
         _, first = np.unique(hashes[at], return_index=True)
-        for i in at[first]:
-            yield text[phrases.starts[i] - 1 : phrases.ends[i + n - 1] + 1].decode()
+        for i, group in zip(at[first].tolist(), (cells[first] // CELLS).tolist()):
+            found[text[phrases.starts[i] - 1 : phrases.ends[i + n - 1] + 1].decode()] = group
+    return found
+
+
+def _automata(patterns: list[str]) -> Iterator[ahocorasick.Automaton]:
+    """Automata of all patterns, each of about ``COMPILED`` letters; a pattern's value is its place."""
+    automaton, size = ahocorasick.Automaton(), 0
+    for i, pattern in enumerate(patterns):
+        automaton.add_word(pattern, i)
+        size += len(pattern)
+        if size >= COMPILED or i == len(patterns) - 1:
+            automaton.make_automaton()
+            yield automaton
+            automaton, size = ahocorasick.Automaton(), 0
 
 
 def count_phrases(texts: DataFrame, hot: DataFrame, groups: int) -> DataFrame:
-    """(lang, phrase, cnt): occurrences of phrases with hot cells, a row for each shard that has them."""
+    """(grp, lang, phrases, counts): a shard's phrases with hot cells and how often they occur in it, by group of cells."""
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        cells = np.sort(np.frombuffer(b"".join(right.column("hot").to_pylist()), np.int64))
-        langs, names, sums = [], [], []
+        cells, rows = np.sort(np.frombuffer(b"".join(right.column("hot").to_pylist()), np.int64)), []
         for lang, text in zip(left.column("lang").to_pylist(), left.column("text").to_pylist()) if len(cells) else ():
             data = text.encode()
-            known = sorted(set(_patterns(Phrases(lang, data), data, groups, cells)))
-            if not known:
-                continue
-            automaton = ahocorasick.Automaton()
-            for i, phrase in enumerate(known):
-                automaton.add_word(phrase, i)
-            automaton.make_automaton()
-            counts = Counter(i for _, i in automaton.iter(text))
-            langs += [lang] * len(counts)
-            names += [known[i][1:-1] for i in counts]
-            sums += counts.values()
-        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(names, pa.string()), "cnt": pa.array(sums, pa.int64())})
+            group = _patterns(Phrases(lang, data), data, groups, cells)
+            known, counts = sorted(group), Counter()
+            for automaton in _automata(known):
+                counts.update(i for _, i in automaton.iter(text))
+            by_group: dict[int, list[int]] = {}
+            for i in counts:
+                by_group.setdefault(group[known[i]], []).append(i)
+            rows += [(g, lang, [known[i][1:-1] for i in own], [counts[i] for i in own]) for g, own in by_group.items()]
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["grp", "lang", "phrases", "counts"])
+
+    return texts.select("shard", "lang", "text").groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(scan, "grp long, lang string, phrases array<string>, counts array<long>")
+
+
+def frequent(counted: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, cnt): the sums of ``count_phrases`` over all shards that reach the threshold."""
+
+    def of_group(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        lang = rows.column("lang").take(pc.list_parent_indices(rows.column("phrases")))
+        flat = pa.table({"lang": lang, "phrase": pc.list_flatten(rows.column("phrases")), "cnt": pc.list_flatten(rows.column("counts"))})
+        sums = flat.group_by(["lang", "phrase"]).aggregate([("cnt", "sum")]).rename_columns({"cnt_sum": "cnt"})
+        return sums.filter(pc.greater_equal(sums.column("cnt"), least)).select(["lang", "phrase", "cnt"])
 
-    return texts.select("shard", "lang", "text").groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(scan, "lang string, phrase string, cnt long")
+    return counted.groupBy("grp").applyInArrow(of_group, "lang string, phrase string, cnt long")
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -269,8 +298,7 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
     texts, seen = passing.measured(shards(docs), "shards", F.sum("n_words").alias("words"))
     groups = max(1, -(-LONGEST * (seen.words or 0) // (LOAD * CELLS)))
     hot = hot_cells(sketch_rows(texts, groups, least), least)
-    counts = count_phrases(texts, hot, groups).groupBy("lang", "phrase").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= least)
-    counts = kept.write(counts, "phrases")
+    counts = kept.write(frequent(count_phrases(texts, hot, groups), least), "phrases")
     totals = kept.write(texts.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     passing.drop()
     return ranked(scored(counts, totals), top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -43,9 +43,10 @@ from readprism.llm.words import slices
 
 #: Fixed value: how byte-level tokenizers split a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HELD = 1 << 18
+HELD = 1 << 17
 _KEPT_BYTES = 64
 _NEVER = 1 << 40
+_SLICE = 1 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -276,19 +277,22 @@ def _shipped(df: DataFrame, automaton: Automaton):
     return lambda: sent.value
 
 
-def encode(docs: DataFrame, automaton: Automaton, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the tokens of each whole text."""
+def encode(docs: DataFrame, automaton: Automaton, text: str = "text", *, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, the tokens of each whole text; on request also ``decoded``, the text that these ids give."""
     name, tables = free_name("ids", docs.columns), _shipped(docs, automaton)
+    back = free_name("decoded", docs.columns)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tables()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             rows = [own.encode(x) if x else b"" for x in batch.column(text).to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(rows), np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(bounds, ids)], [*batch.schema.names, name])
+            bounds = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
+            ids = np.frombuffer(b"".join(rows), np.int32)
+            added = [pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids))] + ([own.decode(ids, bounds)] if decoded else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, name, back][: batch.num_columns + len(added)])
 
-    return docs.mapInArrow(tokens, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
+    added = [StructField(name, ArrayType(IntegerType()))] + ([StructField(back, StringType())] if decoded else [])
+    return docs.mapInArrow(tokens, StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, automaton: Automaton, ids: str = "ids") -> DataFrame:

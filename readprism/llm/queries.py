@@ -157,10 +157,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     automaton = bpe_automaton.load(tokenizer_path(spark, "byte_bpe_50k.json"))
-    encoded = bpe_automaton.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), automaton).drop("text")
-    decoded = bpe_automaton.decode(encoded, automaton)
+    encoded = bpe_automaton.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), automaton, decoded=True)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return decoded.select(
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
 

@@ -92,6 +92,8 @@ def test_operator(spark, automaton, library):
     assert encoded.columns == ["doc_id", "text", "ids", "ids_"]
     for r in B.decode(encoded, automaton, "ids_").collect():
         assert r["ids_"] == library.encode(r["text"] or "", add_special_tokens=False).ids and r["decoded"] == (r["text"] or "")
+    both = B.encode(docs, automaton, decoded=True)
+    assert sorted(map(str, both.collect())) == sorted(map(str, B.decode(encoded, automaton, "ids_").collect())) and both.columns[-1] == "decoded"
     assert encoded.where("false").count() == 0 and B.encode(docs.where("false"), automaton).collect() == []
     nulls = spark.createDataFrame([(1, None), (2, [64, None, 65])], "k long, ids array<int>")
     assert {r["k"]: r["decoded"] for r in B.decode(nulls, automaton).collect()} == {1: "", 2: "ab"}

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -43,7 +44,7 @@ from readprism.llm.words import slices
 
 #: Fixed value: how byte-level tokenizers split a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HELD = 1 << 17
+HELD = 1 << 19
 _KEPT_BYTES = 64
 _NEVER = 1 << 40
 _SLICE = 1 << 20
@@ -112,7 +113,7 @@ class Automaton:
         spine = self._tokens.get(self.labels[token].decode("latin-1"))[2]
         return _there(self._lost[state], spine)
 
-    def path(self, word: bytes) -> np.ndarray:
+    def path(self, word: bytes) -> array:
         """The tokens of one word."""
         n, lost, target = len(word), self._lost, self._targets
         reached: list[dict[int, int] | None] = [lost[0]] + [None] * n
@@ -132,7 +133,8 @@ class Automaton:
         while at:
             token, at = arc[at]
             out.append(token)
-        return np.array(out[::-1], np.int32)
+        out.reverse()
+        return array("i", out)
 
     @cached_property
     def _targets(self) -> list[int]:

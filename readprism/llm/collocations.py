@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprism.llm.shared import Scratch
-from readprism.llm.words import LOWER, hash_windows, slices, split_hashes, string_bytes
+from readprism.llm.words import LOWER, hash_windows, split_hashes, string_bytes
 
 LONGEST = 5
 LEAST = 100
@@ -54,6 +54,7 @@ COMPILED = 1 << 20
 #: Phrases of the corpus for each cell, and cells of a group.
 LOAD, CELLS = 8, 1 << 21
 UNKNOWN = "und"
+_CODEC = pa.Codec("zstd", 1)
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _PLAIN = bytes(LOWER).translate(bytes.maketrans(_BREAKS + b"\t", b"\n" * len(_BREAKS) + b" "))
 _SPLIT = np.zeros(256, bool)
@@ -82,8 +83,12 @@ def _parts(text: bytes, size: int) -> Iterator[bytes]:
     yield text[at:]
 
 
+def _compressed(text: bytes) -> bytes:
+    return _CODEC.compress(text, asbytes=True)
+
+
 def shards(docs: DataFrame) -> DataFrame:
-    """(shard, lang, n_words, text): the plain text of ``docs`` (lang, text) by language, in shards of about ``SHARD`` bytes."""
+    """(shard, lang, n_words, size, packed): the plain text of ``docs`` (lang, text) by language, compressed, in shards of about ``SHARD`` bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, size, held = TaskContext.get().partitionId(), 0, 0, {}
@@ -93,7 +98,8 @@ def shards(docs: DataFrame) -> DataFrame:
             texts = [b"\n".join(held[k]) for k in names]
             words = [t.count(b" ") - t.count(b"\n") - 1 for t in texts]
             shard = pa.array([(task << 32) + made] * len(names), pa.int64())
-            return pa.RecordBatch.from_arrays([shard, pa.array(names, pa.string()), pa.array(words, pa.int64()), pa.array([t.decode() for t in texts], pa.string())], ["shard", "lang", "n_words", "text"])
+            sizes, packed = pa.array(map(len, texts), pa.int64()), pa.array(map(_compressed, texts), pa.binary())
+            return pa.RecordBatch.from_arrays([shard, pa.array(names, pa.string()), pa.array(words, pa.int64()), sizes, packed], ["shard", "lang", "n_words", "size", "packed"])
 
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
@@ -109,7 +115,13 @@ def shards(docs: DataFrame) -> DataFrame:
         if held:
             yield rows()
 
-    return docs.select("lang", "text").mapInArrow(cut, "shard long, lang string, n_words long, text string")
+    return docs.select("lang", "text").mapInArrow(cut, "shard long, lang string, n_words long, size long, packed binary")
+
+
+def _texts(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, str, bytes]]:
+    """(shard, lang, plain text) of rows of ``shards``, one text unpacked at a time."""
+    for shard, lang, size, packed in zip(*(rows.column(c).to_pylist() for c in ("shard", "lang", "size", "packed"))):
+        yield shard, lang, _CODEC.decompress(packed, size, asbytes=True)
 
 
 class Phrases:
@@ -170,14 +182,14 @@ def sketch_rows(texts: DataFrame, groups: int, least: int) -> DataFrame:
     most = min(least, 255)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SHARD):
-            for shard, lang, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "text"))):
-                for part in _parts(text.encode(), COUNTED):
+        for batch in batches:
+            for shard, lang, text in _texts(batch):
+                for part in _parts(text, COUNTED):
                     own = list(_packed_cells(Phrases(lang, part), groups, most))
                     columns = [pa.array([shard] * len(own), pa.int64()), pa.array([g for g, _ in own], pa.int64()), pa.array([p for _, p in own], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["shard", "grp", "packed"])
 
-    return texts.select("shard", "lang", "text").mapInArrow(rows, "shard long, grp long, packed binary")
+    return texts.select("shard", "lang", "size", "packed").mapInArrow(rows, "shard long, grp long, packed binary")
 
 
 def hot_cells(rows: DataFrame, least: int) -> DataFrame:
@@ -237,9 +249,8 @@ def count_phrases(texts: DataFrame, hot: DataFrame, groups: int) -> DataFrame:
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         cells, rows = np.sort(np.frombuffer(b"".join(right.column("hot").to_pylist()), np.int64)), []
-        for lang, text in zip(left.column("lang").to_pylist(), left.column("text").to_pylist()) if len(cells) else ():
-            data = text.encode()
-            group = _patterns(Phrases(lang, data), data, groups, cells)
+        for _, lang, data in _texts(left) if len(cells) else ():
+            group, text = _patterns(Phrases(lang, data), data, groups, cells), data.decode()
             known, counts = sorted(group), Counter()
             for automaton in _automata(known):
                 counts.update(i for _, i in automaton.iter(text))
@@ -251,7 +262,7 @@ def count_phrases(texts: DataFrame, hot: DataFrame, groups: int) -> DataFrame:
         columns = list(zip(*rows)) or [()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["grp", "lang", "phrases", "counts"])
 
-    return texts.select("shard", "lang", "text").groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(scan, "grp long, lang string, phrases array<string>, counts array<long>")
+    return texts.select("shard", "lang", "size", "packed").groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(scan, "grp long, lang string, phrases array<string>, counts array<long>")
 
 
 def frequent(counted: DataFrame, least: int) -> DataFrame:

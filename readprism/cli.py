@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from readprism.operators.quality import phred_offset
+from readprism.operators.quality import SNIFFED_READS, phred_offset
 from readprism.plans.report import Context, run
 from readprism.sinks import latex
 from readprism.sinks.bundle import write_report
@@ -44,9 +44,9 @@ def main(argv: list[str] | None = None) -> int:
     builder = SparkSession.builder.appName("readprism").config("spark.sql.session.timeZone", "UTC")
     spark = SparkSession.getActiveSession() or (builder if os.environ.get("SPARK_MASTER") else builder.master(f"local[{args.threads}]")).getOrCreate()
     began = time.time()
-    reads = read_fastq(spark, args.reads)
+    reads = read_fastq(spark, args.reads, columns=("read_idx", "seq", "qual"))
     if args.phred_offset == "auto":
-        found = phred_offset(reads).first()["offset"]
+        found = phred_offset(read_fastq(spark, args.reads, columns=("qual",), records=SNIFFED_READS)).first()["offset"]
         if found is None and reads.isEmpty():
             raise SystemExit("input file is empty")
         offset = found or 33

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +49,26 @@ def quality_flags(table: DataFrame) -> DataFrame:
     return per_seq_quality(table).agg(F.coalesce(F.sum("cnt"), zero).alias("reads"), F.coalesce(low, zero).alias("low"))
 
 
+def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least and greatest quality byte of one task's reads, if there is any."""
+    lo, hi = 256, -1
+    for batch in batches:
+        data, _ = T.text_bytes(batch.column("qual"))
+        if len(data):
+            lo, hi = min(lo, int(data.min())), max(hi, int(data.max()))
+    if hi >= 0:
+        yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([hi], pa.int32())], ["lo", "hi"])
+
+
 def phred_offset(reads: DataFrame) -> DataFrame:
     """One row: least and greatest quality byte, the offset they tell, and its encoding.
 
-    With ``read_idx`` only the first 50,000 reads count, otherwise all do.
+    With ``read_idx`` only the first 50,000 reads count, otherwise all do. Of a
+    file, ``read_fastq(..., records=SNIFFED_READS)`` reads no more than those.
     """
     if "read_idx" in reads.columns:
         reads = reads.orderBy("read_idx").limit(SNIFFED_READS)
-    chars = F.filter(F.split("qual", ""), lambda c: c != "")
-    span = reads.where(F.length("qual") > 0).agg(F.min(F.array_min(chars)).alias("lo"), F.max(F.array_max(chars)).alias("hi")).select(F.ascii("lo").alias("lo"), F.ascii("hi").alias("hi"))
+    span = reads.select("qual").mapInArrow(_span, "lo int, hi int").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     offset = F.when(F.col("lo") < 59, 33).when(F.col("lo") >= 64, 64).when(F.col("hi") <= 74, 33).otherwise(64)
     known = span.withColumn("offset", F.when(F.col("lo").isNotNull(), offset))
     return known.withColumn("encoding", F.when(F.col("offset") == 64, "Illumina 1.5").when(F.col("offset") == 33, "Sanger / Illumina 1.9"))

@@ -70,7 +70,7 @@ class _Counts:
         return pa.RecordBatch.from_arrays([pa.array([self.kind] * len(used)), known, *[pa.array(c.astype(np.int32)) for c in columns[1:]], pa.array(counts)], ["kind", "a", "b", "c", "cnt"])
 
 
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets from 0); nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
@@ -79,7 +79,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    _, offsets = _bytes(batch.column("seq"))
+    _, offsets = text_bytes(batch.column("seq"))
     at = 0
     while at < len(batch):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
@@ -89,7 +89,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _qualities(batch: pa.RecordBatch, offsets: np.ndarray, place: np.ndarray, offset: int) -> np.ndarray:
     """The quality of each base, from 0 to ``MAX_Q``."""
-    data, bounds = _bytes(batch.column("qual"))
+    data, bounds = text_bytes(batch.column("qual"))
     if not np.array_equal(bounds, offsets):
         sizes, row = np.diff(bounds), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         given = place < sizes[row]
@@ -102,7 +102,7 @@ def _qualities(batch: pa.RecordBatch, offsets: np.ndarray, place: np.ndarray, of
 
 def _mean_qualities(column: pa.Array, n: np.ndarray, offset: int) -> np.ndarray:
     """Rounded mean qualities, halves up; -1 for a null text."""
-    data, bounds = _bytes(column)
+    data, bounds = text_bytes(column)
     sums = np.concatenate([[0], np.cumsum(np.maximum(data.astype(np.int64) - offset, 0))])
     means = np.minimum((np.diff(sums[bounds]) + n // 2) // n, B.MAX_Q)
     return np.where(np.asarray(column.is_valid()), means, -1)
@@ -128,7 +128,7 @@ def fold(batches: Iterable[pa.RecordBatch], offset: int, kinds: tuple[str, ...])
     held = {kind: _Counts(kind) for kind in kinds}
     for batch in batches:
         for piece in _pieces(batch):
-            data, offsets = _bytes(piece.column("seq"))
+            data, offsets = text_bytes(piece.column("seq"))
             sizes = np.diff(offsets)
             if by_base:
                 place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)

@@ -1,29 +1,47 @@
 """FASTQ files as DataFrames of (read_idx, id, seq, qual).
 
-``register(spark)`` adds the data source ``fastq``: plain files are read in byte
-ranges that resynchronise on record starts, so one large file is read by many
-tasks; gzip can't be split and is one task (repartition after it). ``read_idx`` is
-the record's byte offset (for gzip its number), so it orders the reads of a file.
-
-A record is four lines. Line ends may be CRLF. A header without ``@``, a third
-line without ``+``, and bases and qualities of different lengths raise
-``ValueError`` with file and position.
+``register(spark)`` adds the data source ``fastq``. Plain files and block-gzip files
+are read in byte ranges that resynchronise on record starts, so many tasks read one
+large file; other gzip files can't be split and are one task each (repartition
+after it). A task reads blocks of bytes and cuts them into columns by the places of
+their line ends, without a step for each line in Python.
+
+``read_idx`` orders the reads of a file: the record's byte offset; for block gzip
+the block's offset << 16, plus the place in the block; for other gzip the record's number.
+
+Options: ``columns``, of (read_idx, id, seq, qual, file), in the order wanted: what is
+not asked for never leaves the reader (a schema given to ``spark.read`` does the
+same); ``splitbytes``, the size of a byte range; ``records``, to read only so many
+records from the start, in one task that stops there.
+
+A record is four lines. Line ends may be CRLF, and the last may be missing. A
+header without ``@``, a third line without ``+``, bases and qualities of different
+lengths and a record that is cut off raise ``ValueError`` with file and position.
+Empty lines may stand at the end of a file. Bytes are read as Latin-1.
 """
 
 from __future__ import annotations
 
-import gzip
 import os
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from readprism.sources import bgzf
 
 SPLIT_BYTES = 128 << 20
-SCHEMA = "read_idx bigint, id string, seq string, qual string"
+COLUMNS = ("read_idx", "id", "seq", "qual")
+FILE = "file"
+BLOCK = 4 << 20
 _ROWS = 8192
+_LINES = 4
+_FAR = 1 << 62
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -44,103 +62,298 @@ def input_files(path: str) -> list[tuple[str, int]]:
 
 
 class Range(InputPartition):
-    """Records that start in ``[start, end)`` of a file; ``end`` is None for all of a gzip file."""
-
-    def __init__(self, path: str, start: int, end: int | None):
-        super().__init__((path, start, end))
-        self.path, self.start, self.end = path, start, end
-
-
-def is_record_start(lines: list[bytes]) -> bool:
-    """Whether four lines are a record: a quality line may start with ``@`` too, but what follows it does not fit."""
-    return len(lines) == 4 and lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1].rstrip(b"\r\n")) == len(lines[3].rstrip(b"\r\n"))
-
-
-def first_record(file, start: int) -> int:
-    """Offset of the first record that starts at ``start`` or after it."""
-    if start == 0:
-        return 0
-    file.seek(start - 1)
-    at = start - 1 + len(file.readline())
-    lines = [file.readline() for _ in range(4)]
-    while lines[0] and lines[3] and not is_record_start(lines):
-        at += len(lines[0])
-        lines = [*lines[1:], file.readline()]
-    return at
+    """Records of one kind of file (plain, blocks, gzip) that belong to the bytes ``[start, end)``, or the first ``most`` of several whole files."""
+
+    def __init__(self, files: list[tuple[str, str]], start: int = 0, end: int | None = None, most: int | None = None):
+        super().__init__((files, start, end, most))
+        self.files, self.start, self.end, self.most = files, start, end, most
+
+
+class _Bytes:
+    """A file's content from some place on, in chunks.
+
+    ``limit``: records that start at this place of the content or beyond it belong
+    to the next range; unknown until the range's own bytes have been read.
+    ``number`` gives the ``read_idx`` of places in the content.
+    """
+
+    limit = _FAR
+
+    def __init__(self, mid: bool):
+        #: Whether the content begins within a record, perhaps.
+        self.mid = mid
+        self.read = 0
+
+    def number(self, places: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+
+class _Plain(_Bytes):
+    def __init__(self, file, start: int, end: int | None):
+        super().__init__(start > 0)
+        # The byte before tells whether a line begins at the range's first byte.
+        self.file, self.first = file, max(0, start - 1)
+        self.limit = _FAR if end is None else end - self.first
+
+    def chunks(self) -> Iterator[bytes]:
+        self.file.seek(self.first)
+        while data := self.file.read(BLOCK):
+            yield data
+
+    def number(self, places: np.ndarray) -> np.ndarray:
+        return places + self.first
+
+
+class _Blocks(_Bytes):
+    """A record belongs to the range that has the block with the line end before it."""
+
+    def __init__(self, file, start: int, end: int | None, name: str):
+        super().__init__(start > 0)
+        self.file, self.start, self.end, self.name = file, start, end, name
+        self.places, self.offsets = [], []
+
+    def chunks(self) -> Iterator[bytes]:
+        held, size = [], 0
+        for offset, data in bgzf.members(self.file, self.start, self.end, self.name):
+            if self.limit == _FAR and self.end is not None and offset >= self.end:
+                self.limit = self.read + size + 1
+            self.places.append(self.read + size)
+            self.offsets.append(offset)
+            held.append(data)
+            size += len(data)
+            if size >= BLOCK:
+                self.read += size
+                yield b"".join(held)
+                held, size = [], 0
+        if self.limit == _FAR and self.end is not None:
+            self.limit = self.read + size + 1
+        if size:
+            yield b"".join(held)
+
+    def number(self, places: np.ndarray) -> np.ndarray:
+        starts, offsets = np.array(self.places, np.int64), np.array(self.offsets, np.int64)
+        at = np.searchsorted(starts, places, side="right") - 1
+        return (offsets[at] << 16) + places - starts[at]
+
+
+class _Gzip(_Bytes):
+    def __init__(self, file, name: str):
+        super().__init__(False)
+        self.file, self.name, self.count = file, name, 0
+
+    def chunks(self) -> Iterator[bytes]:
+        coder = None
+        try:
+            while packed := self.file.read(BLOCK):
+                while packed := packed if coder else packed.lstrip(b"\0"):
+                    coder = coder or zlib.decompressobj(31)
+                    yield coder.decompress(packed)
+                    packed, coder = coder.unused_data, None if coder.eof else coder
+        except zlib.error as error:
+            raise ValueError(f"{self.name}: {error}") from None
+        if coder:
+            raise ValueError(f"{self.name}: the compressed data is cut off")
+
+    def number(self, places: np.ndarray) -> np.ndarray:
+        self.count += len(places)
+        return np.arange(self.count - len(places), self.count)
+
+
+def _lines(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends without line ends, starts of the next lines) of the whole lines of ``data``."""
+    after = np.flatnonzero(data == 10) + 1
+    starts = np.concatenate([[0], after[:-1]]) if len(after) else after
+    ends = after - 1
+    returns = (ends > starts) & (data[np.maximum(ends - 1, 0)] == 13)
+    return starts, ends - returns, after
+
+
+def _resync(data: np.ndarray) -> int:
+    """Where the first record begins after the first line end of ``data``; -1 if its four lines aren't all there.
+
+    A quality line may begin with ``@`` too, but the second line after it is bases.
+    """
+    starts, ends, _ = _lines(data)
+    starts, sizes = starts[1:], (ends - starts)[1:]
+    n = len(starts) - _LINES + 1
+    if n <= 0:
+        return -1
+    letters = data[np.minimum(starts, len(data) - 1)]
+    fits = (letters[:n] == ord("@")) & (letters[2 : n + 2] == ord("+")) & (sizes[1 : n + 1] == sizes[3 : n + 3]) & (sizes[:n] > 0) & (sizes[2 : n + 2] > 0)
+    found = np.flatnonzero(fits)
+    return int(starts[found[0]]) if len(found) else -1
+
+
+class _Cutter:
+    """Cuts content into columns."""
+
+    def __init__(self, source: _Bytes, name: str, columns: list[str], most: int | None = None):
+        self.source, self.name, self.columns, self.left = source, name, columns, _FAR if most is None else most
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        held, base, waiting = b"", 0, []
+        synced, size, wanted = not self.source.mid, 0, 1
+        for chunk in self.source.chunks():
+            # What is held back may be most of a very long record: join only as often as its size doubles.
+            waiting.append(chunk)
+            size += len(chunk)
+            if size < wanted:
+                continue
+            held, waiting = b"".join([held, *waiting]), []
+            if not synced:
+                at = _resync(np.frombuffer(held, np.uint8))
+                if at < 0:
+                    # Nothing of this range is left to find once its bytes are passed by a record's lines.
+                    if base + held.find(b"\n") + 1 >= self.source.limit:
+                        return
+                    wanted, size = 2 * len(held), len(held)
+                    continue
+                held, base, synced = held[at:], base + at, True
+            used = yield from self._cut(held, base, False)
+            if used < 0:
+                return
+            held, base = held[used:], base + used
+            wanted, size = max(1, 2 * len(held)) if not used else 1, len(held)
+        held = b"".join([held, *waiting])
+        if not synced:
+            held += b"" if held.endswith(b"\n") else b"\n"
+            at = _resync(np.frombuffer(held, np.uint8))
+            if at < 0:
+                return
+            held, base = held[at:], base + at
+        if held:
+            yield from self._cut(held if held.endswith(b"\n") else held + b"\n", base, True)
+
+    def _cut(self, held: bytes, base: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """Yields the records of whole lines; returns how many bytes they took, or -1 if nothing after them belongs here."""
+        data = np.frombuffer(held, np.uint8)
+        starts, ends, after = _lines(data)
+        if last:
+            # Empty lines at the end are no record.
+            used = np.flatnonzero(ends > starts)
+            whole = int(used[-1]) + 1 if len(used) else 0
+            n = -(-whole // _LINES)
+            if n * _LINES > len(starts):
+                if base + int(starts[(n - 1) * _LINES]) < self.source.limit and n <= self.left:
+                    raise ValueError(f"{self.name}: the record at {base + int(starts[(n - 1) * _LINES])} is cut off")
+                n -= 1
+        else:
+            n = len(starts) // _LINES
+        heads = starts[: n * _LINES : _LINES]
+        own = min(int(np.searchsorted(heads, self.source.limit - base)), self.left)
+        done = own < n
+        n, self.left = own, self.left - own
+        starts, ends = starts[: n * _LINES].copy(), ends[: n * _LINES]
+        if n:
+            sizes = ends - starts
+            bad = (sizes[0::4] == 0) | (data[starts[0::4]] != ord("@")) | (sizes[2::4] == 0) | (data[starts[2::4]] != ord("+")) | (sizes[1::4] != sizes[3::4])
+            good = int(np.argmax(bad)) if bad.any() else n
+            numbers = self.source.number(base + starts[: 4 * good : 4])
+            starts[0::4] += 1
+            for a in range(0, good, _ROWS):
+                yield self._batch(held, starts[4 * a : 4 * min(good, a + _ROWS)], ends[4 * a : 4 * min(good, a + _ROWS)], numbers[a : a + _ROWS])
+            if good < n:
+                raise ValueError(f"{self.name}: no FASTQ record at {base + int(starts[4 * good]) - 1}")
+        used = int(after[n * _LINES - 1]) if n else 0
+        return -1 if done or not self.left or base + used >= self.source.limit else used
+
+    def _batch(self, held: bytes, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        lo, hi = int(starts[0]), int(ends[-1])
+        # Lines and what lies between them take turns, as one string array over the bytes themselves.
+        edges = np.empty(2 * len(starts) + 1, np.int32)
+        edges[0:-1:2], edges[1:-1:2], edges[-1] = starts - lo, ends - lo, hi - lo
+        view = memoryview(held)[lo:hi]
+        turns = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(view)])
+        ascii_only = not (np.frombuffer(view, np.uint8) > 127).any() if hi > lo else True
+        columns = []
+        for name in self.columns:
+            if name == "read_idx":
+                columns.append(pa.array(numbers, pa.int64()))
+            elif name == FILE:
+                columns.append(pa.array([self.name] * len(numbers), pa.string()))
+            else:
+                part = turns.take(pa.array(np.arange({"id": 0, "seq": 2, "qual": 6}[name], len(turns), 8)))
+                columns.append(part.view(pa.string()) if ascii_only else pa.array([x.decode("latin-1") for x in part.to_pylist()], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, self.columns)
 
 
-def records(file, at: int, end: int | None, name: str) -> Iterator[tuple[int, str, str, str]]:
-    """Records from an open file, as long as they start before ``end``."""
-    while end is None or at < end:
-        lines = [file.readline() for _ in range(4)]
-        if not any(x.strip() for x in lines):
-            return
-        head, seq, plus, qual = (x.rstrip(b"\r\n").decode("latin-1") for x in lines)
-        if head[:1] != "@" or plus[:1] != "+" or len(seq) != len(qual):
-            raise ValueError(f"{name}: no FASTQ record at {at}")
-        yield at, head[1:], seq, qual
-        at += sum(map(len, lines)) if end is not None else 1
+def file_kind(file) -> str:
+    """plain, blocks (block gzip) or gzip, by the first bytes of an open file."""
+    file.seek(0)
+    head = file.read(64)
+    file.seek(0)
+    if head[:2] != b"\x1f\x8b":
+        return "plain"
+    return "blocks" if bgzf.member_size(head) else "gzip"
 
 
 class FastqReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int, columns: list[str], most: int | None = None):
+        self.path, self.split, self.columns, self.most = path, max(1, split), columns, most
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
+        whole = []
         for path, size in input_files(self.path):
             store, name = _filesystem(path)
-            with store.open_input_stream(name, compression=None) as f:
-                packed = f.read(2) == b"\x1f\x8b"
-            out += [Range(path, 0, None)] if packed else [Range(path, a, min(size, a + self.split)) for a in range(0, max(size, 1), self.split)]
-        return out
+            with store.open_input_file(name) as f:
+                kind = file_kind(f)
+            whole.append((path, kind))
+            if kind == "gzip" or not size:
+                out.append(Range([(path, kind)]))
+            else:
+                out += [Range([(path, kind)], a, min(size, a + self.split)) for a in range(0, size, self.split)]
+        return out if self.most is None else [Range(whole, most=self.most)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        import io
-
-        store, name = _filesystem(partition.path)
-        schema = pa.schema([("read_idx", pa.int64()), ("id", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
-        with store.open_input_file(name) as raw:
-            if partition.end is None:
-                file, at = io.BufferedReader(gzip.GzipFile(fileobj=raw)), 0
-            else:
-                file = io.BufferedReader(raw, 1 << 20)
-                at = first_record(file, partition.start)
-                file.seek(at)
-            held: list[tuple] = []
-            for row in records(file, at, partition.end, partition.path):
-                held.append(row)
-                if len(held) == _ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], schema=schema)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], schema=schema)
+        left = partition.most
+        for path, kind in partition.files:
+            store, name = _filesystem(path)
+            with store.open_input_file(name) as file:
+                if kind == "plain":
+                    source = _Plain(file, partition.start, partition.end)
+                elif kind == "blocks":
+                    source = _Blocks(file, partition.start, partition.end, path)
+                else:
+                    source = _Gzip(file, path)
+                for batch in _Cutter(source, path, self.columns, left).batches():
+                    left = None if left is None else left - len(batch)
+                    yield batch
+            if left == 0:
+                return
 
 
 class FastqDataSource(DataSource):
-    """``spark.read.format("fastq").load(path)``; option ``splitbytes`` sets the size of a byte range."""
+    """``spark.read.format("fastq").load(path)``; see the module for options."""
 
     @classmethod
     def name(cls) -> str:
         return "fastq"
 
-    def schema(self) -> str:
-        return SCHEMA
+    def schema(self) -> StructType:
+        names = [c.strip() for c in self.options.get("columns", ",".join(COLUMNS)).split(",")]
+        if not set(names) <= {*COLUMNS, FILE}:
+            raise ValueError(f"columns are some of {', '.join(COLUMNS)} and {FILE}")
+        return StructType([StructField(c, LongType() if c == "read_idx" else StringType()) for c in names])
 
-    def reader(self, schema) -> DataSourceReader:
-        return FastqReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)))
+    def reader(self, schema: StructType) -> DataSourceReader:
+        if not set(schema.names) <= {*COLUMNS, FILE}:
+            raise ValueError(f"columns are some of {', '.join(COLUMNS)} and {FILE}")
+        most = self.options.get("records")
+        return FastqReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)), schema.names, None if most is None else int(most))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqDataSource)
 
 
-def read_fastq(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Reads of a FASTQ file, gzip or not, or of a folder of them."""
+def read_fastq(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES, columns: tuple[str, ...] = COLUMNS, records: int | None = None) -> DataFrame:
+    """Reads of a FASTQ file, compressed or not, or of a folder of them; ``records``: only the first so many, by one task."""
     if path in ("-", "/dev/stdin"):
         raise ValueError("reading from standard input is not supported")
     register(spark)
-    return spark.read.format("fastq").option("splitbytes", str(split_bytes)).load(path)
+    reader = spark.read.format("fastq").option("splitbytes", str(split_bytes)).option("columns", ",".join(columns))
+    return (reader if records is None else reader.option("records", str(records))).load(path)
 
 
 def write_fastq(reads: DataFrame, path: str, *, gzipped: bool = False) -> None:

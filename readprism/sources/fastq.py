@@ -121,7 +121,7 @@ class _Blocks(_Bytes):
             self.offsets.append(offset)
             held.append(data)
             size += len(data)
-            if size >= BLOCK:
+            if size >= BLOCK or self.limit < _FAR:
                 self.read += size
                 yield b"".join(held)
                 held, size = [], 0

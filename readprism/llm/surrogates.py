@@ -58,6 +58,11 @@ TITLES = {
     "m": "Mr Sir Monsieur Herr Señor г-н господин κύριος".split(),
     "": "Dr Prof".split(),
 }
+#: Country codes of one and two digits; all others have three.
+ONE_DIGIT = "17"
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Words within names that stay as they are.
+PARTICLES = frozenset("af al bin da das de del della den der di do dos du el ibn la las le los ten ter van von y zu zum zur".split())
 _ALPHABETS = {
     "latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"),
     "cyrillic": ("аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"),
@@ -157,9 +162,11 @@ def _secret(key: bytes, text: str) -> str:
     issuer = _ISSUER.match(text)
     if issuer:
         return issuer[0] + _secret(key, text[issuer.end() :]) if issuer.end() < len(text) else text
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        moved = permute_text(key, "hex", text.lower(), lambda c: "0123456789abcdef")
-        return moved.upper() if text.upper() == text and text.lower() != text else moved
+    if text.isdecimal() and text.isascii():
+        return permute_text(key, "digits", text)
+    if _HEX.fullmatch(text):
+        moved = walk(lambda x: permute_text(key, "hex", x, lambda c: "0123456789abcdef"), text.lower(), lambda x: not x.isdecimal())
+        return moved.upper() if text.upper() == text else moved
 
     def classes(c: str) -> str:
         for chars in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
@@ -167,7 +174,7 @@ def _secret(key: bytes, text: str) -> str:
                 return chars
         return c
 
-    return permute_text(key, "secret", text, classes)
+    return walk(lambda x: permute_text(key, "secret", x, classes), text, lambda x: not _HEX.fullmatch(x) and not _ISSUER.match(x))
 
 
 def _email(key: bytes, text: str) -> str:
@@ -210,9 +217,13 @@ def _ssn(key: bytes, text: str) -> str:
     return _refill(text, permute_text(key, "ssn", re.sub(r"\D", "", text)))
 
 
+def _country(text: str) -> int:
+    """How many characters of an international number are ``+`` and its country code, whether or not a separator follows."""
+    return 0 if text[0] != "+" else 2 if text[1] in ONE_DIGIT else 3 if text[1:3] in TWO_DIGITS else 4
+
+
 def _phone(key: bytes, text: str) -> str:
-    country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    start = country.end() if country else 0
+    start = _country(text)
     national = re.sub(r"\D", "", text[start:])
     return text[:start] + _refill(text[start:], permute_text(key, "phone", national))
 
@@ -251,9 +262,9 @@ def _name_word(key: bytes, word: str) -> str:
         names = GIVEN[script, gender]
         moved = names[permute(key, f"given|{script}|{gender}", [i], [len(names)])[0]]
         return moved.upper() if word.isupper() else moved
-    if len(low) < 2:
+    if len(low) < 2 or low in PARTICLES:
         return word
-    moved = walk(lambda x: permute_text(key, "name|" + low[-1], x[:-1], _name_letter) + low[-1], low, lambda x: x not in _LISTED)
+    moved = walk(lambda x: permute_text(key, "name|" + low[-1], x[:-1], _name_letter) + low[-1], low, lambda x: x not in _LISTED and x not in PARTICLES)
     return _case_like(moved, word)
 
 
@@ -272,14 +283,17 @@ _EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")
 _IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{4,39}(?![\w:]|\.\d)")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _ISSUER = re.compile(r"AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ")
 _ISSUED = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{16,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9_-])")
 _CARD = re.compile(r"(?<![\w+.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w|[.-]\d)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{9,14})(?!\w|[.-]\d)")
 _TITLES = "|".join(re.escape(t) for titles in TITLES.values() for t in titles)
-_TITLED = re.compile(rf"(?<!\w)(?:{_TITLES})\.? ({_NAME_WORD}(?: {_NAME_WORD}){{0,2}})")
-_GIVEN = re.compile(rf"(?<!\w)(?:{'|'.join(n for names in GIVEN.values() for n in names)})(?: {_NAME_WORD}){{1,2}}(?!\w)")
+#: A further word of a name, after any particles; names may have any number of them.
+_MORE = rf"(?: (?:(?:{'|'.join(sorted(PARTICLES))}) )*{_NAME_WORD})"
+_TITLED = re.compile(rf"(?<!\w)(?:{_TITLES})\.? ({_NAME_WORD}{_MORE}*)")
+_GIVEN = re.compile(rf"(?<!\w)(?:{'|'.join(n for names in GIVEN.values() for n in names)}){_MORE}+(?!\w)")
 _HINT = re.compile(r"[0-9@]")
 
 

@@ -104,3 +104,56 @@ def test_a_text_with_very_many_entities():
     text = " ".join(f"u{i}@m.org 10.{i % 250}.1.{i % 199} 020-555-{i % 10000:04d}" for i in range(20_000))
     found = S.find(text)
     assert len(found) == 60_000 and [k for *_, k in found[:3]] == ["email", "ip", "phone"] and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+PHONES = ["+49 30 1234567", "+49301234567", "+49 (30) 123-4567", "+49-30-123-4567", "+1 212 555 1234", "+12125551234", "(212) 555-1234", "212.555.1234", "+351 21 123 4567", "+351211234567"]
+
+
+def test_every_spelling_of_a_phone_has_one_surrogate(spark):
+    """Also the pipeline's key check accepts them: these rows once had no key at all."""
+    seen = {}
+    for text in PHONES:
+        new, found = S.replace(f"call {text} now", b"k")
+        assert [e["type"] for e in found] == ["phone"]
+        seen.setdefault(S.identity("phone", text), set()).add(S.identity("phone", found[0]["surrogate"]))
+        assert re.sub(r"\d", "0", found[0]["surrogate"]) == re.sub(r"\d", "0", text)
+        assert not text.startswith("+") or found[0]["surrogate"][: S._country(text)] == text[: S._country(text)]
+    assert len(seen) == 4 and all(len(s) == 1 for s in seen.values()) and len(set.union(*seen.values())) == 4
+    docs = spark.createDataFrame([(f"tel {p}", i) for i, p in enumerate(PHONES)], "text string, doc_id long")
+    assert S.checked_key(docs, b"k") == b"k"
+
+
+def test_digits_stay_digits_and_kinds_of_secrets_apart():
+    found = {}
+    for value in ["12345678", "86a55c5c", "ABCDEF12", "zz11zz99", "ab22cd33", "sk-" + "a1" * 12, "token-12"]:
+        new = S._secret(b"k", value)
+        assert new.isdecimal() == value.isdecimal() and bool(S._HEX.fullmatch(new)) == bool(S._HEX.fullmatch(value)) and bool(S._ISSUER.match(new)) == bool(S._ISSUER.match(value))
+        found[value] = new
+    assert len(set(found.values())) == len(found)
+
+
+def test_names_go_whole(spark):
+    for text, gone, kept in [
+        ("Mr Juan Carlos Maria Lopez Garcia left", ["Juan", "Carlos", "Maria", "Lopez", "Garcia"], "left"), ("Herr Hans von Braun", ["Hans", "Braun"], "von"),
+        ("Señora Maria de la Cruz.", ["Maria", "Cruz"], "de la"), ("we saw Ursula von der Leyen there", ["Ursula", "Leyen"], "von der"), ("Mr Hans Von Braun", ["Hans", "Braun"], "Mr"),
+    ]:
+        new, found = S.replace(text, b"k")
+        assert len(found) == 1 and kept in new and not any(g in new.split(".")[0].split() for g in gone), new
+    docs = spark.createDataFrame([("Mr Hans von Braun",), ("Mr Hans Von Braun",), ("Ursula von der Leyen",)], "text string")
+    assert S.checked_key(docs, b"k") == b"k"
+
+
+def test_a_derived_key_after_collisions(spark, monkeypatch):
+    docs, tried = spark.createDataFrame([("mail ab@x.org",)], "text string"), []
+
+    def found(_, key):
+        tried.append(key)
+        return spark.range(1 if len(tried) < 3 else 0)
+
+    monkeypatch.setattr(S, "collisions", found)
+    key = S.checked_key(docs, b"k")
+    assert tried[0] == b"k" and key == tried[2] and len(set(tried)) == 3
+    tried.clear()
+    monkeypatch.setattr(S, "collisions", lambda _, key: spark.range(1))
+    with pytest.raises(ValueError, match="collide"):
+        S.checked_key(docs, b"k", tries=2)

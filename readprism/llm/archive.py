@@ -50,7 +50,7 @@ ARC_FIELDS = {
     b"1": b"URL IP-address Archive-date Content-type Archive-length",
     b"2": b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-ID_HEADER, REFERS_HEADER = "X-Source-Id", "X-Refers-To-Source-Id"
+ID_HEADER, REFERS_HEADER, LENGTH_HEADER = "X-Source-Id", "X-Refers-To-Source-Id", "X-Payload-Length"
 _NAMESPACE = uuid.UUID("8f0f3c0e-6c1b-5f43-9f0a-2f1f5a1b7a11")
 
 
@@ -106,7 +106,9 @@ def arc_records(data: bytes, name: str = "") -> Iterator[Record]:
             version = lines[0].split(b" ")[0]
             if version not in ARC_FIELDS:
                 raise ValueError(f"{name}: ARC version {version!r} is unknown")
-            fields = (lines[1].strip() if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[version]).decode().split(" ")
+            fields = (lines[1].strip() if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[version]).decode("utf-8", "replace").split(" ")
+            if missing := {"URL", "Archive-date", "Content-type", "IP-address"} - set(fields):
+                raise ValueError(f"{name}: the version block has no {', '.join(sorted(missing))}")
             continue
         of = dict(zip(fields, (p.decode("utf-8", "replace") for p in parts)))
         yield Record(of["URL"], of["Archive-date"], of["Content-type"], of["IP-address"], block, here)
@@ -173,7 +175,8 @@ def _field(head: bytes, name: str) -> str | None:
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text is not None else None
+    """A number of up to 18 digits; other archives may have other values under the same name."""
+    return int(text) if text is not None and re.fullmatch(r"-?\d{1,18}", text) else None
 
 
 _CAPTURES = pa.schema([("id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("ip", pa.string()), ("place", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.binary())])
@@ -224,7 +227,10 @@ def record_id(url: str, date: str, key: int | None, digest: bytes, place: str) -
 
 def warc_record(row: dict) -> str:
     """A WARC/1.1 record of a capture without the two line ends that close it (the text writer adds them)."""
-    date = "{}-{}-{}T{}:{}:{}Z".format(*re.match(r"(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)", row["date"].ljust(14, "0")).groups())
+    parts = re.match(r"(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)", row["date"].ljust(14, "0"))
+    if not parts:
+        raise ValueError(f"{row['place']}: no ARC date: {row['date']!r}")
+    date = "{}-{}-{}T{}:{}:{}Z".format(*parts.groups())
     refers = row["refer_url"] is not None
     head, payload = row["head"], row["payload"]
     kind = "revisit" if refers else "response" if head else "resource"
@@ -232,7 +238,7 @@ def warc_record(row: dict) -> str:
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(row['url'], row['date'], row['id'], row['digest'], row['place'])}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {row['url']}", f"WARC-IP-Address: {row['ip']}", f"WARC-Block-Digest: {_sha1(hashlib.sha1(block).digest())}", f"WARC-Payload-Digest: {_sha1(row['digest'])}",
-        f"Content-Type: {'application/http; msgtype=response' if head else row['mime']}", f"Content-Length: {len(block)}",
+        f"Content-Type: {'application/http; msgtype=response' if head else row['mime']}", f"Content-Length: {len(block)}", f"{LENGTH_HEADER}: {len(payload)}",
     ]
     if row["id"] is not None:
         lines.append(f"{ID_HEADER}: {row['id']}")
@@ -307,7 +313,8 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
     """The records of WARC files.
 
     Length and digest of a stored payload are measured again and held against
-    the header; those of a revisit come from its HTTP and WARC headers.
+    the header; those of a revisit come from its WARC header, and its length is
+    null where that doesn't state it.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +329,7 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
                             raise ValueError(f"{name}: payload digest of {_field(head, 'WARC-Record-ID')} differs")
                         yield {
                             "id": _number(_field(head, ID_HEADER)), "record_id": _field(head, "WARC-Record-ID"), "record_type": kind, "url": _field(head, "WARC-Target-URI"), "date": _field(head, "WARC-Date"),
-                            "payload_bytes": int(_field(http[0], "Content-Length")) if kind == "revisit" else len(http[1]), "payload_digest": digest.hex(),
+                            "payload_bytes": _number(_field(head, LENGTH_HEADER)) if kind == "revisit" else len(http[1]), "payload_digest": digest.hex(),
                             "refers_to": _number(_field(head, REFERS_HEADER)), "refers_to_record": _field(head, "WARC-Refers-To"), "payload": http[1] if payloads and kind != "revisit" else None,
                         }
 

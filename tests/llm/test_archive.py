@@ -70,3 +70,29 @@ def test_damage(data):
         list(A.arc_records(data, "f"))
     with pytest.raises(ValueError):
         list(A.warc_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nxx"))
+
+
+def test_repeated_captures_of_a_foreign_arc(spark, tmp_path):
+    """HTTP/1.0 without a length, a DNS record and bare content, each twice and long; odd values under our header's name."""
+    intro = b"1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n"
+    data = b"filedesc://x.arc 0.0.0.0 19970101000000 text/plain %d\n" % len(intro) + intro
+    old = b"HTTP/1.0 200 OK\r\nContent-type: text/html\r\nX-Source-Id: none of ours\r\n\r\n" + b"<p>old page</p>" * 100
+    for url, block in (("http://a/", old), ("http://b/", old), ("dns:c", b"c. 300 IN A 1.2.3.4\n" * 80), ("dns:d", b"c. 300 IN A 1.2.3.4\n" * 80), ("ftp://e", b"\xff\xfe" * 800), ("ftp://f", b"\xff\xfe" * 800)):
+        data += f"{url} 1.2.3.4 19970102030405 text/html {len(block)}\n".encode() + block + b"\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "x.arc.gz").write_bytes(gzip.compress(data))
+    A.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {r.url: r for r in A.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert len(got) == 6 and all(r.id is None for r in got.values())
+    for a, b, kind, size in (("http://a/", "http://b/", "response", 1500), ("dns:c", "dns:d", "resource", 1600), ("ftp://e", "ftp://f", "resource", 1600)):
+        assert sorted([got[a].record_type, got[b].record_type]) == sorted([kind, "revisit"])
+        assert got[a].payload_bytes == got[b].payload_bytes == size and got[a].payload_digest == got[b].payload_digest
+
+
+def test_odd_version_blocks_and_dates(spark, tmp_path):
+    body = b"1 0 Org\nURL Host Archive-date Kind Archive-length\n"
+    data = b"filedesc://x.arc 0.0.0.0 19970101000000 text/plain %d\n" % len(body) + body + b"http://a/ 1.2.3.4 19970102030405 text/html 2\nhi\n"
+    with pytest.raises(ValueError, match="no Content-type, IP-address"):
+        list(A.arc_records(data, "x.arc"))
+    with pytest.raises(ValueError, match="no ARC date"):
+        A.warc_record({"date": "yesterday", "place": "x:0", "refer_url": None, "head": b"", "payload": b""})

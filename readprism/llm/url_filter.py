@@ -103,7 +103,7 @@ def load_vocabulary(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tu
 
 
 def vocabulary_hits(url: Column, strict: Sequence[str], soft: Sequence[str]) -> Column:
-    """Count distinct strict and soft terms in each url: struct(strict int, soft int)."""
+    """Count distinct strict and soft terms in each url: struct(strict int, soft int). Without terms there are no hits."""
     terms = [(t, "strict") for t in strict] + [(t, "soft") for t in soft if t not in set(strict)]
 
     @F.pandas_udf("strict int, soft int")
@@ -126,6 +126,9 @@ def vocabulary_hits(url: Column, strict: Sequence[str], soft: Sequence[str]) ->
             return n, len(found) - n
 
         for urls in batches:
+            if not terms:
+                yield pd.DataFrame({"strict": 0, "soft": 0}, index=range(len(urls))).astype("int32")
+                continue
             yield pd.DataFrame([hits(u) for u in urls], columns=["strict", "soft"]).astype("int32")
 
     return count(_ascii_lower(url))

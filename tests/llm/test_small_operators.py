@@ -250,3 +250,12 @@ def test_calibration_on_all_vectors(spark):
         scores[r.query_id] = -np.inf
         hits += r.score >= np.sort(scores)[-20] - 1e-9
     assert hits >= 0.9 * 150 * 20
+
+
+def test_url_filter_without_terms(spark):
+    from readprism.llm import url_filter
+
+    pages = spark.createDataFrame([(1, "http://casino.example.com/"), (2, None), (3, "http://a.net/de/x")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.strict_hits, r.soft_hits) for r in url_filter.url_verdicts(pages, strict=(), soft=()).collect()}
+    assert got == {1: ("allow", 0, 0), 2: ("allow", 0, 0), 3: ("allow", 0, 0)}
+    assert url_filter.url_verdicts(pages.where("false"), strict=(), soft=()).count() == 0

@@ -87,6 +87,10 @@ def _compressed(text: bytes) -> bytes:
     return _CODEC.compress(text, asbytes=True)
 
 
+def _decompressed(packed: bytes, size: int) -> bytes:
+    return _CODEC.decompress(packed, size, asbytes=True)
+
+
 def shards(docs: DataFrame) -> DataFrame:
     """(shard, lang, n_words, size, packed): the plain text of ``docs`` (lang, text) by language, compressed, in shards of about ``SHARD`` bytes."""
 
@@ -121,7 +125,7 @@ def shards(docs: DataFrame) -> DataFrame:
 def _texts(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, str, bytes]]:
     """(shard, lang, plain text) of rows of ``shards``, one text unpacked at a time."""
     for shard, lang, size, packed in zip(*(rows.column(c).to_pylist() for c in ("shard", "lang", "size", "packed"))):
-        yield shard, lang, _CODEC.decompress(packed, size, asbytes=True)
+        yield shard, lang, _decompressed(packed, size)
 
 
 class Phrases:
@@ -148,20 +152,24 @@ def _cells(hashes: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending cells of one group with counts, as 16-bit steps and bytes; wider steps pass over cells with a count of 0."""
+    """Ascending cells of one group with counts: low bytes of the steps, their high bytes, and counts as bytes, compressed.
+
+    Wider steps pass over cells with a count of 0.
+    """
     steps = np.diff(cells.astype(np.int64), prepend=-1) - 1
-    wide = steps >> 16
-    places = np.cumsum(wide + 1) - 1
-    out, n = np.full(int(places[-1]) + 1 if len(places) else 0, 0xFFFF, np.uint16), np.zeros(int(places[-1]) + 1 if len(places) else 0, np.uint8)
-    out[places], n[places] = steps & 0xFFFF, np.minimum(counts, 255)
-    return out.tobytes() + n.tobytes()
+    places = np.cumsum((steps >> 16) + 1) - 1
+    size = int(places[-1]) + 1 if len(places) else 0
+    planes = np.full((3, size), 0xFF, np.uint8)
+    planes[2] = 0
+    planes[0, places], planes[1, places], planes[2, places] = steps & 0xFF, (steps >> 8) & 0xFF, np.minimum(counts, 255)
+    return size.to_bytes(4, "little") + _compressed(planes.tobytes())
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """What ``_pack`` had, with its cells of count 0."""
-    size = len(packed) // 3
-    steps, counts = np.frombuffer(packed, np.uint16, size), np.frombuffer(packed, np.uint8, size, 2 * size)
-    return np.cumsum(steps.astype(np.int64) + 1) - 1, counts
+    size = int.from_bytes(packed[:4], "little")
+    planes = np.frombuffer(_decompressed(packed[4:], 3 * size), np.uint8).reshape(3, size)
+    return np.cumsum(planes[0].astype(np.int64) + (planes[1].astype(np.int64) << 8) + 1) - 1, planes[2]
 
 
 def _packed_cells(phrases: Phrases, groups: int, most: int) -> Iterator[tuple[int, bytes]]:
@@ -198,7 +206,7 @@ def hot_cells(rows: DataFrame, least: int) -> DataFrame:
 
     def of_group(rows: pa.Table) -> pa.Table:
         first, sums = rows.column("grp")[0].as_py() * CELLS, np.zeros(CELLS, np.int64)
-        packed = [p.as_buffer() for p in rows.column("packed")]
+        packed = rows.column("packed").to_pylist()
         for p in packed:
             cells, counts = _unpack(p)
             sums[cells] += counts
@@ -245,7 +253,7 @@ def _automata(patterns: list[str]) -> Iterator[ahocorasick.Automaton]:
 
 
 def count_phrases(texts: DataFrame, hot: DataFrame, groups: int) -> DataFrame:
-    """(grp, lang, phrases, counts): a shard's phrases with hot cells and how often they occur in it, by group of cells."""
+    """(grp, lang, size, phrases, counts): a shard's phrases with hot cells, packed, and how often they occur in it, by group of cells."""
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         cells, rows = np.sort(np.frombuffer(b"".join(right.column("hot").to_pylist()), np.int64)), []
@@ -257,21 +265,26 @@ def count_phrases(texts: DataFrame, hot: DataFrame, groups: int) -> DataFrame:
             by_group: dict[int, list[int]] = {}
             for i in counts:
                 by_group.setdefault(group[known[i]], []).append(i)
-            rows += [(g, lang, [known[i][1:-1] for i in own], [counts[i] for i in own]) for g, own in by_group.items()]
-        kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
-        columns = list(zip(*rows)) or [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["grp", "lang", "phrases", "counts"])
+            for g, own in by_group.items():
+                lines = "\n".join(known[i][1:-1] for i in sorted(own)).encode()
+                rows.append((g, lang, len(lines), _compressed(lines), np.array([counts[i] for i in sorted(own)], np.int64).tobytes()))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["grp", "lang", "size", "phrases", "counts"])
 
-    return texts.select("shard", "lang", "size", "packed").groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(scan, "grp long, lang string, phrases array<string>, counts array<long>")
+    return texts.select("shard", "lang", "size", "packed").groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(scan, "grp long, lang string, size long, phrases binary, counts binary")
 
 
 def frequent(counted: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, cnt): the sums of ``count_phrases`` over all shards that reach the threshold."""
 
     def of_group(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        lang = rows.column("lang").take(pc.list_parent_indices(rows.column("phrases")))
-        flat = pa.table({"lang": lang, "phrase": pc.list_flatten(rows.column("phrases")), "cnt": pc.list_flatten(rows.column("counts"))})
+        langs, phrases, counts = [], [], []
+        for lang, size, packed, own in zip(*(rows.column(c).to_pylist() for c in ("lang", "size", "phrases", "counts"))):
+            counts.append(np.frombuffer(own, np.int64))
+            phrases.append(pa.array(_decompressed(packed, size).decode().split("\n"), pa.string()))
+            langs.append(pa.repeat(lang, len(counts[-1])))
+        flat = pa.table({"lang": pa.chunked_array(langs), "phrase": pa.chunked_array(phrases), "cnt": np.concatenate(counts)})
         sums = flat.group_by(["lang", "phrase"]).aggregate([("cnt", "sum")]).rename_columns({"cnt_sum": "cnt"})
         return sums.filter(pc.greater_equal(sums.column("cnt"), least)).select(["lang", "phrase", "cnt"])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
@@ -13,14 +15,16 @@ def adapter_counts(reads: DataFrame) -> DataFrame:
     return T.tallies(reads, kinds=["adapter", "length"])
 
 
-def adapter_by_position(table: DataFrame) -> DataFrame:
+def adapter_by_position(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(position, a0..a4): percent of reads in which the adapter starts there; a row for each position. From tallies."""
-    totals = T.of_kind(table, "length").agg(F.sum("cnt").alias("total"), F.max("a").alias("longest"))
+    totals = T.of_kind(table, "length").groupBy(*by).agg(F.sum("cnt").alias("total"), F.max("a").alias("longest"))
     count = lambda i: F.sum(F.when(F.col("b") == i, F.col("cnt")).otherwise(F.lit(0).cast("long"))).alias(f"c{i}")
-    counts = T.of_kind(table, "adapter").groupBy(F.col("a").alias("position")).agg(*[count(i) for i in range(len(B.ADAPTERS))])
-    positions = totals.where("longest is not null").select("total", F.explode(F.sequence(F.lit(1), F.col("longest"))).alias("position"))
+    counts = T.of_kind(table, "adapter").groupBy(*by, F.col("a").alias("position")).agg(*[count(i) for i in range(len(B.ADAPTERS))])
+    positions = totals.where("longest is not null").select(*by, "total", F.explode(F.sequence(F.lit(1), F.col("longest"))).alias("position"))
     share = lambda i: (F.coalesce(f"c{i}", F.lit(0)) * F.lit(100.0) / F.col("total")).alias(f"a{i}")
-    return positions.join(counts, "position", "left").select("position", *[share(i) for i in range(len(B.ADAPTERS))])
+    same = reduce(Column.__and__, [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*by, "position")])
+    both = positions.alias("p").join(counts.alias("c"), same, "left")
+    return both.select(*[f"p.{c}" for c in (*by, "position")], *[share(i) for i in range(len(B.ADAPTERS))])
 
 
 def adapter_any(reads: DataFrame) -> DataFrame:

@@ -24,28 +24,28 @@ def position_counts(reads: DataFrame, offset: int) -> DataFrame:
     return positions_of(T.tallies(reads, offset, ["position"]))
 
 
-def positions_of(table: DataFrame) -> DataFrame:
-    """Position counts from tallies."""
-    return T.of_kind(table, "position").select(F.col("a").alias("base"), F.substr(F.lit(T.LETTERS), F.col("b") + 1, F.lit(1)).alias("b"), F.col("c").alias("q"), "cnt")
+def positions_of(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Position counts from tallies; ``by``: of each value of these columns."""
+    return T.of_kind(table, "position").select(*by, F.col("a").alias("base"), F.substr(F.lit(T.LETTERS), F.col("b") + 1, F.lit(1)).alias("b"), F.col("c").alias("q"), "cnt")
 
 
-def base_counts(positions: DataFrame) -> DataFrame:
+def base_counts(positions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(base, a, c, g, t, n) from position counts."""
     sums = [F.sum(F.when(F.col("b") == x, F.col("cnt")).otherwise(F.lit(0).cast("long"))).alias(x.lower()) for x in "ACGTN"]
-    return positions.groupBy("base").agg(*sums)
+    return positions.groupBy(*by, "base").agg(*sums)
 
 
-def per_base_content(positions: DataFrame) -> DataFrame:
+def per_base_content(positions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(base, g, a, t, c): percents of the four bases, N left out."""
     total = F.col("a") + F.col("c") + F.col("g") + F.col("t")
     share = lambda x: F.when(total == 0, F.lit(0.0)).otherwise(F.col(x) * F.lit(100.0) / total).alias(x)
-    return base_counts(positions).select("base", *[share(x) for x in "gatc"])
+    return base_counts(positions, by).select(*by, "base", *[share(x) for x in "gatc"])
 
 
-def per_base_n(positions: DataFrame) -> DataFrame:
+def per_base_n(positions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(base, n_percent): share of N among A, C, G, T and N."""
     total = F.col("a") + F.col("c") + F.col("g") + F.col("t") + F.col("n")
-    return base_counts(positions).select("base", F.when(total == 0, F.lit(0.0)).otherwise(F.col("n") * F.lit(100.0) / total).alias("n_percent"))
+    return base_counts(positions, by).select(*by, "base", F.when(total == 0, F.lit(0.0)).otherwise(F.col("n") * F.lit(100.0) / total).alias("n_percent"))
 
 
 def per_seq_gc(reads: DataFrame) -> DataFrame:

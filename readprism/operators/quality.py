@@ -20,17 +20,17 @@ def nearest_rank(share: float, value: str, running: str, total: str) -> Column:
     return F.min(F.when(F.col(running) >= F.greatest(F.ceil(F.lit(share) * F.col(total)), F.lit(1)), F.col(value)))
 
 
-def per_base_quality(positions: DataFrame) -> DataFrame:
+def per_base_quality(positions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(base, mean, median, q25, q75, p10, p90) from position counts.
 
     Quantiles come from the histogram of each position (at most 94 rows), not
     from the bases themselves.
     """
-    hist = positions.groupBy("base", "q").agg(F.sum("cnt").alias("cnt"))
-    here = Window.partitionBy("base")
+    hist = positions.groupBy(*by, "base", "q").agg(F.sum("cnt").alias("cnt"))
+    here = Window.partitionBy(*by, "base")
     ranked = hist.withColumn("running", F.sum("cnt").over(here.orderBy("q").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("cnt").over(here))
     mean = F.sum(F.col("q") * F.col("cnt")).cast("double") / F.sum("cnt").cast("double")
-    return ranked.groupBy("base").agg(mean.alias("mean"), *[nearest_rank(s, "q", "running", "total").cast("int").alias(name) for name, s in QUANTILES.items()])
+    return ranked.groupBy(*by, "base").agg(mean.alias("mean"), *[nearest_rank(s, "q", "running", "total").cast("int").alias(name) for name, s in QUANTILES.items()])
 
 
 def mean_quality_counts(reads: DataFrame, offset: int) -> DataFrame:

@@ -33,7 +33,7 @@ _SCHEMA = "kind string, a int, b int, c int, cnt long"
 _CLASS = np.full(256, LETTERS.index("*"), np.int64)
 _CLASS[np.frombuffer(b"ACGTN", np.uint8)] = np.arange(5)
 #: Values of b and c by kind, that a, b and c make one key.
-_RADIX = {"position": (len(LETTERS), B.MAX_Q + 1), "quality": (1, 1), "length": (1, 1), "adapter": (len(B.ADAPTERS), 1), "kmer": (BINS, 1)}
+_RADIX = {"position": (len(LETTERS), B.MAX_Q + 1), **dict.fromkeys(("quality", "length", "gc", "strong", "n"), (1, 1)), "adapter": (len(B.ADAPTERS), 1), "kmer": (BINS, 1)}
 
 
 class _Counts:
@@ -121,39 +121,74 @@ def _kmer_keys(code: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray
     return word[fine] * BINS + np.minimum((place[fine] + 1) * BINS // n[fine], BINS - 1)
 
 
-def fold(batches: Iterable[pa.RecordBatch], offset: int, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of one task's batches (seq, qual)."""
-    pattern = re.compile("|".join(f"({a})" for a in B.ADAPTERS))
-    by_base = bool({"position", "kmer"} & set(kinds))
-    held = {kind: _Counts(kind) for kind in kinds}
-    for batch in batches:
+class Folder:
+    """Counts of one task's reads (seq, qual), folded batch by batch."""
+
+    def __init__(self, offset: int, kinds: tuple[str, ...]):
+        self.offset, self.pattern = offset, re.compile("|".join(f"({a})" for a in B.ADAPTERS))
+        self.by_base = bool({"position", "kmer", "gc", "strong", "n"} & set(kinds))
+        self.held = {kind: _Counts(kind) for kind in kinds}
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Count a batch; yields what has grown too large to keep."""
+        held = self.held
         for piece in _pieces(batch):
             data, offsets = text_bytes(piece.column("seq"))
             sizes = np.diff(offsets)
-            if by_base:
+            if self.by_base:
                 place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
                 code = _CLASS[data]
             if "position" in held:
-                quality = _qualities(piece, offsets, place, offset)
+                quality = _qualities(piece, offsets, place, self.offset)
                 held["position"].add(((place + 1) * len(LETTERS) + code) * (B.MAX_Q + 1) + quality)
             if "kmer" in held:
                 held["kmer"].add(_kmer_keys(code, place, np.repeat(sizes, sizes)))
             if "quality" in held:
-                held["quality"].add(_mean_qualities(piece.column("qual"), sizes, offset))
+                held["quality"].add(_mean_qualities(piece.column("qual"), sizes, self.offset))
             if "length" in held:
                 held["length"].add(sizes)
+            if {"gc", "strong"} & set(held):
+                strong = _of_each((code == 1) | (code == 2), offsets)
+                if "gc" in held:
+                    held["gc"].add(_percents(strong, sizes))
+                if "strong" in held:
+                    held["strong"].add(strong)
+            if "n" in held:
+                held["n"].add(_percents(_of_each(code == LETTERS.index("N"), offsets), sizes))
             if "adapter" in held:
-                some = piece.column("seq").filter(pc.match_substring_regex(piece.column("seq"), pattern.pattern)).to_pylist()
-                held["adapter"].add(np.array([(m.start() + 1) * len(B.ADAPTERS) + m.lastindex - 1 for s in some for m in pattern.finditer(s)], np.int64))
+                some = piece.column("seq").filter(pc.match_substring_regex(piece.column("seq"), self.pattern.pattern)).to_pylist()
+                held["adapter"].add(np.array([(m.start() + 1) * len(B.ADAPTERS) + m.lastindex - 1 for s in some for m in self.pattern.finditer(s)], np.int64))
             yield from (c.rows() for c in held.values() if c.size > HELD)
-    yield from (c.rows() for c in held.values() if c.size)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        yield from (c.rows() for c in self.held.values() if c.size)
+
+
+def _of_each(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bases of each read are marked."""
+    ahead = np.concatenate([[0], np.cumsum(marks)])
+    return ahead[offsets[1:]] - ahead[offsets[:-1]]
+
+
+def _percents(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Rounded percents, halves up."""
+    return np.minimum((100 * part + whole // 2) // whole, 100)
+
+
+def fold(batches: Iterable[pa.RecordBatch], offset: int, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of one task's batches (seq, qual)."""
+    folder = Folder(offset, kinds)
+    for batch in batches:
+        yield from folder.add(batch)
+    yield from folder.rest()
 
 
 def tallies(reads: DataFrame, offset: int = 33, kinds: Iterable[str] = KINDS) -> DataFrame:
     """(kind, a, b, c, cnt) over prepared reads (seq, qual).
 
     position: a base number, b letter (of ``LETTERS``), c quality; quality: a mean
-    quality of a read; length: a; adapter: a start, b adapter (leftmost first,
+    quality of a read; length: a; gc, n: a rounded percent of a read; strong: the number
+    of G and C of a read; adapter: a start, b adapter (leftmost first,
     without overlaps); kmer: a word in base 4, b tenth of the read.
     """
     kinds = tuple(kinds)

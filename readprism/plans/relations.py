@@ -29,6 +29,10 @@ select rid, seq, substr(q, 1, length(seq)) as qual from (
   from lineitem) t"""
 
 
+#: The short reads with a sample each, their line's flag and status.
+SAMPLED = SHORT.replace("select rid, seq,", "select sample, rid, seq,").replace("select concat('r'", "select concat(l_returnflag, l_linestatus) as sample, concat('r'")
+
+
 def _long(flag: str, times: str) -> str:
     return f"""
 select rid, seq, substr(q, 1, length(seq)) as qual from (
@@ -47,5 +51,10 @@ def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SHORT.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
+def sampled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, rid, seq, qual)."""
+    return spark.sql(SAMPLED.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
 def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LONG.replace("from documents", "from {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))

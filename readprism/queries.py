@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
-from readprism.operators import adapters, composition, kmers, lengths, quality, sequences
+from readprism.operators import adapters, composition, kmers, lengths, quality, samples, sequences
 from readprism.plans import relations
 from readprism.plans.report import Context, module_tables, release, run, statuses
 from readprism.sinks import text_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 OFFSET = 33
+#: Modules that are also registered for all samples at once.
+SAMPLED_MODULES = (
+    "basic_stats", "per_base_quality", "per_seq_quality", "per_base_content", "per_seq_gc", "per_base_n", "per_seq_n", "length_dist", "duplication_levels", "overrepresented", "adapter_by_position",
+)
 
 
 def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +61,13 @@ def _lines(mode: str, writer: Callable) -> Query:
     return query
 
 
+def _of_samples(module: str) -> Query:
+    return lambda spark, sf_dir: samples.module_tables(samples.accumulate(relations.sampled_reads(spark, sf_dir), OFFSET))[module]
+
+
 def queries() -> dict[str, Query]:
     return {
+        **{f"samples_{m}": _of_samples(m) for m in SAMPLED_MODULES},
         "basic_stats": _on(_short, composition.basic_stats),
         "basic_stats_long": _on(_long, composition.basic_stats),
         "per_base_quality": _positions(quality.per_base_quality),
@@ -138,6 +147,42 @@ _NFLAGS = f"select count(*) as reads, count(*) filter (p > 20) as gt20, count(*)
 _QFLAGS = "select count(*) as reads, count(*) filter (mean_q < 20) as low from mq"
 
 
+# The same by sample.
+_SREADS = f"reads as (select sample, upper(seq) as seq, qual, length(seq) as n from ({relations.SAMPLED}) r where length(seq) > 0)"
+_SPOS = f"pos as (select sample, base, substr(seq, base, 1) as b, least(greatest(ascii(substr(qual, base, 1)) - {OFFSET}, 0), 93) as q, count(*) as cnt from (select sample, seq, qual, unnest(range(1, n + 1)) as base from reads) e group by all)"
+_SBASES = _BASES.replace("(select cast(base", "(select sample, cast(base").replace("group by base", "group by sample, base")
+_SPBQ = "select sample, cast(base as int) as base, cast(sum(q * cnt) as double) / cast(sum(cnt) as double) as mean, " + ", ".join(
+    f"cast(min(case when running >= greatest(ceil({s} * total), 1) then q end) as int) as {name}" for name, s in quality.QUANTILES.items()
+) + " from (select sample, base, q, cnt, sum(cnt) over (partition by sample, base order by q) as running, sum(cnt) over (partition by sample, base) as total from (select sample, base, q, sum(cnt) as cnt from pos group by all) h) w group by sample, base"
+_SSEQS = "seqs as (select sample, seq, count(*) as cnt from reads group by sample, seq)"
+_STOTALS = "totals as (select sample, count(*) as total, max(n) as longest from reads group by sample)"
+_SDUP = """select t.sample, cast(l.level as int) as level, cast(coalesce(d.reads, 0) as bigint) as reads, coalesce(d.reads, 0)::double / t.total::double as relative
+  from totals t cross join range(1, 8) l(level) left join (select sample, least(cnt, 7) as level, sum(cnt) as reads from seqs group by 1, 2) d on d.sample = t.sample and d.level = l.level"""
+_SOVER = f"select sample, {_SHOWN} as sequence, cnt, cnt * 100.0::double / total as percent, {_SOURCE.format(_SHOWN)} as source from seqs join totals using (sample) where cnt * 100.0::double / total >= 0.1"
+_SADP = (
+    "select p.sample, cast(p.position as int) as position, " + ", ".join(f"coalesce(sum(case when i = {i} then hits end), 0) * 100.0::double / any_value(p.total) as a{i}" for i in range(5))
+    + " from (select sample, total, unnest(range(1, longest + 1)) as position from totals) p left join (select sample, position, i, count(*) as hits from (select sample, seq, n, i, a, unnest(range(1, n - length(a) + 2)) as position from reads, adapters where contains(seq, a)) e"
+    + " where substr(seq, position, length(a)) = a group by all) h on h.position = p.position and h.sample = p.sample group by p.sample, p.position"
+)
+
+
+def _sample_sql() -> dict[str, str]:
+    found = {
+        "basic_stats": _with(_SREADS, _BASIC.replace("select count", "select sample, count") + " group by sample"),
+        "per_base_quality": _with(_SREADS, _SPOS, _SPBQ),
+        "per_seq_quality": _with(_SREADS, _MEANQ.replace("(select cast", "(select sample, cast"), "select sample, mean_q, count(*) as cnt from mq group by all"),
+        "per_base_content": _with(_SREADS, _SPOS, _SBASES, _PBC.replace("select base", "select sample, base")),
+        "per_seq_gc": _with(_SREADS, f"select sample, {_GC} as gc, count(*) as cnt from reads group by all"),
+        "per_base_n": _with(_SREADS, _SPOS, _SBASES, _PBN.replace("select base", "select sample, base")),
+        "per_seq_n": _with(_SREADS, f"select sample, {_N} as n_percent, count(*) as cnt from reads group by all"),
+        "length_dist": _with(_SREADS, "select sample, cast(n as int) as length, count(*) as cnt from reads group by all"),
+        "duplication_levels": _with(_SREADS, _SSEQS, _STOTALS, _SDUP),
+        "overrepresented": _with(_SREADS, _SSEQS, _STOTALS, _SOVER),
+        "adapter_by_position": _with(_SREADS, _ADAPTERS, _STOTALS, _SADP),
+    }
+    return {f"samples_{m}": sql for m, sql in found.items()}
+
+
 def _with(*parts: str) -> str:
     return "with " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
 
@@ -180,6 +225,7 @@ def oracle_sql() -> dict[str, str]:
     )
     nxx = "coalesce(max(case when held >= floor(bases * {0}) then mid end), 0)"
     return {
+        **_sample_sql(),
         "basic_stats": _with(_READS, _BASIC),
         "basic_stats_long": _with(_LREADS, _BASIC),
         "per_base_quality": _with(_READS, _POS, _PBQ),

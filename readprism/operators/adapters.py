@@ -32,3 +32,10 @@ def adapter_any(reads: DataFrame) -> DataFrame:
     hits = [F.count_if(F.contains("seq", F.lit(a))).alias(f"c{i}") for i, a in enumerate(B.ADAPTERS)]
     counted = reads.agg(F.count(F.lit(1)).alias("total"), *hits)
     return counted.select(*[F.when(F.col("total") > 0, F.col(f"c{i}") * F.lit(100.0) / F.col("total")).otherwise(F.lit(0.0)).alias(f"a{i}") for i in range(len(B.ADAPTERS))])
+
+
+def any_of(table: DataFrame) -> DataFrame:
+    """``adapter_any`` from tallies (holds, length)."""
+    hits = [F.coalesce(F.sum(F.when((F.col("kind") == "holds") & (F.col("a") == i), F.col("cnt"))), F.lit(0).cast("long")).alias(f"c{i}") for i in range(len(B.ADAPTERS))]
+    counted = table.where(F.col("kind").isin("holds", "length")).agg(F.sum(F.when(F.col("kind") == "length", F.col("cnt"))).alias("total"), *hits)
+    return counted.select(*[F.when(F.col("total") > 0, F.col(f"c{i}") * F.lit(100.0) / F.col("total")).otherwise(F.lit(0.0)).alias(f"a{i}") for i in range(len(B.ADAPTERS))])

@@ -62,3 +62,31 @@ def n_flags(reads: DataFrame) -> DataFrame:
     """One row: reads of over 20 percent N, and of 11 to 20 percent."""
     p = F.col("p")
     return reads.select(B.n_percent(F.col("seq"), F.col("n")).alias("p")).agg(F.count(F.lit(1)).alias("reads"), F.count_if(p > 20).alias("gt20"), F.count_if((p > 10) & (p <= 20)).alias("gt10"))
+
+
+def basic_of(table: DataFrame) -> DataFrame:
+    """``basic_stats`` from tallies (length, strong)."""
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0).cast("long"))
+    bases, length = F.col("a").cast("long") * F.col("cnt"), F.when(F.col("kind") == "length", F.col("a"))
+    totals = table.where(F.col("kind").isin("length", "strong")).agg(
+        of("length", F.col("cnt")).alias("total_sequences"), of("length", bases).alias("total_bases"), F.min(length).alias("min_len"), F.max(length).alias("max_len"), of("strong", bases).alias("gc")
+    )
+    percent = F.expr("case when total_bases > 0 then (100 * gc + total_bases div 2) div total_bases else 0 end")
+    return totals.select("total_sequences", "total_bases", "min_len", "max_len", percent.cast("int").alias("gc_percent"))
+
+
+def gc_of(table: DataFrame) -> DataFrame:
+    """``per_seq_gc`` from tallies."""
+    return T.of_kind(table, "gc").select(F.col("a").alias("gc"), "cnt")
+
+
+def n_of(table: DataFrame) -> DataFrame:
+    """``per_seq_n`` from tallies."""
+    return T.of_kind(table, "n").select(F.col("a").alias("n_percent"), "cnt")
+
+
+def flags_of(table: DataFrame) -> DataFrame:
+    """``n_flags`` from tallies."""
+    count = lambda fits: F.coalesce(F.sum(F.when(fits, F.col("cnt"))), F.lit(0).cast("long"))
+    p = F.col("n_percent")
+    return n_of(table).agg(count(F.lit(True)).alias("reads"), count(p > 20).alias("gt20"), count((p > 10) & (p <= 20)).alias("gt10"))

@@ -29,11 +29,13 @@ BINS = 10
 PIECE = 1 << 20
 HELD = 1 << 20
 KINDS = ("position", "quality", "length", "adapter", "kmer")
+#: What the modules of short and of long reads need.
+SHORT_KINDS, LONG_KINDS = (*KINDS, "gc", "strong"), ("quality", "length", "gc", "strong", "n", "holds")
 _SCHEMA = "kind string, a int, b int, c int, cnt long"
 _CLASS = np.full(256, LETTERS.index("*"), np.int64)
 _CLASS[np.frombuffer(b"ACGTN", np.uint8)] = np.arange(5)
 #: Values of b and c by kind, that a, b and c make one key.
-_RADIX = {"position": (len(LETTERS), B.MAX_Q + 1), **dict.fromkeys(("quality", "length", "gc", "strong", "n"), (1, 1)), "adapter": (len(B.ADAPTERS), 1), "kmer": (BINS, 1)}
+_RADIX = {"position": (len(LETTERS), B.MAX_Q + 1), **dict.fromkeys(("quality", "length", "gc", "strong", "n", "holds"), (1, 1)), "adapter": (len(B.ADAPTERS), 1), "kmer": (BINS, 1)}
 
 
 class _Counts:
@@ -155,6 +157,9 @@ class Folder:
                     held["strong"].add(strong)
             if "n" in held:
                 held["n"].add(_percents(_of_each(code == LETTERS.index("N"), offsets), sizes))
+            if "holds" in held:
+                found = [pc.sum(pc.match_substring(piece.column("seq"), a)).as_py() or 0 for a in B.ADAPTERS]
+                held["holds"].add(np.repeat(np.arange(len(B.ADAPTERS)), found))
             if "adapter" in held:
                 some = piece.column("seq").filter(pc.match_substring_regex(piece.column("seq"), self.pattern.pattern)).to_pylist()
                 held["adapter"].add(np.array([(m.start() + 1) * len(B.ADAPTERS) + m.lastindex - 1 for s in some for m in self.pattern.finditer(s)], np.int64))
@@ -188,7 +193,7 @@ def tallies(reads: DataFrame, offset: int = 33, kinds: Iterable[str] = KINDS) ->
 
     position: a base number, b letter (of ``LETTERS``), c quality; quality: a mean
     quality of a read; length: a; gc, n: a rounded percent of a read; strong: the number
-    of G and C of a read; adapter: a start, b adapter (leftmost first,
+    of G and C of a read; holds: an adapter that a read holds; adapter: a start, b adapter (leftmost first,
     without overlaps); kmer: a word in base 4, b tenth of the read.
     """
     kinds = tuple(kinds)

@@ -47,12 +47,13 @@ def module_tables(reads: DataFrame, context: Context) -> dict[str, DataFrame]:
     Modules of the other mode are not planned.
     """
     short = context.mode == "short"
-    counted = tallies.tallies(reads, context.offset, tallies.KINDS if short else ["quality"]).cache()
-    tables = {TALLIES: counted, "basic_stats": composition.basic_stats(reads), "per_seq_quality": quality.per_seq_quality(counted), "per_seq_gc": composition.per_seq_gc(reads)}
+    counted = tallies.tallies(reads, context.offset, tallies.SHORT_KINDS if short else tallies.LONG_KINDS).cache()
+    tables = {TALLIES: counted, "basic_stats": composition.basic_of(counted), "per_seq_quality": quality.per_seq_quality(counted), "per_seq_gc": composition.gc_of(counted)}
     if context.mode == "long":
+        hist = lengths.lengths_of(counted)
         return tables | {
-            "length_bins": lengths.length_bins(reads), "length_summary": lengths.length_summary(reads), "per_seq_n": composition.per_seq_n(reads),
-            "n_flags": composition.n_flags(reads), "adapter_any": adapters.adapter_any(reads),
+            "length_bins": lengths.bins_of(hist), "length_summary": lengths.summary_of(hist), "per_seq_n": composition.n_of(counted),
+            "n_flags": composition.flags_of(counted), "adapter_any": adapters.any_of(counted),
         }
     positions, words = composition.positions_of(counted), kmers.kmers_of(counted)
     counts = sequences.sequence_counts(reads).cache()

@@ -81,3 +81,17 @@ def test_state_does_not_depend_on_partitions(spark, split):
     rows = drawn(4, 200)
     df = spark.createDataFrame(rows, "sample string, seq string, qual string")
     assert rows_of(samples.accumulate(df.repartition(split % 7 + 1)).tallies) == rows_of(samples.accumulate(df.coalesce(1)).tallies)
+
+
+def test_tables_of_one_pass_are_those_of_the_reads(spark):
+    from readprism.operators import tallies
+
+    for rows in (drawn(7, 400), []):
+        reads = B.prepared(spark.createDataFrame([r[1:] for r in rows], "seq string, qual string"))
+        counted = tallies.tallies(reads, 33, tallies.LONG_KINDS)
+        hist = lengths.lengths_of(counted)
+        for a, b in [
+            (composition.basic_of(counted), composition.basic_stats(reads)), (composition.gc_of(counted), composition.per_seq_gc(reads)), (composition.n_of(counted), composition.per_seq_n(reads)),
+            (composition.flags_of(counted), composition.n_flags(reads)), (adapters.any_of(counted), adapters.adapter_any(reads)), (lengths.bins_of(hist), lengths.length_bins(reads)), (lengths.summary_of(hist), lengths.length_summary(reads)),
+        ]:
+            assert sorted(a.columns) == sorted(b.columns) and rows_of(a) == rows_of(b)

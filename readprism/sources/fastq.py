@@ -45,11 +45,19 @@ _FAR = 1 << 62
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):
+        # Spark's names of local files are not encoded as a URI's.
+        return fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+def open_file(path: str) -> pa.NativeFile:
+    store, name = _filesystem(path)
+    return store.open_input_file(name)
+
+
 def input_files(path: str) -> list[tuple[str, int]]:
     """(path, size) of a file, or of the FASTQ files of a folder in order of name."""
     store, name = _filesystem(path)
@@ -295,8 +303,7 @@ class FastqReader(DataSourceReader):
         out: list[InputPartition] = []
         whole = []
         for path, size in input_files(self.path):
-            store, name = _filesystem(path)
-            with store.open_input_file(name) as f:
+            with open_file(path) as f:
                 kind = file_kind(f)
             whole.append((path, kind))
             if kind == "gzip" or not size:
@@ -308,8 +315,7 @@ class FastqReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         left = partition.most
         for path, kind in partition.files:
-            store, name = _filesystem(path)
-            with store.open_input_file(name) as file:
+            with open_file(path) as file:
                 if kind == "plain":
                     source = _Plain(file, partition.start, partition.end)
                 elif kind == "blocks":

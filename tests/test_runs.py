@@ -8,12 +8,10 @@ import pytest
 from pyspark.sql import Row
 
 from readprism import cli
-from readprism.functions import bases as B
-from readprism.operators import composition, quality, verdicts
+from readprism.operators import verdicts
 from readprism.plans.report import Context, Report, run
 from readprism.sinks import bundle, latex, text_report
 from readprism.sources.fastq import read_fastq, write_fastq
-from readprism.streaming import histograms
 
 
 def fastq(rows, end="\n"):
@@ -128,17 +126,3 @@ def test_long_verdict_edges(spark):
     for module, table, sql, cases in edges:
         for value, status in cases:
             assert statuses(verdicts.long_verdicts(tables(**{table: sql.format(value)})))[module] == status, (module, value)
-
-
-def test_streaming_state(spark, tmp_path):
-    reads = spark.createDataFrame([(s, q) for _, s, q in ROWS], "seq string, qual string")
-    reads.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    for _ in range(2):  # the second run finds nothing new
-        histograms.start(stream, str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
-    state = histograms.merged(spark, str(tmp_path / "state")).cache()
-    ready = B.prepared(reads)
-    assert sorted(map(tuple, histograms.histogram(state, "per_seq_gc", "gc").collect())) == sorted(map(tuple, composition.per_seq_gc(ready).collect()))
-    one = quality.per_base_quality(histograms.positions(state))
-    two = quality.per_base_quality(composition.position_counts(ready, 33))
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))

@@ -1,4 +1,12 @@
-"""Duplicate and overrepresented sequences, exact; and approximate options."""
+"""Duplicate and overrepresented sequences, exact; and approximate options.
+
+At scale, sequences are counted by fingerprints of 128 bits (``fingerprints``): a
+read, however long, is two numbers and a count in the shuffle. Bases travel only
+for the few fingerprints that may be reported (``reported``), and those sequences are
+counted by their bases again, so sequences that share a fingerprint are told apart in
+what is reported. In the duplication levels, which look at numbers alone, two
+of n distinct sequences are taken as one with a probability of n * n / 2^129: 1e-15 for 1e12.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +17,9 @@ from readprism.functions import bases as B
 
 LEVELS = 7
 REPORTED_PERCENT = 0.1
+#: Up to so many fingerprints are broadcast.
+FEW = 100_000
+PRINT = ("h1", "h2")
 
 
 def sequence_counts(reads: DataFrame) -> DataFrame:
@@ -21,6 +32,44 @@ def sequence_counts(reads: DataFrame) -> DataFrame:
     return reads.groupBy("seq").agg(F.count(F.lit(1)).alias("cnt"), *first)
 
 
+def printed(reads: DataFrame) -> DataFrame:
+    """Reads with the two halves of their sequence's fingerprint, which are hashes of different seeds."""
+    return reads.select("*", F.xxhash64("seq").alias("h1"), F.xxhash64(F.lit(1), "seq").alias("h2"))
+
+
+def fingerprints(reads: DataFrame) -> DataFrame:
+    """(h1, h2, cnt): reads by the fingerprint of their sequence; copies are combined before the shuffle."""
+    return printed(reads).groupBy(*PRINT).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def shares(counts: DataFrame, least_percent: float = REPORTED_PERCENT) -> DataFrame:
+    """Of fingerprints or sequences with counts, those of at least so many percent of all reads, with ``total`` and ``percent``."""
+    total = counts.agg(F.sum("cnt").alias("total"))
+    share = F.col("cnt") * F.lit(100.0) / F.col("total")
+    return counts.crossJoin(F.broadcast(total)).where(share >= least_percent).withColumn("percent", share)
+
+
+def reported(prints: DataFrame, reads: DataFrame, *, least_percent: float = REPORTED_PERCENT) -> DataFrame:
+    """(sequence, cnt, percent, source) like ``overrepresented``, from the fingerprints of ``reads`` and one more pass over them.
+
+    A sequence is at most as frequent as its fingerprint, so none is missed; there
+    are at most 100 / ``least_percent`` such fingerprints. Of numbered reads a sequence is
+    shown as its first read has it, otherwise in upper case.
+    """
+    found = shares(prints, least_percent).select(*PRINT, "total")
+    some = printed(reads).join(F.broadcast(found) if least_percent * FEW >= 100 else found, list(PRINT))
+    folded = F.substr("seq", F.lit(1), F.lit(B.TRIM))
+    counted, shown = F.count(F.lit(1)).alias("cnt"), folded
+    if {"read_idx", "written"} <= set(reads.columns):
+        numbered = F.when(F.col("read_idx").isNotNull(), F.struct("read_idx", F.substr("written", F.lit(1), F.lit(B.TRIM)).alias("text")))
+        counts = some.groupBy("seq", "total").agg(counted, F.min(numbered).alias("first"))
+        shown = F.coalesce(F.col("first.text"), folded)
+    else:
+        counts = some.groupBy("seq", "total").agg(counted)
+    share = F.col("cnt") * F.lit(100.0) / F.col("total")
+    return counts.where(share >= least_percent).select(shown.alias("sequence"), "cnt", share.alias("percent"), B.likely_source(folded).alias("source"))
+
+
 def duplication_levels(counts: DataFrame) -> DataFrame:
     """(level, reads, relative): reads whose sequence occurs 1, 2, ... 7 or more times, as a fraction."""
     by_level = counts.groupBy(F.least("cnt", F.lit(LEVELS)).cast("int").alias("level")).agg(F.sum("cnt").alias("reads"))

@@ -43,7 +43,8 @@ def module_tables(reads: DataFrame, context: Context) -> dict[str, DataFrame]:
     """The lazy module tables of a run over prepared reads.
 
     All histograms come from one pass (``tallies``), the two sequence modules from
-    one count of sequences. Both are cached, and ``release`` gives that up.
+    one count of fingerprints; one more pass finds the few sequences to report. Both
+    counts are cached, and ``release`` gives that up.
     Modules of the other mode are not planned.
     """
     short = context.mode == "short"
@@ -56,12 +57,12 @@ def module_tables(reads: DataFrame, context: Context) -> dict[str, DataFrame]:
             "n_flags": composition.flags_of(counted), "adapter_any": adapters.any_of(counted),
         }
     positions, words = composition.positions_of(counted), kmers.kmers_of(counted)
-    counts = sequences.sequence_counts(reads).cache()
+    prints = sequences.fingerprints(reads).cache()
     return tables | {
-        SEQUENCES: counts,
+        SEQUENCES: prints,
         "per_base_quality": quality.per_base_quality(positions), "per_base_content": composition.per_base_content(positions), "per_base_n": composition.per_base_n(positions),
         "quality_flags": quality.quality_flags(counted), "length_dist": lengths.lengths_of(counted),
-        "duplication_levels": sequences.duplication_levels(counts), "overrepresented": sequences.overrepresented(counts, reads), "frequent": sequences.overrepresented(counts, least_percent=0.05),
+        "duplication_levels": sequences.duplication_levels(prints), "overrepresented": sequences.reported(prints, reads), "frequent": sequences.shares(prints, 0.05),
         "adapter_by_position": adapters.adapter_by_position(counted), "kmer_content": kmers.enriched_kmers(words), "kmer_enrichment": kmers.kmer_enrichment(words),
     }
 

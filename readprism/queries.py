@@ -84,8 +84,8 @@ def queries() -> dict[str, Query]:
         "length_bins_long": _on(_long, lambda r: lengths.length_bins(r).drop("mid")),
         "length_nxx_long": _on(_long, lengths.length_summary),
         "n50_exact_long": _on(_long, lengths.exact_nxx),
-        "duplication_levels": _counted(sequences.duplication_levels),
-        "overrepresented": _counted(sequences.overrepresented),
+        "duplication_levels": _on(_short, lambda r: sequences.duplication_levels(sequences.fingerprints(r))),
+        "overrepresented": _on(_short, lambda r: sequences.reported(sequences.fingerprints(r), r)),
         "source_classify": _counted(sequences.source_classes),
         "adapter_by_position": _on(_short, lambda r: adapters.adapter_by_position(adapters.adapter_counts(r))),
         "adapter_any_long": _on(_long, adapters.adapter_any),

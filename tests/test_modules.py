@@ -92,6 +92,12 @@ def test_sequences(ready, reads):
     shown = {r.sequence: (r.cnt, r.percent, r.source) for r in sequences.overrepresented(table, ready).collect()}
     assert shown == {(first[s] if len(s) < 150 else first["ACGTN" * 250][:150]): v for s, v in over.items()}
     assert "acgtnacgtn" in shown and "ACGTNACGTN" not in shown
+    prints, plain = sequences.fingerprints(ready).cache(), ready.drop("read_idx", "written")
+    assert {r.level: r.reads for r in sequences.duplication_levels(prints).collect()} == {i: levels[i] for i in range(1, 8)}
+    for least in (0.1, 0.0001):  # broadcast and plain join
+        expected = sequences.overrepresented(table, least_percent=least), sequences.overrepresented(table, ready, least_percent=least)
+        for want, rows in zip(expected, (plain, ready), strict=True):
+            assert sorted(map(tuple, sequences.reported(prints, rows, least_percent=least).collect())) == sorted(map(tuple, want.collect()))
     assert len(sequences.frequent_sequences_sketch(ready, k=3).collect()) == 3
 
 
@@ -100,6 +106,25 @@ def test_repeated_and_null_read_numbers(spark):
     ready = B.prepared(spark.createDataFrame([(*r, "I" * len(r[1])) for r in rows], "read_idx long, seq string, qual string"))
     shown = {r.sequence: r.cnt for r in sequences.overrepresented(sequences.sequence_counts(ready), ready).collect()}
     assert shown == {"ACGT": 2, "Acgtt": 1, "GGG": 2}
+    again = {r.sequence: r.cnt for r in sequences.reported(sequences.fingerprints(ready), ready).collect()}
+    assert again == shown
+
+
+def test_sequences_that_share_a_fingerprint_are_told_apart(spark, monkeypatch):
+    rows = [("AAAA",)] * 6 + [("CCCC",)] * 3 + [("GGGG",)] * 91
+    ready = B.prepared(spark.createDataFrame(rows, "seq string").selectExpr("seq", "'IIII' as qual"))
+    monkeypatch.setattr(sequences, "printed", lambda reads: reads.select("*", F.when(F.col("seq") == "GGGG", 1).otherwise(0).alias("h1"), F.lit(0).alias("h2")))
+    prints = sequences.fingerprints(ready)
+    assert prints.count() == 2
+    got = sorted((r.sequence, r.cnt, r.percent) for r in sequences.reported(prints, ready, least_percent=5).collect())
+    assert got == [("AAAA", 6, 6.0), ("GGGG", 91, 91.0)]
+
+
+def test_no_reads_no_sequences(spark):
+    ready = B.prepared(spark.createDataFrame([], "read_idx long, seq string, qual string"))
+    prints = sequences.fingerprints(ready)
+    assert not sequences.reported(prints, ready).collect()
+    assert [r.reads for r in sequences.duplication_levels(prints).collect()] == [0] * 7
 
 
 def test_adapters(ready, reads):

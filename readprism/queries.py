@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
-from readprism.operators import adapters, composition, kmers, lengths, quality, samples, sequences
+from readprism.operators import adapters, composition, kmers, lengths, quality, samples, sequences, sketches
 from readprism.plans import relations
 from readprism.plans.report import Context, module_tables, release, run, statuses
 from readprism.sinks import text_report
@@ -65,6 +65,32 @@ def _of_samples(module: str) -> Query:
     return lambda spark, sf_dir: samples.module_tables(samples.accumulate(relations.sampled_reads(spark, sf_dir), OFFSET))[module]
 
 
+def _sketched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(state combined of those of two halves of the reads, exact counts of sequences)."""
+    reads = relations.sampled_reads(spark, sf_dir)
+    halves = [sketches.accumulate(reads.where(F.pmod(F.xxhash64("rid"), F.lit(2)) == i)) for i in range(2)]
+    return sketches.combine(*halves), samples.accumulate(reads, OFFSET).sequences
+
+
+def sketch_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, seq, cnt, within): sequences of at least 0.1 percent of a sample with their exact counts; whether the sketch lists them within its bound."""
+    state, counts = _sketched(spark, sf_dir)
+    total = counts.groupBy("sample").agg(F.sum("cnt").alias("total"))
+    exact = counts.join(total, "sample").where(F.col("cnt") * 1000 >= F.col("total"))
+    listed = sketches.frequent(state).select("sample", "seq", F.col("cnt").alias("most"), (F.col("cnt") - F.col("off")).alias("least"))
+    within = F.coalesce(F.col("cnt").between(F.col("least"), F.col("most")), F.lit(False))
+    return exact.join(listed, ["sample", "seq"], "left").select("sample", "seq", "cnt", within.alias("within"))
+
+
+def sketch_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, sequences, within): exact numbers of distinct sequences; whether the sketch is within five standard errors."""
+    state, counts = _sketched(spark, sf_dir)
+    exact = counts.groupBy("sample").agg(F.count(F.lit(1)).alias("sequences"))
+    about = sketches.distinct(state).withColumnRenamed("sequences", "about")
+    error = F.abs(F.col("about") - F.col("sequences")) / F.col("sequences")
+    return exact.join(about, "sample").select("sample", "sequences", (error <= 5 * 1.04 / 2 ** (sketches.LG_K / 2)).alias("within"))
+
+
 def queries() -> dict[str, Query]:
     return {
         **{f"samples_{m}": _of_samples(m) for m in SAMPLED_MODULES},
@@ -94,6 +120,8 @@ def queries() -> dict[str, Query]:
         "phred_detect": _on(_short, quality.phred_offset),
         "status_short": _status("short"),
         "status_long": _status("long"),
+        "sketch_frequent": sketch_frequent,
+        "sketch_distinct": sketch_distinct,
         "frequent_sequences_sketch": _on(_short, sequences.frequent_sequences_sketch),
         "distinct_sequences_sketch": _on(_short, sequences.distinct_sequences_sketch),
         "fastqc_lines_short": _lines("short", text_report.data_text),
@@ -261,6 +289,8 @@ def oracle_sql() -> dict[str, str]:
             "o as (select *, case when lo < 59 then 33 when lo >= 64 then 64 when hi <= 74 then 33 else 64 end as offset_ from s)",
             "select lo, hi, offset_ as \"offset\", case when offset_ = 64 then 'Illumina 1.5' else 'Sanger / Illumina 1.9' end as encoding from o",
         ),
+        "sketch_frequent": _with(_SREADS, _SSEQS, _STOTALS, "select sample, seq, cnt, true as within from seqs join totals using (sample) where cnt * 1000 >= total"),
+        "sketch_distinct": _with(_SREADS, _SSEQS, "select sample, count(*) as sequences, true as within from seqs group by sample"),
         "status_short": _with(_READS, _POS, _BASES, _MEANQ, _SEQS, _ADAPTERS, _KMERS, _ENRICHED, short_status),
         "status_long": _with(_LREADS, _MEANQ, long_status),
     }

@@ -35,7 +35,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -167,10 +168,46 @@ def _dropped(name: str, attributes: str, in_mark: bool) -> bool:
     return any(set(words) & hints and all(x in hints or x in LAYOUT or x.isdigit() for x in words) for words in named)
 
 
+class _Open:
+    """The open elements of a page, found by name without a walk: (name, dropped, within a mark, nearest block, within a link)."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, str, bool]] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.marks: list[int] = []
+
+    def push(self, name: str, *rest) -> None:
+        self.at[name].append(len(self.stack))
+        if name in MARKS:
+            self.marks.append(len(self.stack))
+        self.stack.append((name, *rest))
+
+    def cut(self, size: int) -> None:
+        """Close all but the outermost ``size`` elements."""
+        while len(self.stack) > size:
+            name = self.stack.pop()[0]
+            self.at[name].pop()
+            if name in MARKS:
+                self.marks.pop()
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of a name; a stray end tag does not close the content."""
+        if not self.at[name]:
+            return
+        last = self.at[name][-1]
+        if name in ("body", "html") or not self.marks or self.marks[-1] <= last:
+            self.cut(last)
+
+    def first_dropped(self) -> int:
+        # All within a dropped element is dropped.
+        return bisect_left(self.stack, True, key=lambda s: s[1])
+
+
 def tokens(page: str) -> list[Token]:
-    """Tokens of a page with their places."""
+    """Tokens of a page with their places, in time linear in the page (but for a logarithm) however deep it nests."""
     out: list[Token] = []
-    stack: list[tuple[str, bool, bool, str, bool]] = []  # name, dropped, within a mark, nearest block, within a link
+    opened = _Open()
+    stack = opened.stack
     marked = False
     for kind, name, text in _pieces(page):
         dropped, in_mark = (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -184,9 +221,9 @@ def tokens(page: str) -> list[Token]:
         elif kind == "open":
             if name in MARKS or name == "body":
                 # An unclosed menu or header does not swallow the content.
-                open_ = next((i for i, s in enumerate(stack) if s[1]), len(stack))
+                open_ = opened.first_dropped()
                 if open_ < len(stack) and stack[open_][0] in UNCLOSED:
-                    del stack[open_:]
+                    opened.cut(open_)
                 dropped, in_mark = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             out.append(Token("open", name, place=place))
             if name not in VOID and name not in RAW and not (text.endswith("/>") and name not in BLOCKS):
@@ -196,15 +233,10 @@ def tokens(page: str) -> list[Token]:
                 is_mark = name in MARKS and not lost
                 marked |= is_mark
                 block, link = stack[-1][3:] if stack else ("body", False)
-                stack.append((name, lost, in_mark or is_mark, name if name in BLOCKS else block, link or name == "a"))
+                opened.push(name, lost, in_mark or is_mark, name if name in BLOCKS else block, link or name == "a")
         else:
             out.append(Token("close", name, place=place))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in MARKS and name not in ("body", "html"):
-                    break  # a stray end tag does not close the content
+            opened.close(name)
     if marked:
         for t in out:
             if t.place == "plain":

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -136,3 +137,34 @@ def test_against_all_stretches():
         top = max(sums.values(), default=0)
         words = {"".join(t.text if t.kind == "text" else "" if t.name in M.INLINE else " " for t in toks[a:b] if t.kind != "text" or t.place in ("plain", "marked")) for (a, b), v in sums.items() if v == top} if top > 0 else {""}
         assert M.extract(html, scores) in {" ".join(w.replace("&amp;", "&").split()) for w in words}, html
+
+
+def test_deep_nesting_takes_linear_time():
+    n = 30_000
+    pages = ["<div>" * n + "</span>" * n, "<div><p>w " * n, "<article>" * n + "</div>" * n, "<div>" * n + "<main>" * n, "<ul>" * n + "word" + "</ul>" * n]
+    began = time.perf_counter()
+    assert [len(M.tokens(p)) for p in pages] == [2 * n, 3 * n, 2 * n, 2 * n, 2 * n + 1]
+    assert time.perf_counter() - began < 20
+
+
+def test_open_elements_are_those_of_a_walk():
+    """End tags against a walk over all open elements."""
+    rng = random.Random(5)
+    for _ in range(300):
+        opened, walked = M._Open(), []
+        for _ in range(60):
+            name = rng.choice(["div", "p", "article", "main", "body", "nav"])
+            if rng.random() < 0.55:
+                dropped = bool(walked and walked[-1][1]) or rng.random() < 0.1
+                opened.push(name, dropped, False, name, False)
+                walked.append((name, dropped, False, name, False))
+            else:
+                opened.close(name)
+                for i in range(len(walked) - 1, -1, -1):
+                    if walked[i][0] == name:
+                        del walked[i:]
+                        break
+                    if walked[i][0] in ("article", "main") and name != "body":
+                        break
+            assert opened.stack == walked
+            assert opened.first_dropped() == next((i for i, s in enumerate(walked) if s[1]), len(walked))

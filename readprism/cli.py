@@ -5,13 +5,13 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from readprism.operators.quality import SNIFFED_READS, phred_offset
 from readprism.plans.report import Context, run
+from readprism.plans.stages import Stages
 from readprism.sinks import latex
 from readprism.sinks.bundle import write_report
 from readprism.sources.fastq import read_fastq
@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--no-zip", action="store_true")
     one.add_argument("--no-kmer", action="store_true", help="leave the k-mer module out")
     one.add_argument("--export-latex", choices=("summary", "supplement"))
-    one.add_argument("--stats", action="store_true", help="print timings to standard error")
+    one.add_argument("--stats", action="store_true", help="print seconds, reads, bases, rows, jobs and tasks of each stage to standard error")
     return top
 
 
@@ -43,23 +43,23 @@ def main(argv: list[str] | None = None) -> int:
         raise SystemExit(f"no such file: {args.reads}")
     builder = SparkSession.builder.appName("readprism").config("spark.sql.session.timeZone", "UTC")
     spark = SparkSession.getActiveSession() or (builder if os.environ.get("SPARK_MASTER") else builder.master(f"local[{args.threads}]")).getOrCreate()
-    began = time.time()
+    stages = Stages(spark)
     reads = read_fastq(spark, args.reads, columns=("read_idx", "seq", "qual"))
-    if args.phred_offset == "auto":
-        found = phred_offset(read_fastq(spark, args.reads, columns=("qual",), records=SNIFFED_READS)).first()["offset"]
-        if found is None and reads.isEmpty():
-            raise SystemExit("input file is empty")
-        offset = found or 33
-    else:
-        offset = int(args.phred_offset)
+    with stages.stage("offset"):
+        if args.phred_offset == "auto":
+            found = phred_offset(read_fastq(spark, args.reads, columns=("qual",), records=SNIFFED_READS)).first()["offset"]
+            if found is None and reads.isEmpty():
+                raise SystemExit("input file is empty")
+            offset = found or 33
+        else:
+            offset = int(args.phred_offset)
     name = Path(args.reads).name
     context = Context(name, args.sample_name or Path(name).stem, args.mode, offset, not args.no_kmer)
-    sniffed = time.time()
-    report = run(reads, context)
-    done = time.time()
-    folder = write_report(report, args.out, zipped=not args.no_zip)
-    if args.export_latex:
-        latex.export(report, folder / "latex", args.export_latex)
+    report = run(reads, context, stages if args.stats else None)
+    with stages.stage("files"):
+        folder = write_report(report, args.out, zipped=not args.no_zip)
+        if args.export_latex:
+            latex.export(report, folder / "latex", args.export_latex)
     if args.stats:
-        print(f"offset {sniffed - began:.2f} s, modules {done - sniffed:.2f} s, files {time.time() - done:.2f} s", file=sys.stderr)
+        print(stages.table(), file=sys.stderr)
     return 0

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
 
 from readprism.functions import bases as B
 from readprism.operators import adapters, composition, kmers, lengths, quality, sequences, tallies, verdicts
+from readprism.plans.stages import Stages, observed
 
 #: Tables that others are made from.
 TALLIES, SEQUENCES = "tallies", "sequences"
@@ -94,16 +96,37 @@ _ORDER = {
 }
 
 
-def run(reads: DataFrame, context: Context) -> Report:
-    """Run all modules of the mode over (seq, qual[, read_idx]) and collect their small tables."""
+def _materialized(ready: DataFrame, context: Context, stages: Stages) -> dict[str, DataFrame]:
+    """The module tables, with what they share made in stages of its own."""
+    with stages.stage("histograms") as stage:
+        watched, seen = observed(ready)
+        tables = module_tables(watched, context)
+        stage.rows = tables[TALLIES].count()
+        stage.reads, stage.bases = seen.get["reads"], seen.get["bases"]
+    if SEQUENCES in tables:
+        with stages.stage("sequences") as stage:
+            stage.rows = tables[SEQUENCES].count()
+    return tables
+
+
+def run(reads: DataFrame, context: Context, stages: Stages | None = None) -> Report:
+    """Run all modules of the mode over (seq, qual[, read_idx]) and collect their small tables; ``stages`` measures that."""
     ready = B.prepared(reads)
-    if ready.isEmpty():
-        raise ValueError("input file is empty")
-    tables = module_tables(ready, context)
+    measured = (lambda name: stages.stage(name)) if stages else (lambda name: nullcontext())
+    with measured("input"):
+        if ready.isEmpty():
+            raise ValueError("input file is empty")
+    tables = _materialized(ready, context, stages) if stages else module_tables(ready, context)
     shown = {k: t for k, t in tables.items() if k not in (TALLIES, SEQUENCES, "frequent", "kmer_enrichment", "quality_flags", "n_flags")}
+    rows: dict[str, list[Row]] = {}
     try:
-        verdict = statuses(tables, context.mode)
-        rows = {k: sorted(t.collect(), key=lambda r, k=k: tuple(r[c] for c in _ORDER.get(k, ()))) for k, t in shown.items()}
+        with measured("verdicts"):
+            verdict = statuses(tables, context.mode)
+        for k, t in shown.items():
+            with measured(k) as stage:
+                rows[k] = sorted(t.collect(), key=lambda r, k=k: tuple(r[c] for c in _ORDER.get(k, ())))
+            if stages:
+                stage.rows = len(rows[k])
     finally:
         release(tables)
     if "overrepresented" in rows:

@@ -98,14 +98,18 @@ _ORDER = {
 
 def _materialized(ready: DataFrame, context: Context, stages: Stages) -> dict[str, DataFrame]:
     """The module tables, with what they share made in stages of its own."""
-    with stages.stage("histograms") as stage:
-        watched, seen = observed(ready)
-        tables = module_tables(watched, context)
-        stage.rows = tables[TALLIES].count()
-        stage.reads, stage.bases = seen.get["reads"], seen.get["bases"]
-    if SEQUENCES in tables:
-        with stages.stage("sequences") as stage:
-            stage.rows = tables[SEQUENCES].count()
+    watched, seen = observed(ready)
+    tables = module_tables(watched, context)
+    try:
+        with stages.stage("histograms") as stage:
+            stage.rows = tables[TALLIES].count()
+            stage.reads, stage.bases = seen.get["reads"], seen.get["bases"]
+        if SEQUENCES in tables:
+            with stages.stage("sequences") as stage:
+                stage.rows = tables[SEQUENCES].count()
+    except BaseException:
+        release(tables)
+        raise
     return tables
 
 

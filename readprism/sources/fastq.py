@@ -9,10 +9,15 @@ their line ends, without a step for each line in Python.
 ``read_idx`` orders the reads of a file: the record's byte offset; for block gzip
 the block's offset << 16, plus the place in the block; for other gzip the record's number.
 
-Options: ``columns``, of (read_idx, id, seq, qual, file), in the order wanted: what is
+Options: ``columns``, of (read_idx, id, seq, qual, file, corrupt), in the order wanted: what is
 not asked for never leaves the reader (a schema given to ``spark.read`` does the
 same); ``splitbytes``, the size of a byte range; ``records``, to read only so many
-records from the start, in one task that stops there.
+records from the start, in one task that stops there; ``multiline``, for bases and
+qualities that are wrapped over several lines; ``mode``, what damage does: with
+``failfast`` (the default) it raises, with ``permissive`` each damaged line is a row,
+with nulls and its text in the column ``corrupt`` if that is asked for, and with
+``dropmalformed`` it gives no row. ``sources.lenient`` has the rules for wrapped records
+and for what is read after damage.
 
 A record is four lines. Line ends may be CRLF, and the last may be missing. A
 header without ``@``, a third line without ``+``, bases and qualities of different
@@ -38,6 +43,8 @@ from readprism.sources import bgzf
 SPLIT_BYTES = 128 << 20
 COLUMNS = ("read_idx", "id", "seq", "qual")
 FILE = "file"
+CORRUPT = "corrupt"
+MODES = ("failfast", "permissive", "dropmalformed")
 BLOCK = 4 << 20
 _ROWS = 8192
 _LINES = 4
@@ -81,11 +88,13 @@ class _Bytes:
     """A file's content from some place on, in chunks.
 
     ``limit``: records that start at this place of the content or beyond it belong
-    to the next range; unknown until the range's own bytes have been read.
+    to the next range; unknown until the range's own bytes have been read. ``lower``:
+    those before this place belong to the range before, where the content begins early.
     ``number`` gives the ``read_idx`` of places in the content.
     """
 
     limit = _FAR
+    lower = 0
 
     def __init__(self, mid: bool):
         #: Whether the content begins within a record, perhaps.
@@ -97,10 +106,12 @@ class _Bytes:
 
 
 class _Plain(_Bytes):
-    def __init__(self, file, start: int, end: int | None):
-        super().__init__(start > 0)
+    def __init__(self, file, start: int, end: int | None, begin: int | None = None):
+        begin = start if begin is None else begin
+        super().__init__(begin > 0)
         # The byte before tells whether a line begins at the range's first byte.
-        self.file, self.first = file, max(0, start - 1)
+        self.file, self.first = file, max(0, begin - 1)
+        self.lower = start - self.first
         self.limit = _FAR if end is None else end - self.first
 
     def chunks(self) -> Iterator[bytes]:
@@ -115,14 +126,18 @@ class _Plain(_Bytes):
 class _Blocks(_Bytes):
     """A record belongs to the range that has the block with the line end before it."""
 
-    def __init__(self, file, start: int, end: int | None, name: str):
-        super().__init__(start > 0)
+    def __init__(self, file, start: int, end: int | None, name: str, begin: int | None = None):
+        self.begin = start if begin is None else begin
+        super().__init__(self.begin > 0)
         self.file, self.start, self.end, self.name = file, start, end, name
         self.places, self.offsets = [], []
+        self.lower = _FAR if start else 0
 
     def chunks(self) -> Iterator[bytes]:
         held, size = [], 0
-        for offset, data in bgzf.members(self.file, self.start, self.end, self.name):
+        for offset, data in bgzf.members(self.file, self.begin, self.end, self.name):
+            if self.lower == _FAR and offset >= self.start:
+                self.lower = self.read + size + 1
             if self.limit == _FAR and self.end is not None and offset >= self.end:
                 self.limit = self.read + size + 1
             self.places.append(self.read + size)
@@ -296,8 +311,9 @@ def file_kind(file) -> str:
 
 
 class FastqReader(DataSourceReader):
-    def __init__(self, path: str, split: int, columns: list[str], most: int | None = None):
+    def __init__(self, path: str, split: int, columns: list[str], most: int | None = None, mode: str = "failfast", multiline: bool = False):
         self.path, self.split, self.columns, self.most = path, max(1, split), columns, most
+        self.mode, self.multiline = mode, multiline
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
@@ -316,18 +332,32 @@ class FastqReader(DataSourceReader):
         left = partition.most
         for path, kind in partition.files:
             with open_file(path) as file:
-                if kind == "plain":
-                    source = _Plain(file, partition.start, partition.end)
-                elif kind == "blocks":
-                    source = _Blocks(file, partition.start, partition.end, path)
-                else:
-                    source = _Gzip(file, path)
-                for batch in _Cutter(source, path, self.columns, left).batches():
+                for batch in self._batches(file, path, kind, partition, left):
                     left = None if left is None else left - len(batch)
                     yield batch
             if left == 0:
                 return
 
+    def _batches(self, file, path: str, kind: str, partition: Range, left: int | None) -> Iterator[pa.RecordBatch]:
+        def source(begin: int) -> _Bytes:
+            if kind == "plain":
+                return _Plain(file, partition.start, partition.end, begin)
+            if kind == "blocks":
+                return _Blocks(file, partition.start, partition.end, path, begin)
+            file.seek(0)
+            return _Gzip(file, path)
+
+        if self.mode == "failfast" and not self.multiline and CORRUPT not in self.columns:
+            return _Cutter(source(partition.start), path, self.columns, left).batches()
+        from readprism.sources import lenient
+
+        return lenient.batches(source, partition.start, path, self.columns, self.mode, self.multiline, left)
+
+
+def _check(names: list[str]) -> None:
+    if not set(names) <= {*COLUMNS, FILE, CORRUPT}:
+        raise ValueError(f"columns are some of {', '.join(COLUMNS)}, {FILE} and {CORRUPT}")
+
 
 class FastqDataSource(DataSource):
     """``spark.read.format("fastq").load(path)``; see the module for options."""
@@ -338,27 +368,28 @@ class FastqDataSource(DataSource):
 
     def schema(self) -> StructType:
         names = [c.strip() for c in self.options.get("columns", ",".join(COLUMNS)).split(",")]
-        if not set(names) <= {*COLUMNS, FILE}:
-            raise ValueError(f"columns are some of {', '.join(COLUMNS)} and {FILE}")
+        _check(names)
         return StructType([StructField(c, LongType() if c == "read_idx" else StringType()) for c in names])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        if not set(schema.names) <= {*COLUMNS, FILE}:
-            raise ValueError(f"columns are some of {', '.join(COLUMNS)} and {FILE}")
-        most = self.options.get("records")
-        return FastqReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)), schema.names, None if most is None else int(most))
+        _check(schema.names)
+        most, mode = self.options.get("records"), self.options.get("mode", "failfast").lower()
+        if mode not in MODES:
+            raise ValueError(f"mode is one of {', '.join(MODES)}")
+        split = int(self.options.get("splitbytes", SPLIT_BYTES))
+        return FastqReader(self.options["path"], split, schema.names, None if most is None else int(most), mode, self.options.get("multiline", "false").lower() == "true")
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqDataSource)
 
 
-def read_fastq(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES, columns: tuple[str, ...] = COLUMNS, records: int | None = None) -> DataFrame:
-    """Reads of a FASTQ file, compressed or not, or of a folder of them; ``records``: only the first so many, by one task."""
+def read_fastq(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES, columns: tuple[str, ...] = COLUMNS, records: int | None = None, mode: str = "failfast", multiline: bool = False) -> DataFrame:
+    """Reads of a FASTQ file, compressed or not, or of a folder of them; ``records``: only the first so many, by one task; see the module for ``mode`` and ``multiline``."""
     if path in ("-", "/dev/stdin"):
         raise ValueError("reading from standard input is not supported")
     register(spark)
-    reader = spark.read.format("fastq").option("splitbytes", str(split_bytes)).option("columns", ",".join(columns))
+    reader = spark.read.format("fastq").option("splitbytes", str(split_bytes)).option("columns", ",".join(columns)).option("mode", mode).option("multiline", str(multiline).lower())
     return (reader if records is None else reader.option("records", str(records))).load(path)
 
 

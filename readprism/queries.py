@@ -157,6 +157,8 @@ _PBN = "select base, case when a + c + g + t + n = 0 then 0.0::double else n * 1
 _BIN = f"least(length(cast(n as varchar)) - 1, {len(B.LENGTH_LABELS) - 1})"
 _LABELS = "labels8 as (select * from (values " + ", ".join(f"({i}, '{x}', {m})" for i, (x, m) in enumerate(zip(B.LENGTH_LABELS, B.LENGTH_MIDS))) + ") v(bin, label, mid))"
 _BINS = f"bins as (select l.bin, label, coalesce(cnt, 0) as cnt, mid from labels8 l left join (select {_BIN} as bin, count(*) as cnt from reads group by 1) c on l.bin = c.bin)"
+_STATS = "st as (select count(*) as reads, sum(n) as bases, min(n) as min_len, max(n) as max_len from reads)"
+_HELD = "w as (select mid, sum(cnt * mid) over (order by bin desc) as held from bins)"
 _SHOWN = f"substr(seq, 1, {B.TRIM})"
 _SOURCE = "case when regexp_matches({0}, '^A{{20,}}$') then 'Poly-A' when regexp_matches({0}, '^T{{20,}}$') then 'Poly-T' when " + " or ".join(f"contains({{0}}, '{m}')" for m in B.SOURCE_MERS) + " then 'Adapter' else 'No Hit' end"
 _DUP = "select cast(l.level as int) as level, cast(coalesce(reads, 0) as bigint) as reads, coalesce(reads, 0)::double / (select sum(cnt) from seqs)::double as relative from range(1, 8) l(level) left join (select least(cnt, 7) as level, sum(cnt) as reads from seqs group by 1) d on d.level = l.level"
@@ -227,6 +229,86 @@ _PASSED = "select * from (values ('basic_stats', 'PASS'), ('per_seq_gc', 'PASS')
 _GREATEST = "greatest(a0, a1, a2, a3, a4)"
 
 
+def _pad(parts: list[str]) -> str:
+    return " || chr(9) || ".join(parts)
+
+
+def _text_of(format_: str, column: str) -> str:
+    return f"printf('%{format_}', {column})" if format_ else f"cast({column} as varchar)"
+
+
+def _line_rows(columns: list[str], order: str, source: str) -> str:
+    """(k, text) of a table: ``columns`` are names, or names with a number's format after a colon."""
+    texts = [_text_of(*reversed(c.split(":"))) if ":" in c else _text_of("", c) for c in columns]
+    return f"select row_number() over (order by {order}) as k, {_pad(texts)} as text from ({source}) t"
+
+
+def _fixed_rows(pairs: list[tuple[str, str]], source: str) -> str:
+    return " union all ".join(f"select {k} as k, '{name}' || chr(9) || {value} as text from ({source}) t" for k, (name, value) in enumerate(pairs))
+
+
+def _basic_rows() -> str:
+    length = "case when min_len = max_len then cast(min_len as varchar) else min_len || '-' || max_len end"
+    pairs = [
+        ("Filename", "'reads.fastq'"), ("File type", "'Conventional base calls'"), ("Encoding", "'Sanger / Illumina 1.9'"), ("Total Sequences", "total_sequences"),
+        ("Filtered Sequences", "'0'"), ("Sequence length", length), ("%GC", "gc_percent"),
+    ]
+    return _fixed_rows(pairs, _BASIC)
+
+
+def _lines_sql(mode: str, tables: list[tuple[str, list[tuple[str, str]]]], status: str, ctes: tuple[str, ...]) -> dict[str, str]:
+    """The SQL of both files' lines from (module, [(header, rows)...]); ``status`` gives (module, status)."""
+    parts = []
+    for i, (module, blocks) in enumerate(tables):
+        title = text_report.TITLES[module]
+        parts.append(f"select {i} as m, 0 as part, 0 as k, '>>{title}' || chr(9) || lower(status) as text from status where module = '{module}'")
+        for j, (header, rows) in enumerate(blocks):
+            shown = header.replace("\t", "' || chr(9) || '")
+            parts.append(f"select {i}, {2 * j + 1}, 0, '#{shown}'")
+            parts.append(f"select {i}, {2 * j + 2}, k, text from ({rows}) r")
+        parts.append(f"select {i}, 99, 0, '>>END_MODULE'")
+    numbered = "select cast(row_number() over (order by m, part, k) - 1 as int) as line, text from (" + " union all ".join(parts) + ") l"
+    order = ", ".join(f"({i}, '{m}', '{text_report.TITLES[m]}')" for i, (m, _) in enumerate(tables))
+    summary = f"select cast(i as int) as line, status || chr(9) || title || chr(9) || 'reads.fastq' as text from status join (values {order}) o(i, module, title) using (module)"
+    known = f"status as materialized ({status})"
+    return {f"fastqc_lines_{mode}": _with(*ctes, known, numbered), f"summary_lines_{mode}": _with(*ctes, known, summary)}
+
+
+def _all_lines(short_status: str, long_status: str, by_gc: str, seq_quality: str, enriched: str, nxx: str) -> dict[str, str]:
+    adapters_head = "\t".join(B.ADAPTERS)
+    shares = [f"a{i}:.1f" for i in range(len(B.ADAPTERS))]
+    quality_rows = ("Quality\tCount", _line_rows(["mean_q", "cnt"], "mean_q", seq_quality))
+    gc_rows = ("GC Content\tCount", _line_rows(["gc", "cnt"], "gc", by_gc))
+    level = "case when level = 7 then '7+' else cast(level as varchar) end"
+    power = "regexp_replace(replace(printf('%.2e', pow(10.0::double, -neg_log10_p)), 'e+00', 'e0'), 'e-0*', 'e-')"
+    short = [
+        ("basic_stats", [("Measure\tValue", _basic_rows())]),
+        ("per_base_quality", [("Base\tMean\tMedian\tLower Quartile\tUpper Quartile\t10th Percentile\t90th Percentile", _line_rows(["base", "mean:.1f", "median", "q25", "q75", "p10", "p90"], "base", _PBQ))]),
+        ("per_seq_quality", [quality_rows]),
+        ("per_base_content", [("Base\tG\tA\tT\tC", _line_rows(["base", "g:.1f", "a:.1f", "t:.1f", "c:.1f"], "base", _PBC))]),
+        ("per_seq_gc", [gc_rows]),
+        ("per_base_n", [("Base\tN-Count", _line_rows(["base", "n_percent:.1f"], "base", _PBN))]),
+        ("length_dist", [("Length\tCount", _line_rows(["length", "cnt"], "length", "select n as length, count(*) as cnt from reads group by n"))]),
+        ("duplication_levels", [("Duplication Level\tRelative Count", f"select level as k, {level} || chr(9) || printf('%.2f', relative) as text from ({_DUP}) d")]),
+        ("overrepresented", [("Sequence\tCount\tPercentage\tPossible Source", _line_rows(["sequence", "cnt", "percent:.2f", "source"], "cnt desc, sequence", _OVER.replace("{0}", "0.1")))]),
+        ("adapter_content", [("Position\t" + adapters_head, _line_rows(["position", *shares], "position", _ADP))]),
+        ("kmer_content", [("Sequence\tCount\tPValue\tObs/Exp Max\tMax Obs/Exp Position", _line_rows(["kmer", "cnt", "p", "obs_exp:.2f", "max_pos"], "obs_exp desc, kmer", f"select *, {power} as p from ({enriched}) e"))]),
+    ]
+    summary = _fixed_rows([("Min", "min_len"), ("Max", "max_len"), ("Mean", "printf('%.1f', mean)"), ("N50", "n50"), ("N90", "n90")], nxx)
+    long = [
+        ("basic_stats", [("Measure\tValue", _basic_rows())]),
+        ("length_dist", [("Metric\tValue", summary), ("Length\tCount", _line_rows(["label", "cnt"], "bin", "select * from bins"))]),
+        ("per_seq_quality", [quality_rows]),
+        ("per_seq_gc", [gc_rows]),
+        ("per_seq_n", [("N%\tCount", _line_rows(["n_percent", "cnt"], "n_percent", f"select {_N} as n_percent, count(*) as cnt from reads group by 1"))]),
+        ("adapter_content", [("Adapter\t" + adapters_head, _line_rows(["name", *shares], "name", f"select 'Any' as name, * from ({_ANY}) a"))]),
+    ]
+    return {
+        **_lines_sql("short", short, short_status, (_READS, _POS, _BASES, _MEANQ, _SEQS, _ADAPTERS, _KMERS, _ENRICHED)),
+        **_lines_sql("long", long, long_status, (_LREADS, _MEANQ, _LABELS, _BINS, _HELD, _STATS)),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     seq_quality = "select mean_q, count(*) as cnt from mq group by mean_q"
     by_gc = f"select {_GC} as gc, count(*) as cnt from reads group by 1"
@@ -252,8 +334,11 @@ def oracle_sql() -> dict[str, str]:
         ]
     )
     nxx = "coalesce(max(case when held >= floor(bases * {0}) then mid end), 0)"
+    lengths_of = f"select min_len, max_len, bases::double / reads::double as mean, cast({nxx.format(0.5)} as bigint) as n50, cast({nxx.format(0.9)} as bigint) as n90 from w, st group by min_len, max_len, bases, reads"
+    enriched = "select kmer, cast(kmer_cnt as bigint) as cnt, case when obs_exp <= 1 then 0.0::double else least(50.0::double, 2.0::double * (obs_exp - 1.0::double)) end as neg_log10_p, obs_exp, cast(bin * 10 + 5 as int) as max_pos from enriched where obs_exp >= 3 order by obs_exp desc, kmer limit 50"
     return {
         **_sample_sql(),
+        **_all_lines(short_status, long_status, by_gc, seq_quality, enriched, lengths_of),
         "basic_stats": _with(_READS, _BASIC),
         "basic_stats_long": _with(_LREADS, _BASIC),
         "per_base_quality": _with(_READS, _POS, _PBQ),
@@ -268,11 +353,7 @@ def oracle_sql() -> dict[str, str]:
         "n_flags_long": _with(_LREADS, _NFLAGS),
         "length_dist": _with(_READS, "select n as length, count(*) as cnt from reads group by n"),
         "length_bins_long": _with(_LREADS, _LABELS, _BINS, "select cast(bin as int) as bin, label, cnt from bins"),
-        "length_nxx_long": _with(
-            _LREADS, _LABELS, _BINS, "st as (select count(*) as reads, sum(n) as bases, min(n) as min_len, max(n) as max_len from reads)",
-            "w as (select mid, sum(cnt * mid) over (order by bin desc) as held from bins)",
-            f"select min_len, max_len, bases::double / reads::double as mean, cast({nxx.format(0.5)} as bigint) as n50, cast({nxx.format(0.9)} as bigint) as n90 from w, st group by min_len, max_len, bases, reads",
-        ),
+        "length_nxx_long": _with(_LREADS, _LABELS, _BINS, _STATS, _HELD, lengths_of),
         "n50_exact_long": _with(_LREADS, "h as (select n, sum(n) as bases from reads group by n)", "w as (select n, sum(bases) over (order by n desc) as held, sum(bases) over () as everything from h)", "select max(n) as n_exact from w where held >= everything * 0.5"),
         "duplication_levels": _with(_READS, _SEQS, _DUP),
         "overrepresented": _with(_READS, _SEQS, _OVER.replace("{0}", "0.1")),
@@ -280,10 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "adapter_by_position": _with(_READS, _ADAPTERS, _ADP),
         "adapter_any_long": _with(_LREADS, _ANY),
         "kmer_counts": _with(_READS, _KMERS, "select kmer, bin, cnt from kc"),
-        "kmer_enriched": _with(
-            _READS, _KMERS, _ENRICHED,
-            "select kmer, cast(kmer_cnt as bigint) as cnt, case when obs_exp <= 1 then 0.0::double else least(50.0::double, 2.0::double * (obs_exp - 1.0::double)) end as neg_log10_p, obs_exp, cast(bin * 10 + 5 as int) as max_pos from enriched where obs_exp >= 3 order by obs_exp desc, kmer limit 50",
-        ),
+        "kmer_enriched": _with(_READS, _KMERS, _ENRICHED, enriched),
         "phred_detect": _with(
             _READS, "s as (select min(list_min(list_transform(string_split(qual, ''), lambda c: ascii(c)))) as lo, max(list_max(list_transform(string_split(qual, ''), lambda c: ascii(c)))) as hi from reads)",
             "o as (select *, case when lo < 59 then 33 when lo >= 64 then 64 when hi <= 74 then 33 else 64 end as offset_ from s)",

@@ -16,12 +16,12 @@ from readprism.sinks.text_report import data_text, summary_text
 _EPOCH = (1980, 1, 1, 0, 0, 0)
 
 
-def zip_bytes(files: Mapping[str, str]) -> bytes:
+def zip_bytes(files: Mapping[str, str | bytes]) -> bytes:
     """A deflated zip with fixed times, so that equal content gives equal bytes."""
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in files.items():
-            z.writestr(zipfile.ZipInfo(name, _EPOCH), text.encode(), zipfile.ZIP_DEFLATED)
+            z.writestr(zipfile.ZipInfo(name, _EPOCH), text.encode() if isinstance(text, str) else text, zipfile.ZIP_DEFLATED)
     return buffer.getvalue()
 
 

@@ -90,12 +90,12 @@ def bars(names: Sequence[str], values: Sequence[float], x_title: str, y_title: s
     return c.svg([(i + 0.5, n) for i, n in enumerate(names) if i % step == 0])
 
 
-def lines(series: dict[str, Sequence[tuple[float, float]]], x_title: str, y_title: str, y: tuple[float, float] | None = None, bands: Sequence[tuple[float, float, str]] = ()) -> str:
-    """Lines over a common x axis; without ``y`` the range is the data's with a fifth of padding, within 0 to 100."""
+def lines(series: dict[str, Sequence[tuple[float, float]]], x_title: str, y_title: str, y: tuple[float, float] | None = None, bands: Sequence[tuple[float, float, str]] = (), padding: float = 1) -> str:
+    """Lines over a common x axis; without ``y`` the range is the data's with a fifth of it, and at least ``padding``, on both sides, within 0 to 100."""
     points = [p for s in series.values() for p in s]
     if y is None:
         lo, hi = min([p[1] for p in points], default=0), max([p[1] for p in points], default=1)
-        pad = max((hi - lo) / 5, 1)
+        pad = max((hi - lo) / 5, padding)
         y = (max(0, lo - pad), min(100, hi + pad))
     c = Chart((min([p[0] for p in points], default=0), max([p[0] for p in points], default=1)), y, x_title, y_title)
     for lo, hi, fill in bands:

@@ -18,7 +18,7 @@ def figure(report: Report, module: str) -> str | None:
     if module == "per_seq_quality":
         return _histogram(rows["per_seq_quality"], "mean_q", "Mean quality")
     if module == "per_base_content":
-        return C.lines({x.upper(): [(r.base, r[x]) for r in rows["per_base_content"]] for x in "gatc"}, "Position", "Percent")
+        return C.lines({x.upper(): [(r.base, r[x]) for r in rows["per_base_content"]] for x in "gatc"}, "Position", "Percent", padding=2)
     if module == "per_seq_gc":
         return _histogram(rows["per_seq_gc"], "gc", "GC percent", ((40, 60, C.GOOD),))
     if module == "per_base_n":

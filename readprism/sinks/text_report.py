@@ -9,6 +9,7 @@ from pyspark.sql import Row
 from readprism.functions.bases import ADAPTERS
 from readprism.plans.report import Report
 
+#: Titles of the modules, and column heads below, as readers of these files expect them.
 TITLES = {
     "basic_stats": "Basic Statistics",
     "per_base_quality": "Per base sequence quality",

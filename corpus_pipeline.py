@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readprism.llm import decontaminate, mixture, neardup, ordinal, surrogates
-from readprism.llm.shared import free_name, materialize, table
+from readprism.llm.shared import Scratch, free_name, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's table goes when the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        written = Scratch(spark)
+        docs = written.write(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readprism.llm import words as W
-from readprism.llm.shared import materialize
+from readprism.llm.shared import Scratch, materialize
 
 _U = np.uint64
 SEEDS = ("111111", "1111011", "11101011", "11010111", "11111001", "100111011", "1100100111", "1110001011", "1101101001", "1010100111")
@@ -254,17 +254,18 @@ def overlap(doc: np.ndarray, item: np.ndarray, rule: Overlap) -> tuple[int, int,
     return best and (-best[2], -best[3], -best[1], best[0])
 
 
-def contaminations(docs: DataFrame, items: DataFrame, rule: Overlap | None = None) -> DataFrame:
+def contaminations(docs: DataFrame, items: DataFrame, rule: Overlap | None = None, *, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, row_key, item_id, doc_start, item_start, n_words, n_equal, item_words): each document's best overlap with each item.
 
-    Only overlaps that count are returned. Positions are in words.
+    Only overlaps that count are returned. Positions are in words. The result reads
+    tables in ``scratch``, which the caller may drop once the result is written.
     """
-    rule = rule or Overlap()
-    tests = materialize(item_seeds(items).withColumn("item", F.monotonically_increasing_id()), "test-seeds")
+    rule, scratch = rule or Overlap(), scratch or Scratch(docs.sparkSession)
+    tests = scratch.write(item_seeds(items).withColumn("item", F.monotonically_increasing_id()), "test-seeds")
     sizes = F.size("words")
     longest, short = tests.agg(F.max(sizes), F.sort_array(F.collect_set(F.when(sizes < SHORTEST, sizes)))).first()
     found = document_regions(docs, seed_filter(tests), longest or 0, tuple(short))
-    regions = materialize(found.withColumn("region", F.monotonically_increasing_id()), "regions")
+    regions = scratch.write(found.withColumn("region", F.monotonically_increasing_id()), "regions")
     pairs = regions.select("region", F.explode("seeds").alias("seed")).join(tests.select("item", F.explode("seeds").alias("seed")), "seed").select("region", "item").distinct()
     full = pairs.join(regions.drop("seeds"), "region").join(tests.select("item", "item_id", F.col("words").alias("item_words")), "item")
 
@@ -288,7 +289,9 @@ def contaminations(docs: DataFrame, items: DataFrame, rule: Overlap | None = Non
 
 def decontaminate(docs: DataFrame, items: DataFrame, rule: Overlap | None = None) -> DataFrame:
     """``docs`` without the contaminated ones. Only ids of those are shuffled or, if few, broadcast."""
-    bad = materialize(contaminations(docs, items, rule).select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct(), "contaminated")
+    scratch = Scratch(docs.sparkSession)
+    bad = materialize(contaminations(docs, items, rule, scratch=scratch).select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct(), "contaminated")
+    scratch.drop()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
     same = F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("bad_key"))
     return rows.join(bad, same, "left_anti").select("row.*")

@@ -98,3 +98,51 @@ def test_features_are_per_document():
     assert list(n) == [3, 0, 4, 2]
     alone = O.features(texts.slice(2, 1))[0]
     assert (slots[bounds[2] : bounds[3]] == alone).all()
+
+
+def test_fit_is_the_best_of_its_likelihood():
+    """Against the likelihood written out plainly: no step from the fitted weights and thresholds makes it better."""
+    rng = np.random.default_rng(4)
+    n, true = 900, np.array([1.5, -1.0, 0.7, 0.0])
+    has = rng.random((n, 4)) < 0.5
+    latent = has @ true + rng.logistic(size=n)
+    grades = (latent > -0.5).astype(int) + (latent > 1.2)
+    slots, bounds = np.concatenate([np.flatnonzero(h) * 1000 for h in has]), np.concatenate([[0], np.cumsum(has.sum(axis=1))])
+    model = O.fit(slots, bounds, grades, steps=3000, rate=0.02, l1=0.0)
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for h, g in zip(has, grades):
+            s = sum(w for w, x in zip(weights, h) if x)
+            below = [0.0, *(1 / (1 + np.exp(s - t)) for t in thresholds), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / n
+
+    weights, thresholds = model.weights[[0, 1000, 2000, 3000]], model.thresholds
+    best = loss(weights, thresholds)
+    for step in (0.02, 0.1, 0.5):
+        for i in range(6):
+            for sign in (-1, 1):
+                moved = np.concatenate([weights, thresholds])
+                moved[i] += sign * step
+                assert loss(moved[:4], moved[4:]) > best - 1e-7, (i, sign, step)
+    assert np.abs(weights - true).max() < 0.5 and loss(true, [-0.5, 1.2]) >= best
+
+
+def test_query_against_one_document_at_a_time(spark):
+    """The query's grades and tails, with sums and probabilities in plain Python."""
+    from readprism.llm import queries as Q
+    from readprism.llm.shared import table
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = O.train(docs, O.graded(table(spark, sf, "labels")))
+    got = {r.doc_id: r for r in Q.op2_ordinal_quality(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and model.constant is None
+    for r in rows:
+        slots, _, words = O.features(pa.array([r.text], pa.string()))
+        score = sum(float(model.weights[s]) for s in slots.tolist())
+        tails = [1 / (1 + float(np.exp(t - score))) if words[0] else 0.0 for t in model.thresholds]
+        assert got[r.doc_id].tail == pytest.approx(tails[-1], abs=1e-6) and got[r.doc_id].expected_grade == pytest.approx(sum(tails), abs=1e-6)
+        assert got[r.doc_id].kept == (got[r.doc_id].tail >= 0.5)

@@ -2,9 +2,11 @@
 
 Spark deals out the reads; each task folds its Arrow batches into counts with
 NumPy, in time linear in the bases, and returns one row for each value it has
-seen. Those partial counts are summed after one small shuffle. Of a task, at most
-about ``HELD`` values are kept at a time; beyond that they are passed on early. A
-batch is worked through in pieces of about ``PIECE`` bases or one read.
+seen. Those partial counts are summed after one small shuffle. Keys below ``HELD``
+are counted in one array for each kind; of other keys, a task keeps at most about
+``HELD`` of a kind at a time, and beyond that they are passed on early. A
+batch is worked through in pieces of about ``PIECE`` bases or one read. So a task's
+memory depends on neither the number of reads nor that of its batches.
 
 Reads are ASCII. A position without a quality (a short or null quality text)
 counts as quality 0; the mean quality of a null text is null.
@@ -26,8 +28,8 @@ from readprism.functions import bases as B
 LETTERS = "ACGTN*"
 K = 7
 BINS = 10
-PIECE = 1 << 20
-HELD = 1 << 20
+PIECE = 1 << 18
+HELD = 1 << 18
 KINDS = ("position", "quality", "length", "adapter", "kmer")
 #: What the modules of short and of long reads need.
 SHORT_KINDS, LONG_KINDS = (*KINDS, "gc", "strong"), ("quality", "length", "gc", "strong", "n", "holds")
@@ -35,7 +37,9 @@ _SCHEMA = "kind string, a int, b int, c int, cnt long"
 _CLASS = np.full(256, LETTERS.index("*"), np.int64)
 _CLASS[np.frombuffer(b"ACGTN", np.uint8)] = np.arange(5)
 #: Values of b and c by kind, that a, b and c make one key.
-_RADIX = {"position": (len(LETTERS), B.MAX_Q + 1), **dict.fromkeys(("quality", "length", "gc", "strong", "n", "holds"), (1, 1)), "adapter": (len(B.ADAPTERS), 1), "kmer": (BINS, 1)}
+_RADIX = {"position": (len(LETTERS), B.MAX_Q + 1), **dict.fromkeys(("quality", "length", "gc", "strong", "n", "holds"), (1, 1)), "base": (len(LETTERS), 1), "adapter": (len(B.ADAPTERS), 1), "kmer": (BINS, 1)}
+#: Kinds that look at qualities.
+_OF_QUALITY = {"position", "quality"}
 
 
 class _Counts:
@@ -43,10 +47,19 @@ class _Counts:
 
     def __init__(self, kind: str):
         self.kind, self.parts, self.size = kind, [], 0
+        self.small = np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray) -> None:
-        if not len(keys):
-            return
+        if len(keys) and (keys.min() < 0 or keys.max() >= HELD):
+            small = (keys >= 0) & (keys < HELD)
+            self._add_others(keys[~small])
+            keys = keys[small]
+        counts = np.bincount(keys)
+        if len(counts) > len(self.small):
+            self.small = np.concatenate([self.small, np.zeros(len(counts) - len(self.small), np.int64)])
+        self.small[: len(counts)] += counts
+
+    def _add_others(self, keys: np.ndarray) -> None:
         top = int(keys.max()) + 1
         if keys.min() >= 0 and top <= 8 * len(keys):
             counts = np.bincount(keys, minlength=top)
@@ -64,11 +77,13 @@ class _Counts:
         self.parts, self.size = [(used, np.bincount(place, np.concatenate([p[1] for p in self.parts])).astype(np.int64))], len(used)
 
     def rows(self) -> pa.RecordBatch:
+        used = np.flatnonzero(self.small)
+        self.parts.append((used, self.small[used]))
         self.fold()
         (used, counts), (nb, nc) = self.parts[0], _RADIX[self.kind]
         columns = [used // (nb * nc), used // nc % nb, used % nc]
         known = pa.array(columns[0].astype(np.int32), mask=used < 0)
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.small = [], 0, np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array([self.kind] * len(used)), known, *[pa.array(c.astype(np.int32)) for c in columns[1:]], pa.array(counts)], ["kind", "a", "b", "c", "cnt"])
 
 
@@ -128,7 +143,7 @@ class Folder:
 
     def __init__(self, offset: int, kinds: tuple[str, ...]):
         self.offset, self.pattern = offset, re.compile("|".join(f"({a})" for a in B.ADAPTERS))
-        self.by_base = bool({"position", "kmer", "gc", "strong", "n"} & set(kinds))
+        self.by_base = bool({"position", "base", "kmer", "gc", "strong", "n"} & set(kinds))
         self.held = {kind: _Counts(kind) for kind in kinds}
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -143,6 +158,8 @@ class Folder:
             if "position" in held:
                 quality = _qualities(piece, offsets, place, self.offset)
                 held["position"].add(((place + 1) * len(LETTERS) + code) * (B.MAX_Q + 1) + quality)
+            if "base" in held:
+                held["base"].add((place + 1) * len(LETTERS) + code)
             if "kmer" in held:
                 held["kmer"].add(_kmer_keys(code, place, np.repeat(sizes, sizes)))
             if "quality" in held:
@@ -166,7 +183,7 @@ class Folder:
             yield from (c.rows() for c in held.values() if c.size > HELD)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        yield from (c.rows() for c in self.held.values() if c.size)
+        yield from (c.rows() for c in self.held.values() if c.size or len(c.small))
 
 
 def _of_each(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -181,23 +198,28 @@ def _percents(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 def fold(batches: Iterable[pa.RecordBatch], offset: int, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of one task's batches (seq, qual)."""
+    """Partial counts of one task's batches (seq, and qual if the kinds need it)."""
     folder = Folder(offset, kinds)
     for batch in batches:
         yield from folder.add(batch)
     yield from folder.rest()
 
 
+def columns(kinds: Iterable[str]) -> list[str]:
+    """What a pass for ``kinds`` reads of each read."""
+    return ["seq", "qual"] if _OF_QUALITY & set(kinds) else ["seq"]
+
+
 def tallies(reads: DataFrame, offset: int = 33, kinds: Iterable[str] = KINDS) -> DataFrame:
     """(kind, a, b, c, cnt) over prepared reads (seq, qual).
 
-    position: a base number, b letter (of ``LETTERS``), c quality; quality: a mean
+    position: a base number, b letter (of ``LETTERS``), c quality; base: the same without qualities; quality: a mean
     quality of a read; length: a; gc, n: a rounded percent of a read; strong: the number
     of G and C of a read; holds: an adapter that a read holds; adapter: a start, b adapter (leftmost first,
     without overlaps); kmer: a word in base 4, b tenth of the read.
     """
     kinds = tuple(kinds)
-    return reads.select("seq", "qual").mapInArrow(lambda batches: fold(batches, offset, kinds), _SCHEMA).groupBy("kind", "a", "b", "c").agg(F.sum("cnt").alias("cnt"))
+    return reads.select(*columns(kinds)).mapInArrow(lambda batches: fold(batches, offset, kinds), _SCHEMA).groupBy("kind", "a", "b", "c").agg(F.sum("cnt").alias("cnt"))
 
 
 def of_kind(table: DataFrame, kind: str) -> DataFrame:

@@ -27,10 +27,19 @@ LENGTH_MIDS = (5, 55, 550, 5_500, 55_000, 550_000, 5_500_000, 10_000_000)
 TRIM = 150
 
 
+def nonempty(reads: DataFrame) -> DataFrame:
+    """Reads that have bases.
+
+    The projection below the condition holds a random number, so Catalyst doesn't push a copy
+    of the condition below it: the expression of a derived ``seq`` would be worked out twice.
+    """
+    return reads.withColumn("_drawn", F.rand(0)).where((F.length("seq") > 0) & (F.col("_drawn") < 2)).drop("_drawn")
+
+
 def prepared(reads: DataFrame) -> DataFrame:
     """Non-empty reads as (seq in upper case, qual, n); of numbered reads also ``read_idx`` and ``written``, the bases as they stand."""
     order = ["read_idx", F.col("seq").alias("written")] if "read_idx" in reads.columns else []
-    return reads.where(F.length("seq") > 0).select(*order, F.upper("seq").alias("seq"), "qual", F.length("seq").alias("n"))
+    return nonempty(reads).select(*order, F.upper("seq").alias("seq"), "qual", F.length("seq").alias("n"))
 
 
 def count_of(seq: Column, letters: str) -> Column:

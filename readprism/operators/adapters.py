@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprism.functions import bases as B
@@ -16,15 +14,22 @@ def adapter_counts(reads: DataFrame) -> DataFrame:
 
 
 def adapter_by_position(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(position, a0..a4): percent of reads in which the adapter starts there; a row for each position. From tallies."""
-    totals = T.of_kind(table, "length").groupBy(*by).agg(F.sum("cnt").alias("total"), F.max("a").alias("longest"))
-    count = lambda i: F.sum(F.when(F.col("b") == i, F.col("cnt")).otherwise(F.lit(0).cast("long"))).alias(f"c{i}")
-    counts = T.of_kind(table, "adapter").groupBy(*by, F.col("a").alias("position")).agg(*[count(i) for i in range(len(B.ADAPTERS))])
-    positions = totals.where("longest is not null").select(*by, "total", F.explode(F.sequence(F.lit(1), F.col("longest"))).alias("position"))
-    share = lambda i: (F.coalesce(f"c{i}", F.lit(0)) * F.lit(100.0) / F.col("total")).alias(f"a{i}")
-    same = reduce(Column.__and__, [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*by, "position")])
-    both = positions.alias("p").join(counts.alias("c"), same, "left")
-    return both.select(*[f"p.{c}" for c in (*by, "position")], *[share(i) for i in range(len(B.ADAPTERS))])
+    """(position, a0..a4): percent of reads in which the adapter starts there; a row for each position. From tallies.
+
+    The tallies are used once, so that one pass makes them. A read's length counts at
+    position 1; positions without a start are filled in up to the next that has one.
+    """
+    hits = F.col("kind") == "adapter"
+    count = lambda i: F.sum(F.when(hits & (F.col("b") == i), F.col("cnt")).otherwise(F.lit(0).cast("long"))).alias(f"c{i}")
+    starts = table.where(F.col("kind").isin("adapter", "length")).groupBy(*by, F.when(hits, F.col("a")).otherwise(F.lit(1)).alias("start")).agg(
+        *[count(i) for i in range(len(B.ADAPTERS))], F.sum(F.when(~hits, F.col("cnt"))).alias("total"), F.max(F.when(~hits, F.col("a"))).alias("longest")
+    )
+    here = Window.partitionBy(*by)
+    whole = [F.max(c).over(here).alias(c) for c in ("total", "longest")]
+    filled = starts.select(*by, "start", *[f"c{i}" for i in range(len(B.ADAPTERS))], *whole, F.lead("start").over(here.orderBy("start")).alias("next"))
+    positions = filled.select("*", F.explode(F.sequence("start", F.coalesce("next", F.col("longest") + 1) - 1)).alias("position"))
+    share = lambda i: (F.when(F.col("position") == F.col("start"), F.col(f"c{i}")).otherwise(F.lit(0)) * F.lit(100.0) / F.col("total")).alias(f"a{i}")
+    return positions.select(*by, "position", *[share(i) for i in range(len(B.ADAPTERS))])
 
 
 def adapter_any(reads: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,31 @@ def test_long_reads_have_a_quality_for_each_letter(spark, tmp_path):
     spark.createDataFrame([(k, "acgt x" * (n // 4) + "a" * (n % 4)) for k, n in sizes.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = relations.long_reads(spark, str(tmp_path)).select("rid", F.length("seq"), F.length("qual")).collect()
     assert {tuple(r) for r in got} == {(f"d{k}", n, n) for k, n in sizes.items()}
+
+
+def test_counts_kept_do_not_grow_with_the_reads():
+    rng = np.random.default_rng(7)
+    held = T.Folder(33, ("position", "kmer", "gc"))
+    for _ in range(30):
+        seqs = ["".join(s) for s in rng.choice(list("ACGT"), (300, 40))]
+        assert not list(held.add(pa.RecordBatch.from_pydict({"seq": seqs, "qual": ["I" * 40] * 300})))
+    assert all(c.size == 0 and len(c.parts) == 0 and len(c.small) <= 4**T.K * T.BINS for c in held.held.values())
+    assert sum(r["cnt"] for part in held.rest() for r in part.to_pylist()) == 30 * 300 * (40 + 34 + 1)
+
+
+@pytest.mark.parametrize("name", ["adapter_by_position", "samples_adapter_by_position", "samples_per_seq_gc", "samples_per_base_quality", "per_seq_gc"])
+def test_derived_reads_are_made_once(spark, name):
+    from readprism import queries
+
+    found = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("CASE WHEN ((l_partkey") == 1 and plan.count("MapInArrow") <= 1
+
+
+def test_positions_without_an_adapter_are_filled(spark):
+    a = B.ADAPTERS[3]
+    rows = [("ACG" + a + "AC", "I"), (a, "I"), ("A" * 40, "I"), ("ACG" + a, "I")]
+    ready = B.prepared(spark.createDataFrame(rows, "seq string, qual string"))
+    got = sorted(tuple(r) for r in adapters.adapter_by_position(adapters.adapter_counts(ready)).collect())
+    assert got == [(p, 0.0, 0.0, 0.0, {1: 25.0, 4: 50.0}.get(p, 0.0), 0.0) for p in range(1, 41)]

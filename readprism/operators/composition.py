@@ -29,8 +29,18 @@ def positions_of(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return T.of_kind(table, "position").select(*by, F.col("a").alias("base"), F.substr(F.lit(T.LETTERS), F.col("b") + 1, F.lit(1)).alias("b"), F.col("c").alias("q"), "cnt")
 
 
+def letter_counts(reads: DataFrame) -> DataFrame:
+    """(base, b, cnt): like ``position_counts`` without qualities, which then aren't read."""
+    return letters_of(T.tallies(reads, kinds=["base"]))
+
+
+def letters_of(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Letter counts from tallies; ``by``: of each value of these columns."""
+    return T.of_kind(table, "base").select(*by, F.col("a").alias("base"), F.substr(F.lit(T.LETTERS), F.col("b") + 1, F.lit(1)).alias("b"), "cnt")
+
+
 def base_counts(positions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(base, a, c, g, t, n) from position counts."""
+    """(base, a, c, g, t, n) from position or letter counts."""
     sums = [F.sum(F.when(F.col("b") == x, F.col("cnt")).otherwise(F.lit(0).cast("long"))).alias(x.lower()) for x in "ACGTN"]
     return positions.groupBy(*by, "base").agg(*sums)
 

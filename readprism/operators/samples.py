@@ -29,6 +29,11 @@ BY = ("sample",)
 KINDS = (*T.KINDS, "gc", "strong", "n")
 #: Samples of which a task keeps counts at a time.
 OPEN = 64
+#: Kinds of which a module's table is made, for runs of that module alone.
+MODULE_KINDS = {
+    "basic_stats": ("length", "strong"), "per_base_quality": ("position",), "per_seq_quality": ("quality",), "per_base_content": ("base",), "per_seq_gc": ("gc",), "per_base_n": ("base",),
+    "per_seq_n": ("n",), "length_dist": ("length",), "duplication_levels": (), "overrepresented": (), "adapter_by_position": ("adapter", "length"),
+}
 _TALLIES = "sample string, kind string, a int, b int, c int, cnt long"
 _SEQUENCES = "sample string, seq string, cnt long"
 _KEYS = ("kind", "a", "b", "c")
@@ -72,8 +77,8 @@ def _folded(batches: Iterator[pa.RecordBatch], offset: int, kinds: tuple[str, ..
 
 def accumulate(reads: DataFrame, offset: int = 33, kinds: tuple[str, ...] = KINDS) -> State:
     """The state of reads (sample, seq, qual); empty reads don't count."""
-    ready = reads.where(F.length("seq") > 0).select(F.col("sample").cast("string").alias("sample"), F.upper("seq").alias("seq"), "qual")
-    tallies = ready.mapInArrow(lambda batches: _folded(batches, offset, kinds), _TALLIES).groupBy(*BY, *_KEYS).agg(F.sum("cnt").alias("cnt"))
+    ready = B.nonempty(reads).select(F.col("sample").cast("string").alias("sample"), F.upper("seq").alias("seq"), "qual")
+    tallies = ready.select(*BY, *T.columns(kinds)).mapInArrow(lambda batches: _folded(batches, offset, kinds), _TALLIES).groupBy(*BY, *_KEYS).agg(F.sum("cnt").alias("cnt"))
     return State(tallies, ready.groupBy(*BY, "seq").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -128,3 +133,12 @@ def module_tables(state: State) -> dict[str, DataFrame]:
         "per_seq_n": histogram(state, "n", "n_percent"), "length_dist": histogram(state, "length", "length"), "duplication_levels": duplication_levels(state), "overrepresented": overrepresented(state),
         "adapter_by_position": adapters.adapter_by_position(state.tallies, BY),
     }
+
+
+def module_table(reads: DataFrame, module: str, offset: int = 33) -> DataFrame:
+    """One of ``module_tables`` of reads (sample, seq, qual), from a pass that counts and reads only what that module needs."""
+    state = accumulate(reads, offset, MODULE_KINDS[module])
+    if MODULE_KINDS[module] == ("base",):
+        of = {"per_base_content": composition.per_base_content, "per_base_n": composition.per_base_n}[module]
+        return of(composition.letters_of(state.tallies, BY), BY)
+    return module_tables(state)[module]

@@ -95,3 +95,13 @@ def test_tables_of_one_pass_are_those_of_the_reads(spark):
             (composition.flags_of(counted), composition.n_flags(reads)), (adapters.any_of(counted), adapters.adapter_any(reads)), (lengths.bins_of(hist), lengths.length_bins(reads)), (lengths.summary_of(hist), lengths.length_summary(reads)),
         ]:
             assert sorted(a.columns) == sorted(b.columns) and rows_of(a) == rows_of(b)
+
+
+def test_a_module_alone_is_the_same_and_counts_no_more_than_it_needs(spark):
+    reads = frame(spark, drawn(5, 300))
+    tables = samples.module_tables(samples.accumulate(reads))
+    assert set(samples.MODULE_KINDS) == set(tables)
+    for name, table in tables.items():
+        assert rows_of(samples.module_table(reads, name)) == rows_of(table), name
+    plan = samples.module_table(reads, "per_base_content")._jdf.queryExecution().optimizedPlan().toString()
+    assert "qual" not in plan.split("MapInArrow")[1].split("LogicalRDD")[0]

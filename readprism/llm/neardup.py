@@ -17,14 +17,17 @@ What is left is confirmed exactly, on the full sets, in cells of one text and up
 to ``MEMBERS`` others that are held against it.
 
 Candidates are not all pairs of a bucket. First every member is held against its
-bucket's head (the least class number), of its heads first against the one with
+bucket's head, of its heads first against the one with
 the nearest sketch; then against the others, if that left them in different
 components. Only buckets that still hold several components go on: in them, every
 pair of different components of which one is not the bucket's main component is
 compared by size and sketch, in cells of two blocks of ``BLOCK`` rows. Rows with a
 partner that passes come together once more, with their texts, and a cell
 confirms pairs until it knows its rows to be connected. No bucket has to fit in
-one task, and no step returns more rows than it has. Pairs within a component
+one task, and no step returns more rows than it has. The head is the member whose
+buckets are the largest taken together (of equals, that of the least class number): copies
+that were changed in places of their own share most with what they were made from, so
+they are joined through it, though few of them are linked with each other. Pairs within a component
 need no further link: no component is lost by leaving them out. A bucket of n
 classes in n components makes (n / BLOCK)^2 cells of sketches; texts go only
 where sketches are alike.
@@ -369,8 +372,11 @@ def _rooted(docs: DataFrame, p: NearDup) -> DataFrame:
     # The numbers hold for this table, as it is written once and read from then on.
     nodes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("id", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of"), "head")
-    buckets, seen = scratch.measured(keyed.join(heads, apart(F.col("key")) == apart(F.col("of"))).drop("of"), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of"), "n")
+    shared = scratch.write(keyed.join(sizes, apart(F.col("key")) == apart(F.col("of"))).drop("of"), "shared")
+    central = shared.join(shared.groupBy("id").agg(F.sum("n").alias("near")), "id")
+    heads = central.groupBy("key").agg(F.min(F.struct(-F.col("near"), "id"))["id"].alias("head")).withColumnRenamed("key", "of")
+    buckets, seen = scratch.measured(shared.drop("n").join(heads, apart(F.col("key")) == apart(F.col("of"))).drop("of"), "buckets")
     roots = None
     if seen.n:
         stars = _close(buckets.where("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")), nodes, p)

@@ -110,3 +110,18 @@ def test_components(spark):
     edges = [(2, 1), (3, 2), (4, 3), (26, 25), (24, 24)] + [(8, i) for i in range(100, 150)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
     assert all(got[n] == 1 for n in (2, 3, 4)) and got[26] == 25 and all(got[i] == 8 for i in range(100, 150)) and not {24, 8, 1} & set(got)
+
+
+def test_copies_changed_in_places_of_their_own_are_joined_through_what_they_share(spark, monkeypatch):
+    """No two copies are linked, each is with the original: no pairs are left for the cells of all pairs."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(300, " ".join(words))]
+    for i in range(60):
+        own = list(words)
+        for j in range(4):
+            own[(3 + i * 3 + j * 50) % 200] = f"x{i}y{j}"
+        rows.append((i, " ".join(own)))
+    seen, rest = [], N._rest_links
+    monkeypatch.setattr(N, "_rest_links", lambda buckets, roots, *more: seen.append((roots.count(), roots.select("root").distinct().count())) or rest(buckets, roots, *more))
+    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), N.NearDup(shingle=3, percent=85, bands=16)).collect()
+    assert {r["component_id"] for r in found} == {0} and seen == [(60, 1)]

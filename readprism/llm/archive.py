@@ -45,6 +45,8 @@ from readprism.llm.shared import scratch_path
 
 MIN_REVISIT_BYTES = 1000
 FILE_BYTES = 16 << 20
+#: Hadoop's name of the gzip level: HTML takes two fifths of the default level's time and 4 % more room.
+GZIP_LEVEL = "FOUR"
 BROADCAST_BYTES = 32 << 20
 ARC_FIELDS = {
     b"1": b"URL IP-address Archive-date Content-type Archive-length",
@@ -135,26 +137,17 @@ def write_arc(pages: DataFrame, path: str, *, version: int = 1, file_records: in
     tail = "200 - - 0 legacy.arc " if version == 2 else ""
     intro = f"filedesc://legacy.arc 0.0.0.0 {captured} text/plain {tail}{len(body)}\n{body}"
     payload = F.coalesce(F.col("payload"), F.lit(""))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % file_records == 0  # of its task's rows, so of its file's
     key = F.coalesce(F.concat(F.lit(f"{ID_HEADER}: "), F.col("id").cast("string"), F.lit("\r\n")), F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), key, F.lit("Content-Length: "), _bytes(payload).cast("string"), F.lit("\r\n\r\n"))
     size = _bytes(head) + _bytes(payload)
     line = F.concat(_safe_url(F.col("url")), F.lit(f" {ip} {captured} text/html {tail}"), size.cast("string"), F.lit("\n"))
-    record = pages.select(F.concat(line, head, payload).alias("record"))
+    record = pages.select(F.concat(F.when(first, F.lit(intro + "\n")).otherwise(F.lit("")), line, head, payload).alias("record"))
+    _write_text(record, path, "\n", file_records)
 
-    def with_intro(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = 0
-        for batch in batches:
-            at = 0
-            while at < len(batch):
-                if done % file_records == 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([intro])], ["record"])
-                part = batch.slice(at, file_records - done % file_records)
-                yield part
-                at += len(part)
-                done += len(part)
 
-    out = record.mapInArrow(with_intro, "record string").write
-    out.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", file_records + 1).text(path)
+def _write_text(records: DataFrame, path: str, end: str, file_records: int) -> None:
+    records.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", GZIP_LEVEL).option("maxRecordsPerFile", file_records).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -169,9 +162,19 @@ def _http(block: bytes) -> tuple[bytes, bytes]:
     return (block, b"") if end < 0 else (block[: end + 4], block[end + 4 :])
 
 
-def _field(head: bytes, name: str) -> str | None:
-    found = re.search(rb"(?im)^" + re.escape(name.encode()) + rb":[ \t]*([^\r\n]*)", head)
-    return found[1].decode() if found else None
+def _fields(head: bytes) -> dict[bytes, bytes]:
+    """The fields of a header by lower-case name, the first of each."""
+    found: dict[bytes, bytes] = {}
+    for line in head.split(b"\n"):
+        name, colon, value = line.partition(b":")
+        if colon:
+            found.setdefault(name.lower(), value.lstrip(b" \t").partition(b"\r")[0])
+    return found
+
+
+def _field(fields: dict[bytes, bytes], name: str) -> str | None:
+    found = fields.get(name.lower().encode())
+    return None if found is None else found.decode()
 
 
 def _number(text: str | None) -> int | None:
@@ -189,7 +192,7 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 8 << 20) -> I
     size = 0
     for row in rows:
         held.append(row)
-        size += 200 + sum(len(v) for v in row.values() if isinstance(v, bytes))
+        size += 200 + sum(len(v) for v in row.values() if type(v) is bytes)
         if size >= limit:
             yield pa.RecordBatch.from_pylist(held, schema)
             held, size = [], 0
@@ -197,18 +200,22 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 8 << 20) -> I
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The captures of files (path, content), as rows of ``_CAPTURES``."""
+    for batch in batches:
+        for name, content in zip(batch.column("path"), batch.column("content")):
+            path = name.as_py()
+            for r in arc_records(inflate(content.as_py()), path):
+                head, payload = _http(r.block)
+                yield {"id": _number(_field(_fields(head), ID_HEADER)), "url": r.url, "date": r.date, "mime": r.mime, "ip": r.ip, "place": f"{path.rpartition('/')[2]}:{r.at:012d}", "head": head, "payload": payload, "payload_bytes": len(payload), "digest": hashlib.sha1(payload).digest()}
+
+
 def read_arc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """The captures of ARC files; without ``payloads`` only their lengths and digests leave the reader."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for batch in batches:
-                for name, content in zip(batch.column("path"), batch.column("content")):
-                    for r in arc_records(inflate(content.as_py()), name.as_py()):
-                        head, payload = _http(r.block)
-                        yield {"id": _number(_field(head, ID_HEADER)), "url": r.url, "date": r.date, "mime": r.mime, "ip": r.ip, "place": f"{name.as_py().rpartition('/')[2]}:{r.at:012d}", "head": head, "payload": payload if payloads else None, "payload_bytes": len(payload), "digest": hashlib.sha1(payload).digest()}
-
-        yield from _batches(rows(), _CAPTURES)
+        rows = _captures(batches)
+        yield from _batches(rows if payloads else (r | {"payload": None} for r in rows), _CAPTURES)
 
     return _files(spark, path).mapInArrow(parse, _CAPTURES_DDL)
 
@@ -220,71 +227,86 @@ def _sha1(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
+_RECORDS = pa.schema([("digest", pa.binary()), ("place", pa.string()), ("record", pa.binary()), ("revisit", pa.binary()), ("head", pa.binary())])
+_RECORDS_DDL = "digest binary, place string, record binary, revisit binary, head binary"
+
+
 def record_id(url: str, date: str, key: int | None, digest: bytes, place: str) -> str:
     """A URN of the capture and its place (file and offset) in the archive: converting again gives the same, repeated captures differ."""
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {date} {key} {digest.hex()} {place}')}>"
 
 
-def warc_record(row: dict) -> str:
-    """A WARC/1.1 record of a capture without the two line ends that close it (the text writer adds them)."""
+def _shared_lines(row: dict) -> tuple[str, str, str]:
+    """The header lines that a capture's record and its revisit share: before the block's digest, up to its length, after it."""
     parts = re.match(r"(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)", row["date"].ljust(14, "0"))
     if not parts:
         raise ValueError(f"{row['place']}: no ARC date: {row['date']!r}")
     date = "{}-{}-{}T{}:{}:{}Z".format(*parts.groups())
-    refers = row["refer_url"] is not None
-    head, payload = row["head"], row["payload"]
-    kind = "revisit" if refers else "response" if head else "resource"
-    block = head if refers else head + payload
-    lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(row['url'], row['date'], row['id'], row['digest'], row['place'])}", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {row['url']}", f"WARC-IP-Address: {row['ip']}", f"WARC-Block-Digest: {_sha1(hashlib.sha1(block).digest())}", f"WARC-Payload-Digest: {_sha1(row['digest'])}",
-        f"Content-Type: {'application/http; msgtype=response' if head else row['mime']}", f"Content-Length: {len(block)}", f"{LENGTH_HEADER}: {len(payload)}",
-    ]
-    if row["id"] is not None:
-        lines.append(f"{ID_HEADER}: {row['id']}")
-    if refers:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(row['refer_url'], row['refer_date'], row['refer_id'], row['digest'], row['refer_place'])}", f"WARC-Refers-To-Target-URI: {row['refer_url']}"]
-        if row["refer_id"] is not None:
-            lines.append(f"{REFERS_HEADER}: {row['refer_id']}")
-    return ("\r\n".join(lines) + "\r\n\r\n").encode() + block
+    before = f"WARC-Record-ID: {record_id(row['url'], row['date'], row['id'], row['digest'], row['place'])}\r\nWARC-Date: {date}\r\nWARC-Target-URI: {row['url']}\r\nWARC-IP-Address: {row['ip']}\r\n"
+    between = f"WARC-Payload-Digest: {_sha1(row['digest'])}\r\nContent-Type: {'application/http; msgtype=response' if row['head'] else row['mime']}\r\n"
+    after = f"{LENGTH_HEADER}: {len(row['payload'])}\r\n" + (f"{ID_HEADER}: {row['id']}\r\n" if row["id"] is not None else "")
+    return before, between, after
+
+
+def _warc_head(kind: str, shared: tuple[str, str, str], block: bytes) -> bytes:
+    """The header of a record of this kind and block; its blank line isn't there yet."""
+    before, between, after = shared
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{before}WARC-Block-Digest: {_sha1(hashlib.sha1(block).digest())}\r\n{between}Content-Length: {len(block)}\r\n{after}".encode()
+
+
+def warc_record(row: dict, shared: tuple[str, str, str] | None = None) -> bytes:
+    """A WARC/1.1 record of a capture with its payload, without the two line ends that close it (the text writer adds them)."""
+    block = row["head"] + row["payload"]
+    return _warc_head("response" if row["head"] else "resource", shared or _shared_lines(row), block) + b"\r\n" + block
+
+
+def revisit_head(row: dict, shared: tuple[str, str, str] | None = None) -> bytes:
+    """The header of the same capture's revisit, up to the lines that name the record it refers to."""
+    return _warc_head("revisit", shared or _shared_lines(row), row["head"]) + b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
 
 
 def revisit_groups(captures: DataFrame) -> DataFrame:
-    """(digest, id, url, date of the record to keep) for payloads of at least ``MIN_REVISIT_BYTES`` that occur again.
+    """(digest, id, url and record id of the record to keep, its place) for payloads of at least ``MIN_REVISIT_BYTES`` that occur again.
 
     The aggregate is combined before the shuffle: a payload that a third of all
     rows share is one row of each task.
     """
     best = F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "url", "date", "place"))
     groups = captures.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
-    return groups.where("n > 1").select(F.col("digest"), F.col("best.id").alias("refer_id"), F.col("best.url").alias("refer_url"), F.col("best.date").alias("refer_date"), F.col("best.place").alias("refer_place"))
+    named = F.udf(lambda *of: record_id(*of), "string")("best.url", "best.date", "best.id", "digest", "best.place")
+    return groups.where("n > 1").select("digest", F.col("best.id").alias("refer_id"), F.col("best.url").alias("refer_url"), named.alias("refer_record"), F.col("best.place").alias("refer_place"))
 
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, file_records: int = 4096) -> None:
     """Convert ARC files to gzipped WARC files of about the same number.
 
     A first pass over the files finds repeated payloads by their digests; the
-    second joins that table to the captures by digest. The table is broadcast if
-    it is measured to be at most ``BROADCAST_BYTES``, otherwise both sides are
-    shuffled, where AQE splits the partition of a very common payload.
+    second makes the record of each capture, and the header of its revisit if the
+    payload is long enough, and that table decides by digest which is written. The table
+    is broadcast if it is measured to be at most ``BROADCAST_BYTES``, otherwise both sides
+    are shuffled, where AQE splits the partition of a very common payload.
     """
     path = scratch_path(spark, "revisits")
     revisit_groups(read_arc(spark, arc_path, payloads=False)).write.parquet(path)
-    groups = spark.read.schema("digest binary, refer_id long, refer_url string, refer_date string, refer_place string").parquet(path)
-    size = groups.agg(F.sum(F.lit(100) + F.length("refer_url"))).first()[0] or 0
-    captures = read_arc(spark, arc_path)
-    joined = captures.join(F.broadcast(groups) if size <= BROADCAST_BYTES else groups, "digest", "left")
-    marked = joined.withColumn("refer_url", F.when(F.col("place") != F.col("refer_place"), F.col("refer_url")))
+    groups = spark.read.schema("digest binary, refer_id long, refer_url string, refer_record string, refer_place string").parquet(path)
+    size = groups.agg(F.sum(F.lit(150) + F.length("refer_url"))).first()[0] or 0
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows = batch.slice(at, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in rows], pa.binary())], ["record"])
+        def rows() -> Iterator[dict]:
+            for r in _captures(batches):
+                shared = _shared_lines(r)
+                again = {"revisit": revisit_head(r, shared), "head": r["head"]} if r["payload_bytes"] >= MIN_REVISIT_BYTES else {}
+                yield {"digest": r["digest"], "place": r["place"], "record": warc_record(r, shared)} | again
+
+        yield from _batches(rows(), _RECORDS)
 
-    columns = ("id", "url", "date", "mime", "ip", "head", "payload", "digest", "place", "refer_id", "refer_url", "refer_date", "refer_place")
-    records = marked.select(*columns).mapInArrow(build, "record binary").select(F.col("record").cast("string"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(warc_path)
+    records = _files(spark, arc_path).mapInArrow(build, _RECORDS_DDL)
+    joined = records.join(F.broadcast(groups) if size <= BROADCAST_BYTES else groups, "digest", "left")
+    key = F.coalesce(F.concat(F.lit(f"{REFERS_HEADER}: "), F.col("refer_id").cast("string"), F.lit("\r\n")), F.lit(""))
+    refers = F.concat(F.lit("WARC-Refers-To: "), "refer_record", F.lit("\r\nWARC-Refers-To-Target-URI: "), "refer_url", F.lit("\r\n"), key, F.lit("\r\n"))
+    revisit = F.concat("revisit", refers.cast("binary"), "head")
+    written = F.when(F.col("place") != F.col("refer_place"), revisit).otherwise(F.col("record"))
+    _write_text(joined.select(written.cast("string").alias("record")), warc_path, "\r\n\r\n", file_records)
 
 
 def warc_records(data: bytes, name: str = "") -> Iterator[tuple[bytes, bytes]]:
@@ -293,7 +315,7 @@ def warc_records(data: bytes, name: str = "") -> Iterator[tuple[bytes, bytes]]:
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         head = data[at:end]
-        size = _field(head, "Content-Length")
+        size = _field(_fields(head), "Content-Length")
         if end < 0 or not head.startswith(b"WARC/") or size is None:
             raise ValueError(f"{name}: no WARC header at byte {at}")
         start = end + 4
@@ -322,15 +344,16 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
             for batch in batches:
                 for name, content in zip(batch.column("path"), batch.column("content")):
                     for head, block in warc_records(inflate(content.as_py()), name.as_py()):
-                        kind, http = _field(head, "WARC-Type"), _http(block)
-                        claimed = base64.b32decode(_field(head, "WARC-Payload-Digest").removeprefix("sha1:"))
+                        fields, http = _fields(head), _http(block)
+                        kind = _field(fields, "WARC-Type")
+                        claimed = base64.b32decode(_field(fields, "WARC-Payload-Digest").removeprefix("sha1:"))
                         digest = claimed if kind == "revisit" else hashlib.sha1(http[1]).digest()
                         if digest != claimed:
-                            raise ValueError(f"{name}: payload digest of {_field(head, 'WARC-Record-ID')} differs")
+                            raise ValueError(f"{name}: payload digest of {_field(fields, 'WARC-Record-ID')} differs")
                         yield {
-                            "id": _number(_field(head, ID_HEADER)), "record_id": _field(head, "WARC-Record-ID"), "record_type": kind, "url": _field(head, "WARC-Target-URI"), "date": _field(head, "WARC-Date"),
-                            "payload_bytes": _number(_field(head, LENGTH_HEADER)) if kind == "revisit" else len(http[1]), "payload_digest": digest.hex(),
-                            "refers_to": _number(_field(head, REFERS_HEADER)), "refers_to_record": _field(head, "WARC-Refers-To"), "payload": http[1] if payloads and kind != "revisit" else None,
+                            "id": _number(_field(fields, ID_HEADER)), "record_id": _field(fields, "WARC-Record-ID"), "record_type": kind, "url": _field(fields, "WARC-Target-URI"), "date": _field(fields, "WARC-Date"),
+                            "payload_bytes": _number(_field(fields, LENGTH_HEADER)) if kind == "revisit" else len(http[1]), "payload_digest": digest.hex(),
+                            "refers_to": _number(_field(fields, REFERS_HEADER)), "refers_to_record": _field(fields, "WARC-Refers-To"), "payload": http[1] if payloads and kind != "revisit" else None,
                         }
 
         yield from _batches(rows(), _WARC)
